@@ -8,7 +8,7 @@ from gridspark.contracts import require
 
 # Machine epsilon of the two accumulator types.
 EPS = {"f64": 2.0**-52, "f32": 2.0**-23}
-BIG_DAY = 86400.0
+DAY_SECONDS = 86400.0
 
 
 def accumulator(x: Column, kind: str = "f64") -> Column:

@@ -8,6 +8,10 @@ from gridspark.plans.registry import ORACLES, QUERIES, Query
 
 MODULES = (
     "reductions",
+    "fields",
+    "intervals",
+    "scalars",
+    "observations",
 )
 
 

@@ -6,7 +6,9 @@ only the columns it uses. SQL fragments of the same projections sit beside them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from gridspark.operators.ordered import lagged
 
 from gridspark.plans.registry import table
 
@@ -43,3 +45,45 @@ def cell_table(spark: SparkSession, sf: str) -> DataFrame:
     return fine_field(spark, sf).groupBy("cell").agg(
         F.sum("l_extendedprice").alias("value"), F.sum("l_quantity").alias("weight")
     )
+
+
+def seconds(col: str) -> Column:
+    """A timestamp column as SI seconds."""
+    return F.unix_micros(F.col(col).cast("timestamp")) / F.lit(1e6)
+
+
+def seconds_slice(width: float):
+    """Slices of `width` seconds for an instant column given by name."""
+    return lambda name: F.floor(F.col(name) / F.lit(float(width))).cast("bigint")
+
+
+HOURS_6 = 6 * 3600.0
+
+# each event closes the interval its user's previous event opened
+SERIES_SQL = """
+    SELECT * FROM (SELECT user_id AS cell, event_id, event_type, value, epoch_us(ts) / 1e6 AS t1,
+           lag(epoch_us(ts) / 1e6) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) / 1e6, event_id) AS t0
+    FROM events) WHERE t0 IS NOT NULL
+"""
+
+
+def interval_series(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as one contiguous interval series per user: [previous instant, instant)."""
+    df = events(spark, sf).select(F.col("user_id").alias("cell"), "event_id", "event_type", "value", seconds("ts").alias("t1"))
+    return lagged(df, {"t0": "t1"}, ["t1", "event_id"], seconds_slice(HOURS_6)("t1"), ["cell"]).filter("t0 IS NOT NULL")
+
+
+# order days as contiguous intervals, each holding the order value of its first day
+DAYS_SQL = """
+    SELECT d AS t0, coalesce(lead(d) OVER (ORDER BY d), d + 86400.0) AS t1, v AS value FROM (
+        SELECT epoch_us(o_orderdate) / 1e6 AS d, sum(o_totalprice) AS v FROM orders GROUP BY 1)
+"""
+
+
+def order_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct order days as contiguous half-open intervals, with the day's order value."""
+    days = table(spark, sf, "orders").groupBy(seconds("o_orderdate").alias("d")).agg(F.sum("o_totalprice").alias("value"))
+    # read backwards, the row before a day is the day after it
+    back = days.withColumn("neg", -F.col("d"))
+    out = lagged(back, {"next": "d"}, ["neg"], seconds_slice(365 * 86400.0)("neg"))
+    return out.select(F.col("d").alias("t0"), F.coalesce("next", F.col("d") + 86400.0).alias("t1"), "value")

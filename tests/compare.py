@@ -55,8 +55,8 @@ def compare(df, con, sql) -> str:
         return f"columns {names} != {wanted_names}"
     if got == wanted:
         return "" if got else "both empty"
-    extra = [r for r in got if r not in set(wanted)][:3]
-    absent = [r for r in wanted if r not in set(got)][:3]
+    extra = sorted(set(got) - set(wanted))[:3]
+    absent = sorted(set(wanted) - set(got))[:3]
     return f"rows {len(got)} vs {len(wanted)}; spark only {extra}; sql only {absent}"
 
 
