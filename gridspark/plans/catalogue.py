@@ -12,6 +12,7 @@ MODULES = (
     "intervals",
     "scalars",
     "observations",
+    "series",
 )
 
 
