@@ -1,10 +1,462 @@
-"""Cell graphs."""
+"""Iterative operators on cell graphs, as joins whose rounds are written to the shared folder.
+
+Edge tables hold both directions as (cell, neighbour). A component with a third of all nodes makes
+hub keys in the label look-ups; every look-up joins against one row per key, which adaptive
+execution splits, and every fold is a partial aggregate.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
+
+from gridspark.contracts import require
+from gridspark.functions import cells
+from gridspark.operators.ordered import match
+from gridspark.session import settled
+
+MAX_ROUNDS = 64
 
 
 def class_by_sign(z: Column, datum: float) -> Column:
     """The naive classifier, kept as a control: everything below the datum is ocean."""
     return F.when(z < datum, "ocean").otherwise("land")
+
+
+def class_from_rules(ocean: Column, depth: Column) -> Column:
+    return F.when(ocean, "ocean").when(depth > 0, "inland_water").otherwise("land")
+
+
+def within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with both ends among `nodes`."""
+    keep = nodes.select("cell")
+    far = keep.withColumnRenamed("cell", "neighbour")
+    return edges.join(keep, "cell", "left_semi").join(far, "neighbour", "left_semi")
+
+
+def _jump(p: DataFrame) -> DataFrame:
+    """parent -> parent of parent."""
+    up = p.select(F.col("cell").alias("parent"), F.col("parent").alias("_up"))
+    return p.join(up, "parent", "left").select("cell", F.coalesce("_up", "parent").alias("parent"))
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(cell, label): the lowest id of the connected component of each node.
+
+    Contraction: each round every node hooks to its lowest neighbour in a hashed order (which keeps
+    chains short whatever the ids look like), parents are jumped, and the edges between parents,
+    de-duplicated, go on to the next round. The number of nodes left at least halves, so rounds
+    grow with the logarithm of the largest component and the data shrinks every round.
+    """
+    left = settled(edges.select("cell", "neighbour").filter("cell <> neighbour").distinct())
+    maps = []
+    for _ in range(MAX_ROUNDS):
+        if left.isEmpty():
+            break
+        rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
+        best = left.groupBy("cell").agg(F.min(rank("neighbour")).alias("_m"))
+        hook = F.when(F.col("_m") < rank("cell"), F.col("_m.id")).otherwise(F.col("cell"))
+        parents = settled(_jump(_jump(best.select("cell", hook.alias("parent")))))
+        maps.append(parents)
+        far = parents.select(F.col("cell").alias("neighbour"), F.col("parent").alias("_q"))
+        left = settled(
+            left.join(parents, "cell").join(far, "neighbour").filter("parent <> _q")
+            .select(F.col("parent").alias("cell"), F.col("_q").alias("neighbour")).distinct())
+    else:
+        require(left.isEmpty(), "rounds", "components", f"not settled after {MAX_ROUNDS} rounds")
+    root = None
+    for p in reversed(maps):
+        if root is None:
+            root = p
+        else:
+            up = root.select(F.col("cell").alias("parent"), F.col("parent").alias("_up"))
+            root = settled(p.join(up, "parent", "left").select("cell", F.coalesce("_up", "parent").alias("parent")))
+    if root is None:
+        return nodes.select("cell", F.col("cell").alias("label"))
+    placed = nodes.select("cell").join(root, "cell", "left").select("cell", F.coalesce("parent", "cell").alias("_root"))
+    lowest = placed.groupBy("_root").agg(F.min("cell").alias("label"))
+    return placed.join(lowest, "_root").select("cell", "label")
+
+
+def flood_reach(terrain: DataFrame, edges: DataFrame, seeds: DataFrame, datum: float, z: str = "z",
+                check: bool = False) -> DataFrame:
+    """Cells below the datum joined to a seed through cells below it: the components that hold a seed."""
+    below = terrain.filter(F.col(z) < datum).select("cell")
+    if check:
+        stray = seeds.join(below, "cell", "left_anti")
+        require(stray.isEmpty(), "ocean seed", "flood_reach", "a seed does not lie below the datum")
+    label = components(below, within(edges, below))
+    reached = label.join(seeds.select("cell"), "cell", "left_semi").select("label").distinct()
+    return label.join(reached, "label", "left_semi").select("cell")
+
+
+def bodies(mask: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """Components of the mask that may not cross a coarse cell, labelled by lowest id."""
+    same = cells.ancestor(F.col("cell"), depth) == cells.ancestor(F.col("neighbour"), depth)
+    return components(mask, within(edges.filter(same), mask))
+
+
+def ring_distance(edges: DataFrame, seeds: DataFrame, farthest: int | None = None) -> DataFrame:
+    """(cell, distance): hops from the nearest seed, up to `farthest` when one is enough.
+
+    The graph is undirected, so a new ring only needs to be told from the two rings before it.
+    """
+    require(not seeds.isEmpty(), "seeds", "ring_distance", "no seed cell was given")
+    links = settled(edges.select("cell", "neighbour"))
+    before, ring = None, settled(seeds.select("cell").distinct())
+    rings, d = [ring.withColumn("distance", F.lit(0))], 0
+    while farthest is None or d < farthest:
+        reached = links.join(ring, "cell", "left_semi").select(F.col("neighbour").alias("cell")).distinct()
+        reached = reached.join(ring, "cell", "left_anti")
+        if before is not None:
+            reached = reached.join(before, "cell", "left_anti")
+        new = settled(reached)
+        if new.isEmpty():
+            break
+        d += 1
+        rings.append(new.withColumn("distance", F.lit(d)))
+        before, ring = ring, new
+    out = rings[0]
+    for r in rings[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def elevated_edges(terrain: DataFrame, edges: DataFrame, z: str = "z") -> DataFrame:
+    """Edges with the elevation of both ends."""
+    a = terrain.select("cell", F.col(z).alias("z_here"))
+    b = terrain.select(F.col("cell").alias("neighbour"), F.col(z).alias("z_there"))
+    return edges.select("cell", "neighbour").join(a, "cell").join(b, "neighbour")
+
+
+def minimum_plateaus(terrain: DataFrame, edges: DataFrame, ocean: DataFrame, z: str = "z") -> DataFrame:
+    """(cell, plateau): connected equal-elevation land cells none of which has a lower neighbour."""
+    land = terrain.join(ocean.select("cell"), "cell", "left_anti")
+    both = elevated_edges(terrain, edges, z)
+    lower = both.filter("z_there < z_here").select("cell").distinct()
+    flat = within(both.filter("z_there = z_here"), land)
+    label = components(land, flat)
+    drained = label.join(lower, "cell", "left_semi").select("label").distinct()
+    return label.join(drained, "label", "left_anti").select("cell", F.col("label").alias("plateau"))
+
+
+OCEAN_TERMINAL = 0  # the terminal of a cell that drains to the ocean
+
+
+def drainage_terminals(terrain: DataFrame, edges: DataFrame, ocean: DataFrame, z: str = "z") -> DataFrame:
+    """(cell, terminal): OCEAN_TERMINAL, or the lowest id of the closed basin each cell drains to.
+
+    A cell points at its lowest neighbour; on a flat without one, at the neighbour fewest hops from
+    a cell that has one. Ties go to the lower id. Pointers are then doubled until none moves.
+    """
+    both = settled(elevated_edges(terrain, edges, z))
+    wet = ocean.select("cell")
+    plateau = settled(minimum_plateaus(terrain, edges, ocean, z))
+    ends = wet.select("cell", F.lit(OCEAN_TERMINAL).cast("bigint").alias("terminal")).unionByName(
+        plateau.select("cell", F.col("plateau").alias("terminal")))
+    moving = terrain.select("cell").join(ends, "cell", "left_anti")
+    downhill = settled(
+        both.filter("z_there < z_here").join(moving, "cell", "left_semi")
+        .groupBy("cell").agg(F.min(F.struct(F.col("z_there"), F.col("neighbour"))).alias("_m"))
+        .select("cell", F.col("_m.neighbour").alias("next")))
+    pointers = downhill
+    stuck = moving.join(downhill, "cell", "left_anti")
+    if not stuck.isEmpty():
+        flat = both.filter("z_there = z_here").join(moving, "cell", "left_semi")
+        hops = settled(ring_distance(within(flat, moving), downhill.select("cell")))
+        far = hops.select(F.col("cell").alias("neighbour"), F.col("distance").alias("_d"))
+        own = stuck.join(hops, "cell")
+        inward = flat.join(own, "cell").join(far, "neighbour").filter("_d < distance")
+        pointers = downhill.unionByName(
+            inward.groupBy("cell").agg(F.min(F.struct("_d", "neighbour")).alias("_m")).select("cell", F.col("_m.neighbour").alias("next")))
+    ends = settled(ends)
+    # ends point at themselves, so doubling keeps them
+    jump = settled(pointers.unionByName(ends.select("cell", F.col("cell").alias("next"))))
+    for _ in range(MAX_ROUNDS):
+        up = jump.select(F.col("cell").alias("next"), F.col("next").alias("_up"))
+        doubled = settled(jump.join(up, "next").select("cell", "next", F.col("_up")))
+        moved = doubled.filter("next <> _up")
+        jump = doubled.select("cell", F.col("_up").alias("next"))
+        if moved.isEmpty():
+            break
+    at = ends.select(F.col("cell").alias("next"), "terminal")
+    return jump.join(at, "next").select("cell", "terminal")
+
+
+def crossings(body: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """Fine edges lying on a coarse edge with the body on each side, once each.
+
+    A coarse edge is named by its two cells in ascending order; `inner` is the body on the lower one.
+    """
+    here = body.select("cell", F.col("label").alias("inner"))
+    there = body.select(F.col("cell").alias("neighbour"), F.col("label").alias("outer"))
+    placed = edges.withColumns({"coarse_a": cells.ancestor(F.col("cell"), depth), "coarse_b": cells.ancestor(F.col("neighbour"), depth)})
+    return placed.filter("coarse_a < coarse_b").join(here, "cell").join(there, "neighbour")
+
+
+def land_gates(body: DataFrame, edges: DataFrame, depth: int, radius: float = 1.0) -> DataFrame:
+    """Width and number of the fine edges joining each pair of bodies across a coarse edge."""
+    found = crossings(body, edges, depth)
+    return found.groupBy("coarse_a", "coarse_b", "inner", "outer").agg(
+        (F.sum("length") * radius).alias("width"), F.count(F.lit(1)).alias("crossings"))
+
+
+def source_cells(terrain: DataFrame, body: DataFrame, z: str = "z") -> DataFrame:
+    """The lowest cell of each body, the lowest id among equals."""
+    joined = body.join(terrain.select("cell", z), "cell")
+    return joined.groupBy("label").agg(F.min_by("cell", F.struct(F.col(z), F.col("cell"))).alias("source"))
+
+
+def bodies_of(body: DataFrame, depth: int) -> DataFrame:
+    """Distinct body labels under each coarse cell, ascending; at most 4^depth of them."""
+    pairs = body.select(cells.ancestor(F.col("cell"), depth).alias("coarse"), "label").distinct()
+    return pairs.groupBy("coarse").agg(F.sort_array(F.collect_list("label")).alias("labels"))
+
+
+def _root(parent: dict, x):
+    while parent[x] != x:
+        parent[x] = parent[parent[x]]
+        x = parent[x]
+    return x
+
+
+def _saddle(a, b, h, source, sink):
+    """The lowest level at which joining edges in order of height connects source to sink."""
+    order = h.argsort(kind="stable")
+    parent = {source: source, sink: sink}
+    for i in order:
+        for x in (a[i], b[i]):
+            parent.setdefault(x, x)
+        parent[_root(parent, a[i])] = _root(parent, b[i])
+        if _root(parent, source) == _root(parent, sink):
+            return h[i]
+    return None
+
+
+def _min_cut(a, b, capacity, s, t):
+    """Nodes on the source side of a minimum cut of an undirected graph, by shortest augmenting paths."""
+    room: dict = {}
+    for x, y, c in zip(a, b, capacity):
+        room.setdefault(x, {}).setdefault(y, 0.0)
+        room.setdefault(y, {}).setdefault(x, 0.0)
+        room[x][y] += c
+        room[y][x] += c
+    while True:
+        back, queue = {s: s}, [s]
+        for u in queue:
+            for v, c in room.get(u, {}).items():
+                if c > 0 and v not in back:
+                    back[v] = u
+                    queue.append(v)
+        if t not in back:
+            return set(back)
+        path, v = [], t
+        while v != s:
+            path.append((back[v], v))
+            v = back[v]
+        push = min(room[u][v] for u, v in path)
+        for u, v in path:
+            room[u][v] -= push
+            room[v][u] += push
+
+
+GATE_SCHEMA = ("coarse_a bigint, coarse_b bigint, inner bigint, outer bigint, sill double, width double, section array<bigint>")
+
+
+def _gate(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One pair of bodies: the sill between their lowest cells and the cheapest section at its height."""
+    first = pdf.iloc[0]
+    a, b, h = pdf["cell"].to_numpy(), pdf["neighbour"].to_numpy(), pdf["height"].to_numpy()
+    source, sink = first["source"], first["sink"]
+    level = _saddle(a, b, h, source, sink)
+    keys = {k: first[k] for k in ("coarse_a", "coarse_b", "inner", "outer")}
+    if level is None:
+        return pd.DataFrame([], columns=[*keys, "sill", "width", "section"])
+    parent: dict = {}
+    for x, y, v in zip(a, b, h):
+        parent.setdefault(x, x)
+        parent.setdefault(y, y)
+        if v < level:
+            parent[_root(parent, x)] = _root(parent, y)
+    cut = h == level
+    ends = [(_root(parent, x), _root(parent, y)) for x, y in zip(a[cut], b[cut])]
+    side = _min_cut([e[0] for e in ends], [e[1] for e in ends], pdf["length"].to_numpy()[cut],
+                    _root(parent, source), _root(parent, sink))
+    across = [(x in side) != (y in side) for x, y in ends]
+    section = sorted(int(e) for e, on in zip(pdf["edge"].to_numpy()[cut], across) if on)
+    width = float(sum(w for w, on in zip(pdf["length"].to_numpy()[cut], across) if on))
+    return pd.DataFrame([{**keys, "sill": float(level), "width": width, "section": section}])
+
+
+def ocean_gates(terrain: DataFrame, body: DataFrame, edges: DataFrame, depth: int, z: str = "z", radius: float = 1.0) -> DataFrame:
+    """Sill height, width and section of every pair of bodies touching across a coarse edge.
+
+    A body lies inside one coarse cell, so a pair holds at most 2 * 4^depth cells and 3 * 4^depth
+    edges whatever the size of the ocean: that bound is what makes one group per pair safe.
+    """
+    require(depth <= 6, "depth", "ocean_gates", "a pair would hold more than 8192 cells")
+    pairs = crossings(body, edges, depth).select("coarse_a", "coarse_b", "inner", "outer").distinct()
+    source = source_cells(terrain, body, z)
+    ends = pairs.join(source.select(F.col("label").alias("inner"), "source"), "inner").join(
+        source.select(F.col("label").alias("outer"), F.col("source").alias("sink")), "outer")
+    here = body.select("cell", F.col("label").alias("_a"))
+    there = body.select(F.col("cell").alias("neighbour"), F.col("label").alias("_b"))
+    za = terrain.select("cell", F.col(z).alias("_za"))
+    zb = terrain.select(F.col("cell").alias("neighbour"), F.col(z).alias("_zb"))
+    links = (
+        edges.filter("cell < neighbour").join(here, "cell").join(there, "neighbour").join(za, "cell").join(zb, "neighbour")
+        .select("cell", "neighbour", "edge", (F.col("length") * radius).alias("length"), F.greatest("_za", "_zb").alias("height"), "_a", "_b"))
+    # edges inside a body serve every pair of that body; edges between two bodies serve their own pair
+    owner = ends.select("*", F.explode(F.array("inner", "outer")).alias("_a"))
+    inner = links.filter("_a = _b").join(owner, "_a")
+    cross = links.filter("_a <> _b").withColumns({"inner": F.col("_a"), "outer": F.col("_b")})
+    flipped = links.filter("_a <> _b").withColumns({"inner": F.col("_b"), "outer": F.col("_a")})
+    between = cross.unionByName(flipped).join(ends, ["inner", "outer"])
+    names = ["coarse_a", "coarse_b", "inner", "outer", "source", "sink", "cell", "neighbour", "edge", "length", "height"]
+    rows = inner.select(*names).unionByName(between.select(*names))
+    return rows.groupBy("coarse_a", "coarse_b", "inner", "outer").applyInPandas(_gate, GATE_SCHEMA)
+
+
+def sills(gates: DataFrame, datum: float) -> DataFrame:
+    return gates.select("coarse_a", "coarse_b", "inner", "outer", (F.lit(datum) - F.col("sill")).alias("sill_depth"))
+
+
+# Differences between two snapshots
+
+
+def correspondence(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Pairs of bodies that share a cell."""
+    return (old.select("cell", F.col("label").alias("old")).join(new.select("cell", F.col("label").alias("new")), "cell")
+            .select("old", "new").distinct())
+
+
+def _moved(body: DataFrame, corr: DataFrame, side: str, depth: int) -> DataFrame:
+    """Coarse cells of bodies with no image or several."""
+    images = corr.groupBy(F.col(side).alias("label")).agg(F.count(F.lit(1)).alias("_n"))
+    counted = body.select("label").distinct().join(images, "label", "left")
+    return counted.filter(F.coalesce("_n", F.lit(0)) != 1).select(cells.ancestor(F.col("label"), depth).alias("coarse"))
+
+
+def _unmatched(gates: DataFrame, others: DataFrame, corr: DataFrame, side: str, image: str) -> DataFrame:
+    """Coarse cells of gates with no gate on the same edge between images of their bodies."""
+    near = corr.select(F.col(side).alias("inner"), F.col(image).alias("_i"))
+    far = corr.select(F.col(side).alias("outer"), F.col(image).alias("_o"))
+    seen = others.select("coarse_a", "coarse_b", F.col("inner").alias("_i"), F.col("outer").alias("_o"))
+    keys = ["coarse_a", "coarse_b", "inner", "outer"]
+    kept = gates.select(*keys).join(near, "inner").join(far, "outer").join(seen, ["coarse_a", "coarse_b", "_i", "_o"], "left_semi")
+    lost = gates.select(*keys).join(kept.select(*keys).distinct(), keys, "left_anti")
+    return lost.select(F.explode(F.array("coarse_a", "coarse_b")).alias("coarse"))
+
+
+def body_moves(old: DataFrame, new: DataFrame, old_gates: DataFrame, new_gates: DataFrame, depth: int) -> DataFrame:
+    """(coarse, side): cells where bodies split, merged, vanished or lost a gate ('lost'), or the reverse ('gained')."""
+    corr = settled(correspondence(old, new))
+    lost = _moved(old, corr, "old", depth).unionByName(_unmatched(old_gates, new_gates, corr, "old", "new"))
+    gained = _moved(new, corr, "new", depth).unionByName(_unmatched(new_gates, old_gates, corr, "new", "old"))
+    return lost.distinct().withColumn("side", F.lit("lost")).unionByName(gained.distinct().withColumn("side", F.lit("gained")))
+
+
+def basin_captures(old: DataFrame, new: DataFrame, area: DataFrame, new_ocean: DataFrame, depth: int) -> DataFrame:
+    """Basins whose terminal changed: captor, and the area of their catchment that now drains to it."""
+    basin = old.filter("cell = terminal").select(F.col("cell").alias("basin")).join(
+        new_ocean.select(F.col("cell").alias("basin")), "basin", "left_anti")
+    captor = basin.join(new.select(F.col("cell").alias("basin"), F.col("terminal").alias("captor")), "basin")
+    before = old.select(F.col("cell").alias("captor"), F.col("terminal").alias("_was"))
+    moved = captor.join(before, "captor", "left").filter("captor = 0 OR _was IS NULL OR _was <> basin").select("basin", "captor")
+    drained = old.select("cell", F.col("terminal").alias("basin")).join(
+        new.select("cell", F.col("terminal").alias("captor")), "cell").join(area.select("cell", "area"), "cell")
+    taken = drained.groupBy("basin", "captor").agg(F.sum("area").alias("quantity"))
+    out = match(moved, taken, ["basin", "captor"], "left")
+    held = F.when(F.col("captor") == 0, F.array(cells.ancestor(F.col("basin"), depth))).otherwise(
+        F.array_sort(F.array_distinct(F.array(cells.ancestor(F.col("basin"), depth), cells.ancestor(F.col("captor"), depth)))))
+    return out.select("basin", "captor", F.coalesce("quantity", F.lit(0.0)).alias("quantity"), held.alias("cells"))
+
+
+def topology_edits(old: dict[str, DataFrame], new: dict[str, DataFrame], edges: DataFrame, datum: float, depth: int) -> DataFrame:
+    """Clusters of cells that changed between ocean and not, named as edits, with the greatest water column.
+
+    Each snapshot holds `terrain`, `ocean`, `land_component`, `ocean_body`, `land_body`, `ocean_gates`
+    and `land_gates`. A cluster that touches one land component, encloses nothing below the datum and
+    moves no body is no edit.
+    """
+    flags = (
+        old["terrain"].select("cell", F.col("z").alias("z_old")).join(new["terrain"].select("cell", F.col("z").alias("z_new")), "cell")
+        .join(old["ocean"].select("cell", F.lit(True).alias("was")), "cell", "left")
+        .join(new["ocean"].select("cell", F.lit(True).alias("now")), "cell", "left").fillna(False, ["was", "now"]))
+    flags = settled(flags)
+    changed = flags.filter("was <> now")
+    other = flags.select(F.col("cell").alias("neighbour"), F.col("was").alias("_w"), F.col("now").alias("_n"))
+    touching = settled(edges.select("cell", "neighbour").join(changed.select("cell", "was", "now"), "cell").join(other, "neighbour"))
+    cluster = settled(components(changed, touching.filter("was = _w AND now = _n")))
+    # land components beside a cluster, of the snapshot in which it is wet
+    beside = touching.filter("NOT _w AND NOT _n").select("cell", "neighbour", "was")
+    wet_old = old["land_component"].select(F.col("cell").alias("neighbour"), F.col("label").alias("_lo"))
+    wet_new = new["land_component"].select(F.col("cell").alias("neighbour"), F.col("label").alias("_ln"))
+    named = beside.join(wet_old, "neighbour", "left").join(wet_new, "neighbour", "left").select(
+        "cell", F.when(F.col("was"), F.col("_lo")).otherwise(F.col("_ln")).alias("land"))
+    lands = named.join(cluster, "cell").select("label", "land").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("lands"))
+    moves_o = body_moves(old["ocean_body"], new["ocean_body"], old["ocean_gates"], new["ocean_gates"], depth)
+    moves_l = body_moves(old["land_body"], new["land_body"], old["land_gates"], new["land_gates"], depth)
+    closing = moves_o.filter("side = 'lost'").unionByName(moves_l.filter("side = 'gained'")).select("coarse", F.lit(True).alias("closing"))
+    flooding = moves_o.filter("side = 'gained'").unionByName(moves_l.filter("side = 'lost'")).select("coarse", F.lit(False).alias("closing"))
+    moves = settled(closing.unionByName(flooding).distinct())
+    members = settled(cluster.join(changed, "cell").withColumn("coarse", cells.ancestor(F.col("cell"), depth)))
+    moved = members.join(moves, (members.coarse == moves.coarse) & (members.was == moves.closing), "left_semi").select("label").distinct()
+    wet_z = F.when(F.col("was"), F.col("z_old")).otherwise(F.col("z_new"))
+    dry_z = F.when(F.col("was"), F.col("z_new")).otherwise(F.col("z_old"))
+    water = F.lit(datum) - wet_z
+    summary = members.groupBy("label", "was").agg(
+        F.max((F.lit(datum) - dry_z > 0).cast("int")).alias("enclosed"),
+        F.max(F.when(F.lit(datum) - dry_z <= 0, water)).alias("quantity"), F.count(F.lit(1)).alias("cells"))
+    out = summary.join(lands, "label", "left").join(moved.withColumn("moved", F.lit(1)), "label", "left").fillna(0, ["lands", "moved"])
+    edit = (
+        F.when(F.col("was"), F.when(F.col("lands") == 0, "island_emerged").otherwise("seaway_closed"))
+        .otherwise(F.when(F.col("lands") == 0, "island_submerged").otherwise("land_bridge_flooded")))
+    kept = out.filter(~((F.col("lands") == 1) & (F.col("enclosed") == 0) & (F.col("moved") == 0)))
+    return kept.select(F.col("label").alias("cluster"), edit.alias("edit"), "quantity", "cells")
+
+
+def surface_graph(terrain: DataFrame, edges: DataFrame, seeds: DataFrame, datum: float, depth: int,
+                  terminals: bool = True) -> dict[str, DataFrame]:
+    """Everything derived from one elevation snapshot, each part written once: ocean, land components,
+    bodies, gates and drainage terminals. `edges` carries `edge` and `length`."""
+    edges, terrain = settled(edges), settled(terrain)
+    ocean = settled(flood_reach(terrain, edges, seeds, datum, check=True))
+    land = settled(terrain.select("cell").join(ocean, "cell", "left_anti"))
+    ocean_body, land_body = settled(bodies(ocean, edges, depth)), settled(bodies(land, edges, depth))
+    out = {
+        "terrain": terrain, "ocean": ocean,
+        "land_component": settled(components(land, within(edges, land))),
+        "ocean_body": ocean_body, "land_body": land_body,
+        "ocean_gates": settled(ocean_gates(terrain, ocean_body, edges, depth)),
+        "land_gates": settled(land_gates(land_body, edges, depth)),
+    }
+    if terminals:
+        out["terminal"] = settled(drainage_terminals(terrain, edges, ocean))
+    return out
+
+
+# Lineage graphs
+
+
+def lineage_levels(edges: DataFrame) -> DataFrame:
+    """(name, level): the topological level of each dataset, null for those on or behind a cycle.
+
+    `edges` is (source, target). Each round drops the names nothing left points at.
+    """
+    left = settled(edges.select("source", "target").distinct())
+    names = settled(left.select(F.col("source").alias("name")).union(left.select(F.col("target").alias("name"))).distinct())
+    rest, done, level = names, [], 0
+    while True:
+        waiting = left.select(F.col("target").alias("name")).distinct()
+        ready = settled(rest.join(waiting, "name", "left_anti"))
+        if ready.isEmpty():
+            break
+        done.append(ready.withColumn("level", F.lit(level)))
+        rest = settled(rest.join(ready, "name", "left_anti"))
+        left = settled(left.join(ready.select(F.col("name").alias("source")), "source", "left_anti"))
+        level += 1
+    out = rest.withColumn("level", F.lit(None).cast("int"))
+    for d in done:
+        out = out.unionByName(d)
+    return out

@@ -13,6 +13,7 @@ MODULES = (
     "scalars",
     "observations",
     "series",
+    "grids",
 )
 
 
