@@ -14,6 +14,8 @@ MODULES = (
     "observations",
     "series",
     "grids",
+    "corpus",
+    "journal",
 )
 
 
