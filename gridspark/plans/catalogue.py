@@ -16,6 +16,7 @@ MODULES = (
     "grids",
     "corpus",
     "journal",
+    "audits",
 )
 
 
