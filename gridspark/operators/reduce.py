@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gridspark.contracts import raise_if_any, require
 from gridspark.functions import numeric
@@ -17,7 +17,7 @@ FAN = 512  # block sums combined per task and stage
 _STAGES = 4  # FAN^4 blocks, 1.7e13 rows in one group
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _halving_sum(parts: pd.Series) -> pd.Series:
     """Sum each array by recursive halving of its index range."""
 

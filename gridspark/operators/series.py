@@ -11,7 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gridspark.contracts import require
 from gridspark.operators.ordered import lagged, last_records, match, numbered, running_sum
@@ -318,7 +318,7 @@ def _offset_tail(n: int, k: int) -> float:
     return math.erfc(z / math.sqrt(2))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def offset_tail(n: pd.Series, k: pd.Series) -> pd.Series:
     return pd.Series([_offset_tail(int(a), int(b)) for a, b in zip(n, k)])
 
