@@ -63,7 +63,7 @@ def ledger(totals: DataFrame, quantity: str, keys: Sequence[str] = (), losses: d
 def _totals(before: DataFrame, x: Column, after: DataFrame, y: Column, keys: Sequence[str]) -> DataFrame:
     b = before.groupBy(*keys).agg(F.sum(x).alias("before"), F.count(x).alias("n"), F.sum(F.abs(x)).alias("magnitude"))
     a = after.groupBy(*keys).agg(F.sum(y).alias("after"))
-    both = match(b, a, keys, "left") if keys else b.join(F.broadcast(a))  # one row each
+    both = match(b, a, keys, "left") if keys else b.withColumn("after", a.scalar())
     return both.withColumn("flux", F.lit(0.0)).fillna(0.0, ["after", "before", "magnitude"])
 
 

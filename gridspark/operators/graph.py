@@ -48,7 +48,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     de-duplicated, go on to the next round. The number of nodes left at least halves, so rounds
     grow with the logarithm of the largest component and the data shrinks every round.
     """
-    left = settled(edges.select("cell", "neighbour").filter("cell <> neighbour").distinct())
+    left = settled(edges.select("cell", "neighbour").filter("cell <> neighbour"))
     maps = []
     for _ in range(MAX_ROUNDS):
         if left.isEmpty():

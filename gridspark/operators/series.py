@@ -422,7 +422,7 @@ def cohens_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     n = cells_.agg(F.sum("c").alias("n"), F.sum(F.when(F.col(a) == F.col(b), F.col("c")).otherwise(0)).alias("agree"))
     rows = cells_.groupBy(F.col(a).alias("k")).agg(F.sum("c").alias("ra"))
     cols = cells_.groupBy(F.col(b).alias("k")).agg(F.sum("c").alias("cb"))
-    chance = rows.join(cols, "k").agg(F.sum(F.col("ra") * F.col("cb")).alias("by_chance"))
+    chance = rows.join(cols, "k").agg(F.sum(F.col("ra") * F.col("cb")))
     po = F.col("agree") / F.col("n")
     pe = F.coalesce(F.col("by_chance"), F.lit(0)) / (F.col("n") * F.col("n"))
-    return n.join(F.broadcast(chance)).select("n", po.alias("observed"), ((po - pe) / (1 - pe)).alias("kappa"))  # one row each
+    return n.withColumn("by_chance", chance.scalar()).select("n", po.alias("observed"), ((po - pe) / (1 - pe)).alias("kappa"))

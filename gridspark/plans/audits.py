@@ -12,6 +12,7 @@ from gridspark.operators import audit, fields
 from gridspark.operators.ordered import id_slice, numbered
 from gridspark.plans.fields import cell_fractions
 from gridspark.plans.fixtures import CELL_SQL, CELL_TABLE_SQL, ORDER, anc_sql, cell_table, events, fine_field, seconds, seconds_slice
+from gridspark.plans.grids import LEVEL_SQL, level_of
 from gridspark.plans.registry import query, r6, table
 from gridspark.session import shared_dir
 from gridspark.sources import tables
@@ -308,10 +309,9 @@ def snk1(spark, sf):
     return spark.read.parquet(path).select("coarse", r6(F.col("value"), 2).alias("value"))
 
 
-@query("snk2_put_geometry")
+@query("snk2_put_geometry", f"""
+    SELECT 'fine' AS support_id, CAST(20 * pow(4, {LEVEL_SQL}) AS BIGINT) AS cells, round(4 * pi(), 6) AS area""")
 def snk2(spark, sf):
-    from gridspark.plans.grids import level_of
-
     root = tables.put_geometry(spark, scratch(spark, "geometry"), level_of(spark, sf), "fine")
     return spark.read.parquet(f"{root}/cells").groupBy("support_id").agg(F.count(F.lit(1)).alias("cells"), r6(F.sum("area"), 6).alias("area"))
 

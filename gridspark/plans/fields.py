@@ -49,9 +49,8 @@ def fld2(spark, sf):
     out = fields.coarsen(declared(spark, sf, "Intensive"), "l_extendedprice", DEPTH, measure="l_quantity", rule="area_mean")
     cell = out.field.select(F.lit("cell").alias("kind"), "coarse", r6(F.col("l_extendedprice")).alias("mean"),
                             F.col("l_quantity").alias("weight"), F.lit(None).cast("boolean").alias("closed"))
-    weights = fine_field(spark, sf).agg(F.sum("l_quantity").alias("weight"))
-    row = out.ledger.select("closed").join(F.broadcast(weights))  # one row each
-    total = row.select(F.lit("ledger").alias("kind"), F.lit(None).cast("bigint").alias("coarse"),
+    weights = fine_field(spark, sf).agg(F.sum("l_quantity"))
+    total = out.ledger.withColumn("weight", weights.scalar()).select(F.lit("ledger").alias("kind"), F.lit(None).cast("bigint").alias("coarse"),
                        F.lit(None).cast("double").alias("mean"), "weight", "closed")
     return cell.unionByName(total)
 

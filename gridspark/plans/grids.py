@@ -210,8 +210,8 @@ def gra5_owner(spark, sf):
 def jn9(spark, sf):
     terrain, edges = setup(spark, sf)
     targets = settled(targets_of(terrain, edges))
-    bad = grid.unbalanced(targets, edges).agg(F.count(F.lit(1)).alias("unbalanced"))
-    return edges.agg(F.count(F.lit(1)).alias("edges")).join(F.broadcast(bad))  # one row each
+    bad = grid.unbalanced(targets, edges).agg(F.count(F.lit(1)))
+    return edges.agg(F.count(F.lit(1)).alias("edges")).withColumn("unbalanced", bad.scalar())
 
 
 @query("jn8_hanging_edges", f"""
@@ -386,7 +386,15 @@ def gra13(spark, sf):
     return graph.basin_captures(a, b, area, wet_new, DEPTH).select("basin", "captor", "quantity")
 
 
-@query("gra14_surface_graph")
+@query("gra14_surface_graph", f"""{BASE}, {ocean_sql()}, {_LAND}, {bodies_sql('wet', 'ocean')}, {bodies_sql('dry', 'land')},
+    cross_wet AS (SELECT DISTINCT (e.cell - 1) // {4**DEPTH} AS p, (e.nb - 1) // {4**DEPTH} AS q, a.label AS i, b.label AS o FROM edges e
+        JOIN wet a ON a.cell = e.cell JOIN wet b ON b.cell = e.nb WHERE (e.cell - 1) // {4**DEPTH} < (e.nb - 1) // {4**DEPTH}),
+    cross_dry AS (SELECT DISTINCT (e.cell - 1) // {4**DEPTH} AS p, (e.nb - 1) // {4**DEPTH} AS q, a.label AS i, b.label AS o FROM edges e
+        JOIN dry a ON a.cell = e.cell JOIN dry b ON b.cell = e.nb WHERE (e.cell - 1) // {4**DEPTH} < (e.nb - 1) // {4**DEPTH})
+    SELECT 'ocean' AS part, count(*) AS rows FROM ocean UNION ALL SELECT 'land_component', count(*) FROM land
+    UNION ALL SELECT 'ocean_body', count(*) FROM wet UNION ALL SELECT 'land_body', count(*) FROM dry
+    UNION ALL SELECT 'ocean_gates', count(*) FROM cross_wet UNION ALL SELECT 'land_gates', count(*) FROM cross_dry
+    UNION ALL SELECT 'terminal', count(*) FROM terrain""")
 def gra14(spark, sf):
     terrain, edges = setup(spark, sf, lengths=True)
     parts = graph.surface_graph(terrain, edges, seeds_of(terrain), 0.0, DEPTH)
@@ -407,7 +415,8 @@ def gra15(spark, sf):
     return graph.lineage_levels(edges)
 
 
-@query("agg24_dual_area")
+@query("agg24_dual_area", f"""
+    SELECT CAST(10 * pow(4, {LEVEL_SQL}) + 2 AS BIGINT) AS vertices, round(4 * pi(), 6) AS area""")
 def agg24(spark, sf):
     out = grid.dual_areas(spark, level_of(spark, sf))
     return out.agg(F.count(F.lit(1)).alias("vertices"), r6(F.sum("dual_area"), 6).alias("area"))

@@ -12,7 +12,7 @@ from gridspark.plans.registry import query, r6, table
 
 DEPTH = 2
 ANC = anc_sql(DEPTH)
-ORDERS_PER_SLICE = 1 << 16
+ORDERS_PER_SLICE = 1 << 14
 
 
 def coarse(spark, sf):
