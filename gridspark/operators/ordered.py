@@ -18,15 +18,6 @@ from gridspark.session import settled
 SLICE = "_slice"
 
 
-def bounded_broadcast(df: DataFrame, most: int) -> DataFrame:
-    """`df` with a broadcast hint where it holds at most `most` rows; as it is beyond that.
-
-    The check reads at most most + 1 rows, so it is for sides known to be small in use, such as the
-    terms of a set of questions.
-    """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def time_slice(col: str, seconds: int) -> Column:
     """A slice of fixed length for a TIMESTAMP order column."""
     return F.floor(F.unix_timestamp(F.col(col)) / F.lit(seconds)).cast("bigint")

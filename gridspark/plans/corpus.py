@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridspark.operators import corpus
 from gridspark.operators.ordered import value_slice
-from gridspark.plans.registry import query, r6, table
+from gridspark.plans.registry import dealt, query, r6, table
 
 LINES = 4  # lines of a document that stand for one page
 SIZE, OVERLAP, LEAST = 400, 50, 100
@@ -40,7 +40,7 @@ CHUNKS_SQL = f"""{BODIES_SQL},
 
 
 def paged(spark, sf):
-    return corpus.with_pages(table(spark, sf, "documents").select("doc_id", "text"), "text", LINES)
+    return corpus.with_pages(dealt(table(spark, sf, "documents").select("doc_id", "text")), "text", LINES)
 
 
 @query("cor1_page_search", """
@@ -104,7 +104,7 @@ def tokens_sql(name, source, key):
 
 @query("cor5_tokens", f"WITH {tokens_sql('t', 'documents', 'doc_id')} SELECT doc_id, w AS token, count(*) AS n FROM t GROUP BY 1, 2")
 def cor5(spark, sf):
-    words = table(spark, sf, "documents").select("doc_id", F.explode(corpus.tokens(F.col("text"))).alias("token"))
+    words = dealt(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.explode(corpus.tokens(F.col("text"))).alias("token"))
     return words.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -119,7 +119,7 @@ BM25_SQL = f"""{tokens_sql('d', 'documents', 'doc_id')}, {tokens_sql('q', 'bench
 
 
 def bm25_scores(spark, sf):
-    return corpus.bm25(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "benchmark"), "item_id", "text")
+    return corpus.bm25(dealt(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text", table(spark, sf, "benchmark"), "item_id", "text")
 
 
 @query("cor6_bm25_top_k", f"WITH {BM25_SQL} SELECT item_id, doc_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 12")

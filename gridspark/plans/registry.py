@@ -33,6 +33,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A scanned table whose splits are fewer than the cores, dealt out before costly text work.
+
+    Only for a bare scan, whose splits are known without running anything; a table with at least as
+    many splits as cores is returned as it is, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def r6(c: Column, places: int = 6) -> Column:
     """Rounded for comparison between engines; the operators themselves never round."""
     return F.round(c, places)
