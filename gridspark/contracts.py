@@ -5,9 +5,9 @@ Every check in this file reads schemas only; nothing here starts a job.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 # The closed vocabularies.
 SEMANTICS = (
@@ -181,7 +181,3 @@ def raise_if_any(problems: DataFrame, quantity: str, site: str) -> None:
     found = problems.limit(1).collect()
     if found:
         refuse(quantity, site, f"for example {found[0].asDict()}")
-
-
-def selected(df: DataFrame, names: Iterable[str]) -> DataFrame:
-    return df.select(*[F.col(n) for n in names])

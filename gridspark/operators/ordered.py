@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from gridspark.session import settled
 
@@ -34,30 +34,77 @@ def value_slice(col: str, width: float) -> Column:
 
 
 def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join on `keys` where null equals null, keeping the left copy of the keys."""
+    """Equi-join on `keys` where null equals null, keeping the left copy of the keys.
+
+    Keys that cannot be null are compared plainly, which leaves the join's output partitioned by
+    them, so a window or aggregate on the same keys needs no further shuffle.
+    """
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     on = None
     for k in keys:
-        term = left[k].eqNullSafe(renamed[f"_r_{k}"])
+        sure = not (left.schema[k].nullable or right.schema[k].nullable)
+        term = left[k] == renamed[f"_r_{k}"] if sure else left[k].eqNullSafe(renamed[f"_r_{k}"])
         on = term if on is None else on & term
     return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def _before(keys: Sequence[str]):
-    return Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+# Values that stand for a missing key, by type; a flag beside them keeps the two apart.
+_FILLERS = {"string": "", "boolean": False, "date": "1970-01-01", "timestamp": "1970-01-01", "timestamp_ntz": "1970-01-01"}
+
+
+def _grouped(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """`df` with its keys as columns that are never null, and their names."""
+    added, names = {}, []
+    for i, k in enumerate(keys):
+        kind = df.schema[k].dataType
+        if not df.schema[k].nullable:
+            names.append(k)
+        elif isinstance(kind, T.NumericType) or kind.simpleString() in _FILLERS:
+            filler = F.lit(_FILLERS.get(kind.simpleString(), 0)).cast(kind)
+            added |= {f"_g{i}": F.coalesce(F.col(k), filler), f"_n{i}": F.col(k).isNull()}
+            names += [f"_g{i}", f"_n{i}"]
+        else:
+            added[f"_g{i}"] = F.struct(k)
+            names.append(f"_g{i}")
+    return df.withColumns(added) if added else df, names
+
+
+def _ungrouped(df: DataFrame, keys: Sequence[str], names: Sequence[str]) -> list[Column]:
+    """The original keys from the columns `_grouped` made of them."""
+    out = []
+    for i, k in enumerate(keys):
+        if k in names:
+            out.append(F.col(k))
+        elif f"_n{i}" in names:
+            out.append(F.when(~F.col(f"_n{i}"), F.col(f"_g{i}")).alias(k))
+        else:
+            out.append(F.col(f"_g{i}.{k}").alias(k))
+    return out
 
 
-def _sliced(df: DataFrame, slice_by: Column | None, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """`df` with its slice column.
+def _made(names: Sequence[str]) -> list[str]:
+    """The helper columns among `names`; a key that needed none stays."""
+    return [n for n in names if n == SLICE or n[:2] in ("_g", "_n")]
+
+
+def _before(group: Sequence[str]):
+    return Window.partitionBy(*group).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _sliced(df: DataFrame, slice_by: Column | None, keys: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """`df` with its group and slice columns, and the names of the group columns.
 
     With no slice expression the rows are range-partitioned by (keys, order), written once to the
     shared folder, and the partition number is the slice: the way for orders whose first column
     may itself be hot, at the price of one write.
     """
-    if slice_by is not None:
-        return df.withColumn(SLICE, slice_by)
-    ranged = df.repartitionByRange(*keys, *order)
-    return settled(ranged.withColumn(SLICE, F.spark_partition_id().cast("bigint")))
+    if slice_by is None:
+        ranged = df.repartitionByRange(*keys, *order)
+        df = settled(ranged.withColumn(SLICE, F.spark_partition_id().cast("bigint")))
+        slice_by = F.col(SLICE)
+    # rows without a slice come first, as nulls do in the order
+    first = F.lit(-(2**63)).cast("bigint") if dict(df.select(slice_by.alias("s")).dtypes)["s"] != "string" else F.lit("")
+    return _grouped(df.withColumn(SLICE, F.coalesce(slice_by, first)), keys)
 
 
 def numbered(
@@ -69,15 +116,13 @@ def numbered(
     start: int = 1,
 ) -> DataFrame:
     """Consecutive numbers along `order` within each key, from `start`."""
-    s, ks = _sliced(df, slice_by, keys, order), [*keys, SLICE]
+    s, group = _sliced(df, slice_by, keys, order)
+    ks = [*group, SLICE]
     counts = s.groupBy(*ks).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(*ks, F.coalesce(F.sum("_n").over(_before(keys)), F.lit(0)).alias("_off"))
+    offsets = counts.select(*ks, F.coalesce(F.sum("_n").over(_before(group)), F.lit(0)).alias("_off"))
     local = F.row_number().over(Window.partitionBy(*ks).orderBy(*order))
-    return (
-        match(s, offsets, ks)
-        .withColumn(name, (local + F.col("_off") + F.lit(start - 1)).cast("bigint"))
-        .drop("_off", SLICE)
-    )
+    out = match(s, offsets, ks).withColumn(name, (local + F.col("_off") + F.lit(start - 1)).cast("bigint"))
+    return out.drop("_off", *_made(ks))
 
 
 def lagged(
@@ -88,11 +133,12 @@ def lagged(
     keys: Sequence[str] = (),
 ) -> DataFrame:
     """For each `{new: source}`, the source value of the previous row of the key; null on the first."""
-    s, ks = _sliced(df, slice_by, keys, order), [*keys, SLICE]
+    s, group = _sliced(df, slice_by, keys, order)
+    ks = [*group, SLICE]
     packed = F.struct(*[F.col(src).alias(new) for new, src in values.items()])
     tails = s.groupBy(*ks).agg(F.max_by(packed, F.struct(*order)).alias("_tail"))
     carried = tails.select(
-        *ks, F.lag("_tail").over(Window.partitionBy(*keys).orderBy(SLICE)).alias("_carried")
+        *ks, F.lag("_tail").over(Window.partitionBy(*group).orderBy(SLICE)).alias("_carried")
     )
     local = F.lag(packed).over(Window.partitionBy(*ks).orderBy(*order))
     out = match(s, carried, ks).withColumn("_prev", F.coalesce(local, F.col("_carried")))
@@ -108,19 +154,14 @@ def last_known(
     name: str = "last",
 ) -> DataFrame:
     """The latest non-null `value` at or before each row of the key."""
-    s, ks = _sliced(df, slice_by, keys, order), [*keys, SLICE]
-    tails = s.groupBy(*ks).agg(
-        F.max_by(F.when(F.col(value).isNotNull(), F.col(value)),
-                 F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_tail")
-    )
-    carried = tails.select(*ks, F.last("_tail", ignorenulls=True).over(_before(keys)).alias("_carried"))
+    s, group = _sliced(df, slice_by, keys, order)
+    ks = [*group, SLICE]
+    held = F.col(value).isNotNull()
+    tails = s.groupBy(*ks).agg(F.max_by(F.when(held, F.col(value)), F.when(held, F.struct(*order))).alias("_tail"))
+    carried = tails.select(*ks, F.last("_tail", ignorenulls=True).over(_before(group)).alias("_carried"))
     upto = Window.partitionBy(*ks).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = F.last(value, ignorenulls=True).over(upto)
-    return (
-        match(s, carried, ks)
-        .withColumn(name, F.coalesce(local, F.col("_carried")))
-        .drop("_carried", SLICE)
-    )
+    return match(s, carried, ks).withColumn(name, F.coalesce(local, F.col("_carried"))).drop("_carried", *_made(ks))
 
 
 def running_sum(
@@ -132,15 +173,12 @@ def running_sum(
     name: str = "running",
 ) -> DataFrame:
     """The sum of `value` up to and including each row of the key."""
-    s, ks = _sliced(df, slice_by, keys, order), [*keys, SLICE]
+    s, group = _sliced(df, slice_by, keys, order)
+    ks = [*group, SLICE]
     sums = s.groupBy(*ks).agg(F.sum(value).alias("_s"))
-    offsets = sums.select(*ks, F.coalesce(F.sum("_s").over(_before(keys)), F.lit(0)).alias("_off"))
+    offsets = sums.select(*ks, F.coalesce(F.sum("_s").over(_before(group)), F.lit(0)).alias("_off"))
     upto = Window.partitionBy(*ks).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        match(s, offsets, ks)
-        .withColumn(name, F.sum(value).over(upto) + F.col("_off"))
-        .drop("_off", SLICE)
-    )
+    return match(s, offsets, ks).withColumn(name, F.sum(value).over(upto) + F.col("_off")).drop("_off", *_made(ks))
 
 
 def last_records(
@@ -154,20 +192,17 @@ def last_records(
 
     Whole slices that cannot reach the last `span` are dropped before any row is sorted.
     """
-    s, ks = _sliced(df, slice_by, keys, order), [*keys, SLICE]
-    after = Window.partitionBy(*keys).orderBy(F.col(SLICE).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    s, group = _sliced(df, slice_by, keys, order)
+    ks = [*group, SLICE]
+    after = Window.partitionBy(*group).orderBy(F.col(SLICE).desc()).rowsBetween(Window.unboundedPreceding, -1)
     counts = s.groupBy(*ks).agg(F.count(F.lit(1)).alias("_n"))
     kept = counts.select(*ks, F.coalesce(F.sum("_n").over(after), F.lit(0)).alias("_off")).filter(
         F.col("_off") < span
     )
     newest = [F.col(c).desc() for c in order]
     local = F.row_number().over(Window.partitionBy(*ks).orderBy(*newest))
-    return (
-        match(s, kept, ks)
-        .withColumn("back", (local + F.col("_off")).cast("bigint"))
-        .filter(F.col("back") <= span)
-        .drop("_off", SLICE)
-    )
+    out = match(s, kept, ks).withColumn("back", (local + F.col("_off")).cast("bigint"))
+    return out.filter(F.col("back") <= span).drop("_off", *_made(ks))
 
 
 def top_k(df: DataFrame, k: int, order: Sequence[Column], keys: Sequence[str], salts: int = 32,
@@ -197,35 +232,32 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, rank_of, pa
     key are cut into `parts` equal-width slices; only the slices that hold a wanted rank are
     ordered. `rank_of(n)` gives an ARRAY of `{tag, rank}` structs for a key of n values.
     """
-    keys = list(keys)
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_c")
-    )
-    spread = counted.groupBy(*keys).agg(
+    rows, group = _grouped(df.filter(F.col(value).isNotNull()), keys)
+    counted = rows.groupBy(*group, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    spread = counted.groupBy(*group).agg(
         F.min("_v").cast("double").alias("_lo"), F.max("_v").cast("double").alias("_hi"),
         F.sum("_c").alias("_n"),
     )
-    if keys:
-        placed = match(counted, spread, keys)
+    if group:
+        placed = match(counted, spread, group)
     else:
         placed = counted.withColumn("_one", spread.select(F.struct("_lo", "_hi", "_n")).scalar()).select("_v", "_c", "_one.*")
     cut = F.when(F.col("_hi") > F.col("_lo"),
                  F.least(F.lit(parts - 1), F.floor((F.col("_v").cast("double") - F.col("_lo"))
-                         / (F.col("_hi") - F.col("_lo")) * parts))).otherwise(F.lit(0))
-    placed = placed.withColumn(SLICE, cut.cast("bigint"))
-    per = placed.groupBy(*keys, SLICE).agg(F.sum("_c").alias("_s"), F.max("_n").alias("_n"))
+                         / (F.col("_hi") - F.col("_lo")) * parts)))
+    placed = placed.withColumn(SLICE, F.coalesce(cut.cast("bigint"), F.lit(0).cast("bigint")))
+    ks = [*group, SLICE]
+    per = placed.groupBy(*ks).agg(F.sum("_c").alias("_s"), F.max("_n").alias("_n"))
     wanted = (
-        per.withColumn("_off", F.coalesce(F.sum("_s").over(_before(keys)), F.lit(0)))
+        per.withColumn("_off", F.coalesce(F.sum("_s").over(_before(group)), F.lit(0)))
         .withColumn("_w", F.filter(rank_of(F.col("_n")), lambda w: (w["rank"] > F.col("_off"))
                                    & (w["rank"] <= F.col("_off") + F.col("_s"))))
         .filter(F.size("_w") > 0)
-        .select(*keys, SLICE, "_off", "_w")
-    )
-    upto = Window.partitionBy(*keys, SLICE).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    run = match(placed.drop("_n", "_lo", "_hi"), wanted, [*keys, SLICE]).withColumn(
-        "_cum", F.sum("_c").over(upto) + F.col("_off")
+        .select(*ks, "_off", "_w")
     )
+    upto = Window.partitionBy(*ks).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    run = match(placed.drop("_n", "_lo", "_hi"), wanted, ks).withColumn("_cum", F.sum("_c").over(upto) + F.col("_off"))
     hit = F.filter("_w", lambda w: (w["rank"] > F.col("_cum") - F.col("_c")) & (w["rank"] <= F.col("_cum")))
-    return run.select(*keys, F.col("_v").alias("value"), F.explode(hit).alias("_h")).select(
-        *keys, F.col("_h.tag").alias("tag"), F.col("_h.rank").alias("rank"), "value"
+    return run.select(*group, F.col("_v").alias("value"), F.explode(hit).alias("_h")).select(
+        *_ungrouped(run, keys, group), F.col("_h.tag").alias("tag"), F.col("_h.rank").alias("rank"), "value"
     )

@@ -169,12 +169,6 @@ def zero_weight_groups(means: DataFrame, weight_name: str = "weight") -> DataFra
     return means.filter(F.coalesce(F.col(weight_name), F.lit(0.0)) == 0)
 
 
-def legend_frame(df: DataFrame, legend: Sequence[str], name: str = "class") -> DataFrame:
-    """A declared legend as a table of (class, position); its length is fixed by the caller."""
-    rows = [(c, i + 1) for i, c in enumerate(legend)]
-    return df.sparkSession.createDataFrame(rows, f"{name} string, position int")
-
-
 def legend_encode(df: DataFrame, label: str, legend: Sequence[str], name: str = "position") -> DataFrame:
     """Label -> legend position; null marks a label outside the legend."""
     table = F.create_map(*[F.lit(v) for i, c in enumerate(legend) for v in (c, i + 1)])

@@ -72,7 +72,7 @@ def cor2(spark, sf):
 
 @query("cor3_normalise", f"WITH {BODIES_SQL} SELECT doc_id, page, length(body) AS chars, sha256(body) AS digest FROM bodies")
 def cor3(spark, sf):
-    out = corpus.normalised(paged(spark, sf), "doc_id").select("doc_id", F.explode("bodies").alias("b"))
+    out = corpus.normalised(paged(spark, sf), "doc_id").select("doc_id", F.explode_outer("bodies").alias("b")).filter("b IS NOT NULL")
     return out.select("doc_id", F.col("b.page").cast("bigint").alias("page"), F.length("b.body").cast("bigint").alias("chars"),
                       F.sha2("b.body", 256).alias("digest"))
 
@@ -104,7 +104,8 @@ def tokens_sql(name, source, key):
 
 @query("cor5_tokens", f"WITH {tokens_sql('t', 'documents', 'doc_id')} SELECT doc_id, w AS token, count(*) AS n FROM t GROUP BY 1, 2")
 def cor5(spark, sf):
-    words = dealt(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.explode(corpus.tokens(F.col("text"))).alias("token"))
+    words = dealt(table(spark, sf, "documents").select("doc_id", "text")).select(
+        "doc_id", F.explode_outer(corpus.tokens(F.col("text"))).alias("token")).filter("token IS NOT NULL")
     return words.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -68,3 +68,15 @@ def test_order_statistics(rows, parts):
         vs.sort()
         for tag in (1, 7, 10**6):
             assert got[k, float(tag)] == vs[min(tag, len(vs)) - 1]
+
+
+def test_null_keys_of_every_kind(spark):
+    rows = [(i, None if i % 3 == 0 else i % 2, None if i % 5 == 0 else "ab"[i % 2], None if i % 4 == 0 else [i % 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, n int, s string, a array<int>")
+    for keys in (["n"], ["s"], ["n", "s"], ["a"]):
+        w = Window.partitionBy(*keys).orderBy("id")
+        want = dict(df.select("id", F.row_number().over(w).alias("r")).collect())
+        assert dict(ordered.numbered(df, ["id"], F.col("id") % 1, keys).select("id", "idx").collect()) == want
+        one = lambda n: F.array(F.struct(F.lit(0.0).alias("tag"), F.lit(1).cast("bigint").alias("rank")))
+        got = {tuple(map(str, r[:-1])): r[-1] for r in ordered.order_statistics(df, keys, "id", one, 4).select(*keys, "value").collect()}
+        assert got == {tuple(map(str, r[:-1])): r[-1] for r in df.groupBy(*keys).agg(F.min("id")).collect()}
