@@ -18,7 +18,7 @@ from gridspark.plans.fixtures import (
     fine_field,
     interval_series,
 )
-from gridspark.plans.registry import query, r6, table
+from gridspark.plans.registry import NUDGE, query, r6, table
 
 DEPTH = 2
 ANC = anc_sql(DEPTH)
@@ -40,14 +40,14 @@ def fld1(spark, sf):
 @query("fld2_coarsen_area_mean", f"""
     WITH m AS (SELECT {ANC} AS coarse, sum(l_extendedprice * l_quantity) / sum(l_quantity) AS mean,
                       sum(l_quantity) AS weight FROM lineitem GROUP BY 1)
-    SELECT 'cell' AS kind, coarse, round(mean, 6) AS mean, weight, CAST(NULL AS BOOLEAN) AS closed FROM m
+    SELECT 'cell' AS kind, coarse, round(mean + {NUDGE}, 6) AS mean, weight, CAST(NULL AS BOOLEAN) AS closed FROM m
     UNION ALL
     SELECT 'ledger', NULL, NULL, sum(weight),
            abs(sum(mean * weight) - (SELECT sum(l_extendedprice * l_quantity) FROM lineitem))
            <= (SELECT count(*) * pow(2, -52) * sum(abs(l_extendedprice * l_quantity)) FROM lineitem) FROM m""")
 def fld2(spark, sf):
     out = fields.coarsen(declared(spark, sf, "Intensive"), "l_extendedprice", DEPTH, measure="l_quantity", rule="area_mean")
-    cell = out.field.select(F.lit("cell").alias("kind"), "coarse", r6(F.col("l_extendedprice")).alias("mean"),
+    cell = out.field.select(F.lit("cell").alias("kind"), "coarse", r6(F.col("l_extendedprice") + NUDGE).alias("mean"),
                             F.col("l_quantity").alias("weight"), F.lit(None).cast("boolean").alias("closed"))
     weights = fine_field(spark, sf).agg(F.sum("l_quantity"))
     total = out.ledger.withColumn("weight", weights.scalar()).select(F.lit("ledger").alias("kind"), F.lit(None).cast("bigint").alias("coarse"),
@@ -89,13 +89,13 @@ def cell_fractions(spark, sf):
 
 @query("fld5_coarsen_fraction", f"""{_FRACTIONS_SQL}
     SELECT (t.cell - 1) // 16 + 1 AS coarse, l.class,
-           round(sum(coalesce(f.amount, 0) / t.area * t.area) / sum(t.area), 6) AS share
+           round(sum(coalesce(f.amount, 0) / t.area * t.area) / sum(t.area) + {NUDGE}, 6) AS share
     FROM t CROSS JOIN (VALUES ('A'), ('N'), ('R')) l(class)
     LEFT JOIN f ON f.cell = t.cell AND f.class = l.class GROUP BY 1, 2""")
 def fld5(spark, sf):
     df = declare(cell_fractions(spark, sf), "share", semantics="CategoricalFraction", **SUPPORT)
     out = fields.coarsen(df, "share", DEPTH, measure="area")
-    return out.field.select("coarse", "class", r6(F.col("share")).alias("share"))
+    return out.field.select("coarse", "class", r6(F.col("share") + NUDGE).alias("share"))
 
 
 def coarse_table(spark, sf):
@@ -119,21 +119,21 @@ def fld6(spark, sf):
 @query("fld7_refine_flux_density", f"""
     WITH f AS ({CELL_TABLE_SQL}),
          c AS (SELECT (cell - 1) // 16 + 1 AS anc, sum(value) / sum(weight) AS value FROM f GROUP BY 1)
-    SELECT f.cell, round(c.value, 6) AS value, f.weight FROM f JOIN c ON c.anc = (f.cell - 1) // 16 + 1""")
+    SELECT f.cell, round(c.value + {NUDGE}, 6) AS value, f.weight FROM f JOIN c ON c.anc = (f.cell - 1) // 16 + 1""")
 def fld7(spark, sf):
     coarse = coarse_table(spark, sf).withColumn("value", F.col("value") / F.col("area"))
     coarse = declare(coarse, "value", semantics="FluxDensity", **SUPPORT)
     out = fields.refine(coarse, "value", cell_table(spark, sf), DEPTH, measure="weight", coarse_measure="area")
-    return out.field.withColumn("value", r6(F.col("value")))
+    return out.field.withColumn("value", r6(F.col("value") + NUDGE))
 
 
 @query("fld10_masked_mean", f"""
-    SELECT {ANC} AS coarse, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 6) AS l_extendedprice,
+    SELECT {ANC} AS coarse, round(sum(l_extendedprice * l_quantity) / sum(l_quantity) + {NUDGE}, 6) AS l_extendedprice,
            sum(l_quantity) AS l_quantity FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1""")
 def fld10(spark, sf):
     out = fields.coarsen(declared(spark, sf, "Intensive"), "l_extendedprice", DEPTH, measure="l_quantity",
                          rule="masked_mean", mask=F.col("l_linestatus") == "O")
-    return out.field.withColumn("l_extendedprice", r6(F.col("l_extendedprice")))
+    return out.field.withColumn("l_extendedprice", r6(F.col("l_extendedprice") + NUDGE))
 
 
 @query("jn1_spread", """

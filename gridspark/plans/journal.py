@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from gridspark.plans.fixtures import events, seconds
-from gridspark.plans.registry import query, r6
+from gridspark.plans.registry import NUDGE, query, r6
 from gridspark.session import shared_dir
 from gridspark.streaming import journal
 
@@ -41,13 +41,13 @@ def str2(spark, sf):
     return spark.read.parquet(out)
 
 
-@query("str3_interval_windows", """
-    SELECT epoch_us(time_bucket(INTERVAL 6 HOURS, ts))::DOUBLE / 1e6 AS t0, event_type, round(avg(value), 6) AS mean,
+@query("str3_interval_windows", f"""
+    SELECT epoch_us(time_bucket(INTERVAL 6 HOURS, ts))::DOUBLE / 1e6 AS t0, event_type, round(avg(value) + {NUDGE}, 6) AS mean,
            round(sum(value), 4) AS total, max_by(value, ts) AS endpoint, count(*) AS n FROM events GROUP BY 1, 2""")
 def str3(spark, sf):
     df = journal.windowed(stream(spark, sf), "ts", "6 hours", ["event_type"], "value")
     out = journal.keep_latest(df, scratch(spark, "windows"), ["t0", "t1", "event_type"])
-    return out.select(seconds("t0").alias("t0"), "event_type", r6(F.col("mean")).alias("mean"), r6(F.col("total"), 4).alias("total"), "endpoint", "n")
+    return out.select(seconds("t0").alias("t0"), "event_type", r6(F.col("mean") + NUDGE).alias("mean"), r6(F.col("total"), 4).alias("total"), "endpoint", "n")
 
 
 @query("str4_exit_predicate", """

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridspark.operators import observations as obs
 from gridspark.plans.fixtures import events
-from gridspark.plans.registry import query, r6, table
+from gridspark.plans.registry import NUDGE, query, r6, table
 from gridspark.session import shared_dir
 
 
@@ -58,9 +58,9 @@ def agg13(spark, sf):
     return out.withColumn("sum", r6(F.col("sum"), 3))
 
 
-@query("agg15_climatology", f"SELECT variant, month, row, col, cnt, round(sum / cnt + 0.000000033, 6) AS mean FROM {ACC}")
+@query("agg15_climatology", f"SELECT variant, month, row, col, cnt, round(sum / cnt + {NUDGE}, 6) AS mean FROM {ACC}")
 def agg15(spark, sf):
-    return obs.climatology(accumulators(spark, sf)).select(*KEYS, "cnt", r6(F.col("mean") + 0.000000033).alias("mean"))
+    return obs.climatology(accumulators(spark, sf)).select(*KEYS, "cnt", r6(F.col("mean") + NUDGE).alias("mean"))
 
 
 @query("agg16_count_ceiling", f"""
@@ -101,7 +101,7 @@ def agg19(spark, sf):
 
 _SITE = """
     SELECT l_suppkey, count(*) AS n, strftime(min(l_shipdate), '%Y-%m-%d') AS first, strftime(max(l_shipdate), '%Y-%m-%d') AS last,
-           round(avg(l_extendedprice), 4) AS mean, round(median(l_extendedprice) + 0.0003, 3) AS median, round({sd}(l_extendedprice), 4) AS sd,
+           round(avg(l_extendedprice) + 0.0000033, 4) AS mean, round(median(l_extendedprice) + 0.0003, 3) AS median, round({sd}(l_extendedprice), 4) AS sd,
            round(avg(CASE WHEN l_linestatus = 'O' THEN 1.0 ELSE 0.0 END), 6) AS frac_good,
            sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END)::BIGINT AS n_a,
            sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END)::BIGINT AS n_n FROM lineitem GROUP BY 1"""
@@ -112,7 +112,7 @@ def _site(spark, sf, ddof):
                                              "l_linestatus", "l_returnflag")
     out = obs.site_statistics(df, "l_suppkey", "l_extendedprice", "day", F.col("l_linestatus") == "O", "l_returnflag", ddof)
     by = lambda c: F.coalesce(F.element_at("n_by_datum", c), F.lit(0))
-    return out.select("l_suppkey", "n", "first", "last", r6(F.col("mean"), 4).alias("mean"),
+    return out.select("l_suppkey", "n", "first", "last", r6(F.col("mean") + 0.0000033, 4).alias("mean"),
                       r6(F.col("median") + 0.0003, 3).alias("median"),
                       r6(F.col("sd"), 4).alias("sd"), r6(F.col("frac_good")).alias("frac_good"),
                       by("A").alias("n_a"), by("N").alias("n_n"))

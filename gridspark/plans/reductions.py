@@ -8,7 +8,7 @@ from gridspark.functions import cells, numeric
 from gridspark.operators import reduce
 from gridspark.operators.ordered import id_slice, numbered
 from gridspark.plans.fixtures import CELL_SQL, LEGEND, ORDER, anc_sql, events, fine_field
-from gridspark.plans.registry import query, r6, table
+from gridspark.plans.registry import NUDGE, query, r6, table
 
 DEPTH = 2
 ANC = anc_sql(DEPTH)
@@ -61,12 +61,12 @@ def agg5(spark, sf):
 
 
 @query("agg6_segmented_mean", f"""
-    SELECT {ANC} AS coarse, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 6) AS mean,
+    SELECT {ANC} AS coarse, round(sum(l_extendedprice * l_quantity) / sum(l_quantity) + {NUDGE}, 6) AS mean,
            sum(l_quantity) AS weight
     FROM lineitem GROUP BY 1""")
 def agg6(spark, sf):
     out = reduce.segmented_mean(coarse(spark, sf), ["coarse"], F.col("l_extendedprice"), F.col("l_quantity"))
-    return out.select("coarse", r6(F.col("mean")).alias("mean"), "weight")
+    return out.select("coarse", r6(F.col("mean") + NUDGE).alias("mean"), "weight")
 
 
 _SHARES = ", ".join(
@@ -153,14 +153,14 @@ def agg23(spark, sf):
                       CAST(month(l_shipdate) AS INT) AS month, l_extendedprice AS x, l_quantity AS w FROM lineitem)
     SELECT band, surface, month, CAST(grouping(band) AS INT) AS all_band,
            CAST(grouping(surface) AS INT) AS all_surface, CAST(grouping(month) AS INT) AS all_month,
-           sum(w) AS weight, round(sum(x * w) / sum(w), 6) AS mean
+           sum(w) AS weight, round(sum(x * w) / sum(w) + {NUDGE}, 6) AS mean
     FROM f GROUP BY CUBE (band, surface, month)""")
 def agg25(spark, sf):
     df = fine_field(spark, sf).select(
         F.floor(F.col("cell") / 5120).cast("int").alias("band"), F.col("l_linestatus").alias("surface"),
         F.month("l_shipdate").alias("month"), "l_extendedprice", "l_quantity")
     out = reduce.region_reduction(df, ["band", "surface", "month"], F.col("l_extendedprice"), F.col("l_quantity"))
-    return out.withColumn("mean", r6(F.col("mean")))
+    return out.withColumn("mean", r6(F.col("mean") + NUDGE))
 
 
 @query("jn10_legend_encode", """

@@ -43,6 +43,11 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+# Added before rounding a mean of decimal values, in the query and in its SQL: such means can lie exactly
+# halfway between two roundings, where the last bit of a sum would decide.
+NUDGE = 0.000000033
+
+
 def r6(c: Column, places: int = 6) -> Column:
     """Rounded for comparison between engines; the operators themselves never round."""
     return F.round(c, places)
