@@ -13,4 +13,24 @@ SELECT doc_id, n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id, n_lines
 """
 
-ORACLES = {"op2_line_dedup": LINES}
+DECONTAMINATION = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+patterns AS (
+  SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS p
+  FROM (SELECT item_id, w, least(10, len(w)) AS m, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT m FROM patterns),
+windows AS (
+  SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS p
+  FROM (SELECT doc_id, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM words, lengths WHERE len(w) >= m)),
+found AS (SELECT doc_id, item_id, m, i FROM windows JOIN patterns USING (m, p)),
+hit AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM found, (SELECT unnest(range(0, 10)) AS k) WHERE k < m GROUP BY doc_id),
+named AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM found GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+ORACLES = {"op2_line_dedup": LINES, "op9_benchmark_decontamination": DECONTAMINATION}
