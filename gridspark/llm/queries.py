@@ -44,3 +44,12 @@ def op9(spark, sf_dir):
     out = decontaminate(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
     return out.select("doc_id", F.col("n_words").cast("long").alias("n_words"), "n_hit", F.size("items").cast("long").alias("n_items"),
                       F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op4_toxicity")
+def op4(spark, sf_dir):
+    from gridspark.llm.toxicity import THRESHOLD, fit, held_out, toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity(docs, fit(docs, table(spark, sf_dir, "labels")), keep_text=False)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "passages")
