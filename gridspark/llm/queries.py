@@ -53,3 +53,10 @@ def op4(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = toxicity(docs, fit(docs, table(spark, sf_dir, "labels")), keep_text=False)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "passages")
+
+
+@query("op3_minhash_near_dedup")
+def op3(spark, sf_dir):
+    from gridspark.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("k")
