@@ -48,4 +48,17 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = componen
 FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT id AS doc_id, min(met) AS component_id FROM reach GROUP BY id) USING (doc_id)
 """
 
-ORACLES = {"op3_minhash_near_dedup": NEAR, "op2_line_dedup": LINES, "op9_benchmark_decontamination": DECONTAMINATION}
+EMBEDDINGS = """
+WITH RECURSIVE fine AS MATERIALIZED (
+  SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS norm FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
+  WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM fine x JOIN fine y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+  WHERE list_dot_product(x.v, y.v) / (x.norm * y.norm) >= 0.9),
+reach AS (SELECT vec_id AS id, vec_id AS met FROM embeddings UNION SELECT id, b FROM reach JOIN links ON a = met)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN (SELECT id AS vec_id, min(met) AS component_id FROM reach GROUP BY id) USING (vec_id)
+LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) USING (vec_id)
+"""
+
+ORACLES = {"op8_embedding_near_dedup": EMBEDDINGS, "op3_minhash_near_dedup": NEAR, "op2_line_dedup": LINES, "op9_benchmark_decontamination": DECONTAMINATION}

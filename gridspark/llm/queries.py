@@ -60,3 +60,10 @@ def op3(spark, sf_dir):
     from gridspark.llm.minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("k")
+
+
+@query("op8_embedding_near_dedup")
+def op8(spark, sf_dir):
+    from gridspark.llm.pivots import embedding_near_duplicates
+
+    return embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
