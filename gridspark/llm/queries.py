@@ -67,3 +67,12 @@ def op8(spark, sf_dir):
     from gridspark.llm.pivots import embedding_near_duplicates
 
     return embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_secret_scan")
+def op6(spark, sf_dir):
+    from gridspark.llm.secrets import KINDS, scan_secrets, span_list
+
+    out = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
+    return out.select("doc_id", *counts[:3], F.sha2(span_list(*KINDS[:3]).cast("binary"), 256).alias("base_sha256"), span_list(*KINDS).alias("spans"))
