@@ -61,4 +61,37 @@ FROM embeddings e JOIN (SELECT id AS vec_id, min(met) AS component_id FROM reach
 LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) USING (vec_id)
 """
 
-ORACLES = {"op8_embedding_near_dedup": EMBEDDINGS, "op3_minhash_near_dedup": NEAR, "op2_line_dedup": LINES, "op9_benchmark_decontamination": DECONTAMINATION}
+_ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+SECRETS = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+patterns AS (
+  SELECT doc_id, text, unnest([
+    {{'rank': 0, 'kind': 'assign', 'm': regexp_extract_all(text, '{_ASSIGN}'), 'v': regexp_extract_all(text, '{_ASSIGN}', 2), 'g': string_split_regex(text, '{_ASSIGN}'), 'least': 6}},
+    {{'rank': 1, 'kind': 'access', 'm': regexp_extract_all(text, 'AKIA[A-Z0-9]+'), 'v': regexp_extract_all(text, 'AKIA[A-Z0-9]+'), 'g': string_split_regex(text, 'AKIA[A-Z0-9]+'), 'least': 20}},
+    {{'rank': 2, 'kind': 'hex', 'm': regexp_extract_all(text, '[0-9a-f]+'), 'v': regexp_extract_all(text, '[0-9a-f]+'), 'g': string_split_regex(text, '[0-9a-f]+'), 'least': 24}},
+    {{'rank': 3, 'kind': 'entropy', 'm': regexp_extract_all(text, '[A-Za-z0-9+/_=-]{{20,}}'), 'v': regexp_extract_all(text, '[A-Za-z0-9+/_=-]{{20,}}'), 'g': string_split_regex(text, '[A-Za-z0-9+/_=-]{{20,}}'), 'least': 20}}]) AS p FROM t),
+each AS (
+  SELECT doc_id, p.rank AS rank, p.kind AS kind, p.least AS least, unnest(p.m) AS m, unnest(p.v) AS v, unnest(p.g[:len(p.m)]) AS g, unnest(range(len(p.m))) AS i FROM patterns),
+placed AS (
+  SELECT *, sum(length(g) + length(m)) OVER (PARTITION BY doc_id, rank ORDER BY i) AS stop FROM each),
+spans AS (SELECT doc_id, rank, kind, v, (stop - length(m))::INT AS start, stop::INT AS stop FROM placed WHERE length(v) >= least),
+base AS (SELECT * FROM spans WHERE rank < 3),
+likely AS (
+  SELECT * FROM spans s WHERE rank = 3
+  AND NOT regexp_matches(v, '[Ee]xample|EXAMPLE|[Pp]laceholder|[Cc]hangeme|[Dd]ummy') AND NOT regexp_matches(v, '^[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}$')
+  AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
+  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = s.doc_id AND b.start < s.stop AND s.start < b.stop)),
+windows AS (SELECT doc_id, start, stop, v, w, substr(v, w, 20) AS s FROM (SELECT *, unnest(range(1, length(v) - 18)) AS w FROM likely)),
+counted AS (SELECT doc_id, start, stop, v, w, c, count(*) AS n FROM (SELECT *, unnest(string_split(s, '')) AS c FROM windows) GROUP BY ALL),
+entropy AS (SELECT doc_id, start, stop, v, w, -sum(n / 20.0 * log2(n / 20.0)) AS h FROM counted GROUP BY doc_id, start, stop, v, w),
+high AS (
+  SELECT doc_id, 3 AS rank, 'entropy' AS kind, start, stop FROM entropy GROUP BY doc_id, start, stop, v
+  HAVING max(h) >= CASE WHEN regexp_full_match(v, '[0-9a-fA-F]+') THEN 3.0 ELSE 3.7 END),
+every AS (SELECT doc_id, rank, kind, start, stop FROM base UNION ALL SELECT * FROM high)
+SELECT t.doc_id, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex,
+       sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (WHERE rank < 3), '')) AS base_sha256,
+       coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank), '') AS spans
+FROM t LEFT JOIN every USING (doc_id) GROUP BY t.doc_id
+"""
+
+ORACLES = {"op6_secret_scan": SECRETS, "op8_embedding_near_dedup": EMBEDDINGS, "op3_minhash_near_dedup": NEAR, "op2_line_dedup": LINES, "op9_benchmark_decontamination": DECONTAMINATION}
