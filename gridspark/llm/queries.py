@@ -76,3 +76,12 @@ def op6(spark, sf_dir):
     out = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
     return out.select("doc_id", *counts[:3], F.sha2(span_list(*KINDS[:3]).cast("binary"), 256).alias("base_sha256"), span_list(*KINDS).alias("spans"))
+
+
+@query("op10_html_extraction")
+def op10(spark, sf_dir):
+    from gridspark.llm.html_blocks import filler, main_text, trained
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    out = main_text(pages, trained(filler(pages)))
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))
