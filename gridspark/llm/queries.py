@@ -85,3 +85,11 @@ def op10(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     out = main_text(pages, trained(filler(pages)))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query("op1_suffix_dedup")
+def op1(spark, sf_dir):
+    from gridspark.llm.suffix_dedup import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
