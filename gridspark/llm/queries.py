@@ -93,3 +93,13 @@ def op1(spark, sf_dir):
 
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@query("op7_token_counts")
+def op7(spark, sf_dir):
+    from gridspark.llm.token_spans import section_tokens, vocabulary
+
+    out = section_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
+    whole = F.transform("section_tokens", lambda x: x.cast("long"))
+    return out.select("doc_id", "n_tokens", F.size("section_tokens").cast("long").alias("n_sections"),
+                      F.aggregate("section_crossing", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_crossing"), whole.alias("section_tokens"))
