@@ -3,11 +3,12 @@
 A document is the set of its five-word shingles, compared as 64-bit digests. One pass computes, per
 document, the minima of 255 permutations: their bands give candidate buckets, their low two bits the
 packed signature. Documents with equal sets become one node first. In a bucket of bounded size all
-pairs are candidates; in a larger one every member is paired with a few leaders, which joins a group
-of copies in linear work. Signatures estimate the similarity of candidates, corrected for chance
+pairs are candidates; in a larger one every member is paired with a few of its nodes, which joins a
+group of copies in linear work. Signatures estimate the similarity of candidates, corrected for chance
 agreement of the kept bits, and full sets confirm links. Pairs inside one component need no further
-look. What a larger bucket still holds apart after that is settled exactly, by a prefix join in order
-of rarity, so leaders cost no link.
+look, so each node is first tried with the leads it meets most, and only buckets that still hold
+several components go on. What a larger bucket holds apart at the end is settled exactly, by a prefix
+join in order of rarity, so leads cost no link.
 
 With 51 bands of 5 rows a pair of similarity 0.75 misses every band with probability 1e-6.
 """
@@ -209,21 +210,41 @@ def _confirmed(percent: int):
     return check
 
 
-def candidates(nodes: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
-    """(pairs (a, b), members (key, node) of the larger buckets)."""
+def bucket_members(nodes: DataFrame) -> DataFrame:
+    """(key, node, lead) of every bucket with two nodes or more; the lead is its first node in a hashed order."""
     bands = nodes.select(F.explode("bands").alias("key"), "node")
-    h = F.xxhash64("node")
-    buckets = bands.groupBy("key").agg(
-        F.count("*").alias("m"), F.min("node").alias("l1"), F.max("node").alias("l2"),
-        F.min(F.struct(h.alias("h"), "node"))["node"].alias("l3"), F.max(F.struct(h.alias("h"), "node"))["node"].alias("l4")).filter("m > 1")
-    members = settled(bands.join(buckets, "key"))
-    few = members.filter(F.col("m") <= small).select("key", "node")
-    other = few.select("key", F.col("node").alias("other"))
-    close = few.join(other, "key").filter("node < other").select(F.col("node").alias("a"), F.col("other").alias("b"))
-    many = members.filter(F.col("m") > small)
-    star = many.select("node", F.explode(F.array_distinct(F.array("l1", "l2", "l3", "l4"))).alias("lead")).filter("node <> lead")
-    star = star.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
-    return close.unionByName(star).distinct(), many.select("key", "node")
+    buckets = bands.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("lead")).filter("m > 1")
+    return bands.join(buckets.select("key", "lead"), "key")
+
+
+def first_pairs(members: DataFrame) -> DataFrame:
+    """Each node with the two leads it meets in most buckets."""
+    met = members.filter("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(W.partitionBy("node").orderBy(F.col("n").desc(), "lead"))
+    some = met.withColumn("r", rank).filter("r <= 2")
+    return some.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+
+
+def split_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, label, m, ends) of buckets that hold several components; ends: four of their nodes with labels."""
+    placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    by_id, by_hash = F.struct("node", "label"), F.struct(F.xxhash64("node").alias("h"), "node", "label")
+    plain = lambda c: F.struct(c["node"].alias("node"), c["label"].alias("label"))
+    buckets = placed.groupBy("key").agg(
+        F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"),
+        F.min(by_id).alias("l1"), F.max(by_id).alias("l2"), F.min(by_hash).alias("l3"), F.max(by_hash).alias("l4")).filter("lo < hi")
+    ends = F.array("l1", "l2", plain(F.col("l3")), plain(F.col("l4")))
+    return placed.join(buckets.select("key", "m", ends.alias("ends")), "key")
+
+
+def cross_pairs(split: DataFrame, small: int = SMALL) -> DataFrame:
+    """Candidate pairs of different components: all of a small bucket, and with four nodes of a larger one."""
+    few = split.filter(F.col("m") <= small).select("key", "node", "label")
+    other = few.select("key", F.col("node").alias("other"), F.col("label").alias("there"))
+    close = few.join(other, (few["key"] == other["key"]) & (F.col("node") < F.col("other")) & (F.col("label") != F.col("there"))).select(F.col("node").alias("a"), F.col("other").alias("b"))
+    many = split.filter(F.col("m") > small).withColumn("far", F.filter("ends", lambda e: (e["label"] != F.col("label")) & (e["node"] != F.col("node"))))
+    star = many.select("node", F.explode(F.array_distinct("far.node")).alias("lead"))
+    return close.unionByName(star.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))).distinct()
 
 
 class _Sets:
@@ -256,32 +277,29 @@ def _labels(links: DataFrame) -> DataFrame:
     return settled(components(both.select("cell").distinct(), both).select(F.col("cell").alias("node"), "label"))
 
 
-def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    la = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
-    lb = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    return pairs.join(la, "a", "left").join(lb, "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).drop("la", "lb")
-
-
-def _apart(members: DataFrame, labels: DataFrame, sets: _Sets) -> DataFrame | None:
+def _apart(split: DataFrame, sets: _Sets, small: int) -> DataFrame | None:
     """Candidate pairs, none missed, between components that share a larger bucket.
 
-    Two sets similar by at least p share one of their rarest n - ceil(p n) + 1 shingles. One side of a
-    pair lies outside the bucket's largest component, so a settled group of copies is not paired with itself.
+    Shingles are ordered by rarity. Two sets similar by at least p share one of their first
+    n - ceil(p n) + 1, and the first one they share stands early enough in both for the rest to suffice.
+    One side of a pair lies outside a bucket's largest component, so a settled group of copies is not
+    paired with itself.
     """
-    placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    sizes = placed.groupBy("key", "label").agg(F.count("*").alias("m"))
-    split = settled(sizes.groupBy("key").agg(F.count("*").alias("c"), F.max(F.struct("m", "label"))["label"].alias("main")).filter("c > 1"))
-    if split.isEmpty():
+    there = split.filter(F.col("m") > small).select("key", "node", "label")
+    main = there.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label"))["label"].alias("main"))
+    who = settled(there.join(main, "key").groupBy("node", "label").agg(F.max((F.col("label") != F.col("main")).cast("int")).alias("stray")))
+    if who.isEmpty():
         return None
-    there = placed.join(split.select("key", "main"), "key")
-    who = settled(there.groupBy("node", "label").agg(F.max((F.col("label") != F.col("main")).cast("int")).alias("stray")))
+    share = sets.percent / 100
     shingles = settled(sets.of(who).mapInArrow(_exploded, "node long, n int, s long"))
     df = shingles.groupBy("s").agg(F.count("*").alias("df"))
     order = F.row_number().over(W.partitionBy("node").orderBy("df", "s"))
-    prefix = shingles.join(df, "s").withColumn("r", order).filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * sets.percent / 100) + 1)
-    prefix = settled(prefix.filter("df > 1").select("node", "s").join(who, "node"))
-    stray = prefix.filter("stray = 1").select("s", F.col("node").alias("x"), F.col("label").alias("lx"))
-    met = prefix.select("s", "node", "label").join(stray, "s").filter("label <> lx")
+    prefix = shingles.join(df, "s").withColumn("r", order).filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * share) + 1)
+    prefix = settled(prefix.filter("df > 1").select("node", "s", "n", "r").join(who, "node"))
+    stray = prefix.filter("stray = 1").select("s", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("r").alias("rx"))
+    need = F.ceil((F.col("n") + F.col("nx")) * (share / (1 + share)) - 1e-9)
+    fits = (F.least(F.col("n") - F.col("r"), F.col("nx") - F.col("rx")) + 1 >= need) & (F.col("label") != F.col("lx"))
+    met = prefix.alias("p").join(stray.alias("q"), (F.col("p.s") == F.col("q.s")) & fits)
     return met.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
 
 
@@ -304,23 +322,26 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, small: int = SMALL)
     real = prints.filter("n > 0 and doc_id is not null")
     classes = real.groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "k")).alias("r"), F.min_by(F.struct("bands", "sig"), F.struct("doc_id", "k")).alias("p"))
     nodes = settled(classes.select("d1", "d2", "n", F.col("r.doc_id").alias("node"), F.col("r.k").alias("k"), F.col("p.bands").alias("bands"), F.col("p.sig").alias("sig")))
-    pairs, members = candidates(nodes, small)
-    sigs = nodes.select("node", "sig")
-    seen = pairs.join(sigs.withColumnsRenamed({"node": "a", "sig": "sig_a"}), "a").join(sigs.withColumnsRenamed({"node": "b", "sig": "sig_b"}), "b")
-    hopeful = settled(seen.select("a", "b", "sig_a", "sig_b").mapInArrow(_estimated, "a long, b long, estimate double").filter(F.col("estimate") >= least_estimate(percent)))
-    sets = _Sets(docs, nodes, percent)
-    # First the most promising partner of each node, which settles most groups; then what is still apart.
-    ends = hopeful.select("a", "b", "estimate", F.explode(F.array("a", "b")).alias("node"))
-    best = ends.groupBy("node").agg(F.max(F.struct("estimate", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    links = settled(sets.confirm(best))
+    sigs, sets = nodes.select("node", "sig"), _Sets(docs, nodes, percent)
+
+    def hopeful(pairs: DataFrame) -> DataFrame:
+        seen = pairs.join(sigs.withColumnsRenamed({"node": "a", "sig": "sig_a"}), "a").join(sigs.withColumnsRenamed({"node": "b", "sig": "sig_b"}), "b")
+        est = seen.select("a", "b", "sig_a", "sig_b").mapInArrow(_estimated, "a long, b long, estimate double")
+        return settled(est.filter(F.col("estimate") >= least_estimate(percent)).select("a", "b"))
+
+    # First every node with the leads it meets most, which settles most groups; then what is still apart.
+    members = settled(bucket_members(nodes))
+    links = settled(sets.confirm(hopeful(first_pairs(members))))
     labels = _labels(links)
-    rest = settled(_labelled(hopeful.join(best, ["a", "b"], "left_anti").select("a", "b"), labels))
+    split = settled(split_buckets(members, labels))
+    rest = hopeful(cross_pairs(split, small))
     if not rest.isEmpty():
         links = settled(links.unionByName(sets.confirm(rest)))
         labels = _labels(links)
-    apart = _apart(members, labels, sets)
+        split = settled(split_buckets(split.select("key", "node"), labels))
+    apart = _apart(split, sets, small)
     if apart is not None:
-        links = links.unionByName(sets.confirm(settled(_labelled(apart, labels))))
+        links = links.unionByName(sets.confirm(hopeful(apart)))
         labels = _labels(links)
     placed = nodes.select("d1", "d2", "n", "node").join(labels, "node", "left").select("d1", "d2", "n", F.coalesce("label", "node").alias("component"))
     out = prints.select("doc_id", "k", "n", "d1", "d2").join(placed, ["d1", "d2", "n"], "left")
