@@ -6,8 +6,8 @@ one multiplier per source, and w = min(2, exp(lambda * size / mean size)). Newto
 run over (source, size) cells, each a grouped sum; a document's rate depends on its cell alone.
 
 Rates become copies cell by cell: a running sum over falling sizes is rounded, what a source is then
-short of or over is settled in the largest cells that fit, and a cell's odd copies go to its documents
-in a hashed order, in slices of bounded size. Everything is a function of the rows, so reruns agree.
+short of or over is settled in the largest cells that fit and by a part of one document, and a cell's
+odd copies go to its documents in a hashed order, in slices of bounded size. Everything is a function of the rows, so reruns agree.
 """
 
 from __future__ import annotations
@@ -100,29 +100,44 @@ def balance(cells: DataFrame, targets: DataFrame, most: int = MOST) -> DataFrame
 
 
 def cell_copies(cells: DataFrame, solution: DataFrame, targets: DataFrame, most: int = MOST) -> DataFrame:
-    """(source, size, n, copies): whole copies of each cell, whose tokens come near the target."""
+    """(source, size, n, copies, part): whole copies of each cell, and what one document of it gives or lacks of a copy.
+
+    After the loop every cell that could still change has larger documents than the words left over,
+    so a part of one copy of one document settles the source.
+    """
     rated = _near(cells.filter("size > 0"), solution, ["source"]).withColumn("want", F.col("n") * _rate(most))
     run = F.sum("want").over(W.partitionBy("source").orderBy(F.col("size").desc()).rowsBetween(W.unboundedPreceding, 0))
     upto = rated.withColumn("_run", run)
     copies = F.floor(F.col("_run") + 0.5) - F.floor(F.col("_run") - F.col("want") + 0.5)
     now = settled(upto.select("source", "size", "n", F.least(F.greatest(copies, F.lit(0)), most * F.col("n")).cast("long").alias("copies")))
     for _ in range(ROUNDS):
-        short = _near(now.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("got")), targets.select("source", "target"), ["source"])
-        short = short.select("source", F.round(F.col("target") - F.col("got")).cast("long").alias("gap"))
-        room = F.when(F.col("gap") > 0, most * F.col("n") - F.col("copies")).otherwise(F.col("copies"))
-        open_ = _near(now, short, ["source"]).withColumn("room", room).filter((F.col("size") <= F.abs("gap")) & (F.col("room") > 0))
-        pick = open_.groupBy("source").agg(F.max(F.struct("size", "room", "gap")).alias("p"))
-        pick = settled(pick.select("source", F.col("p.size").alias("size"), (F.signum("p.gap").cast("long") * F.least(F.floor(F.abs("p.gap") / F.col("p.size")), F.col("p.room"))).alias("more")))
+        open_ = _open_cells(now, targets, most).filter(F.col("size") <= F.abs("gap"))
+        # The largest cells first, as many whole ones as fit, and as much of the next one as fits.
+        whole = W.partitionBy("source").orderBy(F.col("size").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+        rest = F.abs("gap") - (F.sum(F.col("room") * F.col("size")).over(whole) - F.col("room") * F.col("size"))
+        pick = open_.withColumn("fit", F.least(F.floor(rest / F.col("size")), F.col("room"))).filter("fit > 0")
+        pick = settled(pick.select("source", "size", (F.signum("gap").cast("long") * F.col("fit")).alias("more")))
         if pick.isEmpty():
             break
         now = settled(_near(now, pick, ["source", "size"], "left").select("source", "size", "n", (F.col("copies") + F.coalesce("more", F.lit(0))).alias("copies")))
-    return now
+    left = _open_cells(now, targets, most).filter("gap <> 0").groupBy("source").agg(F.min(F.struct("size", "gap")).alias("p"))
+    left = settled(left.select("source", F.col("p.size").alias("size"), F.col("p.gap").alias("part")).filter(F.col("p.size") > F.abs("p.gap")))
+    return _near(now, left, ["source", "size"], "left").withColumn("part", F.coalesce("part", F.lit(0)).cast("long"))
+
+
+def _open_cells(now: DataFrame, targets: DataFrame, most: int) -> DataFrame:
+    """The cells with room for what their source is short of (gap > 0) or over by (gap < 0)."""
+    short = _near(now.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("got")), targets.select("source", "target"), ["source"])
+    short = short.select("source", (F.col("target") - F.col("got")).cast("long").alias("gap"))
+    room = F.when(F.col("gap") > 0, most * F.col("n") - F.col("copies")).otherwise(F.col("copies"))
+    return _near(now, short, ["source"]).withColumn("room", room).filter("room > 0")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """The rows (doc_id, k, source, size, source_size, target, copies, taken): how often each document is taken.
 
-    `k` is the row's key. A null text has size 0, is kept once and takes no words. A null source is a
+    `k` is the row's key. `taken` is copies * size but for one document of a source, which is taken in part
+    so that the source meets its target. A null text has size 0, is kept once and takes no words. A null source is a
     source, last in order. Null or repeated ids are ordinary rows: equal rows of one cell may differ in
     copies. Extra columns are left behind; an empty table gives an empty table.
     """
@@ -131,16 +146,21 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     sources = cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("n_docs"))
     targets = settled(source_targets(sources, weights, share, most))
     copies = cell_copies(cells, balance(cells, targets, most), targets, most)
-    facts = _near(_near(cells, copies.select("source", "size", "copies"), ["source", "size"], "left"), targets.select("source", "source_size", "target"), ["source"])
-    facts = facts.withColumn("copies", F.coalesce("copies", "n")).withColumn("slices", F.ceil(F.col("n") / SLICE))
+    facts = _near(_near(cells, copies.select("source", "size", "copies", "part"), ["source", "size"], "left"), targets.select("source", "source_size", "target"), ["source"])
+    facts = facts.withColumn("copies", F.coalesce("copies", "n")).withColumn("part", F.coalesce("part", F.lit(0))).withColumn("slices", F.ceil(F.col("n") / SLICE))
     placed = _near(sized, facts, ["source", "size"]).withColumn("_h", F.xxhash64("doc_id", "k")).withColumn("_slice", F.pmod("_h", "slices"))
-    counts = placed.groupBy("source", "size", "_slice").agg(F.count("*").alias("_m"), F.first("n").alias("n"), F.first("copies").alias("copies"))
+    counts = placed.groupBy("source", "size", "_slice").agg(F.count("*").alias("_m"), F.first("n").alias("n"), F.first("copies").alias("copies"), F.first("part").alias("part"))
     run = F.sum("_m").over(W.partitionBy("source", "size").orderBy("_slice").rowsBetween(W.unboundedPreceding, 0))
     odd = F.col("copies") % F.col("n")
     share_of = lambda c: F.floor(odd * c / F.col("n"))
-    counts = counts.withColumn("_run", run).select("source", "size", "_slice", (share_of(F.col("_run")) - share_of(F.col("_run") - F.col("_m"))).alias("_odd"))
-    dealt = _near(placed, counts, ["source", "size", "_slice"])
+    counts = counts.withColumn("_run", run).withColumn("_odd", share_of(F.col("_run")) - share_of(F.col("_run") - F.col("_m")))
+    # The part goes to one document of the first slice that has one to take it from or to add it to.
+    able = F.when(F.col("part") > 0, F.col("_odd") < F.col("_m")).otherwise((F.col("copies") >= F.col("n")) | (F.col("_odd") > 0))
+    first = F.min(F.when(able, F.col("_slice"))).over(W.partitionBy("source", "size"))
+    at = F.when(F.col("_slice") == first, F.when(F.col("part") > 0, F.col("_odd") + 1).otherwise(F.lit(1)))
+    dealt = _near(placed, counts.select("source", "size", "_slice", "_odd", at.alias("_at")), ["source", "size", "_slice"])
     turn = F.row_number().over(W.partitionBy("source", "size", "_slice").orderBy("_h", "doc_id"))
     each = F.floor(F.col("copies") / F.col("n")) + F.when(turn <= F.col("_odd"), 1).otherwise(0)
-    return dealt.withColumn("copies", each.cast("long")).select(
-        "doc_id", "k", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    part = F.when(turn == F.col("_at"), F.col("part")).otherwise(0)
+    return dealt.withColumn("_part", part).withColumn("copies", each.cast("long")).select(
+        "doc_id", "k", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size") + F.col("_part")).alias("taken"))
