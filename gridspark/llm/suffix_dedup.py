@@ -6,11 +6,12 @@ of least hash, which its content alone decides. The strings that share a trigger
 make a phrase: the bytes from the first one's start to the last one's end. Equal strings thus lie in
 phrases with the same trigger, at the same place before or behind it.
 
-The dictionary keeps each distinct phrase with its count, under a key of some 116 bytes around its
+The dictionary keeps each distinct phrase with its count, under a key of some 108 bytes around its
 trigger that all its strings share. A key met once ends there: nothing in its phrase repeats. A phrase
 met twice repeats as a whole. Only where different phrases meet under one key are their suffixes put in
-order, as digests of their first 200 bytes; equal neighbours in that order repeat. Nothing but digests
-and offsets is shuffled for this, grouped sums carry all counts, and texts are read back by row.
+order: first eight at a time, by the bytes that all eight share, then one by one, by the digest of their
+first 200 bytes; suffixes that meet in that order repeat. Nothing but digests and offsets is shuffled for
+this, grouped sums carry all counts, and texts are read back by row.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from gridspark.llm.minhash import mixed
 from gridspark.session import settled
 
 LENGTH = 200
-GRAM = 32                  # bytes of a trigger window
+GRAM = 16                  # bytes of a trigger window
+BLOCK = 8                  # neighbouring suffixes that are first compared together
 PIECE = 1 << 19            # bytes parsed at once
 
 _U = np.uint64
@@ -96,7 +98,7 @@ def _parts(starts: np.ndarray, ends: np.ndarray, length: int) -> Iterator[tuple[
 
 
 def phrases(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
-    """(document, first string, last string, key, digest) of every phrase side; strings by their start in the document."""
+    """(document, first string, last string, trigger, key, digest) of every phrase side, by offsets in the document."""
     width = length - gram + 1
     half = width // 2
     for lo, hi, docs, a, b in _parts(starts, ends, length):
@@ -115,18 +117,18 @@ def phrases(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int =
         trigger = (least[at] & _PLACE).astype(np.int64)
         cut = np.flatnonzero((trigger[1:] != trigger[:-1]) | (at[1:] != at[:-1] + 1))
         first, last, t = at[np.r_[0, cut + 1]], at[np.r_[cut, len(at) - 1]], trigger[np.r_[0, cut + 1]]
-        found = []
+        found = []   # first string, last string, key, trigger
         # Strings that start at most `half` before the trigger share what follows it; the others what precedes it.
         f, near = np.maximum(first, t - half), last >= t - half
-        found.append((f[near], last[near], body.of(t[near], t[near] + length - half)))
+        found.append((f[near], last[near], body.of(t[near], t[near] + length - half), t[near]))
         l, far = np.minimum(last, t - half - 1), first < t - half
-        found.append((first[far], l[far], ~body.of(t[far] - half - 1, t[far] + gram)))
-        f, l, key = (np.concatenate(x) for x in zip(*found))
+        found.append((first[far], l[far], ~body.of(t[far] - half - 1, t[far] + gram), t[far]))
+        f, l, key, t = (np.concatenate(x) for x in zip(*found))
         digest = mixed(body.of(f, l + length) + (l - f).astype(_U))
         own = np.searchsorted(a - lo, f, side="right") - 1
         doc = docs[own]
         shift = lo - starts[doc]
-        yield doc, f + shift, l + shift, key.view(np.int64), digest.view(np.int64)
+        yield doc, f + shift, l + shift, t + shift, key.view(np.int64), digest.view(np.int64)
 
 
 def _phrase_rows(length: int):
@@ -134,43 +136,52 @@ def _phrase_rows(length: int):
         for batch in batches:
             raw, starts, ends = text_buffers(batch["text"])
             k, d = np.asarray(batch["k"]), np.asarray(batch["d"])
-            for doc, first, last, key, digest in phrases(raw, starts, ends, length):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k[doc], d[doc], first * 256 + (last - first), key, digest)], names=["k", "d", "at", "key", "phrase"])
+            for doc, first, last, trigger, key, digest in phrases(raw, starts, ends, length):
+                at = (first << 16) + ((last - first) << 8) + (trigger - last)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k[doc], d[doc], at, key, digest)], names=["k", "d", "at", "key", "phrase"])
 
     return parse
 
 
+_BLOCKS = "k long, d long, start long, core long, whole long, each array<int>"
+
+
 def _suffixes(length: int):
-    """Digests of the first `length` bytes of the suffixes that start in given stretches."""
+    """Blocks of neighbouring suffixes in given phrases: the digest of the bytes all share, of all bytes, and of each.
+
+    Blocks are laid from the trigger, so equal suffixes stand at one place in blocks with one core. A
+    suffix is told by its core and 32 more bits.
+    """
 
-    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, starts, ends = text_buffers(batch["text"])
+            out = {n: [] for n in ("row", "start", "core", "whole", "each")}
             for i in range(batch.num_rows):
                 at = np.asarray(batch["at"][i].values)
-                first, count = at >> 8, (at & 255) + 1
                 body = raw[starts[i]:ends[i]]
-                # Only the stretches are digested, however long the text.
-                for f, c in zip(first, count):
-                    part = body[f:f + c + length - 1]
-                    x1, x2 = Digests(part).every(length), Digests(part, 1).every(length)
-                    n = len(x1)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, batch["k"][i].as_py())), pa.array(np.full(n, batch["d"][i].as_py())), pa.array(f + np.arange(n)), pa.array(x1.view(np.int64)), pa.array(x2.view(np.int64))],
-                        names=["k", "d", "start", "x1", "x2"])
-
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        for b in order(batches):
-            held.append(b)
-            rows += b.num_rows
-            if rows >= 20_000:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, rows = [], 0
-        if held:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-    return gathered
+                for f, c, back in zip((at >> 16).tolist(), ((at >> 8) & 255).tolist(), (at & 255).tolist()):
+                    # Only the phrases are digested, however long the text. Starts count from the phrase's.
+                    part = Digests(body[f:f + c + length])
+                    each = (part.every(length) >> _U(32)).astype(np.uint32).view(np.int32)
+                    trigger = c + back
+                    block = (trigger - np.arange(c + 1)) // BLOCK
+                    cut = np.flatnonzero(np.diff(block)) + 1
+                    a, b = np.r_[0, cut], np.r_[cut, c + 1]
+                    low = trigger - block[a] * BLOCK          # the last start a whole block would have
+                    core = part.of(low, low - BLOCK + 1 + length)
+                    out["row"] += [i] * len(a)
+                    out["start"] += (f + a).tolist()
+                    out["core"].append(core)
+                    out["whole"].append(mixed(part.of(a, b - 1 + length) + (b - a).astype(_U)))
+                    out["each"] += [each[x:y] for x, y in zip(a, b)]
+            if out["row"]:
+                row = np.array(out["row"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.asarray(batch["k"])[row]), pa.array(np.asarray(batch["d"])[row]), pa.array(out["start"], pa.int64()), pa.array(np.concatenate(out["core"]).view(np.int64)),
+                     pa.array(np.concatenate(out["whole"]).view(np.int64)), pa.array(out["each"], pa.list_(pa.int32()))], names=["k", "d", "start", "core", "whole", "each"])
+
+    return blocks
 
 
 def _merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,15 +233,19 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame,
     several = dictionary.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     apart = settled(dictionary.join(several, "key", "left_semi"))
     whole = met.join(dictionary.filter("m > 1").select("key", "phrase"), ["key", "phrase"], "left_semi").select("k", "d", "at")
-    first, last = F.shiftright("at", 8), F.col("at").bitwiseAND(255)
+    first, last = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(255)
     whole = whole.select("k", "d", first.alias("start"), (first + last + length).alias("stop"))
     # One row of every phrase shows its suffixes; a phrase met once also learns of its own.
     shown = apart.select("one.k", "one.d", "one.at").groupBy("k", "d").agg(F.collect_list("at").alias("at")).withColumnsRenamed({"k": "_k", "d": "_d"})
     ordered = texts.join(shown.hint("shuffle_hash"), (F.col("k") == F.col("_k")) & (F.col("d") == F.col("_d"))).select("k", "d", "text", "at")
-    suffixes = settled(ordered.mapInArrow(_suffixes(length), "k long, d long, start long, x1 long, x2 long"))
-    twice = suffixes.groupBy("x1", "x2").agg(F.count("*").alias("m")).filter("m > 1").select("x1", "x2")
-    some = suffixes.join(twice, ["x1", "x2"], "left_semi").select("k", "d", "start", (F.col("start") + length).alias("stop"))
-    return texts, whole.unionByName(some)
+    blocks = settled(ordered.mapInArrow(_suffixes(length), _BLOCKS))
+    cores = blocks.groupBy("core").agg(F.count("*").alias("m"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).filter("m > 1")
+    near = settled(blocks.join(cores.select("core", (F.col("lo") == F.col("hi")).alias("alike")), "core"))
+    alike = near.filter("alike").select("k", "d", "start", (F.col("start") + F.size("each") - 1 + length).alias("stop"))
+    single = near.filter("not alike").select("k", "d", "core", "start", F.posexplode("each").alias("i", "x"))
+    twice = single.groupBy("core", "x").agg(F.count("*").alias("m")).filter("m > 1").select("core", "x")
+    some = single.join(twice, ["core", "x"], "left_semi").select("k", "d", (F.col("start") + F.col("i")).alias("start"), (F.col("start") + F.col("i") + length).alias("stop"))
+    return texts, whole.unionByName(alike).unionByName(some)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = False) -> DataFrame:

@@ -75,7 +75,7 @@ def test_long_text_is_parsed_in_pieces_alike(monkeypatch, copied):
         ends = np.cumsum([len(b) for b in bodies])
         starts = np.r_[0, ends[:-1]]
         seen = set()
-        for doc, first, last, key, _ in suffix_dedup.phrases(raw, starts, ends):
+        for doc, first, last, _, key, _ in suffix_dedup.phrases(raw, starts, ends):
             for d, f, l, k in zip(doc, first, last, key):
                 for i in range(f, l + 1):
                     assert (d, i) not in seen
