@@ -19,17 +19,21 @@ COMMIT_ID = "^[0-9a-f]{40}$"
 
 
 def rule_check(rows: DataFrame, required: Sequence[str], source_kinds: Sequence[str]) -> DataFrame:
-    """(site, reason) for every rule a registry row breaks; rows are never skipped after a first problem."""
+    """(site, reason) for every rule a registry row breaks; rows are never skipped after a first problem.
+
+    An absent tier, source_kind or verdict_kind is outside its closed set, and absent anchors are none.
+    """
     c = F.col
+    absent_or = lambda broken: F.coalesce(broken, F.lit(True))
     tier1 = (c("tier") == 1) & F.startswith("id", F.lit("system.")) & (F.coalesce(F.size("instances"), F.lit(0)) <= 0)
     rules = [*[(c(k).isNull(), f"carries no {k}") for k in required],
-             (~c("tier").isin(*TIERS), "tier is outside the closed set"),
-             (~c("source_kind").isin(*source_kinds), "source_kind is outside the closed set"),
-             (~c("verdict_kind").isin(*VERDICT_KINDS), "verdict_kind is outside the closed set"),
+             (absent_or(~c("tier").isin(*TIERS)), "tier is outside the closed set"),
+             (absent_or(~c("source_kind").isin(*source_kinds)), "source_kind is outside the closed set"),
+             (absent_or(~c("verdict_kind").isin(*VERDICT_KINDS)), "verdict_kind is outside the closed set"),
              ((c("registered_at") != "") & ~c("registered_at").rlike(COMMIT_ID), "registered_at is no commit id"),
              (tier1, "a tier 1 system entry names no instances"),
              ((c("tier") == 3) & c("protocol").isNull(), "a tier 3 entry names no protocol"),
-             (c("tier").isin(2, 3) & (F.size("anchors") == 0), "a tier 2 or 3 entry with no anchors"),
+             (c("tier").isin(2, 3) & (F.coalesce(F.size("anchors"), F.lit(0)) <= 0), "a tier 2 or 3 entry with no anchors"),
              (c("bar_half_width").isNull() != c("observation_uncertainty").isNull(), "bar and uncertainty are not stated together"),
              (c("bar_half_width") <= 0, "bar_half_width is not positive"),
              (c("observation_uncertainty") <= 0, "observation_uncertainty is not positive"),

@@ -311,11 +311,52 @@ def offset_counts(df: DataFrame, keys: Sequence[str], residual: str, tolerance:
 
 @lru_cache(maxsize=65536)
 def _offset_tail(n: int, k: int) -> float:
-    """2 * P(at least k of n fair signs agree); exact integers while they are short."""
-    if n <= 4096:
-        return float(Fraction(2 * sum(math.comb(n, j) for j in range(k, n + 1)), 2**n))
-    z = (k - 0.5 - n / 2) / math.sqrt(n / 4)
-    return math.erfc(z / math.sqrt(2))
+    """2 * P(at least k of n fair signs agree), to full precision at every length.
+
+    The tail is summed from its largest term down; a tail past the middle is one less its mirror, so
+    the terms always fall and some tens of standard deviations of them count.
+    """
+    if k <= 0:
+        return 2.0
+    if 2 * k <= n:
+        return 2.0 - _offset_tail(n, n - k + 1)
+    term = total = _fair_term(n, k)
+    j = k
+    while j < n and term > total * 1e-18:
+        term *= (n - j) / (j + 1)
+        total += term
+        j += 1
+    return 2.0 * total
+
+
+def _stirling_rest(n: int) -> float:
+    """log(n!) less Stirling's main terms; a series where it has converged, the definition before."""
+    if n <= 15:
+        return math.log(math.factorial(n)) - ((n + 0.5) * math.log(n) - n + 0.5 * math.log(2 * math.pi)) if n else 0.0
+    m = n * n
+    return (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680 - 1 / 1188 / m) / m) / m) / m) / n
+
+
+def _deviance(x: float, mean: float) -> float:
+    """x log(x / mean) + mean - x, without cancellation near the mean."""
+    if abs(x - mean) < 0.1 * (x + mean):
+        v = (x - mean) / (x + mean)
+        s, e, j = (x - mean) * v, 2 * x * v, 1
+        while True:
+            e *= v * v
+            new = s + e / (2 * j + 1)
+            if new == s:
+                return s
+            s, j = new, j + 1
+    return x * math.log(x / mean) + mean - x
+
+
+def _fair_term(n: int, k: int) -> float:
+    """P(exactly k of n fair signs agree), by the saddle-point form of the binomial term."""
+    if k in (0, n):
+        return 2.0**-n
+    rest = _stirling_rest(n) - _stirling_rest(k) - _stirling_rest(n - k) - _deviance(k, n / 2) - _deviance(n - k, n / 2)
+    return math.exp(rest) * math.sqrt(n / (2 * math.pi * k * (n - k)))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -384,19 +425,22 @@ def surrogate_drift(records: DataFrame, loop: str, instant: str, value: str, ord
                     span: int, surrogates: int, seed: int = 0) -> DataFrame:
     """Share of phase-randomised copies of the last `span` records that drift more than the record does.
 
-    A copy is a row; its arrays hold `span` numbers whatever the length of the log.
+    A copy is a row; its arrays hold `span` numbers whatever the length of the log. A loop with fewer
+    records is returned as NotEvaluable, without numbers.
     """
     recent = last_records(records, span, order, slice_by, [loop])
     packed = recent.groupBy(loop).agg(F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("b"), F.col(instant).alias("t"),
                                                                            F.col(value).alias("v")))).alias("_a"))
+    short = packed.filter(F.size("_a") < span).select(loop, F.lit(None).cast("double").alias("drift"), F.lit(None).cast("double").alias("exceeding"), F.lit("NotEvaluable").alias("verdict"))
     packed = packed.filter(F.size("_a") == span)
     rows = packed.withColumn("surrogate", F.explode(F.sequence(F.lit(0), F.lit(surrogates))))
     drift = _surrogate_udf(seed)(F.transform("_a", lambda s: s["v"]), F.transform("_a", lambda s: s["t"]), F.xxhash64(loop), "surrogate")
     drifts = rows.select(loop, "surrogate", drift.alias("drift"))
     own = drifts.filter("surrogate = 0").select(loop, F.col("drift").alias("_own"))
-    return match(drifts, own, [loop]).groupBy(loop).agg(
+    judged = match(drifts, own, [loop]).groupBy(loop).agg(
         F.max("_own").alias("drift"),
         (F.sum(((F.col("surrogate") > 0) & (F.col("drift") > F.col("_own"))).cast("bigint")) / F.lit(surrogates)).alias("exceeding"))
+    return judged.withColumn("verdict", F.lit("Evaluated")).unionByName(short)
 
 
 # Skill of a model column against an observed column

@@ -28,22 +28,22 @@ def registry(spark, sf):
     """Parts as registry rows, with faults that follow from their attributes."""
     size = F.col("p_size")
     return table(spark, sf, "part").select(
-        F.concat(F.lit("system."), F.col("p_partkey").cast("string")).alias("id"), (size % 4).alias("tier"), F.col("p_type").alias("source_kind"),
-        F.when(size % 5 == 0, "maybe").when(size % 2 == 0, "report").otherwise("fail_bar").alias("verdict_kind"),
+        F.concat(F.lit("system."), F.col("p_partkey").cast("string")).alias("id"), F.when(size % 13 != 0, size % 4).alias("tier"), F.when(size % 17 != 0, F.col("p_type")).alias("source_kind"),
+        F.when(size % 5 == 0, "maybe").when(size % 19 == 0, None).when(size % 2 == 0, "report").otherwise("fail_bar").alias("verdict_kind"),
         F.when(size % 3 == 0, "").when(size % 7 == 0, "abc").otherwise(F.repeat(F.lit("0a"), 20)).alias("registered_at"),
         F.when(size % 8 == 1, F.array(F.lit("x"))).alias("instances"), F.when(size % 11 != 0, "p").alias("protocol"),
-        F.when(size % 6 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("a"))).alias("anchors"),
+        F.when(size % 6 == 0, F.array().cast("array<string>")).when(size % 23 != 0, F.array(F.lit("a"))).alias("anchors"),
         F.when(size > 10, size * 0.1).alias("bar_half_width"), F.when(size > 12, 2.0).alias("observation_uncertainty"),
         F.when(F.col("p_brand") != "Brand#2", F.col("p_name")).alias("statistic"))
 
 
 _RULES = (
-    ("p_brand = 'Brand#2'", "carries no statistic"), ("p_size % 4 NOT IN (1, 2, 3)", "tier is outside the closed set"),
-    ("p_type NOT IN ('STANDARD', 'SMALL', 'MEDIUM')", "source_kind is outside the closed set"),
-    ("p_size % 5 = 0", "verdict_kind is outside the closed set"), ("p_size % 3 <> 0 AND p_size % 7 = 0", "registered_at is no commit id"),
-    ("p_size % 4 = 1 AND p_size % 8 <> 1", "a tier 1 system entry names no instances"),
-    ("p_size % 4 = 3 AND p_size % 11 = 0", "a tier 3 entry names no protocol"),
-    ("p_size % 4 IN (2, 3) AND p_size % 6 = 0", "a tier 2 or 3 entry with no anchors"),
+    ("p_brand = 'Brand#2'", "carries no statistic"), ("p_size % 4 NOT IN (1, 2, 3) OR p_size % 13 = 0", "tier is outside the closed set"),
+    ("p_type NOT IN ('STANDARD', 'SMALL', 'MEDIUM') OR p_size % 17 = 0", "source_kind is outside the closed set"),
+    ("p_size % 5 = 0 OR p_size % 19 = 0", "verdict_kind is outside the closed set"), ("p_size % 3 <> 0 AND p_size % 7 = 0", "registered_at is no commit id"),
+    ("p_size % 4 = 1 AND p_size % 13 <> 0 AND p_size % 8 <> 1", "a tier 1 system entry names no instances"),
+    ("p_size % 4 = 3 AND p_size % 13 <> 0 AND p_size % 11 = 0", "a tier 3 entry names no protocol"),
+    ("p_size % 4 IN (2, 3) AND p_size % 13 <> 0 AND (p_size % 6 = 0 OR p_size % 23 = 0)", "a tier 2 or 3 entry with no anchors"),
     ("p_size > 10 AND p_size <= 12", "bar and uncertainty are not stated together"),
     ("p_size > 12 AND p_size * 0.1::DOUBLE < 2.0", "a bar narrower than its uncertainty"))
 RULES_SQL = " UNION ALL ".join(f"SELECT 'system.' || p_partkey AS site, '{why}' AS reason FROM part WHERE {when}" for when, why in _RULES)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -22,9 +23,10 @@ def read_contracted(spark: SparkSession, path: str, column: str, expected: dict)
 
 
 def file_manifest(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(path, bytes, sha256) of the files under a folder, one file per row of a distributed scan."""
+    """(path, bytes, sha256) of the files under a folder, one file per row of a distributed scan; paths count from the folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-    name = F.element_at(F.split("path", "/"), -1)
+    root = "/" + re.sub(r"^[A-Za-z][\w+.-]*:(//[^/]*)?", "", folder).strip("/") + "/"
+    name = F.expr(f"substring(path, locate('{root}', path) + {len(root)})")
     return files.select(name.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 

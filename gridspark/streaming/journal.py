@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -103,25 +104,38 @@ def unrecorded(stream: DataFrame, manifest: DataFrame, name: str) -> DataFrame:
 
 
 def reduce_once(stream: DataFrame, path: str, granule: str, keys: Sequence[str], value: Column) -> DataFrame:
-    """Batch reduction that counts each granule once however often a batch is replayed.
+    """Batch reduction that counts each piece of a granule once, however often and in whatever batches it is replayed.
 
-    A batch writes its partial sums and its granule list under its own number, skipping granules an
-    earlier batch recorded, so writing the same batch again changes nothing.
+    A piece is what one file holds of a granule; a file belongs to one batch, so pieces are never split.
+    A batch writes the sums of its new pieces under a name of its own and then records that name, which
+    commits sums and pieces together; a part without a record does not exist. Reading takes each piece
+    from one recorded part, so regrouped files or a lost progress folder change nothing.
     """
+    spark = stream.sparkSession
+    piece = [granule, "_file"]
+    given = stream.withColumn("_file", F.input_file_name())
+    kinds = {f.name: f.dataType.simpleString() for f in given.schema}
+    named = ", ".join(f"{c} {kinds[c]}" for c in dict.fromkeys([*piece, *keys]))
+    total = given.select(F.sum(value).alias("s")).schema["s"].dataType.simpleString()
 
-    def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        done = spark.read.schema(f"{granule} {batch.schema[granule].dataType.simpleString()}, part int").parquet(
-            f"{path}/granules").filter(F.col("part") < number)
-        fresh = batch.join(done.select(granule), granule, "left_anti")
-        fresh.groupBy(*keys).agg(F.sum(value).alias("sum"), F.count(value).alias("cnt")).write.mode("overwrite").parquet(f"{path}/sums/part={number}")
-        fresh.select(granule).distinct().write.mode("overwrite").parquet(f"{path}/granules/part={number}")
+    def recorded() -> DataFrame:
+        parts = spark.read.schema(f"{named}, sum {total}, cnt bigint, part string").parquet(f"{path}/parts")
+        return parts.join(spark.read.schema("part string").parquet(f"{path}/records"), "part", "left_semi")
 
-    spark = stream.sparkSession
-    # an empty first part, so the record can be read before anything is in it
-    spark.createDataFrame([], stream.select(granule).schema).write.mode("overwrite").parquet(f"{path}/granules/part=-1")
-    run(stream, f"{path}/run", "append", each)
-    return spark.read.parquet(f"{path}/sums").groupBy(*keys).agg(F.sum("sum").alias("sum"), F.sum("cnt").alias("cnt"))
+    def each(batch: DataFrame, number: int) -> None:
+        fresh = batch.join(recorded().select(*piece).distinct(), piece, "left_anti")
+        part = uuid.uuid4().hex
+        fresh.groupBy(*dict.fromkeys([*piece, *keys])).agg(F.sum(value).alias("sum"), F.count(value).alias("cnt")).write.parquet(f"{path}/parts/part={part}")
+        batch.sparkSession.createDataFrame([(part,)], "part string").write.mode("append").parquet(f"{path}/records")
+
+    # Empty first parts, so both can be read before anything is in them.
+    none = spark.createDataFrame([], f"{named}, sum {total}, cnt bigint")
+    none.write.mode("overwrite").parquet(f"{path}/parts/part=none")
+    spark.createDataFrame([], "part string").write.mode("append").parquet(f"{path}/records")
+    run(given, f"{path}/run", "append", each)
+    rows = recorded()
+    first = rows.groupBy(*piece).agg(F.min("part").alias("part"))
+    return rows.join(first, [*piece, "part"], "left_semi").groupBy(*keys).agg(F.sum("sum").alias("sum"), F.sum("cnt").alias("cnt"))
 
 
 VERDICT_SCHEMA = "loop bigint, records bigint, drift double, balance double, verdict string"

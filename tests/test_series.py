@@ -96,3 +96,20 @@ def test_surrogates_keep_the_spectrum(spark):
     out = {r["loop"]: r for r in series.surrogate_drift(df, "loop", "t", "x", ["i"], F.lit(0), 32, 99).collect()}
     assert out["ramp"]["drift"] == pytest.approx(1.0) and out["ramp"]["exceeding"] <= 0.05
     assert out["noise"]["exceeding"] > 0.05
+
+
+def test_offset_tail_is_exact_on_both_sides_of_any_length():
+    import math
+    from fractions import Fraction
+
+    for n in (1, 2, 15, 16, 255, 4096, 4097, 6001):
+        for k in {0, 1, n // 2, n // 2 + 1, (n + int(2 * n**0.5)) // 2, n}:
+            exact = float(Fraction(2 * sum(math.comb(n, j) for j in range(k, n + 1)), 2**n))
+            assert abs(series._offset_tail(n, k) - exact) <= 1e-12 * exact
+
+
+def test_short_loops_are_returned(spark):
+    rows = [(1, i, float(i % 3)) for i in range(20)] + [(2, i, 1.0) for i in range(4)]
+    df = spark.createDataFrame(rows, "loop bigint, t bigint, v double")
+    got = {r.loop: r for r in series.surrogate_drift(df, "loop", "t", "v", ["t"], None, 16, 9).collect()}
+    assert got[2].verdict == "NotEvaluable" and got[2].drift is None and got[1].verdict == "Evaluated"
