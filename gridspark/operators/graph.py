@@ -179,6 +179,8 @@ def drainage_terminals(terrain: DataFrame, edges: DataFrame, ocean: DataFrame, z
         jump = doubled.select("cell", F.col("_up").alias("next"))
         if moved.isEmpty():
             break
+    else:
+        require(False, "rounds", "drainage_terminals", f"not settled after {MAX_ROUNDS} rounds")
     at = ends.select(F.col("cell").alias("next"), "terminal")
     return jump.join(at, "next").select("cell", "terminal")
 

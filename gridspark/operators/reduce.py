@@ -14,7 +14,7 @@ from gridspark.operators.ordered import match, numbered, order_statistics
 
 BLOCK = 256  # fixed value: terms folded in order before block sums are combined
 FAN = 2048  # block sums combined per task and stage
-_STAGES = 3  # FAN^3 blocks, 2.2e12 rows in one group
+_STAGES = 5  # FAN^5 blocks are more than a 64-bit index can number, so one row per key is always left
 
 
 @F.pandas_udf(T.DoubleType())
