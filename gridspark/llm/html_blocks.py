@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from gridspark.llm.common import first_by_digest
+
 PAGES = 640          # template pages learned from
 SAMPLE = 64          # pages of the corpus whose words fill them, at most
 EPOCHS, BATCH = 16, 16
@@ -403,9 +405,11 @@ def label(pages: list[list[Block]], model: Labeller, memo: dict[str, int], most:
 
 
 def filler(pages: DataFrame, sample: int = SAMPLE, most: int = 20_000) -> list[str]:
-    """Words of the first pages by the digest of their url and html: `sample` pages, `most` words, at most."""
-    rows = pages.filter(F.col("html").isNotNull()).orderBy(F.xxhash64("html"), "url").select("html").limit(sample).collect()
-    words = [w for r in rows for b in blocks_of(r["html"]) for w in b.text.split()]
+    """Words of the first distinct pages by the digest of their html: `sample` pages, `most` words, at most."""
+    digests = pages.filter(F.col("html").isNotNull()).select(F.xxhash64("html").alias("h"), "html")
+    first = [r["h"] for r in first_by_digest(digests.select("h").distinct(), F.col("h"), sample)]
+    rows = digests.filter(F.col("h").isin(first)).groupBy("h").agg(F.min("html").alias("html")).collect() if first else []
+    words = [w for r in sorted(rows) for b in blocks_of(r["html"]) for w in b.text.split()]
     return words[:most]
 
 

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from gridspark.llm.common import first_by_digest
 from gridspark.llm.minhash import _labels
 from gridspark.session import settled
 
@@ -140,7 +141,7 @@ def embedding_near_duplicates(vectors: DataFrame, least: float = LEAST, pivots:
     ok = valid(F.col("v")) & F.col("vec_id").isNotNull()
     rows = rows.withColumn("h1", F.when(ok, F.xxhash64("v"))).withColumn("h2", F.when(ok, F.xxhash64(F.lit(1), "v")))
     nodes = settled(rows.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("node"), F.count("*").alias("m"), F.first("v").alias("v")))
-    sample = nodes.orderBy(F.xxhash64("h1"), "node").limit(pivots).select("v").collect()
+    sample = first_by_digest(nodes.select("h1", "node", "v"), F.xxhash64("h1", "node"), pivots)
     if not sample:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     width = max(len(r["v"]) for r in sample)

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridspark.llm.common import LOWER, UPPER
+from gridspark.llm.common import LOWER, UPPER, first_by_digest
 
 SAMPLE = 20_000        # labelled rows learned from, at most
 VOCABULARY = 50_000    # tokens held by every task, at most
@@ -161,11 +161,11 @@ def _token_counts(vocabulary: frozenset[bytes] | None):
     return count
 
 
-def labelled_sample(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, label) of at most `sample` rows outside the held-out fold, first by the digest of the id."""
+def labelled_sample(labels: DataFrame, sample: int = SAMPLE) -> list:
+    """Rows (doc_id, label) of at most `sample` rows outside the held-out fold, first by the digest of the id."""
     one = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).filter(~held_out(F.col("doc_id")))
     one = one.groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("label"))
-    return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    return first_by_digest(one, F.xxhash64("doc_id"), sample)
 
 
 def token_odds(counts: dict[bytes, tuple[int, int]], corpus: dict[bytes, int], n_toxic: int, n_clean: int) -> dict[bytes, float]:
@@ -223,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: in
     for each sampled document. Without toxic or without clean rows the model says nothing: every text
     then scores the same low probability.
     """
-    rows = labelled_sample(labels, sample).collect()
+    rows = labelled_sample(labels, sample)
     if not any(r["label"] for r in rows) or all(r["label"] for r in rows):
         return Model()
     spark = docs.sparkSession
