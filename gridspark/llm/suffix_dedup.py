@@ -226,7 +226,9 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame,
     texts = docs.select("doc_id", row_key("doc_id", "text").alias("k"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("d"),
                         F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     rows = texts.select("k", "d", "text").mapInArrow(_phrase_rows(length), "k long, d long, at long, key long, phrase long")
-    again = rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
+    # Grouped sides are written before they are joined: then a join has two plain inputs, and a very common
+    # key can be split over tasks.
+    again = settled(rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key"))
     met = settled(rows.join(again, "key"))
     # The dictionary of phrases under repeated keys, and the keys under which several of them meet.
     dictionary = settled(met.groupBy("key", "phrase").agg(F.count("*").alias("m"), F.min(F.struct("k", "d", "at")).alias("one")))
@@ -240,10 +242,11 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame,
     ordered = texts.join(shown.hint("shuffle_hash"), (F.col("k") == F.col("_k")) & (F.col("d") == F.col("_d"))).select("k", "d", "text", "at")
     blocks = settled(ordered.mapInArrow(_suffixes(length), _BLOCKS))
     cores = blocks.groupBy("core").agg(F.count("*").alias("m"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).filter("m > 1")
-    near = settled(blocks.join(cores.select("core", (F.col("lo") == F.col("hi")).alias("alike")), "core"))
+    cores = settled(cores.select("core", (F.col("lo") == F.col("hi")).alias("alike")))
+    near = settled(blocks.join(cores, "core"))
     alike = near.filter("alike").select("k", "d", "start", (F.col("start") + F.size("each") - 1 + length).alias("stop"))
     single = near.filter("not alike").select("k", "d", "core", "start", F.posexplode("each").alias("i", "x"))
-    twice = single.groupBy("core", "x").agg(F.count("*").alias("m")).filter("m > 1").select("core", "x")
+    twice = settled(single.groupBy("core", "x").agg(F.count("*").alias("m")).filter("m > 1").select("core", "x"))
     some = single.join(twice, ["core", "x"], "left_semi").select("k", "d", (F.col("start") + F.col("i")).alias("start"), (F.col("start") + F.col("i") + length).alias("stop"))
     return texts, whole.unionByName(alike).unionByName(some)
 
