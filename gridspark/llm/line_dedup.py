@@ -50,7 +50,8 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     lines = settled(line_digests(docs, min_chars))
     ordered = lines.repartitionByRange("h1", "h2", "doc_id", "pos").sortWithinPartitions("h1", "h2", "doc_id", "pos")
     firsts = ordered.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    shared = firsts.filter("first < last").select("h1", "h2", "first")
+    # Written first, so that the join has two plain inputs and a very common line can be split over tasks.
+    shared = settled(firsts.filter("first < last").select("h1", "h2", "first"))
     late = lines.join(shared, ["h1", "h2"]).filter("doc_id > first")
     drops = late.groupBy("k", "doc_id").agg(F.array_sort(F.collect_set("pos")).alias("_dropped")).withColumnsRenamed({"k": "_k", "doc_id": "_id"})
     keyed = docs.withColumn("_key", row_key("doc_id", "text"))

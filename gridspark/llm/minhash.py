@@ -214,7 +214,8 @@ def bucket_members(nodes: DataFrame) -> DataFrame:
     """(key, node, lead) of every bucket with two nodes or more; the lead is its first node in a hashed order."""
     bands = nodes.select(F.explode("bands").alias("key"), "node")
     buckets = bands.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("lead")).filter("m > 1")
-    return bands.join(buckets.select("key", "lead"), "key")
+    # Written first, so that the join has two plain inputs and a large bucket can be split over tasks.
+    return bands.join(settled(buckets.select("key", "lead")), "key")
 
 
 def first_pairs(members: DataFrame) -> DataFrame:
