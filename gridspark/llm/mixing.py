@@ -77,11 +77,11 @@ def balance(cells: DataFrame, targets: DataFrame, most: int = MOST) -> DataFrame
     state = settled(start)
     for _ in range(ROUNDS):
         for _ in range(STEPS):
-            now = _near(cells, state.select("source", "lambda", "mean", "full"), ["source"])
+            # The state has one row per source, so it rides along as grouping columns and a step is one join.
+            now = _near(cells, state, ["source"])
             tokens, z = F.col("n") * F.col("size"), F.col("size") / F.col("mean")
             rate = _rate(most)
-            sums = now.groupBy("source").agg(F.sum(tokens * rate).alias("got"), F.sum(F.when(rate < most, tokens * z * rate).otherwise(0.0)).alias("slope"))
-            s = _near(state, sums, ["source"])
+            s = now.groupBy(*start.columns).agg(F.sum(tokens * rate).alias("got"), F.sum(F.when(rate < most, tokens * z * rate).otherwise(0.0)).alias("slope"))
             off = F.col("got") - F.col("target")
             s = s.withColumn("gap", F.when(F.col("full"), 0.0).otherwise(F.abs(off) / F.greatest(F.col("target"), F.lit(1.0))))
             s = s.withColumn("lo", F.when(off < 0, F.col("lambda")).otherwise(F.col("lo"))).withColumn("hi", F.when(off >= 0, F.col("lambda")).otherwise(F.col("hi")))
