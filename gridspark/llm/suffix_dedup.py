@@ -143,14 +143,14 @@ def _phrase_rows(length: int):
     return parse
 
 
-_BLOCKS = "k long, d long, start long, core long, whole long, each array<int>"
+_BLOCKS = "k long, d long, start long, core long, whole long, each array<long>"
 
 
 def _suffixes(length: int):
     """Blocks of neighbouring suffixes in given phrases: the digest of the bytes all share, of all bytes, and of each.
 
     Blocks are laid from the trigger, so equal suffixes stand at one place in blocks with one core. A
-    suffix is told by its core and 32 more bits.
+    suffix is told by its core and 64 more bits: at the edge of a common passage all have the same core.
     """
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +163,7 @@ def _suffixes(length: int):
                 for f, c, back in zip((at >> 16).tolist(), ((at >> 8) & 255).tolist(), (at & 255).tolist()):
                     # Only the phrases are digested, however long the text. Starts count from the phrase's.
                     part = Digests(body[f:f + c + length])
-                    each = (part.every(length) >> _U(32)).astype(np.uint32).view(np.int32)
+                    each = part.every(length).view(np.int64)
                     trigger = c + back
                     block = (trigger - np.arange(c + 1)) // BLOCK
                     cut = np.flatnonzero(np.diff(block)) + 1
@@ -179,7 +179,7 @@ def _suffixes(length: int):
                 row = np.array(out["row"])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.asarray(batch["k"])[row]), pa.array(np.asarray(batch["d"])[row]), pa.array(out["start"], pa.int64()), pa.array(np.concatenate(out["core"]).view(np.int64)),
-                     pa.array(np.concatenate(out["whole"]).view(np.int64)), pa.array(out["each"], pa.list_(pa.int32()))], names=["k", "d", "start", "core", "whole", "each"])
+                     pa.array(np.concatenate(out["whole"]).view(np.int64)), pa.array(out["each"], pa.list_(pa.int64()))], names=["k", "d", "start", "core", "whole", "each"])
 
     return blocks
 

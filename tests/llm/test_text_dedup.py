@@ -84,6 +84,19 @@ def test_long_text_is_parsed_in_pieces_alike(monkeypatch, copied):
         assert len(seen) == sum(max(0, len(b) - 199) for b in bodies)
 
 
+def test_half_equal_digests_are_no_repeat(sp):
+    """Edges of a common passage have one core; pairs here also agree in 32 bits of their suffix digests."""
+    passage = "".join(map(chr, random.Random(27).choices(b"abcdefghijklmnopqrstuvwxyz ", k=193)))
+    edges = [("owlijbp", "xaolytd"), ("pgfytld", "cpinoih"), ("mtumrmr", "pujbvkg")]
+    digest = lambda e: int(suffix_dedup.Digests(np.frombuffer((e + passage).encode(), np.uint8)).every(200)[0])
+    assert all(digest(a) >> 32 == digest(b) >> 32 and digest(a) != digest(b) for a, b in edges)
+    rows = [(i, e + passage) for i, e in enumerate(itertools.chain(*edges))]
+    assert [r.n_removed for r in remove_repeats(texts(sp, rows)).collect()] == [0] * 6
+    rows += [(9, "mtumrmr" + passage)]
+    want = sorted(zip((str(d) for d, _ in rows), (w[1] for w in brute_repeats([t.encode() for _, t in rows]))))
+    assert sorted((str(r.doc_id), r.n_removed) for r in remove_repeats(texts(sp, rows)).collect()) == want
+
+
 # --- lines
 
 
