@@ -156,9 +156,7 @@ def vectors(blocks: list[Block], memo: dict[str, int]) -> Page:
     n, counts, path, words = len(blocks), np.zeros((len(blocks), COUNTS)), [], []
     for i, b in enumerate(blocks):
         path.append(hashed(b.path))
-        # The words of a long block say no more than its first and last ones; its length is a count of its own.
-        found = _WORDS.findall(b.text.lower()) if len(b.text) < 400 else _WORDS.findall(b.text[:200].lower()) + _WORDS.findall(b.text[-200:].lower())
-        words.append(hashed(found))
+        words.append(hashed(_WORDS.findall(b.text.lower())))
         size = len(b.text)
         counts[i] = (np.log1p(size) / 6, min(1.0, b.linked / max(size, 1)), sum(c in ".!?;:" for c in b.text[-3:]) > 0, i / max(n - 1, 1), float(b.hidden), len(b.path) / 10)
     return Page(path, words, counts)

@@ -301,6 +301,12 @@ def test_blocks_of_rough_markup():
     assert got[-9:] == ["One & twothree four é", "Next", "ab c", "tail", "x", "y", "1", "2", "q < r"]
 
 
+def test_all_words_of_a_long_block_are_read():
+    text = " ".join(f"word{i}" for i in range(200))
+    found, = html_blocks.vectors([html_blocks.Block(("p",), text, 0)], {}).words
+    assert found.tolist() == [html_blocks._bucket(f"word{i}") for i in range(200)]
+
+
 def test_gradients_are_right():
     rng = np.random.default_rng(12)
     model = html_blocks.Labeller(1)
