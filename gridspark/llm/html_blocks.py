@@ -34,17 +34,19 @@ COUNTS = 6
 DECAY = {"words": 1.0, "path": 0.02}
 
 # Elements whose content is never text, elements that stay inside a block, elements without content.
-RAW = ("script", "style", "template", "noscript", "svg", "iframe", "object", "canvas", "math")
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = ("script", "style", "template", "noscript", "svg", "iframe", "object", "canvas")
+FORMULA = ("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose maction msub msup msubsup munder mover munderover "
+           "mmultiscripts mprescripts mtable mtr mlabeledtr mtd semantics annotation annotation-xml")
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split() + FORMULA.split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    rf"|<({'|'.join(RAW)})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S | re.I)
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW}
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _WORDS = re.compile(r"\w+")
@@ -79,6 +81,7 @@ def blocks_of(page: str) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...], bool]] = []
     parts: list[str] = []
     linked, links, at = 0, 0, 0
+    endless: set[str] = set()
 
     def flush():
         nonlocal linked
@@ -97,17 +100,27 @@ def blocks_of(page: str) -> list[Block]:
             if stack[k][0] in stop:
                 return
 
-    for m in _MARKUP.finditer(page):
+    while m := _MARKUP.search(page, at):
         if m.start() > at:
             chunk = page[at:m.start()]
             parts.append(chunk)
             if links:
                 linked += len(chunk)
         at = m.end()
-        end, tag, attributes = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
+        end, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not tag:
             continue
         tag = tag.lower()
+        if tag in RAW:
+            # Without a closing tag only a script or style runs to the end of the page; what follows others is text.
+            if not end and tag not in endless and not (tag == "svg" and attributes.endswith("/")):
+                if closing := _RAW_END[tag].search(page, at):
+                    at = closing.end()
+                elif tag in ("script", "style"):
+                    at = len(page)
+                else:
+                    endless.add(tag)
+            continue
         if tag in INLINE:
             if tag == "a":
                 links = 0 if end else 1

@@ -301,6 +301,22 @@ def test_blocks_of_rough_markup():
     assert got[-9:] == ["One & twothree four é", "Next", "ab c", "tail", "x", "y", "1", "2", "q < r"]
 
 
+@pytest.mark.parametrize("markup, kept", [
+    ('<svg class="i"/>', ""), ("<svg/>", ""), ('<svg-icon n="x"></svg-icon>', ""), ("<template-x>in</template-x>", " in"), ("<object-card></object-card>", ""), ("<math/>", ""),
+    ("<math><mi>x</mi><mo>=</mo><mn>2</mn></math>", " x=2"), ("<svg><text>no</text></svg>", ""), ("<canvas>", ""), ("<iframe src='/x'>", ""), ("</svg>", ""), ("<NOSCRIPT>no</noscript\n>", ""),
+    ("<script src=x>'<p>'</script\t>", ""),
+])
+def test_raw_elements_end_at_their_own_tag(markup, kept):
+    page = f"<body><p>before {markup} after</p><p>rest</p>"
+    assert " ".join(b.text for b in html_blocks.blocks_of(page)).split() == f"before{kept} after rest".split()
+
+
+def test_only_scripts_and_styles_run_to_the_end():
+    for tag in html_blocks.RAW:
+        got = [b.text for b in html_blocks.blocks_of(f"<p>before <{tag}> after</p><p>rest")]
+        assert got == (["before"] if tag in ("script", "style") else ["before after", "rest"])
+
+
 def test_all_words_of_a_long_block_are_read():
     text = " ".join(f"word{i}" for i in range(200))
     found, = html_blocks.vectors([html_blocks.Block(("p",), text, 0)], {}).words
