@@ -1,7 +1,8 @@
 """Toxicity by maximum-scoring segments over token log-odds.
 
-A token is the leading bytes of a word at three lengths, so that a stem learned from some words also
-speaks for words not seen in training. Log-odds of a document of either label to hold a token come
+A token is a whole word or its leading characters at three lengths, so that a stem learned from some
+words also speaks for words not seen in training. In scripts without spaces a word is a whole clause, so
+its two and three neighbouring characters are tokens too, and the best segment of them speaks for it. Log-odds of a document of either label to hold a token come
 from a hierarchical Dirichlet prior: a token's prior counts are its parent's rates times the token's
 share of the parent over the whole corpus. Words score their most specific token, every other word
 costs a constant drift, and one linear scan finds all maximal-scoring segments of a text (the
@@ -16,19 +17,24 @@ shares and the scores take every document.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridspark.llm.common import LOWER, UPPER, first_by_digest
+from gridspark.session import settled
 
 SAMPLE = 20_000        # labelled rows learned from, at most
+LEVELS = (6, 7, 8)     # leading characters of a word with its end mark; the whole word is the last level
+GRAMS = (2, 3)         # neighbouring characters in scripts without spaces
+LONGEST = 40           # bytes of a whole word as such; a longer one is told by its beginning and a digest
 VOCABULARY = 50_000    # tokens held by every task, at most
-LEVELS = (6, 7, 8)     # leading bytes of a word with its end mark
 SUPPORT = 3            # toxic documents a token needs to be considered
 PRIOR = 2.0            # prior documents
 LEAST_Z, LEAST_ODDS = 2.8, 2.5
@@ -46,12 +52,53 @@ for _u, _l in zip(UPPER, LOWER):
 _TABLE = bytes(_TABLE)
 # Closes a word, so that a whole word is told from the beginning of a longer one.
 END = b"$"
+# Begins a token of neighbouring characters, and stands before the digest of a long word; neither is in any word.
+GRAM, DIGEST = "~", b"#"
+# Thai, Lao, Tibetan, Myanmar, Khmer, kana and ideographs.
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]+")
+
+
+def _chars(token: bytes) -> str:
+    return token.decode("utf-8", "surrogateescape")
+
+
+def _bytes(chars: str) -> bytes:
+    return chars.encode("utf-8", "surrogateescape")
+
+
+def _levels(marked: bytes) -> list[bytes]:
+    """A word with its end mark at every level from the shortest."""
+    if marked.isascii():
+        out = [marked[:n] for n in LEVELS]
+    else:
+        chars = _chars(marked)
+        out = [_bytes(chars[:n]) for n in LEVELS]
+    out.append(marked if len(marked) <= LONGEST else out[-1] + DIGEST + blake2b(marked, digest_size=16).digest())
+    return out
+
+
+def _grams(word: bytes) -> Iterator[tuple[int, list[bytes]]]:
+    """(position, tokens from the shortest) of every character that begins one in a script without spaces."""
+    for run in _UNSPACED.finditer(_chars(word)):
+        found = run[0]
+        for i in range(len(found) - GRAMS[0] + 1):
+            yield run.start() + i, [_bytes(GRAM + found[i:i + n]) for n in GRAMS if i + n <= len(found)]
 
 
 def tokens_of(word: bytes) -> list[bytes]:
     """Tokens of a word from the shortest; a word shorter than a level ends in the end mark there."""
-    marked = word + END
-    return list(dict.fromkeys(marked[:n] for n in LEVELS))
+    out = _levels(word + END)
+    if not word.isascii():
+        out += [t for _, ts in _grams(word) for t in ts]
+    return list(dict.fromkeys(out))
+
+
+def shorter(token: bytes) -> list[bytes]:
+    """The shorter tokens a token begins with, from the shortest."""
+    if token.isascii():
+        return [token[:n] for n in LEVELS if n < len(token)]
+    chars = _chars(token)
+    return [_bytes(chars[:n]) for n in ((n + 1 for n in GRAMS) if chars[0] == GRAM else LEVELS) if n < len(chars)]
 
 
 def held_out(doc_id: Column, folds: int = FOLDS, fold: int = HELD_OUT) -> Column:
@@ -71,22 +118,34 @@ class Model:
     def events(self, text: bytes) -> tuple[list[tuple[int, float]], int]:
         """(word position, log-odds) of the words that score, and the number of words."""
         words = text.translate(_TABLE).split()
-        get, out = self.odds.get, []
+        out: list[tuple[int, float]] = []
         if self.odds:
-            (a, b, c), known = LEVELS, self.odds
+            a, known = LEVELS[0], self.odds
             for j, w in enumerate(words):
-                w += END
-                if w[:a] not in known:
-                    continue
-                s = get(w[:c])
-                if s is None:
-                    s = get(w[:b])
-                    if s is None:
-                        s = get(w[:a])
+                if w.isascii():
+                    # The shortest token of every known one is known.
+                    if (w + END)[:a] not in known:
+                        continue
+                    s = self.most_specific(_levels(w + END))
+                else:
+                    s = max(self.most_specific(_levels(w + END)), self.clause(w))
                 if s:
                     out.append((j, s))
         return out, len(words)
 
+    def most_specific(self, tokens: list[bytes]) -> float:
+        """Log-odds of the last known of some tokens."""
+        return next((s for t in reversed(tokens) if (s := self.odds.get(t)) is not None), 0.0)
+
+    def clause(self, word: bytes) -> float:
+        """The best segment of neighbouring characters, each read once; a character costs the drift a word does."""
+        found, free = [], 0
+        for i, tokens in _grams(word):
+            if i >= free and (t := next((t for t in reversed(tokens) if t in self.odds), None)) is not None and self.odds[t]:
+                found.append((i, self.odds[t]))
+                free = i + len(_chars(t)) - 1
+        return max((s for *_, s in maximal_segments(found)), default=0.0)
+
     def features(self, text: bytes) -> tuple[float, float, int, list[tuple[int, int, float]]]:
         """(excess of the best segment, log of significant segments, words, the significant segments)."""
         found, n = self.events(text)
@@ -150,7 +209,7 @@ def _token_counts(vocabulary: frozenset[bytes] | None):
                 words = set(text.translate(_TABLE).split())
                 if vocabulary is not None:
                     short = LEVELS[0]
-                    words = {w for w in words if (w + END)[:short] in vocabulary}
+                    words = {w for w in words if not w.isascii() or (w + END)[:short] in vocabulary}
                 found = {t for w in words for t in tokens_of(w)}
                 seen.setdefault(label, Counter()).update(found if vocabulary is None else found & vocabulary)
             # A task holds the counts of a vocabulary, or of a few batches of all tokens.
@@ -170,7 +229,7 @@ def labelled_sample(labels: DataFrame, sample: int = SAMPLE) -> list:
 
 def token_odds(counts: dict[bytes, tuple[int, int]], corpus: dict[bytes, int], n_toxic: int, n_clean: int) -> dict[bytes, float]:
     """token -> log-odds, from (toxic, clean) documents per token and documents per token of the corpus."""
-    parent = {t: next((t[:n] for n in sorted(LEVELS, reverse=True) if n < len(t) and t[:n] in counts), None) for t in counts}
+    parent = {t: next((p for p in reversed(shorter(t)) if p in counts), None) for t in counts}
     out = {}
     for t, (y1, y0) in counts.items():
         p = parent[t]
@@ -185,19 +244,17 @@ def token_odds(counts: dict[bytes, tuple[int, int]], corpus: dict[bytes, int], n
         out[t] = odds if z >= LEAST_Z and odds >= LEAST_ODDS else 0.0
     # A short token that is kept only for the sake of longer ones scores nothing itself.
     useful = {t for t, s in out.items() if s > 0}
-    useful |= {t[:n] for t in useful for n in LEVELS}
-    return {t: out.get(t, 0.0) for t in useful | {t for t in out if any(t[:n] in useful for n in LEVELS)}}
+    useful |= {p for t in useful for p in shorter(t)}
+    return {t: out.get(t, 0.0) for t in useful | {t for t in out if any(p in useful for p in shorter(t))}}
 
 
-def chance_law(segments: list[float], words: int) -> tuple[float, float]:
-    """(lambda, K) of the exponential tail of segment scores in clean documents of `words` words altogether."""
-    if len(segments) < 8 or not words:
-        return 1.0, max(len(segments), 1) / max(words, 1)
-    s = np.sort(np.asarray(segments))
-    low, mid = float(s[0]), float(np.median(s))
+def chance_law(n: int, low: float, mid: float, words: int) -> tuple[float, float]:
+    """(lambda, K) of the exponential tail of n segment scores, by their least and median, in clean documents of `words` words altogether."""
+    if n < 8 or not words:
+        return 1.0, max(n, 1) / max(words, 1)
     rate = math.log(2) / max(mid - low, 0.05)
     rate = min(max(rate, 0.1), 2.0)
-    return rate, len(s) * math.exp(rate * low) / words
+    return rate, n * math.exp(rate * low) / words
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-2) -> np.ndarray:
@@ -216,11 +273,11 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-2)
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from the labelled sample, with corpus shares from all documents.
 
-    What reaches the driver is bounded: `sample` ids, `vocabulary` tokens, and one small row of features
-    for each sampled document. Without toxic or without clean rows the model says nothing: every text
+    What reaches the driver is bounded by the sample: `sample` ids, those of its tokens that can bear on a
+    score, and one small row of features for each sampled document. Without toxic or without clean rows the model says nothing: every text
     then scores the same low probability.
     """
     rows = labelled_sample(labels, sample)
@@ -233,9 +290,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: in
     schema = "token binary, label int, n long"
     counted = learned.mapInArrow(_token_counts(None), schema).groupBy("token").agg(
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("y1"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("y0"))
-    top = counted.filter(F.col("y1") >= SUPPORT).orderBy(F.col("y1").desc(), "token").limit(vocabulary).collect()
-    counts = {bytes(r["token"]): (r["y1"], r["y0"]) for r in top}
     n1 = sum(r["label"] for r in rows)
+    top = counted.filter(F.col("y1") >= SUPPORT).orderBy(F.col("y1").desc(), "token").limit(VOCABULARY).collect()
+    counts = {bytes(r["token"]): (r["y1"], r["y0"]) for r in top}
     shares = texts.select("bytes", F.lit(0).alias("label")).mapInArrow(_token_counts(frozenset(counts)), schema)
     corpus = {bytes(r["token"]): r["n"] for r in shares.groupBy("token").agg(F.sum("n").alias("n")).collect()}
     model = Model(odds=token_odds(counts, corpus, n1, len(rows) - n1))
@@ -249,15 +306,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: in
                 n.append(words)
             yield pa.RecordBatch.from_pydict({"label": pa.array(labels_, pa.int32()), "words": pa.array(n, pa.int64()), "segments": pa.array(best, pa.list_(pa.float64()))})
 
-    seen = learned.mapInArrow(segments, "label int, words long, segments array<double>").collect()
-    clean = [s for r in seen if not r["label"] for s in r["segments"]]
-    model.rate, model.k = chance_law(clean, sum(r["words"] for r in seen if not r["label"]))
-    x, y = np.zeros((len(seen), 2)), np.array([r["label"] for r in seen], dtype=float)
-    for i, r in enumerate(seen):
-        if r["segments"]:
-            chance = math.log(model.k * max(r["words"], 1))
-            x[i] = (min(30.0, max(0.0, model.rate * max(r["segments"]) - chance)),
-                    math.log1p(sum(chance - model.rate * s <= math.log(SIGNIFICANT) for s in r["segments"])))
+    scores = settled(learned.mapInArrow(segments, "label int, words long, segments array<double>"))
+    clean = scores.filter("label = 0")
+    law = clean.select(F.explode("segments").alias("s")).agg(F.count("*").alias("n"), F.min("s").alias("low"), F.percentile("s", F.lit(0.5)).alias("mid")).first()
+    model.rate, model.k = chance_law(law["n"], law["low"], law["mid"], clean.agg(F.sum("words")).first()[0] or 0)
+    chance = F.log(F.lit(model.k) * F.greatest(F.col("words"), F.lit(1)))
+    strong = F.size(F.filter("segments", lambda s: chance - F.lit(model.rate) * s <= math.log(SIGNIFICANT)))
+    excess = F.least(F.lit(30.0), F.greatest(F.lit(0.0), F.lit(model.rate) * F.array_max("segments") - chance))
+    seen = scores.select("label", F.when(F.size("segments") > 0, excess).otherwise(0.0).alias("excess"), strong.alias("strong")).collect()
+    seen.sort()
+    x = np.array([(r["excess"], math.log1p(r["strong"])) for r in seen]).reshape(-1, 2)
+    y = np.array([r["label"] for r in seen], dtype=float)
     model.bias, model.excess, model.many = map(float, logistic(x, y))
     return model
 

@@ -67,6 +67,26 @@ def test_toxicity_of_odd_rows(sp):
     assert toxicity.toxicity(texts(sp, []), model).count() == 0
 
 
+def learned(sp, toxic, clean, n=40):
+    """A model of n toxic documents with one of the words each, and three times as many clean ones."""
+    ids = range(4 * n)
+    docs = texts(sp, [(i, f"some plain words {(toxic if i % 4 == 0 else clean)[i % 3 % len(toxic if i % 4 == 0 else clean)]} and more") for i in ids])
+    labels = sp.createDataFrame([(i, 0, int(i % 4 == 0)) for i in ids], "doc_id long, quality int, toxic int")
+    return toxicity.fit(docs, labels)
+
+
+@pytest.mark.parametrize("bad, good", [("Schweinehund", "Schweinefleisch"), ("\u0434\u0443\u0440\u0430\u043b\u0435\u0439", "\u0434\u0443\u0440\u0430\u043a\u043e\u0432")])
+def test_words_alike_at_first_are_told_apart(sp, bad, good):
+    model = learned(sp, [bad], [good])
+    assert model.events(bad.encode())[0] and not model.events(good.encode())[0]
+
+
+def test_clauses_without_spaces_are_read_to_their_end(sp):
+    clean = ["\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u53bb\u516c\u56ed"]
+    model = learned(sp, [clean[0] + "\u4f60\u662f\u767d\u75f4"], clean)
+    assert model.events((clean[0][3:] + "\u767d\u75f4").encode())[0] and not model.events(clean[0].encode())[0]
+
+
 # --- mixing
 
 
