@@ -34,7 +34,6 @@ SAMPLE = 20_000        # labelled rows learned from, at most
 LEVELS = (6, 7, 8)     # leading characters of a word with its end mark; the whole word is the last level
 GRAMS = (2, 3)         # neighbouring characters in scripts without spaces
 LONGEST = 40           # bytes of a whole word as such; a longer one is told by its beginning and a digest
-VOCABULARY = 50_000    # tokens held by every task, at most
 SUPPORT = 3            # toxic documents a token needs to be considered
 PRIOR = 2.0            # prior documents
 LEAST_Z, LEAST_ODDS = 2.8, 2.5
@@ -248,6 +247,39 @@ def token_odds(counts: dict[bytes, tuple[int, int]], corpus: dict[bytes, int], n
     return {t: out.get(t, 0.0) for t in useful | {t for t in out if any(p in useful for p in shorter(t))}}
 
 
+def can_pass(n_toxic: int, n_clean: int) -> Column:
+    """Whether a token with y1 toxic and y0 clean documents could pass under some parent: no token that passes is left out.
+
+    A prior adds at most PRIOR to either count, and at least half a document to the clean one.
+    """
+    a1, a0 = F.col("y1") + PRIOR, F.col("y0") + 0.5
+    odds = F.log(a1 / F.greatest(F.lit(n_toxic + PRIOR) - a1, F.lit(0.5))) - F.log(a0 / F.greatest(F.lit(n_clean + PRIOR) - a0, F.lit(0.5)))
+    z = odds / F.sqrt(1 / a1 + 1 / (F.col("y0") + max(PRIOR, 0.5)))
+    return (F.col("y1") >= SUPPORT) & (odds >= LEAST_ODDS - 1e-6) & (z >= LEAST_Z - 1e-6)
+
+
+def _relatives(passing: frozenset[bytes]):
+    """Of counted tokens those given, what they begin with, and what begins with them."""
+    family = passing | {p for t in passing for p in shorter(t)}
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([t in family or any(p in passing for p in shorter(t)) for t in batch["token"].to_pylist()], pa.bool_()))
+
+    return pick
+
+
+def learned_counts(counted: DataFrame, n_toxic: int, n_clean: int) -> dict[bytes, tuple[int, int]]:
+    """token -> (toxic, clean) documents, of all tokens that can bear on a score.
+
+    These are the tokens that can pass, their parents, and the longer tokens that can stop them: those
+    seen in SUPPORT documents of either label.
+    """
+    passing = frozenset(bytes(r["token"]) for r in counted.filter(can_pass(n_toxic, n_clean)).select("token").collect())
+    seen = counted.filter((F.col("y1") >= SUPPORT) | (F.col("y0") >= SUPPORT))
+    return {bytes(r["token"]): (r["y1"], r["y0"]) for r in seen.mapInArrow(_relatives(passing), seen.schema).collect()}
+
+
 def chance_law(n: int, low: float, mid: float, words: int) -> tuple[float, float]:
     """(lambda, K) of the exponential tail of n segment scores, by their least and median, in clean documents of `words` words altogether."""
     if n < 8 or not words:
@@ -291,8 +323,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     counted = learned.mapInArrow(_token_counts(None), schema).groupBy("token").agg(
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("y1"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("y0"))
     n1 = sum(r["label"] for r in rows)
-    top = counted.filter(F.col("y1") >= SUPPORT).orderBy(F.col("y1").desc(), "token").limit(VOCABULARY).collect()
-    counts = {bytes(r["token"]): (r["y1"], r["y0"]) for r in top}
+    counts = learned_counts(settled(counted), n1, len(rows) - n1)
     shares = texts.select("bytes", F.lit(0).alias("label")).mapInArrow(_token_counts(frozenset(counts)), schema)
     corpus = {bytes(r["token"]): r["n"] for r in shares.groupBy("token").agg(F.sum("n").alias("n")).collect()}
     model = Model(odds=token_odds(counts, corpus, n1, len(rows) - n1))
@@ -302,7 +333,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             best, n, labels_ = [], [], batch["label"].to_pylist()
             for text in _texts(batch):
                 found, words = model.events(text)
-                best.append([s for *_, s in sorted(maximal_segments(found), key=lambda x: -x[2])[:64]])
+                best.append([s for *_, s in maximal_segments(found)])
                 n.append(words)
             yield pa.RecordBatch.from_pydict({"label": pa.array(labels_, pa.int32()), "words": pa.array(n, pa.int64()), "segments": pa.array(best, pa.list_(pa.float64()))})
 

@@ -87,6 +87,16 @@ def test_clauses_without_spaces_are_read_to_their_end(sp):
     assert model.events((clean[0][3:] + "\u767d\u75f4").encode())[0] and not model.events(clean[0].encode())[0]
 
 
+def test_a_rare_toxic_word_is_learned_beside_many_common_ones(sp):
+    common = " ".join(f"{i:05d}q{i % 10}z" for i in range(20_000))
+    rare = [i < 60 and i % 2 == 0 for i in range(150)]
+    docs = texts(sp, [(i, "venomous " if rare[i] else "plain ") for i in range(150)])
+    docs = docs.withColumn("text", F.when((F.col("doc_id") >= 60) | (F.col("doc_id") % 3 > 0), F.concat("text", F.lit(common))).otherwise(F.col("text")))
+    labels = sp.createDataFrame([(i, 0, int(i < 60)) for i in range(150)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert len(model.events(b"venomous")[0]) == 1 and not model.events(b"00001q1z")[0]
+
+
 # --- mixing
 
 
