@@ -94,4 +94,57 @@ SELECT t.doc_id, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (
 FROM t LEFT JOIN every USING (doc_id) GROUP BY t.doc_id
 """
 
-ORACLES = {"op6_secret_scan": SECRETS, "op8_embedding_near_dedup": EMBEDDINGS, "op3_minhash_near_dedup": NEAR, "op2_line_dedup": LINES, "op9_benchmark_decontamination": DECONTAMINATION}
+CONVERSATIONS = r"""
+WITH RECURSIVE crc(n, k, c) AS (
+  SELECT n, 0, n FROM (SELECT unnest(range(256)) AS n)
+  UNION ALL SELECT n, k + 1, CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM crc WHERE k < 8),
+digests AS (SELECT list(c ORDER BY n) AS t FROM crc WHERE k = 8),
+given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT),
+                         lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 20 AS what
+  FROM conversations, digests),
+damaged AS (
+  SELECT conv_id, turn, CASE what WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE what WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM given, (SELECT unnest([0, 1]) AS copy) WHERE what <> 0 AND (copy = 0 OR what = 3)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+judged AS (
+  SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+         CASE WHEN trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+              WHEN right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM placed),
+totals AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+         count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+         count(*) FILTER (WHERE before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id),
+-- Next state of an inserted or renamed turn: 0 nothing, 1 system, 2 user, 3 assistant.
+inserts(p, k, here, added) AS (
+  SELECT p, 0, p, []::VARCHAR[] FROM (SELECT unnest([0, 1, 2, 3]) AS p)
+  UNION ALL SELECT p, k + 1, CASE here WHEN 2 THEN 3 ELSE 2 END, added || [CASE here WHEN 2 THEN 'assistant:' ELSE 'user:' END] FROM inserts WHERE k < 2),
+best(conv_id, i, state, cost, audit, lines) AS (
+  SELECT conv_id, 0::BIGINT, 0, 0::BIGINT, '', []::VARCHAR[] FROM totals
+  UNION ALL
+  SELECT conv_id, i, state, cost, audit, lines FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) AS place FROM (
+      SELECT b.conv_id, j.i,
+             CASE e WHEN 'D' THEN here WHEN 'R' THEN CASE here WHEN 2 THEN 3 ELSE 2 END ELSE CASE initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END END AS state,
+             b.cost + 5 * k + CASE e WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END + CASE WHEN e <> 'D' AND fault = 'truncated' THEN 5 ELSE 0 END AS cost,
+             b.audit || repeat('I', k) || e AS audit,
+             b.lines || added || CASE e WHEN 'D' THEN []::VARCHAR[] WHEN 'R' THEN [CASE here WHEN 2 THEN 'assistant:' ELSE 'user:' END || j.text] ELSE [j.role || ':' || j.text] END AS lines
+      FROM best b JOIN judged j ON j.conv_id IS NOT DISTINCT FROM b.conv_id AND j.i = b.i + 1 JOIN inserts ON p = b.state, (SELECT unnest(['D', 'K', 'R']) AS e)
+      WHERE e = 'D' OR fault NOT IN ('blank', 'duplicate') AND (e = 'R' OR initial = 's' AND here = 0 OR initial = 'u' AND here <> 2 OR initial = 'a' AND here = 2)))
+  WHERE place = 1),
+ended AS (
+  SELECT b.conv_id, b.cost + 5 * k AS cost, b.audit || repeat('I', k) AS audit, b.lines || added AS lines,
+         row_number() OVER (PARTITION BY b.conv_id ORDER BY b.cost + 5 * k, b.audit || repeat('I', k)) AS place
+  FROM best b JOIN totals t ON t.conv_id IS NOT DISTINCT FROM b.conv_id AND t.n = b.i JOIN inserts ON p = b.state WHERE here IN (0, 3))
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN totals t ON t.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM c.conv_id AND e.place = 1
+"""
+
+ORACLES = {"op11_conversation_repair": CONVERSATIONS, "op6_secret_scan": SECRETS, "op8_embedding_near_dedup": EMBEDDINGS, "op3_minhash_near_dedup": NEAR, "op2_line_dedup": LINES, "op9_benchmark_decontamination": DECONTAMINATION}

@@ -103,3 +103,11 @@ def op7(spark, sf_dir):
     whole = F.transform("section_tokens", lambda x: x.cast("long"))
     return out.select("doc_id", "n_tokens", F.size("section_tokens").cast("long").alias("n_sections"),
                       F.aggregate("section_crossing", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_crossing"), whole.alias("section_tokens"))
+
+
+@query("op11_conversation_repair")
+def op11(spark, sf_dir):
+    from gridspark.llm.conversations import damaged, digests, repair
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return digests(repair(damaged(rows), ids=rows))
