@@ -21,12 +21,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 # Rows of text in one Arrow batch: a Python worker holds a batch or two at a time.
 BATCH_ROWS = 512
+BATCH_BYTES = 32 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:
     """The runtime settings of the library, and Arrow batches small enough for long texts."""
     prepare(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 

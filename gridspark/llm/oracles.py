@@ -147,4 +147,18 @@ FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN totals t ON t.conv
 LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM c.conv_id AND e.place = 1
 """
 
-ORACLES = {"op11_conversation_repair": CONVERSATIONS, "op6_secret_scan": SECRETS, "op8_embedding_near_dedup": EMBEDDINGS, "op3_minhash_near_dedup": NEAR, "op2_line_dedup": LINES, "op9_benchmark_decontamination": DECONTAMINATION}
+HARD_NEGATIVES = """
+WITH fine AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS alike, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM fine a JOIN fine b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT alike AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 3
+"""
+
+ORACLES = {"op12_hard_negatives": HARD_NEGATIVES, "op11_conversation_repair": CONVERSATIONS, "op6_secret_scan": SECRETS, "op8_embedding_near_dedup": EMBEDDINGS, "op3_minhash_near_dedup": NEAR, "op2_line_dedup": LINES, "op9_benchmark_decontamination": DECONTAMINATION}

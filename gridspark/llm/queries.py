@@ -111,3 +111,12 @@ def op11(spark, sf_dir):
 
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return digests(repair(damaged(rows), ids=rows))
+
+
+@query("op12_hard_negatives")
+def op12(spark, sf_dir):
+    from gridspark.llm.hard_negatives import hard_negatives
+
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.select("vec_id", "embedding", label.alias("label")), F.col("vec_id") % 50 == 0)
