@@ -120,3 +120,13 @@ def op12(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(rows.select("vec_id", "embedding", label.alias("label")), F.col("vec_id") % 50 == 0)
+
+
+@query("op13_quality")
+def op13(spark, sf_dir):
+    from gridspark.llm.quality import THRESHOLD, fit, quality
+    from gridspark.llm.toxicity import held_out
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality(docs, fit(docs, table(spark, sf_dir, "labels")), keep_text=False)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
