@@ -7,13 +7,14 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from fractions import Fraction
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gridspark.contracts import require
+from gridspark.functions import nulls
+from gridspark.functions.nulls import inversion_counts, trend_tail  # noqa: F401
 from gridspark.operators.ordered import lagged, last_records, match, numbered, running_sum
 
 # Exit predicates over an iteration log
@@ -150,40 +151,6 @@ def kendall_score(df: DataFrame, keys: Sequence[str], rank: str, order: Sequence
     return match(n, scores, keys, "left").fillna(0, [name])
 
 
-@lru_cache(maxsize=4096)
-def inversion_counts(sizes: tuple[int, ...]) -> tuple[int, ...]:
-    """Orderings of a multiset with the given multiplicities, by number of inversions.
-
-    The coefficients of prod_{m<=n} (1 - q^m) / prod_i prod_{m<=a_i} (1 - q^m), taken as an exact
-    power series cut at its degree, the number of unequal pairs.
-    """
-    n = sum(sizes)
-    degree = n * (n - 1) // 2 - sum(a * (a - 1) // 2 for a in sizes)
-    p = np.zeros(degree + 1, dtype=object)
-    p[0] = 1
-    down: dict[int, int] = {}
-    for a in sizes:
-        for m in range(1, a + 1):
-            down[m] = down.get(m, 0) + 1
-    for m in range(1, n + 1):
-        times = 1 - down.get(m, 0)  # factors (1 - q^m) left over after cancelling
-        for _ in range(max(times, 0)):
-            if m <= degree:
-                p[m:] = p[m:] - p[:-m]
-        for _ in range(max(-times, 0)):
-            for r in range(min(m, degree + 1)):
-                p[r::m] = np.cumsum(p[r::m])
-    return tuple(int(v) for v in p)
-
-
-def trend_tail(score: int, sizes: tuple[int, ...]) -> tuple[int, int]:
-    """(orderings with |score| at least this one, all orderings)."""
-    counts = inversion_counts(sizes)
-    untied = len(counts) - 1
-    hits = sum(c for k, c in enumerate(counts) if abs(untied - 2 * k) >= abs(score))
-    return hits, sum(counts)
-
-
 def exchangeable_minimum_length(false_alarm: float) -> int:
     a, n = Fraction(false_alarm), 2
     while math.factorial(n) * a < 2:
@@ -202,32 +169,21 @@ def random_permutation_minimum(false_alarm: float) -> int:
     return math.ceil(1 / Fraction(false_alarm))
 
 
-EXACT_TREND = 256  # longest series whose null distribution is enumerated; longer ones use its normal limit
-
-
 def _trend_udf(false_alarm: float):
-    limit = Fraction(false_alarm)
+    @F.pandas_udf("p_trend double, trend boolean")
+    def judged(score: pd.Series, ties: pd.Series) -> pd.DataFrame:
+        keys = [nulls.tie_key(t) for t in ties]
+        return pd.DataFrame({
+            "p_trend": [nulls.trend_p(abs(int(s)), k)[0] for s, k in zip(score, keys)],
+            "trend": [nulls.trend_rejects(int(s), k, false_alarm) for s, k in zip(score, keys)]})
 
-    @F.pandas_udf("boolean")
-    def rejects(score: pd.Series, n: pd.Series, sizes: pd.Series) -> pd.Series:
-        def one(s, length, ties):
-            ties = tuple(sorted(int(a) for a in ties))
-            if length <= EXACT_TREND:
-                hits, total = trend_tail(int(s), ties)
-                return hits <= limit * total
-            var = (length * (length - 1) * (2 * length + 5) - sum(a * (a - 1) * (2 * a + 5) for a in ties)) / 18
-            z = max(0.0, abs(s) - 1) / math.sqrt(var) if var > 0 else 0.0
-            return math.erfc(z / math.sqrt(2)) <= false_alarm
-
-        return pd.Series([one(*row) for row in zip(score, n, sizes)])
-
-    return rejects
+    return judged
 
 
 def tie_sizes(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Multiplicities of each series' values above one, and how many values are single.
+    """How often each multiplicity occurs among a series' values: one entry per (size, how many values have it).
 
-    Only sizes above one are listed, one entry per (size, how often): a short array however long the series.
+    Different sizes of n values number some sqrt(2 n) at most, so the array is short however long the series.
     """
     per = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_t")).groupBy(*keys, "_t").agg(F.count(F.lit(1)).alias("_m"))
     return per.groupBy(*keys).agg(F.collect_list(F.struct(F.col("_t").alias("size"), F.col("_m").alias("times"))).alias("ties"))
@@ -235,20 +191,16 @@ def tie_sizes(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 def trend_test(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], slice_by: Column | None,
                value_slice: Column, false_alarm: float) -> DataFrame:
-    """Kendall score of each series and whether its exact tail is at or under `false_alarm`.
+    """Kendall score of each series, its two-sided tail, and whether that is at or under `false_alarm`.
 
     `trend` is null where the series is too short for any ordering to be that unlikely.
     """
     ranked = doubled_midranks(df, keys, value, value_slice)
     scores = kendall_score(ranked, keys, "rank2", order, slice_by)
     both = match(scores, tie_sizes(df, keys, value), keys)
-    # long series take the normal limit, which needs only sizes above one
-    short = F.col("n") <= EXACT_TREND
-    repeated = F.flatten(F.transform("ties", lambda t: F.array_repeat(
-        t["size"], F.when(short | (t["size"] > 1), t["times"]).otherwise(0).cast("int"))))
     need = exchangeable_minimum_length(false_alarm)
-    out = both.withColumn("trend", _trend_udf(false_alarm)("score", "n", repeated))
-    return out.withColumn("trend", F.when(F.col("n") >= need, F.col("trend"))).drop("ties")
+    out = both.withColumn("_t", _trend_udf(false_alarm)("score", "ties"))
+    return out.select(*keys, "n", "score", F.col("_t.p_trend").alias("p_trend"), F.when(F.col("n") >= need, F.col("_t.trend")).alias("trend"))
 
 
 def _exhaustive_udf():
@@ -309,67 +261,26 @@ def offset_counts(df: DataFrame, keys: Sequence[str], residual: str, tolerance:
         F.bool_and(F.abs(r) <= t).alias("within"))
 
 
-@lru_cache(maxsize=65536)
 def _offset_tail(n: int, k: int) -> float:
-    """2 * P(at least k of n fair signs agree), to full precision at every length.
+    """2 * P(at least k of n fair signs agree), correctly rounded at every length."""
+    return float(nulls.fair_tail(n, k))
 
-    The tail is summed from its largest term down; a tail past the middle is one less its mirror, so
-    the terms always fall and some tens of standard deviations of them count.
-    """
-    if k <= 0:
-        return 2.0
-    if 2 * k <= n:
-        return 2.0 - _offset_tail(n, n - k + 1)
-    term = total = _fair_term(n, k)
-    j = k
-    while j < n and term > total * 1e-18:
-        term *= (n - j) / (j + 1)
-        total += term
-        j += 1
-    return 2.0 * total
-
-
-def _stirling_rest(n: int) -> float:
-    """log(n!) less Stirling's main terms; a series where it has converged, the definition before."""
-    if n <= 15:
-        return math.log(math.factorial(n)) - ((n + 0.5) * math.log(n) - n + 0.5 * math.log(2 * math.pi)) if n else 0.0
-    m = n * n
-    return (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680 - 1 / 1188 / m) / m) / m) / m) / n
-
-
-def _deviance(x: float, mean: float) -> float:
-    """x log(x / mean) + mean - x, without cancellation near the mean."""
-    if abs(x - mean) < 0.1 * (x + mean):
-        v = (x - mean) / (x + mean)
-        s, e, j = (x - mean) * v, 2 * x * v, 1
-        while True:
-            e *= v * v
-            new = s + e / (2 * j + 1)
-            if new == s:
-                return s
-            s, j = new, j + 1
-    return x * math.log(x / mean) + mean - x
-
-
-def _fair_term(n: int, k: int) -> float:
-    """P(exactly k of n fair signs agree), by the saddle-point form of the binomial term."""
-    if k in (0, n):
-        return 2.0**-n
-    rest = _stirling_rest(n) - _stirling_rest(k) - _stirling_rest(n - k) - _deviance(k, n / 2) - _deviance(n - k, n / 2)
-    return math.exp(rest) * math.sqrt(n / (2 * math.pi * k * (n - k)))
-
-
-@F.pandas_udf(T.DoubleType())
-def offset_tail(n: pd.Series, k: pd.Series) -> pd.Series:
-    return pd.Series([_offset_tail(int(a), int(b)) for a, b in zip(n, k)])
+
+def _offset_udf(false_alarm: float):
+    @F.pandas_udf("p_offset double, offset boolean")
+    def judged(n: pd.Series, k: pd.Series) -> pd.DataFrame:
+        pairs = [(int(a), int(b)) for a, b in zip(n, k)]
+        return pd.DataFrame({"p_offset": [_offset_tail(*x) for x in pairs], "offset": [nulls.offset_rejects(*x, false_alarm) for x in pairs]})
+
+    return judged
 
 
 def offset_test(df: DataFrame, keys: Sequence[str], residual: str, tolerance: str, false_alarm: float) -> DataFrame:
     """Whether more residuals lie beyond their tolerance on one side than fair signs allow."""
     counts = offset_counts(df, keys, residual, tolerance)
-    p = offset_tail("n", F.greatest("above", "below"))
+    judged = counts.withColumn("_o", _offset_udf(false_alarm)("n", F.greatest("above", "below")))
     need = offset_minimum_length(false_alarm)
-    return counts.withColumn("p_offset", p).withColumn("offset", F.when(F.col("n") >= need, F.col("p_offset") <= false_alarm))
+    return judged.select(*counts.columns, F.col("_o.p_offset").alias("p_offset"), F.when(F.col("n") >= need, F.col("_o.offset")).alias("offset"))
 
 
 def classify_residuals(df: DataFrame, keys: Sequence[str], window: str, residual: str, tolerance: str,

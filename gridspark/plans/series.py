@@ -113,9 +113,38 @@ def ser5(spark, sf):
     return series.kendall_score(ranked(spark, sf), ["user_id"], "rank2", ORDER, by_hours())
 
 
-@query("ser5_trend_test")
+# The exact tail of a score: over a period of more points than the score has values, that no tie size divides,
+# the characteristic function of the inversions gives the whole distribution.
+_TREND = f"""
+    WITH scores AS MATERIALIZED (
+           SELECT a.user_id, sum(CASE WHEN b.rank2 > a.rank2 THEN 1 WHEN b.rank2 < a.rank2 THEN -1 ELSE 0 END)::BIGINT AS score
+           FROM {_RANKS} a JOIN {_RANKS} b ON a.user_id = b.user_id AND (a.ts, a.event_id) < (b.ts, b.event_id) GROUP BY 1),
+         sizes AS MATERIALIZED (SELECT user_id, value, count(*) AS a FROM events GROUP BY 1, 2),
+         series AS MATERIALIZED (
+           SELECT user_id, n, coalesce(score, 0) AS score, (pairs // 840 + 1) * 840 + 1 AS period FROM (
+             SELECT user_id, sum(a)::BIGINT AS n, (sum(a) * (sum(a) - 1) / 2 - sum(a * (a - 1) / 2))::BIGINT AS pairs FROM sizes GROUP BY 1)
+           LEFT JOIN scores USING (user_id)),
+         factors AS MATERIALIZED (
+           SELECT user_id, unnest(range(2, n + 1)) AS m, 1 AS side FROM series
+           UNION ALL SELECT user_id, unnest(range(2, a + 1)), -1 FROM sizes),
+         waves AS (SELECT user_id, period, score, unnest(range(1, (period - 1) // 2 + 1)) AS r FROM series),
+         phi AS (
+           SELECT user_id, any_value(period) AS period, any_value(score) AS score, r,
+                  product(pow(sin(pi() * ((m * r) % (2 * period)) / period) / (m * sin(pi() * r / period)), side)) AS f
+           FROM waves JOIN factors USING (user_id) GROUP BY user_id, r),
+         tails AS (
+           SELECT user_id, 2 * (any_value(edge) + 0.5 - any_value(abs(score)) / 2
+                  + 2 * sum(f * (sin(2 * pi() * r * edge / period) - sin(2 * pi() * r / period * (abs(score) / 2 - 0.5))) / (2 * sin(pi() * r / period)))) / any_value(period) AS p
+           FROM (SELECT *, (period - abs(score) % 2) / 2 AS edge FROM phi) GROUP BY user_id)
+    SELECT user_id, n, score, CASE WHEN score = 0 THEN 1.0 ELSE round(coalesce(p, 1.0), 9) END AS p_trend,
+           CASE WHEN n >= 5 THEN score <> 0 AND coalesce(p, 1.0) <= 0.05 END AS trend
+    FROM series LEFT JOIN tails USING (user_id)"""
+
+
+@query("ser5_trend_test", _TREND)
 def ser5_trend(spark, sf):
-    return series.trend_test(events(spark, sf), ["user_id"], "value", ORDER, by_hours(), value_slice("value", 50.0), 0.05)
+    out = series.trend_test(events(spark, sf), ["user_id"], "value", ORDER, by_hours(), value_slice("value", 50.0), 0.05)
+    return out.withColumn("p_trend", r6(F.col("p_trend"), 9))
 
 
 def residuals(spark, sf):
@@ -133,11 +162,20 @@ def ser6(spark, sf):
                                              value_slice("residual", 50.0), 0.05, 60, seed=7)
 
 
-@query("ser7_offset_test", """
-    SELECT user_id, count(*) AS n, sum(CASE WHEN value - 20 > 15 THEN 1 ELSE 0 END)::BIGINT AS above,
-           sum(CASE WHEN value - 20 < -15 THEN 1 ELSE 0 END)::BIGINT AS below FROM events GROUP BY 1""")
+_OFFSET = """
+    WITH counts AS (
+           SELECT user_id, count(*) AS n, sum(CASE WHEN value - 20 > 15 THEN 1 ELSE 0 END)::BIGINT AS above,
+                  sum(CASE WHEN value - 20 < -15 THEN 1 ELSE 0 END)::BIGINT AS below, bool_and(abs(value - 20) <= 15) AS within
+           FROM events GROUP BY 1),
+         terms AS (SELECT user_id, n, unnest(range(greatest(above, below), n + 1)) AS j FROM counts),
+         tails AS (SELECT user_id, 2 * sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) - n * ln(2))) AS p FROM terms GROUP BY 1)
+    SELECT user_id, n, above, below, within, round(p, 9) AS p_offset, CASE WHEN n >= 6 THEN p <= 0.05 END AS "offset"
+    FROM counts JOIN tails USING (user_id)"""
+
+
+@query("ser7_offset_test", _OFFSET)
 def ser7(spark, sf):
-    return series.offset_test(residuals(spark, sf), ["user_id"], "residual", "tolerance", 0.05).select("user_id", "n", "above", "below")
+    return series.offset_test(residuals(spark, sf), ["user_id"], "residual", "tolerance", 0.05).withColumn("p_offset", r6(F.col("p_offset"), 9))
 
 
 @query("ser8_classify_residuals")

@@ -3,12 +3,14 @@
 import itertools
 import math
 import random
+from collections import Counter
 from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
 from gridspark.contracts import Refusal
+from gridspark.functions import nulls
 from gridspark.operators import series
 from gridspark.operators.ordered import value_slice
 
@@ -32,6 +34,82 @@ def test_minimum_lengths():
     assert series._offset_tail(10, 8) == float(Fraction(2 * sum(math.comb(10, j) for j in (8, 9, 10)), 1024))
 
 
+def spread(sizes):
+    return tuple(sorted(Counter(sizes).items()))
+
+
+def test_tails_of_short_series_equal_enumeration():
+    rng = random.Random(6)
+    for _ in range(150):
+        sizes = tuple(sorted(Counter(rng.randrange(rng.randrange(1, 30)) for _ in range(rng.randrange(1, 36))).values()))
+        pairs = nulls.unequal_pairs(spread(sizes))
+        for s in {pairs, pairs - 2 * rng.randrange(pairs + 1), pairs % 2}:
+            hits, total = series.trend_tail(s, sizes)
+            p, error = nulls.trend_p(abs(s), spread(sizes))
+            assert abs(p - hits / total) <= error < 1e-11
+            assert nulls.trend_rejects(s, spread(sizes), hits / total) == (Fraction(hits, total) <= Fraction(hits / total))
+
+
+@pytest.mark.parametrize("sizes", [(1,) * 120, (1,) * 60 + (3,) * 20, (1,) * 90 + (30,), (60, 60), (1, 119)])
+def test_tails_of_middling_series_equal_enumeration(sizes):
+    ties, spreadout = spread(sizes), math.sqrt(nulls.inversion_variance(spread(sizes)))
+    pairs = nulls.unequal_pairs(ties)
+    for z in (0.3, 1.6, 3.1, 5.0):
+        s = min(pairs, int(2 * z * spreadout))
+        s -= (pairs - s) % 2
+        hits, total = series.trend_tail(s, sizes)
+        p, error = nulls.trend_p(s, ties)
+        assert abs(p - float(Fraction(hits, total))) <= error < 1e-11
+
+
+@pytest.mark.parametrize("sizes", [(1,) * 256, (1,) * 257, (1,) * 1000, (1,) * 200 + (4,) * 14, (1,) * 100 + (200,)])
+def test_tails_hold_between_few_and_all_frequencies(monkeypatch, sizes):
+    """At lengths beyond enumeration the short sum equals the one over every frequency of the period."""
+    ties = spread(sizes)
+    pairs, wide = nulls.unequal_pairs(ties), 2 * math.sqrt(nulls.inversion_variance(ties))
+    scores = [int(z * wide) - (pairs - int(z * wide)) % 2 for z in (1.96, 4.9)]
+    few = [nulls.trend_p(s, ties) for s in scores]
+    monkeypatch.setattr(nulls, "DEPTH", 1e9)
+    nulls.trend_p.cache_clear()
+    every = [nulls.trend_p(s, ties) for s in scores]
+    nulls.trend_p.cache_clear()
+    for (p, e), (q, f) in zip(few, every):
+        assert abs(p - q) <= e + f < 1e-10
+    # No step between lengths: the tail at a fixed depth is smooth in n and tends to the normal one.
+    assert few[0][0] == pytest.approx(math.erfc(1.96 / math.sqrt(2)), rel=0.05)
+
+
+def test_the_verdict_is_exact_where_a_normal_limit_is_not():
+    # n = 180 at one in a million: the exact critical score is 3914, that of the normal limit 3956.
+    ties = ((1, 180),)
+    critical = min(s for s in range(3800, 4000, 2) if nulls.trend_rejects(s, ties, 1e-6))
+    hits, total = series.trend_tail(critical, (1,) * 180)
+    assert critical == 3914 and hits <= Fraction(1e-6) * total
+    hits, total = series.trend_tail(critical - 2, (1,) * 180)
+    assert hits > Fraction(1e-6) * total
+
+
+def test_long_series_are_judged(spark):
+    rng = random.Random(9)
+    groups = {f"n{n}": [0.002 * i + rng.gauss(0, 1) for i in range(n)] for n in (256, 257, 1000)} | {"flat": [rng.gauss(0, 1) for _ in range(1000)], "same": [1.0] * 300}
+    out = series.trend_test(frame(spark, groups), ["g"], "r", ["w"], value_slice("w", 100.0), value_slice("r", 1.0), 0.01)
+    for r in out.collect():
+        s = score(groups[r["g"]])
+        p, _ = nulls.trend_p(abs(s), spread(Counter(groups[r["g"]]).values()))
+        assert r["score"] == s and r["p_trend"] == p and r["trend"] == (p <= 0.01)
+    assert {r["g"] for r in out.filter("trend").collect()} >= {"n1000"} and not out.filter("g in ('flat', 'same') and trend").count()
+
+
+def test_fair_signs_decide_exact_ties():
+    for n in range(6, 60, 7):
+        for k in range(n // 2, n + 1):
+            exact = Fraction(2 * sum(math.comb(n, j) for j in range(k, n + 1)), 2**n)
+            if exact <= 1:
+                assert float(nulls.fair_tail(n, k)) == float(exact)
+                assert nulls.offset_rejects(n, k, float(exact)) == (exact <= Fraction(float(exact)))
+                assert not nulls.offset_rejects(n, k, math.nextafter(float(exact), 0.0)) or exact <= Fraction(math.nextafter(float(exact), 0.0))
+
+
 def frame(spark, groups):
     rows = [(g, float(i), float(x), 1.0) for g, xs in groups.items() for i, x in enumerate(xs)]
     return spark.createDataFrame(rows, "g string, w double, r double, tol double").repartition(5)
