@@ -30,6 +30,7 @@ PERCENT = 75
 BANDS, ROWS = 51, 5
 BITS = 2
 SMALL = 16            # members of a bucket whose pairs are all candidates
+CHUNK = 1024          # holders of one shingle that meet as one list, about
 MARGIN = 6.0          # standard errors below the threshold at which an estimate rules a pair out
 
 _U = np.uint64
@@ -278,13 +279,14 @@ def _labels(links: DataFrame) -> DataFrame:
     return settled(components(both.select("cell").distinct(), both).select(F.col("cell").alias("node"), "label"))
 
 
-def _apart(split: DataFrame, sets: _Sets, small: int) -> DataFrame | None:
-    """Candidate pairs, none missed, between components that share a larger bucket.
+def _apart(split: DataFrame, sets: _Sets, sigs: DataFrame, small: int, chunk: int = CHUNK) -> DataFrame | None:
+    """Pairs, none missed, between components that share a larger bucket, as far as their signatures let them.
 
     Shingles are ordered by rarity. Two sets similar by at least p share one of their first
     n - ceil(p n) + 1, and the first one they share stands early enough in both for the rest to suffice.
     One side of a pair lies outside a bucket's largest component, so a settled group of copies is not
-    paired with itself.
+    paired with itself. The holders of a shingle meet as lists of about `chunk` members, one row for each
+    pair of lists; a pair of documents becomes a row only when its positions and signatures allow a link.
     """
     there = split.filter(F.col("m") > small).select("key", "node", "label")
     main = there.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label"))["label"].alias("main"))
@@ -297,11 +299,56 @@ def _apart(split: DataFrame, sets: _Sets, small: int) -> DataFrame | None:
     order = F.row_number().over(W.partitionBy("node").orderBy("df", "s"))
     prefix = shingles.join(df, "s").withColumn("r", order).filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * share) + 1)
     prefix = settled(prefix.filter("df > 1").select("node", "s", "n", "r").join(who, "node"))
-    stray = prefix.filter("stray = 1").select("s", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("r").alias("rx"))
-    need = F.ceil((F.col("n") + F.col("nx")) * (share / (1 + share)) - 1e-9)
-    fits = (F.least(F.col("n") - F.col("r"), F.col("nx") - F.col("rx")) + 1 >= need) & (F.col("label") != F.col("lx"))
-    met = prefix.alias("p").join(stray.alias("q"), (F.col("p.s") == F.col("q.s")) & fits)
-    return met.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+    held = prefix.groupBy("s").agg(F.count("*").alias("c"), F.max("stray").alias("any"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    held = settled(held.filter("any = 1 and lo < hi").select("s", F.ceil(F.col("c") / chunk).cast("int").alias("lists")))
+    rows = prefix.join(held, "s").join(sigs, "node").withColumn("i", F.pmod(F.xxhash64("node"), F.col("lists")).cast("int"))
+    member = F.struct("node", "label", F.col("n").cast("int").alias("n"), F.col("r").cast("int").alias("r"), F.col("stray").cast("int").alias("stray"), "sig")
+    lists = settled(rows.groupBy("s", "lists", "i").agg(F.collect_list(member).alias("one")))
+    alone = lists.select("one", F.lit(None).cast(lists.schema["one"].dataType).alias("two"))
+    right = lists.filter("lists > 1").select("s", F.col("i").alias("j"), F.col("one").alias("two"))
+    left = lists.filter("lists > 1").select("s", "one", F.explode(F.filter(F.sequence(F.lit(0), F.col("lists") - 1), lambda j: j > F.col("i"))).alias("j"))
+    return alone.unionByName(left.join(right, ["s", "j"]).select("one", "two")).mapInArrow(_passing(share, least_estimate(sets.percent)), "a long, b long").distinct()
+
+
+def _columns(lists: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """(ends of the lists, their members' fields) of a column of lists of members; a missing list is empty."""
+    size = np.asarray(lists.value_lengths().fill_null(0))
+    flat = lists.flatten()
+    out = {c: np.asarray(flat.field(c)) for c in ("node", "label", "n", "r", "stray")}
+    sig = b"".join(flat.field("sig").to_pylist())
+    return np.r_[0, np.cumsum(size)], out | {"sig": np.frombuffer(sig, np.uint8).reshape(len(flat), -1) if len(flat) else np.zeros((0, 0), np.uint8)}
+
+
+def _passing(share: float, least: float):
+    """Pairs of two lists of holders of one shingle, or of one list, that positions and signatures allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            (e1, one), (e2, two) = _columns(batch["one"]), _columns(batch["two"])
+            single = ~np.asarray(batch["two"].is_valid())
+            for k in range(batch.num_rows):
+                x = {c: v[e1[k]:e1[k + 1]] for c, v in one.items()}
+                y = x if single[k] else {c: v[e2[k]:e2[k + 1]] for c, v in two.items()}
+                # Some rows of the first list at a time, so that the pairs in hand stay few.
+                step = max(1, (1 << 18) // max(1, len(y["node"])))
+                for lo in range(0, len(x["node"]), step):
+                    part = {c: v[lo:lo + step] for c, v in x.items()}
+                    able = (part["label"][:, None] != y["label"]) & ((part["stray"][:, None] | y["stray"]) == 1)
+                    if single[k]:
+                        able &= part["node"][:, None] < y["node"]
+                    i, j = np.nonzero(able)
+                    need = np.ceil((part["n"][i] + y["n"][j]) * (share / (1 + share)) - 1e-9)
+                    fit = np.minimum(part["n"][i] - part["r"][i], y["n"][j] - y["r"][j]) + 1 >= need
+                    i, j = i[fit], j[fit]
+                    if len(i):
+                        near = estimates(part["sig"][i], y["sig"][j]) >= least
+                        a, b = part["node"][i[near]], y["node"][j[near]]
+                        if len(a):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return run
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,7 +358,7 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node), pa.int64()), pa.array(np.full(len(s), len(s)), pa.int32()), pa.array(s)], names=["node", "n", "s"])
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, small: int = SMALL) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, small: int = SMALL, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, k, n_shingles, component_id, kept) of every row; `k` is the row's key.
 
     A text without words is linked with nothing and is its own component. A row with a null doc_id is
@@ -340,9 +387,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, small: int = SMALL)
         links = settled(links.unionByName(sets.confirm(rest)))
         labels = _labels(links)
         split = settled(split_buckets(split.select("key", "node"), labels))
-    apart = _apart(split, sets, small)
+    apart = _apart(split, sets, sigs, small, chunk)
     if apart is not None:
-        links = links.unionByName(sets.confirm(hopeful(apart)))
+        links = links.unionByName(sets.confirm(settled(apart)))
         labels = _labels(links)
     placed = nodes.select("d1", "d2", "n", "node").join(labels, "node", "left").select("d1", "d2", "n", F.coalesce("label", "node").alias("component"))
     out = prints.select("doc_id", "k", "n", "d1", "d2").join(placed, ["d1", "d2", "n"], "left")

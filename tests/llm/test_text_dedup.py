@@ -184,13 +184,44 @@ def groups():
     return rows
 
 
-@pytest.mark.parametrize("small", [minhash.SMALL, 2])
-def test_near_duplicates_equal_brute_force(sp, groups, small):
-    got = near_duplicates(crowded(texts(sp, groups)), small=small).collect()
+@pytest.mark.parametrize("small, chunk", [(minhash.SMALL, minhash.CHUNK), (2, minhash.CHUNK), (2, 7)])
+def test_near_duplicates_equal_brute_force(sp, groups, small, chunk):
+    got = near_duplicates(crowded(texts(sp, groups)), small=small, chunk=chunk).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_near(groups)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_similar_documents_without_links_make_few_rows(sp, monkeypatch):
+    """A passage that two thousand documents share, none of them linked: their pairs never become rows."""
+    rng = random.Random(12)
+    passage = prose(rng, 100)
+    rows = [(i, passage + " " + prose(rng, 100)) for i in range(2000)]
+    made, plain = [], minhash._apart
+
+    def counted(*given):
+        out = plain(*given)
+        made.append(0 if out is None else out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "_apart", counted)
+    got = near_duplicates(texts(sp, rows), small=2).collect()
+    assert len(got) == 2000 and all(r.kept for r in got)
+    assert made and max(made) < 2000
+
+
+def test_bands_miss_hardly_a_pair_at_the_threshold():
+    """Pairs of similarity 0.75 exactly share a band, and their bands agree as often as in theory."""
+    rng = np.random.default_rng(8)
+    met, missed = 0, 0
+    for _ in range(300):
+        pool = rng.integers(0, 1 << 63, 200 * 8 // 7, dtype=np.int64).astype(np.uint64)
+        one, two = pool[:200], np.r_[pool[:172], pool[200:228]]   # 172 of 228: similarity 0.754
+        a, b = (minhash.band_keys(minhash.minima(x)) for x in (one, two))
+        met += int((a == b).sum())
+        missed += not (a == b).any()
+    assert missed == 0 and abs(met / 300 / minhash.BANDS - 0.754**minhash.ROWS) < 0.02
+
+
 def test_near_duplicates_in_an_empty_table(sp):
     assert near_duplicates(texts(sp, [])).count() == 0
     assert near_duplicates(texts(sp, [(1, None), (2, "a")])).count() == 2
