@@ -30,6 +30,7 @@ PERCENT = 75
 BANDS, ROWS = 51, 5
 BITS = 2
 SMALL = 16            # members of a bucket whose pairs are all candidates
+SLOTS = 1 << 20       # counts that shingles are ordered by, whatever the size of the corpus
 CHUNK = 1024          # holders of one shingle that meet as one list, about
 MARGIN = 6.0          # standard errors below the threshold at which an estimate rules a pair out
 
@@ -282,8 +283,10 @@ def _labels(links: DataFrame) -> DataFrame:
 def _apart(split: DataFrame, sets: _Sets, sigs: DataFrame, small: int, chunk: int = CHUNK) -> DataFrame | None:
     """Pairs, none missed, between components that share a larger bucket, as far as their signatures let them.
 
-    Shingles are ordered by rarity. Two sets similar by at least p share one of their first
+    Shingles are ordered by how often their slot of a table of `SLOTS` counts is met, rare ones first; any
+    order that all documents share does. Two sets similar by at least p share one of their first
     n - ceil(p n) + 1, and the first one they share stands early enough in both for the rest to suffice.
+    Only those first ones become rows.
     One side of a pair lies outside a bucket's largest component, so a settled group of copies is not
     paired with itself. The holders of a shingle meet as lists of about `chunk` members, one row for each
     pair of lists; a pair of documents becomes a row only when its positions and signatures allow a link.
@@ -294,11 +297,11 @@ def _apart(split: DataFrame, sets: _Sets, sigs: DataFrame, small: int, chunk: in
     if who.isEmpty():
         return None
     share = sets.percent / 100
-    shingles = settled(sets.of(who).mapInArrow(_exploded, "node long, n int, s long"))
-    df = shingles.groupBy("s").agg(F.count("*").alias("df"))
-    order = F.row_number().over(W.partitionBy("node").orderBy("df", "s"))
-    prefix = shingles.join(df, "s").withColumn("r", order).filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * share) + 1)
-    prefix = settled(prefix.filter("df > 1").select("node", "s", "n", "r").join(who, "node"))
+    full = settled(sets.of(who))
+    tallies = full.mapInArrow(_tallies, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1").toArrow()
+    rarity = np.ones(SLOTS, np.uint16)
+    rarity[np.asarray(tallies["slot"])] = np.minimum(np.asarray(tallies["n"]), 65535)
+    prefix = settled(full.mapInArrow(_prefixes(rarity, sets.percent), "node long, n int, s long, r int").join(who, "node"))
     held = prefix.groupBy("s").agg(F.count("*").alias("c"), F.max("stray").alias("any"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     held = settled(held.filter("any = 1 and lo < hi").select("s", F.ceil(F.col("c") / chunk).cast("int").alias("lists")))
     rows = prefix.join(held, "s").join(sigs, "node").withColumn("i", F.pmod(F.xxhash64("node"), F.col("lists")).cast("int"))
@@ -351,11 +354,33 @@ def _passing(share: float, least: float):
     return run
 
 
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles by slot, added up in each task."""
+    total = np.zeros(SLOTS, np.int64)
     for batch in batches:
-        for node, raw in zip(batch["node"].to_pylist(), batch["set"]):
-            s = np.frombuffer(raw.as_py(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node), pa.int64()), pa.array(np.full(len(s), len(s)), pa.int32()), pa.array(s)], names=["node", "n", "s"])
+        for raw in batch["set"]:
+            # A set names a shingle once and may meet a slot twice.
+            np.add.at(total, (np.frombuffer(raw.as_py(), _U) & _U(SLOTS - 1)).astype(np.int64), 1)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["slot", "n"])
+
+
+def _prefixes(rarity: np.ndarray, percent: int):
+    """The rarest shingles of each set that a similar set must share one of, with their places; unshared ones are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, raw in zip(batch["node"].to_pylist(), batch["set"]):
+                s = np.frombuffer(raw.as_py(), _U)
+                n = len(s)
+                often = rarity[(s & _U(SLOTS - 1)).astype(np.int64)]
+                first = np.lexsort((s, often))[:n + (-n * percent // 100) + 1]
+                place = np.flatnonzero(often[first] > 1)
+                if len(place):
+                    m = len(place)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, node)), pa.array(np.full(m, n, np.int32)), pa.array(s[first[place]].view(np.int64)), pa.array((place + 1).astype(np.int32))], names=["node", "n", "s", "r"])
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, small: int = SMALL, chunk: int = CHUNK) -> DataFrame:
