@@ -21,7 +21,7 @@ from gridspark.contracts import (
 )
 from gridspark.functions import cells, numeric
 from gridspark.operators import reduce
-from gridspark.operators.ordered import match
+from gridspark.operators.ordered import PARTS, match
 
 LEDGER = ("quantity", "class", "residual", "tolerance", "losses", "closed")
 
@@ -115,7 +115,7 @@ def coarsen_mean(df: DataFrame, value: str, measure: str, depth: int, dims: Sequ
 
 
 def coarsen_quantiles(df: DataFrame, value: str, depth: int, probabilities: Sequence[float],
-                      dims: Sequence[str] = (), parts: int = 256) -> DataFrame:
+                      dims: Sequence[str] = (), parts: int = PARTS) -> DataFrame:
     """One column per probability: p0, p1, ... in the order given."""
     keys = ["coarse", *dims]
     tall = reduce.segmented_quantile(_coarse(df, depth), keys, value, probabilities, parts)

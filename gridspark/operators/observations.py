@@ -132,7 +132,7 @@ def site_statistics(df: DataFrame, site: str, value: str, when: str, good: Colum
         sd.alias("sd"), F.avg(good.cast("double")).alias("frac_good"))
     tally = df.groupBy(site, datum).agg(F.count(F.lit(1)).alias("_n"))
     maps = tally.groupBy(site).agg(F.map_from_entries(F.collect_list(F.struct(F.col(datum), F.col("_n")))).alias("n_by_datum"))
-    median = segmented_median(df, [site], value, parts=64)
+    median = segmented_median(df, [site], value)
     return match(match(stats, median, [site], "left"), maps, [site], "left")
 
 

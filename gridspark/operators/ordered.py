@@ -9,6 +9,7 @@ table has one row per slice, never one per input row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -225,38 +226,53 @@ def top_k(df: DataFrame, k: int, order: Sequence[Column], keys: Sequence[str], s
     )
 
 
-def order_statistics(df: DataFrame, keys: Sequence[str], value: str, rank_of, parts: int = 256) -> DataFrame:
-    """Exact order statistics by counting, in two narrowing passes.
+PARTS = 1024           # slices that a key with many different values is cut into
+BOUND = 1 << 16        # different values that are ordered together without being cut
+_ACCURACY = 10_000     # of the quantile sketch: a cut is off by a ten-thousandth of the key's values at most
 
-    Equal values collapse to one counted row first, so a hot value costs one row. The values of a
-    key are cut into `parts` equal-width slices; only the slices that hold a wanted rank are
-    ordered. `rank_of(n)` gives an ARRAY of `{tag, rank}` structs for a key of n values.
+
+def cut_by_value(rows: DataFrame, keys: Sequence[str], value: str, name: str, parts: int = PARTS, bound: int = BOUND) -> DataFrame:
+    """`rows` with a slice number that never decreases along `value` within each key.
+
+    The cut points of a key are quantiles of its rows, from a mergeable sketch, so the slices hold about
+    as many rows each whatever the distribution; rows of one value stay together. A key of at most
+    `bound` rows is one slice. Keys must not be null; with no key there is one set of cuts.
+    """
+    number, step = F.col(value).cast("double"), max(1, math.isqrt(parts))
+    quantiles = F.percentile_approx(number, [i / parts for i in range(1, parts)], _ACCURACY)
+    if not keys:
+        found = rows.agg(F.count(F.lit(1)).alias("d"), quantiles.alias("cuts")).select(F.struct("d", "cuts")).scalar()
+        placed = rows.withColumn("_p", found).withColumns({"_d": F.col("_p.d"), "_cuts": F.when(F.col("_p.d") > bound, F.col("_p.cuts"))}).drop("_p")
+    else:
+        sized = match(rows, rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")), keys)
+        points = sized.filter(F.col("_d") > bound).groupBy(*keys).agg(quantiles.alias("_cuts"))
+        placed = match(sized, points, keys, "left")
+    # Every `step`-th cut first, then the cuts between two of those.
+    far = step * F.size(F.filter(F.transform(F.sequence(F.lit(step), F.lit(parts - 1), F.lit(step)), lambda i: F.get("_cuts", i - 1)), lambda c: c < number))
+    near = F.size(F.filter(F.slice("_cuts", F.col("_far") + 1, step), lambda c: c < number))
+    placed = placed.withColumn("_far", F.when(F.col("_cuts").isNotNull(), far if step < parts else F.lit(0)))
+    at = F.when(F.col("_cuts").isNotNull(), F.col("_far") + near).otherwise(0)
+    return placed.withColumn(name, at.cast("bigint")).drop("_d", "_cuts", "_far")
+
+
+def order_statistics(df: DataFrame, keys: Sequence[str], value: str, rank_of, parts: int = PARTS, bound: int = BOUND) -> DataFrame:
+    """Exact order statistics by counting, in two narrowing passes, for any distribution.
+
+    Equal values collapse to one counted row first, so a hot value costs one row. A key of more than
+    `bound` different values is cut at quantiles of them into `parts` slices, which are counted exactly;
+    only the slices that hold a wanted rank are ordered. `rank_of(n)` gives an ARRAY of `{tag, rank}`
+    structs for a key of n values.
     """
     rows, group = _grouped(df.filter(F.col(value).isNotNull()), keys)
     counted = rows.groupBy(*group, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    spread = counted.groupBy(*group).agg(
-        F.min("_v").cast("double").alias("_lo"), F.max("_v").cast("double").alias("_hi"),
-        F.sum("_c").alias("_n"),
-    )
-    if group:
-        placed = match(counted, spread, group)
-    else:
-        placed = counted.withColumn("_one", spread.select(F.struct("_lo", "_hi", "_n")).scalar()).select("_v", "_c", "_one.*")
-    cut = F.when(F.col("_hi") > F.col("_lo"),
-                 F.least(F.lit(parts - 1), F.floor((F.col("_v").cast("double") - F.col("_lo"))
-                         / (F.col("_hi") - F.col("_lo")) * parts)))
-    placed = placed.withColumn(SLICE, F.coalesce(cut.cast("bigint"), F.lit(0).cast("bigint")))
+    placed = cut_by_value(counted, group, "_v", SLICE, parts, bound)
+    per = placed.groupBy(*group, SLICE).agg(F.sum("_c").alias("_s"))
+    per = per.withColumn("_n", F.sum("_s").over(Window.partitionBy(*group))).withColumn("_o", F.coalesce(F.sum("_s").over(_before(group)), F.lit(0)))
+    hits = F.filter(rank_of(F.col("_n")), lambda w: (w["rank"] > F.col("_o")) & (w["rank"] <= F.col("_o") + F.col("_s")))
+    wanted = per.withColumn("_w", hits).filter(F.size("_w") > 0).select(*group, SLICE, F.col("_o").alias("_off"), "_w")
     ks = [*group, SLICE]
-    per = placed.groupBy(*ks).agg(F.sum("_c").alias("_s"), F.max("_n").alias("_n"))
-    wanted = (
-        per.withColumn("_off", F.coalesce(F.sum("_s").over(_before(group)), F.lit(0)))
-        .withColumn("_w", F.filter(rank_of(F.col("_n")), lambda w: (w["rank"] > F.col("_off"))
-                                   & (w["rank"] <= F.col("_off") + F.col("_s"))))
-        .filter(F.size("_w") > 0)
-        .select(*ks, "_off", "_w")
-    )
     upto = Window.partitionBy(*ks).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    run = match(placed.drop("_n", "_lo", "_hi"), wanted, ks).withColumn("_cum", F.sum("_c").over(upto) + F.col("_off"))
+    run = match(placed, wanted, ks).withColumn("_cum", F.sum("_c").over(upto) + F.col("_off"))
     hit = F.filter("_w", lambda w: (w["rank"] > F.col("_cum") - F.col("_c")) & (w["rank"] <= F.col("_cum")))
     return run.select(*group, F.col("_v").alias("value"), F.explode(hit).alias("_h")).select(
         *_ungrouped(run, keys, group), F.col("_h.tag").alias("tag"), F.col("_h.rank").alias("rank"), "value"

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from gridspark.contracts import raise_if_any, require
 from gridspark.functions import numeric
-from gridspark.operators.ordered import match, numbered, order_statistics
+from gridspark.operators.ordered import PARTS, match, numbered, order_statistics
 
 BLOCK = 256  # fixed value: terms folded in order before block sums are combined
 FAN = 2048  # block sums combined per task and stage
@@ -213,7 +213,7 @@ def class_shares_wide(df: DataFrame, keys: Sequence[str], label: str, w: Column,
 
 
 def segmented_quantile(df: DataFrame, keys: Sequence[str], x: str, probabilities: Sequence[float],
-                       parts: int = 256) -> DataFrame:
+                       parts: int = PARTS) -> DataFrame:
     """The element at rank clamp(ceil(q n), 1, n) of each group, for every probability: (keys, q, value)."""
     for q in probabilities:
         require(0.0 <= q <= 1.0, "probability", "segmented_quantile", f"{q} is outside [0, 1]")
@@ -226,7 +226,7 @@ def segmented_quantile(df: DataFrame, keys: Sequence[str], x: str, probabilities
 
 
 def segmented_median(df: DataFrame, keys: Sequence[str], x: str, name: str = "median",
-                     parts: int = 256) -> DataFrame:
+                     parts: int = PARTS) -> DataFrame:
     """The median that averages the middle pair of an even count."""
 
     def ranks(n):

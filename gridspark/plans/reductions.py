@@ -105,7 +105,7 @@ def agg8(spark, sf):
     SELECT {ANC} AS coarse, CAST({q} AS DOUBLE) AS q, quantile_disc(l_extendedprice, {q}) AS value
     FROM lineitem GROUP BY 1""" for q in (0.1, 0.5, 0.9)))
 def agg9(spark, sf):
-    return reduce.segmented_quantile(coarse(spark, sf), ["coarse"], "l_extendedprice", [0.1, 0.5, 0.9], parts=16)
+    return reduce.segmented_quantile(coarse(spark, sf), ["coarse"], "l_extendedprice", [0.1, 0.5, 0.9])
 
 
 @query("agg10_area_weighted_sum", f"""

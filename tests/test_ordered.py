@@ -1,5 +1,6 @@
 """Sliced ordered operators against plain windows, with one key holding most rows."""
 
+import math
 import random
 
 import pytest
@@ -54,12 +55,12 @@ def test_null_keys_are_kept(spark):
     assert ordered.numbered(df, ["t"], F.lit(0), ["k"]).count() == 3
 
 
-@pytest.mark.parametrize("parts", [1, 4, 64])
-def test_order_statistics(rows, parts):
+@pytest.mark.parametrize("parts, bound", [(2, 1), (4, 1), (64, 1 << 16)])
+def test_order_statistics(rows, parts, bound):
     def ranks(n):
         return F.array(*[F.struct(F.lit(float(r)).alias("tag"), F.least(n, F.lit(r)).cast("bigint").alias("rank")) for r in (1, 7, 10**6)])
 
-    got = {(r["k"], r["tag"]): r["value"] for r in ordered.order_statistics(rows, ["k"], "v", ranks, parts).collect()}
+    got = {(r["k"], r["tag"]): r["value"] for r in ordered.order_statistics(rows, ["k"], "v", ranks, parts, bound).collect()}
     by = {}
     for r in rows.collect():
         if r["v"] is not None:
@@ -80,3 +81,46 @@ def test_null_keys_of_every_kind(spark):
         one = lambda n: F.array(F.struct(F.lit(0.0).alias("tag"), F.lit(1).cast("bigint").alias("rank")))
         got = {tuple(map(str, r[:-1])): r[-1] for r in ordered.order_statistics(df, keys, "id", one, 4).select(*keys, "value").collect()}
         assert got == {tuple(map(str, r[:-1])): r[-1] for r in df.groupBy(*keys).agg(F.min("id")).collect()}
+
+
+def skewed(spark, n):
+    """A hot key with one far outlier, a heavy value, a dense cluster and a heavy tail, and a small key."""
+    rng = random.Random(n)
+    values = [1e12, -1e15] + [7.0] * (n // 2) + [7.0 + i * 1e-9 for i in range(n // 2)] + [rng.paretovariate(0.3) for _ in range(n // 2)]
+    rows = [("hot", v) for v in values] + [("cold", float(i)) for i in range(5)] + [(None, float("inf")), (None, float("nan")), (None, 2.0), ("hot", None)]
+    rng.shuffle(rows)
+    return rows, spark.createDataFrame(rows, "k string, v double").repartition(7)
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+@pytest.mark.parametrize("n, bound", [(400, 10), (4000, 100), (20000, 1 << 16)])
+def test_order_statistics_of_any_distribution(spark, n, bound, keys):
+    rows, df = skewed(spark, n)
+    tags = (0.0, 0.1, 0.5, 0.9, 0.999, 1.0)
+
+    def ranks(m):
+        return F.array(*[F.struct(F.lit(q).alias("tag"), F.greatest(F.lit(1), F.ceil(m * q)).cast("bigint").alias("rank")) for q in tags])
+
+    groups = {}
+    for k, v in rows:
+        if v is not None:
+            groups.setdefault((k,) if keys else (), []).append(v)
+    got = ordered.order_statistics(df, keys, "v", ranks, 16, bound).collect()
+    found = {(tuple(r[k] for k in keys), r["tag"]): r["value"] for r in got}
+    assert len(got) == len(groups) * len(tags)
+    for g, vs in groups.items():
+        vs.sort(key=lambda v: (math.isnan(v), v))
+        for q in tags:
+            want = vs[max(1, math.ceil(len(vs) * q)) - 1]
+            assert found[g, q] == want or math.isnan(want) and math.isnan(found[g, q])
+
+
+@pytest.mark.parametrize("n", [400, 4000, 40000])
+def test_no_slice_is_large(spark, n):
+    """Cut points follow the values: neither an outlier nor a cluster leaves a slice with much more than its share."""
+    _, df = skewed(spark, n)
+    values = df.filter("k = 'hot' and v is not null").select(F.lit("hot").alias("k"), "v").distinct()
+    d = values.count()
+    per = ordered.cut_by_value(values, ["k"], "v", "s", 64, 50).groupBy("s").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("s").collect()
+    assert max(r["n"] for r in per) <= 2 * d / 64 + 2 and len(per) > 32
+    assert all(a["hi"] < b["lo"] for a, b in zip(per, per[1:]))
