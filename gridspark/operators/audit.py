@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridspark.functions import numeric
 from gridspark.operators.graph import lineage_levels
-from gridspark.operators.ordered import lagged, last_known, match
+from gridspark.operators.ordered import FromData, lagged, last_known, match
 from gridspark.session import settled
 
 # The closed sets of a registry row.
@@ -62,7 +62,7 @@ def distance_report(judged: DataFrame, id_: str = "id") -> DataFrame:
     return judged.select(id_, F.concat_ws("  ", F.col(id_).cast("string"), text("value"), text("reference"), text("in_uncertainty"), "verdict").alias("line"))
 
 
-def admissible(results: DataFrame, versions: DataFrame, id_: str, at: str, order: Sequence[str], fixed: Sequence[str], slice_of) -> DataFrame:
+def admissible(results: DataFrame, versions: DataFrame, id_: str, at: str, order: Sequence[str], fixed: Sequence[str], slice_by: Column | FromData | None) -> DataFrame:
     """A result may be shown only where its row was registered before it, with today's fixed fields.
 
     `versions` carries `at` (the instant of a version); `order` breaks ties between versions of one instant.
@@ -72,12 +72,12 @@ def admissible(results: DataFrame, versions: DataFrame, id_: str, at: str, order
     marks = versions.select(id_, F.col(at).alias("_t"), F.lit(0).alias("_side"), fields.alias("_then"), *order)
     asked = results.select(id_, F.col(at).alias("_t")).distinct().withColumn("_side", F.lit(1))
     line = marks.unionByName(asked, allowMissingColumns=True)
-    then = last_known(line, "_then", ["_t", "_side", *order], slice_of("_t"), [id_], "_held").filter("_side = 1").select(id_, "_t", "_held")
+    then = last_known(line, "_then", ["_t", "_side", *order], slice_by, [id_], "_held").filter("_side = 1").select(id_, "_t", "_held")
     both = match(match(results.withColumn("_t", F.col(at)), then, [id_, "_t"], "left"), today, [id_], "left")
     return both.withColumn("admissible", F.coalesce(F.col("_held") == F.col("_today"), F.lit(False))).drop("_t", "_held", "_today")
 
 
-def history_problems(versions: DataFrame, touched: DataFrame, exceptions: DataFrame, order: Sequence[str], slice_by: Column | None) -> DataFrame:
+def history_problems(versions: DataFrame, touched: DataFrame, exceptions: DataFrame, order: Sequence[str], slice_by: Column | FromData | None) -> DataFrame:
     """(id, merge, reason): thresholds changed together with code, bars set after a report, stale exceptions.
 
     `versions` is (id, merge, threshold, verdict_kind, order...), `touched` is (merge, path), `exceptions` is (merge, id).

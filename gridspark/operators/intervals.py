@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridspark.contracts import raise_if_any, require
-from gridspark.operators.ordered import lagged, last_known, last_records, match, numbered
+from gridspark.operators.ordered import FromData, lagged, last_known, last_records, match, numbered
 
 
 def uniform_intervals(spark: SparkSession, t0: float, step: float, n: int) -> DataFrame:
@@ -20,7 +20,7 @@ def uniform_intervals(spark: SparkSession, t0: float, step: float, n: int) -> Da
     )
 
 
-def contiguity(df: DataFrame, slice_by: Column | None, keys: Sequence[str] = (), t0: str = "t0",
+def contiguity(df: DataFrame, slice_by: Column | FromData | None, keys: Sequence[str] = (), t0: str = "t0",
                t1: str = "t1") -> DataFrame:
     """Gaps and overlaps between consecutive intervals; no rows when the series is contiguous."""
     out = lagged(df.select(*keys, t0, t1), {"_before": t1}, [t0, t1], slice_by, keys)
@@ -34,13 +34,13 @@ def span(df: DataFrame, keys: Sequence[str] = (), t0: str = "t0", t1: str = "t1"
     return df.groupBy(*keys).agg(F.min(t0).alias("t0"), F.max(t1).alias("t1"))
 
 
-def interval_lookup(points: DataFrame, intervals: DataFrame, t: str, value: str, slice_of,
+def interval_lookup(points: DataFrame, intervals: DataFrame, t: str, value: str, slice_by: Column | FromData | None,
                     keys: Sequence[str] = (), t0: str = "t0", t1: str = "t1") -> DataFrame:
     """Each point beside the value of the interval [t0, t1) holding its instant; null outside the span.
 
     The instants are de-duplicated before they are ordered, so a hot instant is one row; intervals
     and instants are ordered together in slices of time, and the answers are equi-joined back.
-    `slice_of(column_name)` gives the slice expression for an instant column.
+    `slice_by` is how the instants are sliced; an expression names them `_t`.
     """
     keys = list(keys)
     asked = points.select(*keys, F.col(t).alias("_t")).distinct()
@@ -48,7 +48,7 @@ def interval_lookup(points: DataFrame, intervals: DataFrame, t: str, value: str,
     starts = intervals.select(*keys, F.col(t0).alias("_t"), held.alias("_hit"), F.lit(0).alias("_side"))
     empty = F.lit(None).cast(starts.schema["_hit"].dataType)
     both = starts.unionByName(asked.withColumn("_hit", empty).withColumn("_side", F.lit(1)))
-    found = last_known(both, "_hit", ["_t", "_side"], slice_of("_t"), keys, "_held").filter(F.col("_side") == 1)
+    found = last_known(both, "_hit", ["_t", "_side"], slice_by, keys, "_held").filter(F.col("_side") == 1)
     inside = F.col("_t") < F.col("_held.t1")
     answers = found.select(*keys, "_t", F.when(inside, F.col("_held")).alias("_held"))
     return (
@@ -116,24 +116,24 @@ def _node_index(x: Column, nodes: Sequence[float]) -> Column:
     return (F.size(F.filter(at, lambda n: n <= x)) - 1).cast("int")
 
 
-def newest_records(df: DataFrame, span_: int, order: Sequence[str], slice_by: Column | None,
+def newest_records(df: DataFrame, span_: int, order: Sequence[str], slice_by: Column | FromData | None,
                    keys: Sequence[str]) -> DataFrame:
     return last_records(df, span_, order, slice_by, keys)
 
 
-def value_at_step_start(df: DataFrame, value: str, step: Sequence[str], slice_by: Column | None,
+def value_at_step_start(df: DataFrame, value: str, step: Sequence[str], slice_by: Column | FromData | None,
                         keys: Sequence[str], name: str = "lagged") -> DataFrame:
     """The value as it stood before the step: what every component reads during it."""
     return lagged(df, {name: value}, step, slice_by, keys)
 
 
-def not_increasing(df: DataFrame, instant: str, order: Sequence[str], slice_by: Column | None,
+def not_increasing(df: DataFrame, instant: str, order: Sequence[str], slice_by: Column | FromData | None,
                    keys: Sequence[str]) -> DataFrame:
     """Rows whose instant does not exceed the one before."""
     out = lagged(df, {"previous": instant}, order, slice_by, keys)
     return out.filter(F.col(instant) <= F.col("previous"))
 
 
-def sequence_numbers(df: DataFrame, order: Sequence[str], slice_by: Column | None, first: int,
+def sequence_numbers(df: DataFrame, order: Sequence[str], slice_by: Column | FromData | None, first: int,
                      keys: Sequence[str] = (), name: str = "sequence") -> DataFrame:
     return numbered(df, order, slice_by, keys, name, first)

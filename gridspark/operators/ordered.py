@@ -1,8 +1,8 @@
 """Ordered (window-like) operators that never put a whole key in one task.
 
 A plain window function sorts every row of a key inside one task, so one key with a third of the
-rows is one task with a third of the rows. Here the caller names a *slice*: any expression that
-never decreases along the order (an hour, an id range). Rows are windowed inside (key, slice), one
+rows is one task with a third of the rows. Here keys are cut into *slices*: by the data itself
+(`FromData`), or by any expression that never decreases along the order (an hour, an id range). Rows are windowed inside (key, slice), one
 summary row per slice is carried along the key, and the two are joined on (key, slice). The carried
 table has one row per slice, never one per input row.
 """
@@ -19,6 +19,13 @@ from gridspark.session import settled
 SLICE = "_slice"
 
 
+class FromData:
+    """Slices that follow the data: a key of more than `bound` rows is cut at quantiles of its first order column."""
+
+    def __init__(self, parts: int | None = None, bound: int | None = None) -> None:
+        self.parts, self.bound = parts or PARTS, bound or BOUND
+
+
 def time_slice(col: str, seconds: int) -> Column:
     """A slice of fixed length for a TIMESTAMP order column."""
     return F.floor(F.unix_timestamp(F.col(col)) / F.lit(seconds)).cast("bigint")
@@ -92,13 +99,34 @@ def _before(group: Sequence[str]):
     return Window.partitionBy(*group).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _sliced(df: DataFrame, slice_by: Column | None, keys: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, list[str]]:
+def _ordinal(df: DataFrame, column: str) -> Column:
+    """A number that never decreases along a column; nulls, which come first in the order, come first."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        number = F.unix_micros(F.col(column).cast("timestamp")).cast("double")
+    elif isinstance(kind, T.DateType):
+        number = F.unix_date(column).cast("double")
+    else:
+        number = F.col(column).cast("double")
+    return F.coalesce(number, F.lit(float("-inf")))
+
+
+def _sliced(df: DataFrame, slice_by: Column | FromData | None, keys: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """`df` with its group and slice columns, and the names of the group columns.
 
-    With no slice expression the rows are range-partitioned by (keys, order), written once to the
+    `FromData` cuts hot keys at quantiles of the first order column, so a slice holds its share of a key
+    whatever the distribution; rows that tie in that column stay together, and a key has `parts` slices
+    at most, so what is carried along it is a bounded window. With no slice expression the rows are range-partitioned by (keys, order), written once to the
     shared folder, and the partition number is the slice: the way for orders whose first column
     may itself be hot, at the price of one write.
     """
+    if isinstance(slice_by, FromData):
+        kind = df.schema[order[0]].dataType
+        if isinstance(kind, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)):
+            rows, group = _grouped(df, keys)
+            cut = cut_by_value(rows.withColumn("_lead", _ordinal(df, order[0])), group, "_lead", SLICE, slice_by.parts, slice_by.bound)
+            return cut.drop("_lead"), group
+        slice_by = None
     if slice_by is None:
         ranged = df.repartitionByRange(*keys, *order)
         df = settled(ranged.withColumn(SLICE, F.spark_partition_id().cast("bigint")))
@@ -111,7 +139,7 @@ def _sliced(df: DataFrame, slice_by: Column | None, keys: Sequence[str], order:
 def numbered(
     df: DataFrame,
     order: Sequence[str],
-    slice_by: Column | None,
+    slice_by: Column | FromData | None,
     keys: Sequence[str] = (),
     name: str = "idx",
     start: int = 1,
@@ -130,7 +158,7 @@ def lagged(
     df: DataFrame,
     values: dict[str, str],
     order: Sequence[str],
-    slice_by: Column | None,
+    slice_by: Column | FromData | None,
     keys: Sequence[str] = (),
 ) -> DataFrame:
     """For each `{new: source}`, the source value of the previous row of the key; null on the first."""
@@ -150,7 +178,7 @@ def last_known(
     df: DataFrame,
     value: str,
     order: Sequence[str],
-    slice_by: Column | None,
+    slice_by: Column | FromData | None,
     keys: Sequence[str] = (),
     name: str = "last",
 ) -> DataFrame:
@@ -169,7 +197,7 @@ def running_sum(
     df: DataFrame,
     value: str,
     order: Sequence[str],
-    slice_by: Column | None,
+    slice_by: Column | FromData | None,
     keys: Sequence[str] = (),
     name: str = "running",
 ) -> DataFrame:
@@ -186,7 +214,7 @@ def last_records(
     df: DataFrame,
     span: int,
     order: Sequence[str],
-    slice_by: Column | None,
+    slice_by: Column | FromData | None,
     keys: Sequence[str] = (),
 ) -> DataFrame:
     """The last `span` rows of each key, with `back` = 1 on the newest.

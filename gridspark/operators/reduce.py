@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from gridspark.contracts import raise_if_any, require
 from gridspark.functions import numeric
-from gridspark.operators.ordered import PARTS, match, numbered, order_statistics
+from gridspark.operators.ordered import PARTS, FromData, match, numbered, order_statistics
 
 BLOCK = 256  # fixed value: terms folded in order before block sums are combined
 FAN = 2048  # block sums combined per task and stage
@@ -127,7 +127,7 @@ def compensated_sum(df: DataFrame, x: str, idx: str = "idx", keys: Sequence[str]
     return level.select(*keys, (F.col("hi") + F.col("lo")).alias(name))
 
 
-def ordered_sum(df: DataFrame, x: str, order: Sequence[str], slice_by: Column, keys: Sequence[str] = (),
+def ordered_sum(df: DataFrame, x: str, order: Sequence[str], slice_by: Column | FromData | None, keys: Sequence[str] = (),
                 kind: str = "f64", name: str = "total") -> DataFrame:
     """`pairwise_sum` over rows numbered by a declared total order within each key."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gridspark.contracts import require
 from gridspark.functions import nulls
 from gridspark.functions.nulls import inversion_counts, trend_tail  # noqa: F401
-from gridspark.operators.ordered import lagged, last_records, match, numbered, running_sum
+from gridspark.operators.ordered import FromData, lagged, last_records, match, numbered, running_sum
+from gridspark.session import settled
 
 # Exit predicates over an iteration log
 
@@ -38,7 +39,7 @@ class Criterion:
         require(self.span >= least[self.kind], self.name, "Criterion", f"a span of {self.span} is too short")
 
 
-def criterion_statistics(records: DataFrame, loop: str, instant: str, order: Sequence[str], slice_by: Column | None,
+def criterion_statistics(records: DataFrame, loop: str, instant: str, order: Sequence[str], slice_by: Column | FromData | None,
                          criteria: Sequence[Criterion]) -> DataFrame:
     """One row per (loop, criterion): statistic, overshoot, divisor and verdict, all criteria in one pass.
 
@@ -94,7 +95,7 @@ def exit_verdict(statistics: DataFrame, loop: str, floor: int, cap: int, bracket
     return out.drop("_n", "_r")
 
 
-def final_report(records: DataFrame, loop: str, instant: str, order: Sequence[str], slice_by: Column | None,
+def final_report(records: DataFrame, loop: str, instant: str, order: Sequence[str], slice_by: Column | FromData | None,
                  criteria: Sequence[Criterion], level: str, finest: int, floor: int, cap: int, cost: str, scale: str) -> DataFrame:
     """Every loop re-evaluated on its records at the finest level, with the cost fraction of an open loop."""
     kept = records.filter(F.col(level) == finest)
@@ -115,7 +116,7 @@ def doubled_midranks(df: DataFrame, keys: Sequence[str], value: str, slice_by: C
     return match(df, ranks, [*keys, value])
 
 
-def successive_difference(df: DataFrame, keys: Sequence[str], rank: str, order: Sequence[str], slice_by: Column | None,
+def successive_difference(df: DataFrame, keys: Sequence[str], rank: str, order: Sequence[str], slice_by: Column | FromData | None,
                           name: str = "statistic") -> DataFrame:
     """-sum of squared steps of the ranks along the series."""
     steps = lagged(df, {"_prev_rank": rank}, order, slice_by, keys)
@@ -123,7 +124,7 @@ def successive_difference(df: DataFrame, keys: Sequence[str], rank: str, order:
     return steps.groupBy(*keys).agg((-F.sum(step * step)).alias(name))
 
 
-def kendall_score(df: DataFrame, keys: Sequence[str], rank: str, order: Sequence[str], slice_by: Column | None,
+def kendall_score(df: DataFrame, keys: Sequence[str], rank: str, order: Sequence[str], slice_by: Column | FromData | None,
                   rank_width: int = 1 << 16, name: str = "score") -> DataFrame:
     """Increasing pairs less decreasing pairs of each series, without forming pairs.
 
@@ -132,7 +133,9 @@ def kendall_score(df: DataFrame, keys: Sequence[str], rank: str, order: Sequence
     That is one row per (position, digit) and one running count along the ranks of each block.
     """
     keys = list(keys)
-    placed = numbered(df.select(*keys, rank, *[c for c in order if c not in (*keys, rank)]), order, slice_by, keys, "_p", 0)
+    # Written between its steps, each of which reads its input several times.
+    rows = settled(df.select(*keys, rank, *[c for c in order if c not in (*keys, rank)]))
+    placed = settled(numbered(rows, order, slice_by, keys, "_p", 0).select(*keys, rank, "_p"))
     n = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     levels = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n").cast("double"))).cast("int") - 1))
     split = (
@@ -189,8 +192,8 @@ def tie_sizes(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return per.groupBy(*keys).agg(F.collect_list(F.struct(F.col("_t").alias("size"), F.col("_m").alias("times"))).alias("ties"))
 
 
-def trend_test(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], slice_by: Column | None,
-               value_slice: Column, false_alarm: float) -> DataFrame:
+def trend_test(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], slice_by: Column | FromData | None,
+               value_slice: Column | FromData | None, false_alarm: float) -> DataFrame:
     """Kendall score of each series, its two-sided tail, and whether that is at or under `false_alarm`.
 
     `trend` is null where the series is too short for any ordering to be that unlikely.
@@ -217,8 +220,8 @@ def _exhaustive_udf():
     return hits
 
 
-def successive_difference_test(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], slice_by: Column | None,
-                               value_slice: Column, false_alarm: float, permutations: int, seed: int = 0) -> DataFrame:
+def successive_difference_test(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], slice_by: Column | FromData | None,
+                               value_slice: Column | FromData | None, false_alarm: float, permutations: int, seed: int = 0) -> DataFrame:
     """Whether ranks move less between neighbours than reorderings do, per series.
 
     With n! <= permutations every ordering of the (at most a dozen) values is tried; otherwise
@@ -228,7 +231,7 @@ def successive_difference_test(df: DataFrame, keys: Sequence[str], value: str, o
     """
     keys = list(keys)
     few = max(n for n in range(1, 14) if math.factorial(n) <= permutations)
-    ranked = numbered(doubled_midranks(df, keys, value, value_slice), order, slice_by, keys, "_p", 1)
+    ranked = settled(numbered(settled(doubled_midranks(df, keys, value, value_slice)), order, slice_by, keys, "_p", 1))
     sizes = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     rows = match(ranked.select(*keys, "rank2", "_p"), sizes, keys)
 
@@ -284,7 +287,7 @@ def offset_test(df: DataFrame, keys: Sequence[str], residual: str, tolerance: st
 
 
 def classify_residuals(df: DataFrame, keys: Sequence[str], window: str, residual: str, tolerance: str,
-                       slice_by: Column | None, residual_slice: Column, false_alarm: float, permutations: int,
+                       slice_by: Column | FromData | None, residual_slice: Column | FromData | None, false_alarm: float, permutations: int,
                        seed: int = 0) -> DataFrame:
     """Leak, StockOmission, Rounding or Unexplained for every residual series.
 
@@ -332,7 +335,7 @@ def _surrogate_udf(seed: int):
     return drift
 
 
-def surrogate_drift(records: DataFrame, loop: str, instant: str, value: str, order: Sequence[str], slice_by: Column | None,
+def surrogate_drift(records: DataFrame, loop: str, instant: str, value: str, order: Sequence[str], slice_by: Column | FromData | None,
                     span: int, surrogates: int, seed: int = 0) -> DataFrame:
     """Share of phase-randomised copies of the last `span` records that drift more than the record does.
 

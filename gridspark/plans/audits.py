@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from gridspark.contracts import declare
 from gridspark.functions import cells, hashing
 from gridspark.operators import audit, fields
-from gridspark.operators.ordered import id_slice, numbered
+from gridspark.operators.ordered import FromData, numbered
 from gridspark.plans.fields import cell_fractions
-from gridspark.plans.fixtures import CELL_SQL, CELL_TABLE_SQL, ORDER, anc_sql, cell_table, events, fine_field, seconds, seconds_slice
+from gridspark.plans.fixtures import CELL_SQL, CELL_TABLE_SQL, ORDER, anc_sql, cell_table, events, fine_field, seconds
 from gridspark.plans.grids import LEVEL_SQL, level_of
 from gridspark.plans.registry import query, r6, table
 from gridspark.session import shared_dir
@@ -102,7 +102,7 @@ def aud4(spark, sf):
                                                    "l_suppkey", "l_returnflag", "l_linestatus")
     results = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("id"), seconds("o_orderdate").alias("at"))
     out = audit.admissible(results, versions, "id", "at", ["l_orderkey", "l_linenumber", "l_suppkey"], ["l_returnflag", "l_linestatus"],
-                           seconds_slice(180 * 86400.0))
+                           FromData())
     return out.select("o_orderkey", "admissible")
 
 
@@ -122,7 +122,7 @@ def aud5(spark, sf):
                          F.when(F.col("l_returnflag") == "A", "report").otherwise("fail_bar").alias("verdict_kind"), "l_linenumber", "l_suppkey", "l_extendedprice")
     touched = table(spark, sf, "orders").select(F.col("o_orderkey").alias("merge"), F.when(F.col("o_orderstatus") == "F", "src/a").otherwise("docs/a").alias("path"))
     exceptions = li.filter("l_discount > 0.095").select(F.col("l_partkey").alias("id"), F.col("l_orderkey").alias("merge"))
-    return audit.history_problems(versions, touched, exceptions, ["merge", "l_linenumber", "l_suppkey", "l_extendedprice"], id_slice("merge", 1 << 16))
+    return audit.history_problems(versions, touched, exceptions, ["merge", "l_linenumber", "l_suppkey", "l_extendedprice"], FromData())
 
 
 @query("aud6_declaration_problems", """

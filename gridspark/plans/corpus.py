@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridspark.operators import corpus
-from gridspark.operators.ordered import value_slice
+from gridspark.operators.ordered import FromData
 from gridspark.plans.registry import dealt, query, r6, table
 
 LINES = 4  # lines of a document that stand for one page
@@ -278,5 +278,5 @@ def jn14(spark, sf):
 def win10(spark, sf):
     df = table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     out = corpus.jump_screen(df, ["l_suppkey"], "l_extendedprice", ["l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey"],
-                             value_slice("l_extendedprice", 5000.0))
+                             FromData())
     return out.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", r6(F.col("step"), 2).alias("step"), r6(F.col("typical"), 2).alias("typical"))

@@ -357,7 +357,7 @@ def prj8(spark, sf):
     SELECT event_id, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS lagged FROM events""")
 def win6(spark, sf):
     from gridspark.operators.intervals import value_at_step_start
-    from gridspark.operators.ordered import time_slice
+    from gridspark.operators.ordered import FromData
 
-    out = value_at_step_start(events(spark, sf), "value", ["ts", "event_id"], time_slice("ts", 6 * 3600), ["user_id"])
+    out = value_at_step_start(events(spark, sf), "value", ["ts", "event_id"], FromData(), ["user_id"])
     return out.select("event_id", "lagged")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gridspark.operators.ordered import lagged
+from gridspark.operators.ordered import FromData, lagged
 
 from gridspark.plans.registry import table
 
@@ -52,13 +52,6 @@ def seconds(col: str) -> Column:
     return F.unix_micros(F.col(col).cast("timestamp")) / F.lit(1e6)
 
 
-def seconds_slice(width: float):
-    """Slices of `width` seconds for an instant column given by name."""
-    return lambda name: F.floor(F.col(name) / F.lit(float(width))).cast("bigint")
-
-
-HOURS_6 = 6 * 3600.0
-
 # each event closes the interval its user's previous event opened
 SERIES_SQL = """
     SELECT * FROM (SELECT user_id AS cell, event_id, event_type, value, epoch_us(ts) / 1e6 AS t1,
@@ -70,7 +63,7 @@ SERIES_SQL = """
 def interval_series(spark: SparkSession, sf: str) -> DataFrame:
     """Events as one contiguous interval series per user: [previous instant, instant)."""
     df = events(spark, sf).select(F.col("user_id").alias("cell"), "event_id", "event_type", "value", seconds("ts").alias("t1"))
-    return lagged(df, {"t0": "t1"}, ["t1", "event_id"], seconds_slice(HOURS_6)("t1"), ["cell"]).filter("t0 IS NOT NULL")
+    return lagged(df, {"t0": "t1"}, ["t1", "event_id"], FromData(), ["cell"]).filter("t0 IS NOT NULL")
 
 
 # order days as contiguous intervals, each holding the order value of its first day
@@ -85,5 +78,5 @@ def order_intervals(spark: SparkSession, sf: str) -> DataFrame:
     days = table(spark, sf, "orders").groupBy(seconds("o_orderdate").alias("d")).agg(F.sum("o_totalprice").alias("value"))
     # read backwards, the row before a day is the day after it
     back = days.withColumn("neg", -F.col("d"))
-    out = lagged(back, {"next": "d"}, ["neg"], seconds_slice(365 * 86400.0)("neg"))
+    out = lagged(back, {"next": "d"}, ["neg"], FromData())
     return out.select(F.col("d").alias("t0"), F.coalesce("next", F.col("d") + 86400.0).alias("t1"), "value")

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridspark.operators import intervals
-from gridspark.operators.ordered import id_slice, time_slice
-from gridspark.plans.fixtures import DAYS_SQL, SERIES_SQL, events, interval_series, order_intervals, seconds, seconds_slice
+from gridspark.operators.ordered import FromData
+from gridspark.plans.fixtures import DAYS_SQL, SERIES_SQL, events, interval_series, order_intervals, seconds
 from gridspark.plans.registry import query, r6, table
 
-YEAR = 365 * 86400.0
 
 
 def ship_points(spark, sf):
@@ -21,7 +20,7 @@ def ship_points(spark, sf):
     FROM (SELECT l_quantity, epoch_us(l_shipdate) / 1e6 AS t FROM lineitem) p
     JOIN ({DAYS_SQL}) i ON i.t0 <= p.t AND p.t < i.t1 GROUP BY 1""")
 def jn2(spark, sf):
-    out = intervals.interval_lookup(ship_points(spark, sf), order_intervals(spark, sf), "t", "value", seconds_slice(30 * 86400.0))
+    out = intervals.interval_lookup(ship_points(spark, sf), order_intervals(spark, sf), "t", "value", FromData())
     inside = out.filter(F.col("interval_t0").isNotNull())
     return inside.groupBy("interval_t0").agg(
         F.count(F.lit(1)).alias("points"), F.sum("l_quantity").alias("quantity"), r6(F.max("value_at"), 2).alias("value_at"))
@@ -32,7 +31,7 @@ def jn2(spark, sf):
     SELECT t, count(*) AS points FROM (SELECT epoch_us(l_shipdate) / 1e6 AS t FROM lineitem)
     WHERE t < (SELECT min(t0) FROM i) OR t >= (SELECT max(t1) FROM i) GROUP BY 1""")
 def jn2_outside(spark, sf):
-    out = intervals.interval_lookup(ship_points(spark, sf), order_intervals(spark, sf), "t", "value", seconds_slice(30 * 86400.0))
+    out = intervals.interval_lookup(ship_points(spark, sf), order_intervals(spark, sf), "t", "value", FromData())
     return intervals.outside_span(out).groupBy("t").agg(F.count(F.lit(1)).alias("points"))
 
 
@@ -89,7 +88,7 @@ def src7(spark, sf):
 def win1(spark, sf):
     t0 = seconds("l_shipdate")
     df = table(spark, sf, "lineitem").select("l_partkey", t0.alias("t0"), (t0 + 86400 * F.col("l_quantity")).alias("t1")).distinct()
-    return intervals.contiguity(df, seconds_slice(YEAR)("t0"), ["l_partkey"])
+    return intervals.contiguity(df, FromData(), ["l_partkey"])
 
 
 @query("win2_span", f"SELECT cell, min(t0) AS t0, max(t1) AS t1 FROM ({SERIES_SQL}) GROUP BY 1")
@@ -102,7 +101,7 @@ def win2(spark, sf):
         SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back
         FROM events) WHERE back <= 5""")
 def win5(spark, sf):
-    out = intervals.newest_records(events(spark, sf), 5, ["ts", "event_id"], time_slice("ts", 6 * 3600), ["user_id"])
+    out = intervals.newest_records(events(spark, sf), 5, ["ts", "event_id"], FromData(), ["user_id"])
     return out.select("user_id", "event_id", "back")
 
 
@@ -115,14 +114,14 @@ def win7(spark, sf):
     df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
                                              seconds("l_shipdate").alias("t"))
     out = intervals.not_increasing(df, "t", ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"],
-                                   id_slice("l_orderkey", 1 << 16), ["l_partkey"])
+                                   FromData(), ["l_partkey"])
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "t", "previous")
 
 
 @query("win8_sequence_numbers", """
     SELECT event_id, row_number() OVER (ORDER BY ts, event_id) + 999 AS sequence FROM events""")
 def win8(spark, sf):
-    out = intervals.sequence_numbers(events(spark, sf), ["ts", "event_id"], time_slice("ts", 6 * 3600), 1000)
+    out = intervals.sequence_numbers(events(spark, sf), ["ts", "event_id"], FromData(), 1000)
     return out.select("event_id", "sequence")
 
 
@@ -130,5 +129,5 @@ def win8(spark, sf):
     SELECT event_id AS sequence, row_number() OVER (ORDER BY ts, event_type, user_id, event_id, props) AS position FROM events""")
 def top2(spark, sf):
     out = intervals.sequence_numbers(events(spark, sf), ["ts", "event_type", "user_id", "event_id", "props"],
-                                     time_slice("ts", 6 * 3600), 1, name="position")
+                                     FromData(), 1, name="position")
     return out.select(F.col("event_id").alias("sequence"), "position")

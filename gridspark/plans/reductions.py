@@ -6,13 +6,12 @@ from pyspark.sql import functions as F
 
 from gridspark.functions import cells, numeric
 from gridspark.operators import reduce
-from gridspark.operators.ordered import id_slice, numbered
+from gridspark.operators.ordered import FromData, numbered
 from gridspark.plans.fixtures import CELL_SQL, LEGEND, ORDER, anc_sql, events, fine_field
 from gridspark.plans.registry import NUDGE, query, r6, table
 
 DEPTH = 2
 ANC = anc_sql(DEPTH)
-ORDERS_PER_SLICE = 1 << 14
 
 
 def coarse(spark, sf):
@@ -22,7 +21,7 @@ def coarse(spark, sf):
 @query("agg1_pairwise_sum", "SELECT round(sum(l_extendedprice), 2) AS total FROM lineitem")
 def agg1(spark, sf):
     df = fine_field(spark, sf).select(*ORDER)
-    out = reduce.ordered_sum(df, "l_extendedprice", ORDER, id_slice("l_orderkey", ORDERS_PER_SLICE))
+    out = reduce.ordered_sum(df, "l_extendedprice", ORDER, FromData())
     return out.select(r6(F.col("total"), 2).alias("total"))
 
 
@@ -30,7 +29,7 @@ def agg1(spark, sf):
     SELECT {ANC} AS coarse, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY 1""")
 def agg2(spark, sf):
     df = coarse(spark, sf).select("coarse", *ORDER)
-    out = reduce.ordered_sum(df, "l_extendedprice", ORDER, id_slice("l_orderkey", ORDERS_PER_SLICE), ["coarse"])
+    out = reduce.ordered_sum(df, "l_extendedprice", ORDER, FromData(), ["coarse"])
     return out.select("coarse", r6(F.col("total"), 2).alias("total"))
 
 
@@ -38,7 +37,7 @@ def agg2(spark, sf):
     SELECT l_returnflag, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY 1""")
 def agg3(spark, sf):
     df = numbered(fine_field(spark, sf).select("l_returnflag", *ORDER), ORDER,
-                  id_slice("l_orderkey", ORDERS_PER_SLICE), ["l_returnflag"])
+                  FromData(), ["l_returnflag"])
     out = reduce.compensated_sum(df, "l_extendedprice", "idx", ["l_returnflag"])
     return out.select("l_returnflag", r6(F.col("total"), 2).alias("total"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridspark.operators import series
-from gridspark.operators.ordered import time_slice, value_slice
+from gridspark.operators.ordered import FromData
 from gridspark.operators.reduce import segmented_median
 from gridspark.plans.fixtures import events, seconds
 from gridspark.plans.registry import query, r6, table
@@ -19,8 +19,8 @@ CRITERIA = (
 )
 
 
-def by_hours():
-    return time_slice("ts", 6 * 3600)
+def by_data():
+    return FromData()
 
 
 def log(spark, sf):
@@ -44,7 +44,7 @@ STATS = _STATS.format(recent=_RECENT.format(where=""))
 
 
 def statistics(spark, sf):
-    return series.criterion_statistics(log(spark, sf), "user_id", "t", ORDER, by_hours(), CRITERIA)
+    return series.criterion_statistics(log(spark, sf), "user_id", "t", ORDER, by_data(), CRITERIA)
 
 
 @query("ser1_drift", f"SELECT user_id, round(drift * 1e6, 6) AS drift_micro FROM ({STATS})")
@@ -79,13 +79,13 @@ def ser3(spark, sf):
     JOIN (SELECT user_id, abs(excess) / scale AS cost FROM {_RECENT.format(where="WHERE event_id % 3 = 2")} WHERE back = 1) l
       ON l.user_id = s.user_id""")
 def ser4(spark, sf):
-    out = series.final_report(log(spark, sf), "user_id", "t", ORDER, by_hours(), CRITERIA, "level", 2, 10, 70, "excess", "scale")
+    out = series.final_report(log(spark, sf), "user_id", "t", ORDER, by_data(), CRITERIA, "level", 2, 10, 70, "excess", "scale")
     return out.withColumn("open_cost", r6(F.col("open_cost")))
 
 
 def ranked(spark, sf):
     df = events(spark, sf).select("user_id", "event_id", "ts", "value")
-    return series.doubled_midranks(df, ["user_id"], "value", value_slice("value", 50.0))
+    return series.doubled_midranks(df, ["user_id"], "value", FromData())
 
 
 _RANKS = """(SELECT user_id, event_id, ts, 2 * (rank() OVER (PARTITION BY user_id ORDER BY value) - 1)
@@ -102,7 +102,7 @@ def win3(spark, sf):
         SELECT user_id, coalesce(rank2 - lag(rank2) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS d FROM {_RANKS})
     GROUP BY 1""")
 def win4(spark, sf):
-    return series.successive_difference(ranked(spark, sf), ["user_id"], "rank2", ORDER, by_hours())
+    return series.successive_difference(ranked(spark, sf), ["user_id"], "rank2", ORDER, by_data())
 
 
 @query("ser5_kendall_score", f"""
@@ -110,7 +110,7 @@ def win4(spark, sf):
     FROM {_RANKS} a JOIN {_RANKS} b ON a.user_id = b.user_id AND (a.ts, a.event_id) < (b.ts, b.event_id)
     JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY 1) c ON c.user_id = a.user_id GROUP BY 1""")
 def ser5(spark, sf):
-    return series.kendall_score(ranked(spark, sf), ["user_id"], "rank2", ORDER, by_hours())
+    return series.kendall_score(ranked(spark, sf), ["user_id"], "rank2", ORDER, by_data())
 
 
 # The exact tail of a score: over a period of more points than the score has values, that no tie size divides,
@@ -143,7 +143,7 @@ _TREND = f"""
 
 @query("ser5_trend_test", _TREND)
 def ser5_trend(spark, sf):
-    out = series.trend_test(events(spark, sf), ["user_id"], "value", ORDER, by_hours(), value_slice("value", 50.0), 0.05)
+    out = series.trend_test(events(spark, sf), ["user_id"], "value", ORDER, by_data(), FromData(), 0.05)
     return out.withColumn("p_trend", r6(F.col("p_trend"), 9))
 
 
@@ -153,13 +153,10 @@ def residuals(spark, sf):
                                     (F.col("value") - 20.0).alias("residual"), F.lit(15.0).alias("tolerance"))
 
 
-WINDOW_SLICE = 86400.0
-
-
 @query("ser6_successive_difference_test")
 def ser6(spark, sf):
-    return series.successive_difference_test(residuals(spark, sf), ["user_id"], "residual", ["window"], value_slice("window", WINDOW_SLICE),
-                                             value_slice("residual", 50.0), 0.05, 60, seed=7)
+    return series.successive_difference_test(residuals(spark, sf), ["user_id"], "residual", ["window"], FromData(),
+                                             FromData(), 0.05, 60, seed=7)
 
 
 _OFFSET = """
@@ -181,7 +178,7 @@ def ser7(spark, sf):
 @query("ser8_classify_residuals")
 def ser8(spark, sf):
     return series.classify_residuals(residuals(spark, sf), ["user_id"], "window", "residual", "tolerance",
-                                     value_slice("window", WINDOW_SLICE), value_slice("residual", 50.0), 0.05, 60, seed=7)
+                                     FromData(), FromData(), 0.05, 60, seed=7)
 
 
 @query("ser9_signatures")
@@ -189,12 +186,12 @@ def ser9(spark, sf):
     df = residuals(spark, sf).select(F.lit("atmosphere").alias("from"), F.lit("ocean").alias("to"), F.col("event_type").alias("quantity"),
                                      F.lit("operator").alias("ledger"), F.col("user_id").alias("column"), "window", "residual", "tolerance")
     return series.classify_residuals(df, ["from", "to", "quantity", "ledger", "column"], "window", "residual", "tolerance",
-                                     value_slice("window", WINDOW_SLICE), value_slice("residual", 50.0), 0.1, 24, seed=3)
+                                     FromData(), FromData(), 0.1, 24, seed=3)
 
 
 @query("ser10_surrogate_drift")
 def ser10(spark, sf):
-    return series.surrogate_drift(log(spark, sf), "user_id", "t", "value", ORDER, by_hours(), 16, 49, seed=11)
+    return series.surrogate_drift(log(spark, sf), "user_id", "t", "value", ORDER, by_data(), 16, 49, seed=11)
 
 
 def compared(spark, sf):

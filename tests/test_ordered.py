@@ -17,7 +17,8 @@ def rows(spark):
     return spark.createDataFrame(data, "k int, t int, id int, v double").repartition(6)
 
 
-SLICES = {"coarse": lambda: F.floor(F.col("t") / 100), "fine": lambda: F.floor(F.col("t") / 3), "one": lambda: F.lit(0), "ranged": lambda: None}
+SLICES = {"coarse": lambda: F.floor(F.col("t") / 100), "fine": lambda: F.floor(F.col("t") / 3), "one": lambda: F.lit(0), "ranged": lambda: None,
+          "data": lambda: ordered.FromData(8, 20), "whole": lambda: ordered.FromData()}
 
 
 @pytest.mark.parametrize("cut", SLICES)
@@ -51,8 +52,25 @@ def test_last_records_and_top_k(rows):
 
 
 def test_null_keys_are_kept(spark):
-    df = spark.createDataFrame([(None, 1), (None, 2), (1, 3)], "k int, t int")
-    assert ordered.numbered(df, ["t"], F.lit(0), ["k"]).count() == 3
+    df = spark.createDataFrame([(None, 1), (None, 2), (1, 3), (1, None)], "k int, t int")
+    assert ordered.numbered(df, ["t"], F.lit(0), ["k"]).count() == 4
+    got = ordered.numbered(df, ["t"], ordered.FromData(4, 1), ["k"]).collect()
+    assert sorted((r["k"] or 0, r["t"] or 0, r["idx"]) for r in got) == [(0, 1, 1), (0, 2, 2), (1, 0, 1), (1, 3, 2)]
+
+
+@pytest.mark.parametrize("kind", ["bigint", "double", "timestamp", "date"])
+@pytest.mark.parametrize("n", [300, 3000, 30000])
+def test_slices_follow_the_data(spark, n, kind):
+    """A key with half of all rows, nearly all of them in one burst: no slice is much over its share at any size."""
+    t = F.when(F.col("id") % 10 == 0, F.col("id") * 100_000).otherwise(F.col("id")) if kind != "date" else F.col("id")
+    made = F.timestamp_seconds(t) if kind == "timestamp" else F.date_add(F.lit("1990-01-01").cast("date"), t.cast("int")) if kind == "date" else t.cast(kind)
+    df = spark.range(n).select(F.when(F.col("id") % 2 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 97)).alias("k"), made.alias("t"), "id")
+    sliced, group = ordered._sliced(df, ordered.FromData(16, 50), ["k"], ["t", "id"])
+    per = sliced.groupBy(*group, ordered.SLICE).agg(F.count("*").alias("n")).collect()
+    assert max(r["n"] for r in per) <= max(50, 2 * (n / 2) / 16) and max(r[ordered.SLICE] for r in per) < 16
+    w = Window.partitionBy("k").orderBy("t", "id")
+    want = dict(df.select("id", F.row_number().over(w)).collect())
+    assert dict(ordered.numbered(df, ["t", "id"], ordered.FromData(16, 50), ["k"]).select("id", "idx").collect()) == want
 
 
 @pytest.mark.parametrize("parts, bound", [(2, 1), (4, 1), (64, 1 << 16)])
