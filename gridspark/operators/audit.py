@@ -120,11 +120,30 @@ def _steps_agree(a: Column, b: Column) -> Column:
                     lambda p: (p["x"] == p["y"]) | (p["x"] == WILD) | (p["y"] == WILD))
 
 
+def _literal(path: Column) -> Column:
+    """The steps before the first wildcard."""
+    wild = F.array_position(path, F.lit(WILD)).cast("int")
+    return F.slice(path, F.lit(1), F.when(wild > 0, wild - 1).otherwise(F.size(path)))
+
+
+def _prefixes(literal: Column, proper: bool = False) -> Column:
+    """Every prefix of the steps, the empty one included."""
+    most = F.size(literal) - (1 if proper else 0)
+    return F.when(most >= 0, F.transform(F.sequence(F.lit(0), most), lambda n: F.slice(literal, F.lit(1), n))).otherwise(F.array())
+
+
 def affected(declared: DataFrame, changes: DataFrame) -> DataFrame:
-    """(change, name): names one of whose declared paths overlaps a changed path."""
-    d = declared.select("name", "path", F.element_at("path", 1).alias("_k"))
-    c = changes.select(F.col("path").alias("change"), F.element_at("path", 1).alias("_k")).distinct()
-    return c.join(d, "_k").filter(_steps_agree(F.col("path"), F.col("change"))).select("change", "name").distinct()
+    """(change, name): names one of whose declared paths overlaps a changed path.
+
+    Paths overlap only if the steps before the first wildcard of one begin those of the other, so each
+    side is joined whole with the prefixes of the other: a first step that many paths share is no join
+    key unless a wildcard follows it. Paths that begin with a wildcard meet all others.
+    """
+    d = declared.select("name", "path", _literal(F.col("path")).alias("_l")).distinct()
+    c = changes.select(F.col("path").alias("change"), _literal(F.col("path")).alias("_l")).distinct()
+    below = c.select("change", F.col("_l").alias("_k")).join(d.select("name", "path", F.explode(_prefixes(F.col("_l"))).alias("_k")), "_k")
+    above = c.select("change", F.explode(_prefixes(F.col("_l"), proper=True)).alias("_k")).join(d.select("name", "path", F.col("_l").alias("_k")), "_k")
+    return below.unionByName(above).filter(_steps_agree(F.col("path"), F.col("change"))).select("change", "name").distinct()
 
 
 def _covers(declared: Column, read: Column) -> Column:

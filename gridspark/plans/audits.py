@@ -147,16 +147,16 @@ _DECL = """(SELECT DISTINCT l_suppkey AS name, 'k' || l_partkey % 50 AS k, CASE
 
 @query("aud7_affected", f"""
     SELECT DISTINCT c.k || '/' || c.s AS change, d.name FROM (SELECT DISTINCT 'k' || l_partkey % 60 AS k, CAST(l_linenumber AS VARCHAR) AS s
-        FROM lineitem WHERE l_tax > 0.07) c JOIN {_DECL} d ON d.k = c.k AND (d.s = c.s OR d.s = ':')""")
+        FROM lineitem) c JOIN {_DECL} d ON d.k = c.k AND (d.s = c.s OR d.s = ':')""")
 def aud7(spark, sf):
-    changes = table(spark, sf, "lineitem").filter("l_tax > 0.07").select(
+    changes = table(spark, sf, "lineitem").select(
         F.array(F.concat(F.lit("k"), F.col("l_partkey") % 60), F.col("l_linenumber").cast("string")).alias("path"))
     out = audit.affected(declared_paths(spark, sf), changes)
     return out.select(F.array_join("change", "/").alias("change"), "name")
 
 
-_READS = """(SELECT DISTINCT l_suppkey AS name, 'k' || l_partkey % 50 AS k, CAST(l_linenumber AS VARCHAR) AS s, l_returnflag AS f FROM lineitem WHERE l_tax < 0.02
-    UNION SELECT DISTINCT l_suppkey, 'k' || l_orderkey % 50, CAST(l_linenumber AS VARCHAR), l_returnflag FROM lineitem WHERE l_tax > 0.07)"""
+_READS = """(SELECT DISTINCT l_suppkey AS name, 'k' || CASE WHEN l_tax < 0.05 THEN l_partkey ELSE l_orderkey END % 50 AS k,
+    CAST(l_linenumber AS VARCHAR) AS s, l_returnflag AS f FROM lineitem)"""
 
 
 @query("aud8_dependency_subset", f"""
@@ -165,13 +165,10 @@ _READS = """(SELECT DISTINCT l_suppkey AS name, 'k' || l_partkey % 50 AS k, CAST
         SELECT 1 FROM ok WHERE ok.name = r.name AND ok.k = r.k AND ok.s = r.s AND ok.f = r.f)
     UNION ALL SELECT name, k || '/' || s, 'unread' FROM d WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.name = d.name AND ok.k = d.k AND ok.ds = d.s)""")
 def aud8(spark, sf):
-    li = table(spark, sf, "lineitem")
-
-    def reads(where, key):
-        return li.filter(where).select(F.col("l_suppkey").alias("name"), F.array(
-            F.concat(F.lit("k"), F.col(key) % 50), F.col("l_linenumber").cast("string"), F.col("l_returnflag")).alias("path"))
-
-    out = audit.dependency_subset(reads("l_tax < 0.02", "l_partkey").unionByName(reads("l_tax > 0.07", "l_orderkey")), declared_paths(spark, sf))
+    key = F.when(F.col("l_tax") < 0.05, F.col("l_partkey")).otherwise(F.col("l_orderkey"))
+    reads = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("name"), F.array(
+        F.concat(F.lit("k"), key % 50), F.col("l_linenumber").cast("string"), F.col("l_returnflag")).alias("path"))
+    out = audit.dependency_subset(reads, declared_paths(spark, sf))
     return out.select("name", F.array_join("path", "/").alias("path"), "problem")
 
 
