@@ -1,9 +1,10 @@
 """Line deduplication with built-in functions: ordered hashes, first occurrences, keep bitmaps.
 
-Lines travel as digests only. They are range-partitioned by (digest, document, position) and sorted
-so, which cuts the lines of one very common key over many partitions; each partition streams its
-first occurrence per key, and the partitions' firsts meet in a small aggregate. What returns to a
-document is a keep bitmap in run-length form, never text.
+Lines travel as digests only. They are range-partitioned by (digest, document, position), which cuts
+the lines of one very common key over many partitions; each partition gives its least document per
+key, and the partitions' firsts meet in a small aggregate. The sort inside partitions is asked for, but
+Spark drops it before an aggregate, so first occurrences are minima of hash aggregates, not streamed.
+What returns to a document is a keep bitmap in run-length form, never text.
 """
 
 from __future__ import annotations

@@ -1,16 +1,17 @@
 """Removal of repeated byte strings by prefix-free parsing.
 
 The question is which suffixes of the corpus share their first 200 bytes with another, so suffixes are
-only ever ordered that far. A rolling hash sets triggers: the trigger of a 200-byte string is its window
+told apart that far and no further: by digests under common keys. No suffix array of the dictionary or of
+the parse is built, and nothing is put in order. A rolling hash sets triggers: the trigger of a 200-byte string is its window
 of least hash, which its content alone decides. The strings that share a trigger follow each other and
 make a phrase: the bytes from the first one's start to the last one's end. Equal strings thus lie in
 phrases with the same trigger, at the same place before or behind it.
 
 The dictionary keeps each distinct phrase with its count, under a key of some 108 bytes around its
 trigger that all its strings share. A key met once ends there: nothing in its phrase repeats. A phrase
-met twice repeats as a whole. Only where different phrases meet under one key are their suffixes put in
-order: first eight at a time, by the bytes that all eight share, then one by one, by the digest of their
-first 200 bytes; suffixes that meet in that order repeat. Nothing but digests and offsets is shuffled for
+met twice repeats as a whole. Only where different phrases meet under one key are their suffixes
+compared: first eight at a time, by the bytes that all eight share, then one by one, by the digest of
+their first 200 bytes; suffixes that meet there repeat. Nothing but digests and offsets is shuffled for
 this, grouped sums carry all counts, and texts are read back by row.
 """
 
