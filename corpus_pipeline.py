@@ -22,14 +22,22 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score the threshold or more go; the rest stay as they are."""
+    """Documents that score the threshold or more go; the rest stay as they are.
+
+    Null and empty texts score the model's base probability. Repeated rows are scored alike; null ids stay.
+    Of further columns, here as in the later stages, only those of `COLUMNS` go on; no rows give no rows.
+    """
     ready(spark)
     model = fit(docs, table(spark, sf_dir, "labels"))
     return toxicity(docs, model).filter(F.col("score") < THRESHOLD).select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays, without the lines that an earlier document holds; n_chars follows the text."""
+    """Every document stays, without the lines that an earlier document holds; n_chars follows the text.
+
+    A null text stays null with its n_chars; rows of one doc_id are one document, so none loses a line to
+    another; a row with a null doc_id loses nothing.
+    """
     ready(spark)
     out = line_dedup(docs)
     changed = F.when(F.col("n_dropped") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))
@@ -37,7 +45,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
+    """Of each group of near duplicates the document with the smallest doc_id stays.
+
+    Texts without words and rows with a null doc_id stay. Rows of one doc_id are one document: they stay or
+    go together, repeated rows included.
+    """
     ready(spark)
     gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("k").alias("_k")).distinct()
     keyed = docs.withColumn("_row", row_key("doc_id", "text"))
@@ -45,13 +57,20 @@ def keep_one_near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark window go; the rest stay as they are."""
+    """Documents with a benchmark window go; the rest stay as they are.
+
+    Null and empty texts hold no window and stay; repeated rows are judged alike, null ids as well.
+    """
     ready(spark)
     return decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("n_hit = 0").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes, and in how many copies."""
+    """How many words of each document the mix takes, and in how many copies.
+
+    A null text has no words and gives none; a null source is a source, the last in order; repeated rows are
+    documents of their own, and rows alike in all differ in no figure but by the part of one document.
+    """
     ready(spark)
     return mix(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
