@@ -69,7 +69,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes, and in how many copies.
 
     A null text has no words and gives none; a null source is a source, the last in order; repeated rows are
-    documents of their own, and rows alike in all differ in no figure but by the part of one document.
+    documents of their own.
     """
     ready(spark)
     return mix(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
