@@ -36,7 +36,13 @@ def _matrix(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         rows = np.flatnonzero(sizes == d)
         if d:
             v = np.asarray(lists.take(pa.array(rows)).flatten().cast(pa.float64())).reshape(len(rows), d)
-            yield rows, v / np.sqrt((v * v).sum(axis=1))[:, None]
+            yield rows, _unit(v)
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    """Rows of length one. Scaled by powers of two first, so that squares of huge and tiny components stay finite and above zero."""
+    v = np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])
+    return v / np.sqrt((v * v).sum(axis=1))[:, None]
 
 
 def valid(v) -> F.Column:
@@ -146,7 +152,7 @@ def embedding_near_duplicates(vectors: DataFrame, least: float = LEAST, pivots:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     width = max(len(r["v"]) for r in sample)
     reference = np.array([list(r["v"]) + [0.0] * (width - len(r["v"])) for r in sample], dtype=np.float64)
-    reference /= np.sqrt((reference * reference).sum(axis=1))[:, None]
+    reference = _unit(reference)
     kind = nodes.schema["v"].dataType.simpleString()
     near = settled(nodes.select("node", "m", "v").mapInArrow(_described(reference), f"node long, m long, v {kind}, near array<smallint>"))
     pairs = F.flatten(F.transform("near", lambda p: F.transform(F.filter("near", lambda q: q > p), lambda q: F.struct(p.cast("int").alias("p"), q.cast("int").alias("q")))))

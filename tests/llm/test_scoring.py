@@ -397,3 +397,10 @@ def test_pages_by_a_trained_labeller(sp):
     rows = html_blocks.main_text(odd, model).collect()
     assert sorted(len(r.text) for r in rows)[:3] == [0, 0, 0] and max(len(r.text) for r in rows) > 80_000
     assert html_blocks.main_text(odd.limit(0), model).count() == 0
+
+
+def test_huge_and_tiny_vectors_keep_their_links(sp):
+    rows = [(i, [s * x for x in v]) for i, (s, v) in enumerate([(1.0, [1.0, 2.0]), (1e200, [1.0, 2.0]), (1e-200, [1.0, 2.0]), (1e300, [-2.0, 1.0]), (5e-324, [1.0, 0.0])])]
+    df = sp.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pivots.embedding_near_duplicates(df).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (0, 3), 4: (0, 4)}
