@@ -7,6 +7,9 @@ execution splits, and every fold is a partial aggregate.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -96,30 +99,91 @@ def bodies(mask: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     return components(mask, within(edges.filter(same), mask))
 
 
+BLOCK = 5  # levels of a block, the unit solved in one array pass: 1024 ids, so at most 1024^2 links inside it
+SIDE = 4**BLOCK
+FAR = 2**31 - 1  # the distance of a cell not reached
+
+
+def _relax(a: np.ndarray, b: np.ndarray, held: np.ndarray, at: np.ndarray, given: np.ndarray, farthest: int) -> np.ndarray:
+    """Distances inside one block after some cells got lower ones: whole levels at a time, lowest first."""
+    d = held.copy()
+    np.minimum.at(d, at, given)
+    waiting = d < held
+    while waiting.any():
+        level = d[waiting].min()
+        front = waiting & (d == level)
+        waiting &= ~front
+        if level >= farthest:
+            break
+        reach = b[front[a]]
+        reach = reach[d[reach] > level + 1]
+        d[reach] = level + 1
+        waiting[reach] = True
+    return d
+
+
+def _relax_blocks(farthest: int):
+    def numbers(x) -> np.ndarray:
+        return np.zeros(0, "int32") if x is None else np.asarray(x, "int32")
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            held, moved = [], []
+            for r in rows.itertuples(index=False):
+                old = np.full(SIDE, FAR, "int32") if r.held is None else np.asarray(r.held, "int32")
+                new = _relax(numbers(r.a), numbers(r.b), old, numbers(r.at), numbers(r.given), farthest)
+                held.append(new)
+                moved.append(np.flatnonzero(new < old).astype("int32"))
+            yield pd.DataFrame({"block": rows["block"], "held": held, "moved": moved})
+
+    return solve
+
+
+def _block(c: Column) -> Column:
+    return F.shiftright(c - 1, 2 * BLOCK)
+
+
+def _local(c: Column) -> Column:
+    return (c - 1).bitwiseAND(F.lit(SIDE - 1)).cast("int")
+
+
 def ring_distance(edges: DataFrame, seeds: DataFrame, farthest: int | None = None) -> DataFrame:
     """(cell, distance): hops from the nearest seed, up to `farthest` when one is enough.
 
-    The graph is undirected, so a new ring only needs to be told from the two rings before it.
+    Ids are cut into blocks of 1024, which on the grid are coarse cells. A round solves every block that
+    got a lower distance in one array pass and sends only the lowered distances of its border on, so rounds
+    follow blocks crossed, not cells. A block is one row of 1024 distances; blocks nothing reached are not
+    solved. Ids without locality are right as well, at up to a round a hop. Null ids are no cells.
     """
+    seeds = settled(seeds.select("cell").filter("cell IS NOT NULL").distinct())
     require(not seeds.isEmpty(), "seeds", "ring_distance", "no seed cell was given")
-    links = settled(edges.select("cell", "neighbour"))
-    before, ring = None, settled(seeds.select("cell").distinct())
-    rings, d = [ring.withColumn("distance", F.lit(0))], 0
-    while farthest is None or d < farthest:
-        reached = links.join(ring, "cell", "left_semi").select(F.col("neighbour").alias("cell")).distinct()
-        reached = reached.join(ring, "cell", "left_anti")
-        if before is not None:
-            reached = reached.join(before, "cell", "left_anti")
-        new = settled(reached)
-        if new.isEmpty():
+    here, there = F.col("cell"), F.col("neighbour")
+    links = edges.select("cell", "neighbour").filter("cell IS NOT NULL AND neighbour IS NOT NULL AND cell <> neighbour")
+    # collected lists are bounded: distinct pairs of the ids of one block
+    inner = settled(
+        links.filter(_block(here) == _block(there)).select(_block(here).alias("block"), _local(here).alias("a"), _local(there).alias("b")).distinct()
+        .groupBy("block").agg(F.collect_list(F.struct("a", "b")).alias("_l")).select("block", F.col("_l.a").alias("a"), F.col("_l.b").alias("b")))
+    border = settled(links.filter(_block(here) != _block(there)))
+    limit = FAR - 1 if farthest is None else farthest
+    lowered, state = seeds.withColumn("distance", F.lit(0)), None
+    while True:
+        # one row per cell first, so a block collects at most 1024 of them
+        least = lowered.groupBy("cell").agg(F.min("distance").alias("distance"))
+        given = least.groupBy(_block(here).alias("block")).agg(F.collect_list(F.struct(_local(here).alias("at"), F.col("distance").alias("given"))).alias("_g"))
+        given = given.select("block", F.col("_g.at").alias("at"), F.col("_g.given").alias("given")).join(inner, "block", "left")
+        none = F.lit(None).cast("array<int>")
+        work = given.withColumn("held", none) if state is None else given.join(state, "block", "left")
+        solved = settled(work.select("block", "a", "b", "at", "given", "held").mapInPandas(
+            _relax_blocks(limit), "block bigint, held array<int>, moved array<int>").filter(F.size("moved") > 0))
+        if solved.isEmpty():
             break
-        d += 1
-        rings.append(new.withColumn("distance", F.lit(d)))
-        before, ring = ring, new
-    out = rings[0]
-    for r in rings[1:]:
-        out = out.unionByName(r)
-    return out
+        fresh = solved.select("block", "held")
+        state = fresh if state is None else settled(state.join(solved, "block", "left_anti").unionByName(fresh))
+        out = solved.select("block", "held", F.explode("moved").alias("_i")).select(
+            (F.shiftleft("block", 2 * BLOCK) + F.col("_i") + 1).alias("cell"), F.get("held", F.col("_i")).alias("_d"))
+        lowered = out.filter(F.col("_d") < limit).join(border, "cell").select(there.alias("cell"), (F.col("_d") + 1).alias("distance"))
+    every = state.select("block", F.posexplode("held").alias("_i", "distance")).filter(F.col("distance") < FAR)
+    return every.select((F.shiftleft("block", 2 * BLOCK) + F.col("_i") + 1).alias("cell"), "distance")
 
 
 def elevated_edges(terrain: DataFrame, edges: DataFrame, z: str = "z") -> DataFrame:
@@ -131,8 +195,11 @@ def elevated_edges(terrain: DataFrame, edges: DataFrame, z: str = "z") -> DataFr
 
 def minimum_plateaus(terrain: DataFrame, edges: DataFrame, ocean: DataFrame, z: str = "z") -> DataFrame:
     """(cell, plateau): connected equal-elevation land cells none of which has a lower neighbour."""
-    land = terrain.join(ocean.select("cell"), "cell", "left_anti")
-    both = elevated_edges(terrain, edges, z)
+    land = terrain.join(ocean.select("cell"), "cell", "left_anti").select("cell")
+    return _plateaus(land, elevated_edges(terrain, edges, z))
+
+
+def _plateaus(land: DataFrame, both: DataFrame) -> DataFrame:
     lower = both.filter("z_there < z_here").select("cell").distinct()
     flat = within(both.filter("z_there = z_here"), land)
     label = components(land, flat)
@@ -147,19 +214,21 @@ def drainage_terminals(terrain: DataFrame, edges: DataFrame, ocean: DataFrame, z
     """(cell, terminal): OCEAN_TERMINAL, or the lowest id of the closed basin each cell drains to.
 
     A cell points at its lowest neighbour; on a flat without one, at the neighbour fewest hops from
-    a cell that has one. Ties go to the lower id. Pointers are then doubled until none moves.
+    a cell that has one. Ties go to the lower id. Pointers are then doubled; a cell that has found its
+    terminal is written once and moves no more.
     """
     both = settled(elevated_edges(terrain, edges, z))
     wet = ocean.select("cell")
-    plateau = settled(minimum_plateaus(terrain, edges, ocean, z))
-    ends = wet.select("cell", F.lit(OCEAN_TERMINAL).cast("bigint").alias("terminal")).unionByName(
-        plateau.select("cell", F.col("plateau").alias("terminal")))
+    land = terrain.select("cell").join(wet, "cell", "left_anti")
+    plateau = _plateaus(land, both)
+    ends = settled(wet.select("cell", F.lit(OCEAN_TERMINAL).cast("bigint").alias("terminal")).unionByName(
+        plateau.select("cell", F.col("plateau").alias("terminal"))))
     moving = terrain.select("cell").join(ends, "cell", "left_anti")
     downhill = settled(
         both.filter("z_there < z_here").join(moving, "cell", "left_semi")
         .groupBy("cell").agg(F.min(F.struct(F.col("z_there"), F.col("neighbour"))).alias("_m"))
         .select("cell", F.col("_m.neighbour").alias("next")))
-    pointers = downhill
+    still = downhill
     stuck = moving.join(downhill, "cell", "left_anti")
     if not stuck.isEmpty():
         flat = both.filter("z_there = z_here").join(moving, "cell", "left_semi")
@@ -167,22 +236,19 @@ def drainage_terminals(terrain: DataFrame, edges: DataFrame, ocean: DataFrame, z
         far = hops.select(F.col("cell").alias("neighbour"), F.col("distance").alias("_d"))
         own = stuck.join(hops, "cell")
         inward = flat.join(own, "cell").join(far, "neighbour").filter("_d < distance")
-        pointers = downhill.unionByName(
-            inward.groupBy("cell").agg(F.min(F.struct("_d", "neighbour")).alias("_m")).select("cell", F.col("_m.neighbour").alias("next")))
-    ends = settled(ends)
-    # ends point at themselves, so doubling keeps them
-    jump = settled(pointers.unionByName(ends.select("cell", F.col("cell").alias("next"))))
+        still = settled(downhill.unionByName(
+            inward.groupBy("cell").agg(F.min(F.struct("_d", "neighbour")).alias("_m")).select("cell", F.col("_m.neighbour").alias("next"))))
+    found = ends
     for _ in range(MAX_ROUNDS):
-        up = jump.select(F.col("cell").alias("next"), F.col("next").alias("_up"))
-        doubled = settled(jump.join(up, "next").select("cell", "next", F.col("_up")))
-        moved = doubled.filter("next <> _up")
-        jump = doubled.select("cell", F.col("_up").alias("next"))
-        if moved.isEmpty():
-            break
-    else:
-        require(False, "rounds", "drainage_terminals", f"not settled after {MAX_ROUNDS} rounds")
-    at = ends.select(F.col("cell").alias("next"), "terminal")
-    return jump.join(at, "next").select("cell", "terminal")
+        # what a pointer meets: a terminal, or the pointer of a cell that moves still
+        met = still.select(F.col("cell").alias("next"), F.col("next").alias("_up"), F.lit(None).cast("bigint").alias("terminal")).unionByName(
+            found.select(F.col("cell").alias("next"), F.lit(None).cast("bigint").alias("_up"), "terminal"))
+        doubled = settled(still.join(met, "next").select("cell", F.col("_up").alias("next"), "terminal"))
+        found = found.unionByName(doubled.filter("terminal IS NOT NULL").select("cell", "terminal"))
+        still = doubled.filter("terminal IS NULL").select("cell", "next")
+        if still.isEmpty():
+            return found
+    require(False, "rounds", "drainage_terminals", f"not settled after {MAX_ROUNDS} rounds")
 
 
 def crossings(body: DataFrame, edges: DataFrame, depth: int) -> DataFrame:

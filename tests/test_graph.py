@@ -239,3 +239,48 @@ def test_random_words_match_the_published_generator():
     for i, ctr in enumerate(([7, 1, 3, 0], [8, 2, 4, 0])):
         ctr[0] -= 1  # numpy steps its counter before drawing
         assert (np.random.Philox(key=list(key), counter=ctr).random_raw(4) == got[i]).all()
+
+
+def hops_from(pairs, seeds):
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    d, queue = dict.fromkeys(seeds, 0), list(seeds)
+    for u in queue:
+        for v in near.get(u, []):
+            if v not in d:
+                d[v] = d[u] + 1
+                queue.append(v)
+    return d
+
+
+def test_distances_take_a_round_a_block(spark, monkeypatch):
+    pairs = [(i, i + 1) for i in range(1, 10_000)]
+    written = []
+    keep = graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df: written.append(1) or keep(df))
+    got = dict(graph.ring_distance(both_ways(spark, pairs), spark.createDataFrame([(1,)], "cell bigint")).collect())
+    assert got == {i: i - 1 for i in range(1, 10_001)}
+    assert len(written) < 40
+
+
+def test_distances_on_random_graphs(spark):
+    rng = random.Random(3)
+    ids = rng.sample(range(-1500, 3000), 300)
+    pairs = [tuple(rng.sample(ids, 2)) for _ in range(600)] + [(ids[0], ids[1])] * 2
+    seeds = [ids[0], ids[5], 99_999]  # the last has no edge
+    want = hops_from(pairs, seeds)
+    edges = both_ways(spark, pairs).union(spark.createDataFrame([(None, 1), (1, None), (7, 7)], "cell bigint, neighbour bigint"))
+    start = spark.createDataFrame([(s,) for s in [*seeds, seeds[0], None]], "cell bigint")
+    assert dict(graph.ring_distance(edges, start).collect()) == want
+    assert dict(graph.ring_distance(edges, start, 2).collect()) == {c: d for c, d in want.items() if d <= 2}
+
+
+def test_a_flat_drains_through_its_only_outlet(spark):
+    n = 3000
+    pairs = [(i, i + 1) for i in range(1, n)]
+    terrain = spark.createDataFrame([(i, 5.0) for i in range(2, n + 1)] + [(1, 1.0)], "cell bigint, z double")
+    none = spark.createDataFrame([], "cell bigint")
+    got = dict(graph.drainage_terminals(terrain, both_ways(spark, pairs), none).collect())
+    assert got == dict.fromkeys(range(1, n + 1), 1)
