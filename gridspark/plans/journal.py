@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from gridspark.plans.fixtures import events, seconds
-from gridspark.plans.registry import NUDGE, query, r6
+from gridspark.plans.registry import NUDGE, query, r6, table
 from gridspark.session import shared_dir
 from gridspark.streaming import journal
 
@@ -75,6 +75,44 @@ def str5(spark, sf):
     return tally.groupBy("user_id").agg(F.sum("a").alias("accepted"), F.sum("r").alias("refused"))
 
 
+def arrivals(spark, sf):
+    """A stream over the events that grows by one kind of event at a time, in order of name; yields after each arrival."""
+    inbox, rows = scratch(spark, "inbox"), table(spark, sf, "events")
+    for (kind,) in rows.select("event_type").distinct().orderBy("event_type").collect():
+        rows.filter(F.col("event_type").eqNullSafe(kind)).write.mode("append").parquet(inbox)
+        yield journal.read_files(spark, inbox, "*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+_ARRIVALS = """k AS (SELECT *, dense_rank() OVER (ORDER BY event_type NULLS FIRST) AS b FROM events),
+    m AS (SELECT b, max(max(ts)) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL {} DAY AS mark FROM k GROUP BY b)"""
+
+
+@query("str3_late_rows", f"""
+    WITH {_ARRIVALS.format(10)}, w AS (SELECT *, time_bucket(INTERVAL 6 HOURS, ts) AS t FROM k JOIN m USING (b))
+    SELECT epoch_us(t)::DOUBLE / 1e6 AS t0, event_type, CASE WHEN t + INTERVAL 6 HOURS <= mark THEN 'late' ELSE 'on time' END AS status,
+           round(sum(value), 4) AS total, count(*) AS n FROM w GROUP BY ALL""")
+def str3_late(spark, sf):
+    path = scratch(spark, "late-windows")
+    for s in arrivals(spark, sf):
+        windows, late = journal.windowed_with_late(s, path, "ts", "6 hours", ["event_type"], "value", "10 days")
+    gone = late.groupBy(F.window("ts", "6 hours").alias("w"), "event_type").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"))
+    both = windows.select("t0", "event_type", F.lit("on time").alias("status"), "total", "n").unionByName(
+        gone.select(F.col("w.start").alias("t0"), "event_type", F.lit("late").alias("status"), "total", "n"))
+    return both.withColumn("t0", seconds("t0")).withColumn("total", r6(F.col("total"), 4))
+
+
+@query("str5_late_writes", f"""
+    WITH {_ARRIVALS.format(10)}, r AS (SELECT *, coalesce(ts <= mark, false) AS late, date_trunc('day', ts) AS step FROM k JOIN m USING (b)),
+    o AS (SELECT *, row_number() OVER (PARTITION BY user_id, step, late ORDER BY b, ts, event_id) AS place FROM r)
+    SELECT user_id, CASE WHEN late THEN 'late' WHEN place = 1 THEN 'accepted' ELSE 'duplicate' END AS outcome, count(*) AS n FROM o GROUP BY ALL""")
+def str5_late(spark, sf):
+    path = scratch(spark, "late-writes")
+    for s in arrivals(spark, sf):
+        keyed = s.select("event_id", "user_id", "ts", F.date_trunc("day", "ts").alias("step"))
+        out = journal.first_writes_with_late(keyed, path, "ts", ["user_id", "step"], "event_id", "10 days")
+    return out.groupBy("user_id", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("str6_exactly_once_reduction", """
     SELECT user_id, round(sum(value), 4) AS sum, count(*) AS cnt FROM events GROUP BY 1""")
 def str6(spark, sf):

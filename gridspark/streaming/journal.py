@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from gridspark.operators.ordered import match
+
 # The kinds of event and the fields of each kind's payload.
 PAYLOADS = {
     "verdict": ("predicate", "verdict", "statistic", "bracket"),
@@ -98,6 +100,85 @@ def refused_writes(written: DataFrame, accepted: DataFrame, identity: str) -> Da
     return written.join(accepted.select(identity), identity, "left_anti")
 
 
+def _clocked(stream: DataFrame, path: str, instant: str, late: str, each: Callable[[DataFrame, int, Column], None]) -> None:
+    """Drain `stream`, handing `each` a batch, its number and the watermark that held when the batch began.
+
+    The watermark is the latest instant of all earlier batches less `late`, as for a watermarked query, but it is
+    kept in a table beside the results: so rows behind it can be told apart instead of vanishing. Each batch
+    writes folders of its own number, and a replayed batch sees the same watermark and rewrites them.
+    """
+    spark = stream.sparkSession
+    kind = dict(stream.dtypes)[instant]
+    spark.createDataFrame([], f"seen {kind}").write.mode("overwrite").parquet(f"{path}/clock/batch=-1")
+
+    def step(batch: DataFrame, number: int) -> None:
+        kept = batch.persist()
+        clock = batch.sparkSession.read.schema(f"seen {kind}, batch bigint").parquet(f"{path}/clock").filter(F.col("batch") < number)
+        each(kept, number, clock.agg(F.max("seen") - F.expr(f"INTERVAL {late}")).scalar())
+        kept.agg(F.max(instant).alias("seen")).write.mode("overwrite").parquet(f"{path}/clock/batch={number}")
+        kept.unpersist()
+
+    run(stream, f"{path}/run", "append", step)
+
+
+def windowed_with_late(stream: DataFrame, path: str, instant: str, width: str, keys: Sequence[str], value: str,
+                       late: str = "1 day") -> tuple[DataFrame, DataFrame]:
+    """The windows of `windowed`, and the rows that came too late for theirs (or hold no instant).
+
+    Window counts and late rows add up to the input. May be called again as files arrive; every call drains what
+    is new. A batch adds one partial row per window and key, so no state is held and a hot key is pre-aggregated.
+    The endpoint is the value at the last instant, the greatest of equals; rows with null keys form a key.
+    """
+    spark, names = stream.sparkSession, stream.columns
+
+    def each(batch: DataFrame, number: int, mark: Column) -> None:
+        dated = batch.filter(F.col(instant).isNotNull()).withColumn("_w", F.window(instant, width))
+        dated = dated.withColumn("_late", F.coalesce(F.col("_w.end") <= mark, F.lit(False)))
+        part = dated.filter(~F.col("_late")).groupBy("_w", *keys).agg(
+            F.sum(value).alias("total"), F.count(value).alias("valued"), F.count(F.lit(1)).alias("n"),
+            F.max(F.struct(F.col(instant).alias("at"), F.col(value).alias("v"))).alias("last"))
+        part.select(F.col("_w.start").alias("t0"), F.col("_w.end").alias("t1"), *keys, "total", "valued", "n", "last").write.mode(
+            "overwrite").parquet(f"{path}/parts/batch={number}")
+        gone = dated.filter("_late").select(*names).unionByName(batch.filter(F.col(instant).isNull()))
+        gone.write.mode("overwrite").parquet(f"{path}/late/batch={number}")
+
+    _clocked(stream, path, instant, late, each)
+    parts = spark.read.parquet(f"{path}/parts")
+    windows = parts.groupBy("t0", "t1", *keys).agg(
+        (F.sum("total") / F.nullif(F.sum("valued"), F.lit(0))).alias("mean"), F.sum("total").alias("total"),
+        F.max("last").alias("_last"), F.sum("n").alias("n"))
+    windows = windows.select("t0", "t1", *keys, "mean", "total", F.col("_last.v").alias("endpoint"), "n")
+    return windows, spark.read.parquet(f"{path}/late").select(*names)
+
+
+def first_writes_with_late(stream: DataFrame, path: str, instant: str, keys: Sequence[str], identity: str, late: str = "1 day") -> DataFrame:
+    """Every row with its `outcome`: accepted, duplicate of a write within the watermark, or late (no instant: late).
+
+    In a batch the earliest row of a key is accepted, the lowest identity among equals; rows of one identity share
+    an outcome. A key may be written anew once its write lies more than `late` behind the watermark, as in `first_writes`.
+    Null keys form a key. May be called again as files arrive.
+    """
+    spark, names = stream.sparkSession, stream.columns
+    schema = ", ".join(f"`{c}` {t}" for c, t in stream.dtypes) + ", outcome string"
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/outcomes/batch=-1")
+
+    def each(batch: DataFrame, number: int, mark: Column) -> None:
+        past = F.col(instant).isNull() | F.coalesce(F.col(instant) <= mark, F.lit(False))
+        on_time = batch.filter(~past)
+        before = batch.sparkSession.read.schema(f"{schema}, batch bigint").parquet(f"{path}/outcomes").filter(
+            (F.col("batch") < number) & (F.col("outcome") == "accepted"))
+        open_ = F.coalesce(F.col(instant) + F.expr(f"INTERVAL {late}") > mark, F.lit(True))
+        held = before.filter(open_).select(*keys).distinct().withColumn("_held", F.lit(True))
+        first = on_time.groupBy(*keys).agg(F.min(F.struct(F.col(instant).alias("at"), F.col(identity).alias("id"))).alias("_first"))
+        judged = match(match(on_time, first, keys, "left"), held, keys, "left")
+        fresh = F.col("_held").isNull() & F.col("_first.id").eqNullSafe(F.col(identity))
+        out = judged.select(*names, F.when(fresh, "accepted").otherwise("duplicate").alias("outcome"))
+        out.unionByName(batch.filter(past).withColumn("outcome", F.lit("late"))).write.mode("overwrite").parquet(f"{path}/outcomes/batch={number}")
+
+    _clocked(stream, path, instant, late, each)
+    return spark.read.schema(schema).parquet(f"{path}/outcomes")
+
+
 def unrecorded(stream: DataFrame, manifest: DataFrame, name: str) -> DataFrame:
     """Stream rows whose name the manifest does not hold."""
     return stream.join(manifest.select(name).distinct(), name, "left_anti")
