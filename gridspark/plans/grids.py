@@ -354,20 +354,32 @@ def gra11(spark, sf):
     return graph.topology_edits(old, new, edges, 0.0, DEPTH)
 
 
+def _gate_sql(name: str, body: str) -> str:
+    return f"""{name} AS MATERIALIZED (SELECT DISTINCT (e.cell - 1) // {4**DEPTH} + 1 AS p, (e.nb - 1) // {4**DEPTH} + 1 AS q, a.label AS i, b.label AS o
+        FROM edges e JOIN {body} a ON a.cell = e.cell JOIN {body} b ON b.cell = e.nb WHERE (e.cell - 1) // {4**DEPTH} < (e.nb - 1) // {4**DEPTH})"""
+
+
+def _moves_sql(side: str, body: str, own: str, other: str, gate: str, others: str) -> str:
+    """Bodies without exactly one image, and gates without a gate between images of their bodies on the same coarse edge."""
+    return f"""
+    SELECT '{side}' AS side, (l.label - 1) // {4**DEPTH} + 1 AS coarse FROM (SELECT DISTINCT label FROM {body}) l
+        LEFT JOIN (SELECT {own}, count(*) AS c FROM corr GROUP BY 1) k ON k.{own} = l.label WHERE coalesce(c, 0) <> 1
+    UNION SELECT '{side}', unnest([g.p, g.q]) FROM {gate} g WHERE (g.p, g.q, g.i, g.o) NOT IN (
+        SELECT (h.p, h.q, x.{own}, y.{own}) FROM {others} h JOIN corr x ON x.{other} = h.i JOIN corr y ON y.{other} = h.o)"""
+
+
 @query("gra12_body_moves", f"""{BASE}, {TERRAIN2_SQL}, {ocean_sql()}, {ocean_sql('ocean2', 'terrain2')},
-    {bodies_sql('body', 'ocean')}, {bodies_sql('body2', 'ocean2')},
-    corr AS (SELECT DISTINCT a.label AS o, b.label AS n FROM body a JOIN body2 b ON a.cell = b.cell)
-    SELECT DISTINCT 'lost' AS side, (l.label - 1) // {4**DEPTH} + 1 AS coarse FROM (SELECT DISTINCT label FROM body) l
-        LEFT JOIN (SELECT o, count(*) AS c FROM corr GROUP BY 1) k ON k.o = l.label WHERE coalesce(c, 0) <> 1
-    UNION ALL SELECT DISTINCT 'gained', (l.label - 1) // {4**DEPTH} + 1 FROM (SELECT DISTINCT label FROM body2) l
-        LEFT JOIN (SELECT n, count(*) AS c FROM corr GROUP BY 1) k ON k.n = l.label WHERE coalesce(c, 0) <> 1""")
+    {bodies_sql('body', 'ocean')}, {bodies_sql('body2', 'ocean2')}, {_gate_sql('gate', 'body')}, {_gate_sql('gate2', 'body2')},
+    corr AS MATERIALIZED (SELECT DISTINCT a.label AS o, b.label AS n FROM body a JOIN body2 b ON a.cell = b.cell)
+    {_moves_sql('lost', 'body', 'o', 'n', 'gate', 'gate2')} UNION {_moves_sql('gained', 'body2', 'n', 'o', 'gate2', 'gate')}""")
 def gra12(spark, sf):
     level = level_of(spark, sf)
     edges = settled(grid.grid_edges(spark, level))
     old, new = (settled(terrain_of(spark, sf, level, w)) for w in ("true", "l_discount > 0.005"))
     a, b = (settled(graph.bodies(ocean_of(t, edges), edges, DEPTH)) for t in (old, new))
-    none = spark.createDataFrame([], "coarse_a bigint, coarse_b bigint, inner bigint, outer bigint")
-    return graph.body_moves(a, b, none, none, DEPTH).select("side", "coarse")
+    # a move asks which pairs of bodies touch, not how widely
+    gates = [settled(graph.crossings(x, edges, DEPTH).select("coarse_a", "coarse_b", "inner", "outer").distinct()) for x in (a, b)]
+    return graph.body_moves(a, b, *gates, DEPTH).select("side", "coarse")
 
 
 @query("gra13_basin_captures", f"""{BASE}, {TERRAIN2_SQL}, {ocean_sql()}, {ocean_sql('ocean2', 'terrain2')},
