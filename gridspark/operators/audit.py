@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce as fold
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridspark.functions import numeric
-from gridspark.operators.graph import lineage_levels
+from gridspark.operators.graph import lineage_levels, lineage_runs, strong_parts
 from gridspark.operators.ordered import FromData, lagged, last_known, match
-from gridspark.session import settled
+from gridspark.session import settled, shared_dir
 
 # The closed sets of a registry row.
 TIERS = (1, 2, 3)
@@ -174,28 +176,81 @@ def _input_digest(inputs: DataFrame, key: str, digest: str) -> DataFrame:
     return level.select(key, F.col("d").alias("_inputs"))
 
 
-def dataset_keys(runs: DataFrame, edges: DataFrame, attributes: Sequence[str]) -> DataFrame:
-    """(name, key): digest of a dataset's own attributes and of the keys of its inputs, level by level.
+def _alone(key: Column) -> Column:
+    """The digest `_input_digest` gives to a single input."""
+    for _ in range(4):
+        key = F.sha2(key, 256)
+    return key
 
-    `runs` is (name, attributes...), `edges` is (source, target). Names on a cycle have no key.
-    """
+
+class Layout(NamedTuple):
+    """What the edges of a lineage graph say about the order of its keys, written once for any number of runs."""
+
+    levels: DataFrame  # (name, level)
+    placed: DataFrame  # (name, first, level): the stretch each name lies in
+    at: DataFrame  # (first, at): the round of each stretch that has inputs or feeds another
+    feed: DataFrame  # (source, gives, target, takes): edges between stretches, with the rounds of both
+
+
+def lineage_layout(edges: DataFrame) -> Layout:
+    edges = settled(edges.select("source", "target").distinct())
     levels = settled(lineage_levels(edges))
+    placed = settled(lineage_runs(edges, levels))
+    fed_by = settled(edges.join(placed.filter("name = first").select(F.col("name").alias("target")), "target", "left_semi").join(
+        placed.select(F.col("name").alias("source"), F.col("first").alias("_from")), "source").select("source", "_from", "target"))
+    if placed.filter("name <> first").isEmpty():
+        at = levels.filter("level IS NOT NULL").select(F.col("name").alias("first"), F.col("level").alias("at"))
+    else:
+        depth = settled(lineage_levels(fed_by.select(F.col("_from").alias("source"), "target")))
+        at = depth.select(F.col("name").alias("first"), F.col("level").alias("at"))
+    feed = settled(fed_by.join(at.withColumnRenamed("first", "_from").withColumnRenamed("at", "gives"), "_from")
+                   .join(at.withColumnRenamed("first", "target").withColumnRenamed("at", "takes"), "target")
+                   .select("source", "gives", "target", "takes").repartitionByRange("gives"))
+    return Layout(levels, placed, at, feed)
+
+
+def dataset_keys(runs: DataFrame, edges: DataFrame, attributes: Sequence[str], layout: Layout | None = None) -> DataFrame:
+    """(name, key): digest of a dataset's own attributes and of the keys of its inputs.
+
+    `runs` is (name, attributes...), `edges` is (source, target). Names on a cycle have no key, nor has a
+    name without a row or one all of whose inputs lack a key. A stretch of names with one input each is one
+    row whose keys follow from one another, so rounds are levels of stretches. Each round hands its keys
+    to the names they feed, filed by the round that reads them: a key is written once.
+    """
+    spark = runs.sparkSession
+    levels, placed, at, feed = layout or lineage_layout(edges)
     own = settled(runs.select("name", F.sha2(F.to_json(F.struct(*sorted(attributes)), {"ignoreNullFields": "false"}), 256).alias("_own")))
-    top = levels.agg(F.max("level").alias("m")).first()["m"]
-    keys = settled(own.join(levels, "name", "left").filter(F.coalesce("level", F.lit(-1)) <= 0).join(
-        levels.filter("level IS NULL").select("name"), "name", "left_anti").select("name", F.sha2("_own", 256).alias("key")))
-    for n in range(1, (top or 0) + 1):
-        here = levels.filter(F.col("level") == n).select("name")
-        inputs = edges.join(here.withColumnRenamed("name", "target"), "target").join(
-            keys.select(F.col("name").alias("source"), "key"), "source").select(F.col("target").alias("name"), "key")
-        new = _input_digest(inputs, "name", "key").join(own, "name").select("name", F.sha2(F.concat("_own", "_inputs"), 256).alias("key"))
-        keys = settled(keys.unionByName(new))
-    return keys
-
-
-def stale_datasets(runs: DataFrame, edges: DataFrame, attributes: Sequence[str], stored: DataFrame) -> DataFrame:
+    single = own.join(levels, "name", "left_anti").select("name", F.sha2("_own", 256).alias("key"))
+    members = placed.join(own, "name", "left").groupBy("first").agg(F.sort_array(F.collect_list(F.struct("level", "name", "_own"))).alias("run"))
+    stretches = settled(members.join(at, "first", "left").fillna(0, ["at"]).repartitionByRange("at"))
+    filed = f"{shared_dir(spark)}/gridspark/{uuid.uuid4().hex}"
+    kind = feed.schema["target"].dataType.simpleString()
+    last = stretches.agg(F.max("at").alias("m")).first()["m"]
+    out = [single]
+    follow = lambda keys, m: F.concat(keys, F.array(F.struct(
+        m["name"].alias("name"), F.sha2(F.concat(m["_own"], _alone(F.element_at(keys, -1)["key"])), 256).alias("key"))))
+    for n in range(-1 if last is None else last + 1):
+        here = stretches.filter(F.col("at") == n)
+        lead = F.get("run", F.lit(0))
+        if n:
+            taken = spark.read.schema(f"name {kind}, key string, takes int").parquet(filed).filter(F.col("takes") == n)
+            here = here.join(_input_digest(taken, "name", "key").withColumnRenamed("name", "first"), "first")
+            start = F.sha2(F.concat(lead["_own"], F.col("_inputs")), 256)
+        else:
+            start = F.sha2(lead["_own"], 256)
+        begun = F.array(F.struct(lead["name"].alias("name"), start.alias("key")))
+        rest = F.slice("run", F.lit(2), F.size("run"))
+        keys = settled(here.select(F.explode(F.aggregate(rest, begun, follow)).alias("k")).select("k.*").filter("key IS NOT NULL"))
+        out.append(keys)
+        if n < last:
+            given = feed.filter(F.col("gives") == n).join(keys.withColumnRenamed("name", "source"), "source")
+            given.select(F.col("target").alias("name"), "key", "takes").write.mode("append").partitionBy("takes").parquet(filed)
+    return fold(lambda a, b: a.unionByName(b), out)
+
+
+def stale_datasets(runs: DataFrame, edges: DataFrame, attributes: Sequence[str], stored: DataFrame, layout: Layout | None = None) -> DataFrame:
     """Names whose key differs from the stored one: a changed dataset and everything made from it."""
-    now = dataset_keys(runs, edges, attributes)
+    now = dataset_keys(runs, edges, attributes, layout)
     both = now.join(stored.select("name", F.col("key").alias("_stored")), "name", "full")
     return both.filter(F.coalesce(F.col("key") != F.col("_stored"), F.lit(True))).select("name")
 
@@ -242,10 +297,24 @@ def dependency_closure(edges: DataFrame) -> DataFrame:
         parts.append(new)
 
 
-def dependency_problems(closure: DataFrame, edges: DataFrame, rows: DataFrame) -> DataFrame:
-    """(id, problem): a row that reaches itself, and a row that depends on one of a less trusted tier."""
-    own = rows.select(F.col("id"), F.col("tier"))
-    far = rows.select(F.col("id").alias("depends_on"), F.col("tier").alias("_far"))
-    tiers = edges.join(own, "id").join(far, "depends_on").filter("_far > tier").select("id").distinct()
-    loops = closure.filter("id = reaches").select("id").distinct()
-    return loops.withColumn("problem", F.lit("depends on itself")).unionByName(tiers.withColumn("problem", F.lit("depends on a less trusted row")))
+def dependency_problems(edges: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, problem, depends_on): what is wrong with the ids rows depend on; `depends_on` is null for a row that reaches itself.
+
+    `edges` is (id, depends_on) with repeats, `rows` is (id, tier). An id named twice by one row, an id that is no
+    row and a row of a less trusted tier are joins; rows on a cycle are strongly connected parts, so
+    reachable pairs are never listed. Only edges between rows can close a cycle.
+    """
+    named = edges.select("id", "depends_on").dropna()
+    known = rows.select("id").dropna().distinct()
+    counted = settled(named.join(known, "id", "left_semi").groupBy("id", "depends_on").agg(F.count(F.lit(1)).alias("_n")))
+    target = known.withColumnRenamed("id", "depends_on")
+    own = rows.groupBy("id").agg(F.min("tier").alias("tier"))
+    far = own.select(F.col("id").alias("depends_on"), F.col("tier").alias("_far"))
+    resolved = counted.join(target, "depends_on", "left_semi")
+    part = strong_parts(resolved.select(F.col("id").alias("source"), F.col("depends_on").alias("target")))
+    problem = lambda df, text: df.select("id", F.lit(text).alias("problem"), "depends_on")
+    return (problem(counted.filter("_n > 1"), "names a row more than once")
+            .unionByName(problem(counted.join(target, "depends_on", "left_anti"), "depends on an id that is no row"))
+            .unionByName(problem(resolved.join(own, "id").join(far, "depends_on").filter("_far > tier"), "depends on a less trusted row"))
+            .unionByName(part.select(F.col("name").alias("id"), F.lit("depends on itself").alias("problem"),
+                                     F.lit(None).cast(counted.schema["depends_on"].dataType).alias("depends_on"))))

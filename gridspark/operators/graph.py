@@ -506,25 +506,165 @@ def surface_graph(terrain: DataFrame, edges: DataFrame, seeds: DataFrame, datum:
 
 # Lineage graphs
 
+STEEPEST = 2**40  # more levels than any graph has; weights around a cycle stop here
+
 
 def lineage_levels(edges: DataFrame) -> DataFrame:
     """(name, level): the topological level of each dataset, null for those on or behind a cycle.
 
-    `edges` is (source, target). Each round drops the names nothing left points at.
+    `edges` is (source, target); a row with a null end is none. Each round settles the names nothing unsettled points at, and lets every
+    edge whose source has one input jump over it to that input, adding the lengths. Chains and trees
+    of inputs so end in logarithmic rounds; no graph takes more rounds than it has levels. A row
+    without a source is what settled inputs give its target. Each level is written once.
     """
-    left = settled(edges.select("source", "target").distinct())
-    names = settled(left.select(F.col("source").alias("name")).union(left.select(F.col("target").alias("name"))).distinct())
-    rest, done, level = names, [], 0
+    once = settled(edges.select("source", "target").dropna().distinct())
+    names = settled(once.select(F.col("source").alias("name")).union(once.select(F.col("target").alias("name"))).distinct())
+    free = names.join(once.select(F.col("target").alias("name")), "name", "left_anti")
+    nowhere = F.lit(None).cast(once.schema["source"].dataType)
+    left = once.withColumn("w", F.lit(1).cast("bigint")).unionByName(
+        free.select(nowhere.alias("source"), F.col("name").alias("target"), F.lit(0).cast("bigint").alias("w")))
+    parts = []
     while True:
-        waiting = left.select(F.col("target").alias("name")).distinct()
-        ready = settled(rest.join(waiting, "name", "left_anti"))
-        if ready.isEmpty():
+        known = F.col("source").isNull()
+        state = settled(left.groupBy("target").agg(
+            F.count("source").alias("inputs"), F.max(F.when(known, F.col("w"))).alias("base"),
+            F.max(F.when(~known, F.struct("source", "w"))).alias("one")))
+        done = state.filter("inputs = 0")
+        if done.isEmpty():
             break
-        done.append(ready.withColumn("level", F.lit(level)))
-        rest = settled(rest.join(ready, "name", "left_anti"))
-        left = settled(left.join(ready.select(F.col("name").alias("source")), "source", "left_anti"))
-        level += 1
-    out = rest.withColumn("level", F.lit(None).cast("int"))
-    for d in done:
-        out = out.unionByName(d)
-    return out
+        parts.append(done.select(F.col("target").alias("name"), "base"))
+        add = lambda a, b: F.least(F.col(a) + F.coalesce(b, F.lit(0)), F.lit(STEEPEST))
+        single = state.filter("inputs = 1").select(
+            F.col("target").alias("source"), F.col("one.source").alias("_up"), F.col("one.w").alias("_w"), "base")
+        met = left.filter("source IS NOT NULL").join(single, "source", "left")
+        over = F.array(F.struct(F.coalesce("_up", "source").alias("source"), "target", add("w", "_w").alias("w")),
+                       F.when(F.col("base").isNotNull(), F.struct(nowhere.alias("source"), "target", add("w", "base").alias("w"))))
+        jumped = met.select(F.explode(F.array_compact(over)).alias("r")).select("r.*")
+        ends = done.select(F.col("target").alias("source"), F.col("base").alias("_level"), F.lit(True).alias("_done"))
+        given = jumped.join(ends, "source", "left").select(
+            F.when(F.col("_done").isNull(), F.col("source")).alias("source"), "target", add("w", "_level").alias("w"))
+        kept = state.filter("inputs > 0 AND base IS NOT NULL").select(nowhere.alias("source"), "target", F.col("base").alias("w"))
+        left = settled(given.unionByName(kept).groupBy("source", "target").agg(F.max("w").alias("w")))
+    out = names.withColumn("base", F.lit(None).cast("bigint"))
+    if parts:
+        found = parts[0]
+        for part in parts[1:]:
+            found = found.unionByName(part)
+        out = names.join(found, "name", "left")
+    return out.select("name", F.col("base").cast("int").alias("level"))
+
+
+RUN = 1024  # levels of a chain that are read as one row
+
+
+def lineage_runs(edges: DataFrame, levels: DataFrame) -> DataFrame:
+    """(name, first, level): stretches of names with one input that has one output, cut where the level is a multiple of RUN.
+
+    `first` is the name a stretch begins with, itself for all other names. Names without a level are left out.
+    """
+    once = edges.select("source", "target").distinct()
+    one_in = once.groupBy("target").agg(F.count(F.lit(1)).alias("_n"), F.min("source").alias("source")).filter("_n = 1")
+    one_out = once.groupBy("source").agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1").select("source")
+    linked = one_in.join(one_out, "source", "left_semi").select(F.col("target").alias("name"), F.col("source").alias("up"))
+    placed = levels.filter("level IS NOT NULL").join(linked, "name", "left")
+    up = F.when(F.col("level") % RUN != 0, F.col("up"))
+    runs = settled(placed.select(F.col("name").alias("cell"), F.coalesce(up, "name").alias("parent")))
+    span = 1
+    while span < RUN:  # four times as far each time
+        runs = settled(_jump(_jump(runs)))
+        span *= 4
+    return runs.select(F.col("cell").alias("name"), F.col("parent").alias("first")).join(levels, "name")
+
+
+def _shrink(left: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One round on loopless edges: ends of paths go, and so do some names with one input and one output.
+
+    Returns the edges left, the loops this closed, and (name, source, target) of the names passed over.
+    A name is passed over if it comes first, in a hashed order, among its neighbours of the same kind.
+    """
+    ends = left.select(F.col("source").alias("name"), F.lit(None).cast(left.schema["source"].dataType).alias("i"), F.col("target").alias("o")).unionByName(
+        left.select(F.col("target").alias("name"), F.col("source").alias("i"), F.lit(None).cast(left.schema["source"].dataType).alias("o")))
+    degree = settled(ends.groupBy("name").agg(
+        F.count("i").alias("inputs"), F.count("o").alias("outputs"), F.min("i").alias("source"), F.min("o").alias("target")))
+    inner = degree.filter("inputs > 0 AND outputs > 0")
+    left = left.join(inner.select(F.col("name").alias("source")), "source", "left_semi").join(
+        inner.select(F.col("name").alias("target")), "target", "left_semi")
+    # both neighbours must still be there: an end that goes in this round takes its edges along
+    stays = inner.select(F.col("name").alias("_n"))
+    thin = settled(degree.filter("inputs = 1 AND outputs = 1").join(stays.withColumnRenamed("_n", "source"), "source", "left_semi")
+                   .join(stays.withColumnRenamed("_n", "target"), "target", "left_semi").select("name", "source", "target"))
+    rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
+    peer = thin.select(F.col("name").alias("_p"))
+    before = thin.join(peer.withColumnRenamed("_p", "source"), "source", "left_semi").filter(rank("source") < rank("name")).select("name")
+    after = thin.join(peer.withColumnRenamed("_p", "target"), "target", "left_semi").filter(rank("target") < rank("name")).select("name")
+    passed = settled(thin.join(before.unionByName(after), "name", "left_anti"))
+    gone = passed.select("name")
+    rest = (left.join(gone.withColumnRenamed("name", "source"), "source", "left_anti")
+            .join(gone.withColumnRenamed("name", "target"), "target", "left_anti").select("source", "target")
+            .unionByName(passed.select("source", "target")).distinct())
+    rest = settled(rest)
+    loops = rest.filter("source = target").select(F.col("source").alias("name"))
+    return rest.filter("source <> target"), loops, passed
+
+
+def _reach_parts(left: DataFrame) -> DataFrame:
+    """(name, part) of the parts that hold the highest name reaching them: colours forward, then marks backward."""
+    colour = settled(left.select(F.col("source").alias("name")).union(left.select(F.col("target").alias("name"))).distinct()
+                     .withColumn("part", F.col("name")))
+    front = colour
+    while True:  # only names whose colour rose go on
+        sent = left.join(front.withColumnRenamed("name", "source"), "source").groupBy(F.col("target").alias("name")).agg(F.max("part").alias("_new"))
+        front = settled(colour.join(sent, "name").filter("_new > part").select("name", F.col("_new").alias("part")))
+        if front.isEmpty():
+            break
+        colour = settled(colour.join(front.withColumnRenamed("part", "_new"), "name", "left").select("name", F.coalesce("_new", "part").alias("part")))
+    inside = settled(left.join(colour.withColumnRenamed("name", "source"), "source").join(
+        colour.select(F.col("name").alias("target"), F.col("part").alias("_q")), "target").filter("part = _q").select("source", "target"))
+    front = seen = colour.filter("name = part")
+    while True:
+        back = inside.join(front.withColumnRenamed("name", "target"), "target").select(F.col("source").alias("name"), "part").distinct()
+        front = settled(back.join(seen, "name", "left_anti"))
+        if front.isEmpty():
+            break
+        seen = settled(seen.unionByName(front))
+    return seen
+
+
+def strong_parts(edges: DataFrame) -> DataFrame:
+    """(name, part): names that reach themselves, with one name of their strongly connected part for all its members.
+
+    `edges` is (source, target). Paths that lead nowhere are peeled and names with one input and one
+    output passed over, until that stops; the rest is coloured by the highest name that reaches each name, and
+    the names of a colour that reach that name are a part. Names passed over lie in a part where both their
+    neighbours do. Trees and chains take logarithmic rounds, a colouring as many as its part is across.
+    """
+    every = settled(edges.select("source", "target").dropna().distinct())
+    left = every.filter("source <> target")
+    loops = every.filter("source = target").select(F.col("source").alias("name"))
+    passed, parts = [], []
+    while not left.isEmpty():
+        before = left.count()
+        rest, closed, over = _shrink(left)
+        passed.append(over)
+        loops = loops.unionByName(closed)
+        left = rest
+        if left.count() * 10 > before * 9:
+            found = _reach_parts(left)
+            sizes = found.groupBy("part").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("part")
+            parts.append(settled(found.join(sizes, "part", "left_semi").select("name", "part")))
+            gone = found.select("name")
+            left = settled(left.join(gone.withColumnRenamed("name", "source"), "source", "left_anti").join(
+                gone.withColumnRenamed("name", "target"), "target", "left_anti").select("source", "target"))
+    loops = settled(loops.distinct())
+    alone = loops.withColumn("part", F.col("name"))
+    known = alone.limit(0)
+    for p in parts:
+        known = known.unionByName(p)
+    known = settled(known.unionByName(alone.join(known.select("name"), "name", "left_anti")))
+    for over in reversed(passed):
+        a = known.select(F.col("name").alias("source"), "part")
+        b = known.select(F.col("name").alias("target"), F.col("part").alias("_q"))
+        inside = settled(over.join(a, "source").join(b, "target").filter("part = _q").select("name", "part"))
+        if not inside.isEmpty():
+            known = settled(known.join(inside.select("name"), "name", "left_anti").unionByName(inside))
+    return known
