@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 from functools import reduce as fold
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
-from gridspark.contracts import require
+from gridspark.contracts import raise_if_any, require
 from gridspark.operators.ordered import match
 from gridspark.operators.reduce import segmented_median
-from gridspark.session import shared_dir
+from gridspark.sources.tables import create_once
 
 # The stored fill and valid range of a reading, and its scale.
 READING_FILL, READING_LOW, READING_HIGH, READING_SCALE = 32767, 0, 32766, 0.001
@@ -179,16 +182,86 @@ def calendar_gaps(df: DataFrame, date: str, lo: str, hi: str) -> DataFrame:
     return days.join(df.select(date).distinct(), date, "left_anti")
 
 
-def replace_periods(extract: DataFrame, replacement: DataFrame, months: Sequence[int], path: str | None = None) -> DataFrame:
-    """The extract with whole months replaced, through a dynamic partition overwrite of a month-partitioned table.
+VERSION_SCHEMA = "version int, schema string, replaced array<int>, months array<struct<month: int, path: string>>"
 
-    Refused when the replacement holds a month it does not declare.
-    """
+
+def _versions(spark: SparkSession, root: str) -> list[Row]:
+    lines = spark.read.text(f"{root}/versions", pathGlobFilter="*.json")
+    return lines.select(F.from_json("value", VERSION_SCHEMA).alias("r")).filter("r.version IS NOT NULL").select("r.*").orderBy("version").collect()
+
+
+def _commit_version(spark: SparkSession, root: str, version: int, schema: str, months: dict[int, str], replaced: Sequence[int], site: str) -> None:
+    text = json.dumps({"version": version, "schema": schema, "replaced": list(replaced), "months": [{"month": m, "path": p} for m, p in sorted(months.items())]})
+    require(create_once(spark, f"{root}/versions/{version:08d}.json", text), root, site, f"version {version} was committed by another writer")
+
+
+def _write_months(df: DataFrame, root: str) -> str:
+    path = f"{root}/data/{uuid.uuid4().hex}"
+    df.repartition("month").write.partitionBy("month").parquet(path)
+    return path
+
+
+def write_periods(extract: DataFrame, root: str) -> None:
+    """An extract with a `month` column as version 0 of a table whose versions name the folder of each month."""
     spark = extract.sparkSession
-    path = path or f"{shared_dir(spark)}/extract-{id(extract)}"
-    stray = replacement.filter(~F.col("month").isin(*months)).limit(1).collect()
-    require(not stray, "months", "replace_periods", "the replacement holds an undeclared month")
-    extract.write.mode("overwrite").partitionBy("month").parquet(path)
-    (replacement.select(*extract.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("month").parquet(path))
-    return spark.read.parquet(path).select(*extract.columns)
+    require(extract.filter("month IS NULL").isEmpty(), "month", "write_periods", "a row has no month")
+    path = _write_months(extract, root)
+    held = [r["month"] for r in spark.read.schema(extract.schema).parquet(path).select("month").distinct().collect()]
+    _commit_version(spark, root, 0, extract.schema.json(), {m: path for m in held}, [], "write_periods")
+
+
+def read_periods(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """The rows of a version, the newest by default."""
+    found = [r for r in _versions(spark, root) if version is None or r["version"] == version]
+    require(bool(found), root, "read_periods", "no such version is committed")
+    schema = StructType.fromJson(json.loads(found[-1]["schema"]))
+    by_path: dict[str, list[int]] = {}
+    for m in found[-1]["months"]:
+        by_path.setdefault(m["path"], []).append(m["month"])
+    parts = [spark.read.schema(schema).parquet(p).filter(F.col("month").isin(months)).select(*schema.names) for p, months in by_path.items()]
+    return fold(lambda a, b: a.unionByName(b), parts) if parts else spark.createDataFrame([], schema)
+
+
+def granules_differ(extract: DataFrame, source: DataFrame) -> DataFrame:
+    """(granule, status) where two manifests (granule, bytes, sha256) disagree: absent from either, or other contents."""
+    key = F.struct("bytes", "sha256")
+    a = extract.select("granule", key.alias("_a")).distinct()
+    b = source.select("granule", key.alias("_b")).distinct()
+    both = a.join(b, "granule", "full")
+    status = (F.when(F.col("_b").isNull(), "absent from the source").when(F.col("_a").isNull(), "absent from the extract")
+              .when(~F.col("_a").eqNullSafe(F.col("_b")), "other contents"))
+    return both.select("granule", status.alias("status")).filter("status IS NOT NULL")
+
+
+def replace_periods(root: str, replacement: DataFrame, rules: dict, source_rules: dict, granules: DataFrame,
+                    source_granules: DataFrame, ceiling_keys: Sequence[str], factor: int = 1) -> DataFrame:
+    """Whole months of the table at `root` replaced by those the source declares; returns the new version.
+
+    `rules` of the table and of the source agree in all but `months`, which the source states; `window` is
+    (first day, last day). The source's granules are those of the table that lie in the window and in those
+    months, with the same bytes and digests, and no count exceeds the granules behind its month. Anything
+    else is refused before data are written, as are months replaced before and rows of other months. The months are
+    written to a folder of their own and become current by one numbered commit, which one writer can make:
+    what other months or versions hold is never rewritten, so a failed replacement loses nothing.
+    """
+    spark, site = replacement.sparkSession, "replace_periods"
+    require("months" in source_rules, "months", site, "the source declares no months")
+    for name in sorted(set(rules) - {"months"}):
+        require(source_rules.get(name) == rules[name], name, site, "differs between the two sets of rules")
+    months = sorted(source_rules["months"])
+    versions = _versions(spark, root)
+    require(bool(versions), root, site, "no version is committed")
+    newest = versions[-1]
+    require(not any(v["replaced"] for v in versions), "months", site, "months have been replaced already")
+    raise_if_any(replacement.filter(~F.coalesce(F.col("month").isin(months), F.lit(False))), "months", site)
+    lo, hi = rules["window"]
+    mine = granules.filter(F.col("day").between(F.lit(lo).cast("date"), F.lit(hi).cast("date")) & F.month("day").isin(months))
+    raise_if_any(granules_differ(mine, source_granules), "granules", site)
+    per_month = source_granules.groupBy(F.month("day").alias("month")).agg(F.countDistinct("granule").alias("n"))
+    raise_if_any(over_ceiling(replacement, per_month, ceiling_keys, factor=factor), "count ceiling", site)
+    current = {m["month"]: m["path"] for m in newest["months"] if m["month"] not in months}
+    schema = StructType.fromJson(json.loads(newest["schema"]))
+    path = _write_months(replacement.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]), root)
+    current |= {m: path for m in months}
+    _commit_version(spark, root, newest["version"] + 1, newest["schema"], current, months, site)
+    return read_periods(spark, root)

@@ -251,6 +251,12 @@ def set7(spark, sf):
     UNION ALL SELECT variant, month, row, col, round(sum(value), 3), count(*) FROM {MASKED}
     WHERE month IN (2, 3) AND l_linestatus = 'O' GROUP BY ALL""")
 def snk4(spark, sf):
+    root = f"{shared_dir(spark)}/extract-{uuid.uuid4().hex}"
+    obs.write_periods(accumulators(spark, sf), root)
     fresh = obs.monthly_accumulate(masked(spark, sf).filter("month IN (2, 3) AND l_linestatus = 'O'"), KEYS)
-    out = obs.replace_periods(accumulators(spark, sf), fresh, [2, 3], f"{shared_dir(spark)}/extract-{uuid.uuid4().hex}")
+    name = F.concat_ws(".", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    lines = table(spark, sf, "lineitem").select(
+        name.alias("granule"), F.length(name).alias("bytes"), F.sha2(name, 256).alias("sha256"), F.to_date("l_shipdate").alias("day"))
+    rules = {"window": ["1990-01-01", "2010-12-31"], "all_variant": "qa <= 5", "snowfree_variant": "qa <= 3"}
+    out = obs.replace_periods(root, fresh, rules, rules | {"months": [2, 3]}, lines, lines.filter(F.month("day").isin(2, 3)), ["variant"])
     return out.withColumn("sum", r6(F.col("sum"), 3))

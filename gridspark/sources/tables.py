@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -74,27 +75,55 @@ def content_key(inputs: dict) -> str:
 MANIFEST_SCHEMA = "key string, inputs string, path string"
 
 
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file only where none of that name is; False where another writer was first.
+
+    The file system decides, so of two writers one wins: create without overwrite is atomic on HDFS and on
+    local disks, and on object stores whose connector has conditional writes. A writer that dies while it writes
+    this one file leaves it empty: readers pass over it, and its name stays taken until it is deleted.
+    """
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(target.getParent())
+    try:
+        out = fs.create(target, False)
+    except Exception:
+        if fs.exists(target):
+            return False
+        raise
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return True
+
+
 def read_manifest(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(MANIFEST_SCHEMA).option("mergeSchema", "false").parquet(f"{root}/manifest")
+    """(key, inputs, path) of the datasets committed under a root: one small file each."""
+    create_once(spark, f"{root}/manifest/_log", "")
+    lines = spark.read.text(f"{root}/manifest", pathGlobFilter="*.json")
+    return lines.select(F.from_json("value", MANIFEST_SCHEMA).alias("r")).filter("r.key IS NOT NULL").select("r.*")
 
 
 def put_dataset(df: DataFrame, root: str, inputs: dict, ledger: DataFrame | None = None) -> str:
-    """Write under a content-derived key and record it last.
+    """Write under a content-derived key and commit it last.
 
-    A dataset is known by its manifest row, so a write that dies leaves no dataset, only an unlisted
-    folder that the next attempt replaces. A recorded key is never overwritten, and a table whose
-    ledger is open is refused before anything is written.
+    Each attempt writes a folder of its own; the commit creates the key's file in the manifest, which only one
+    attempt can. A write that dies, or loses to another of the same key, leaves a folder that no reader
+    sees and never touches the data of the one that won. A table whose ledger is open is refused before
+    anything is written.
     """
     spark, key = df.sparkSession, content_key(inputs)
     if ledger is not None:
         raise_if_any(ledger.filter(~F.col("closed")), "ledger", "put_dataset")
-    spark.createDataFrame([], MANIFEST_SCHEMA).write.mode("append").parquet(f"{root}/manifest")
     if not read_manifest(spark, root).filter(F.col("key") == key).isEmpty():
         refuse(key, "put_dataset", "a dataset of this key is recorded already")
-    path = f"{root}/data/{key}"
-    df.write.mode("overwrite").parquet(path)
-    row = spark.createDataFrame([(key, json.dumps(inputs, sort_keys=True), path)], MANIFEST_SCHEMA)
-    row.coalesce(1).write.mode("append").parquet(f"{root}/manifest")
+    path = f"{root}/data/{key}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    row = json.dumps({"key": key, "inputs": json.dumps(inputs, sort_keys=True), "path": path})
+    if not create_once(spark, f"{root}/manifest/{key}.json", row):
+        refuse(key, "put_dataset", "a dataset of this key was recorded while this one was written")
     return path
 
 

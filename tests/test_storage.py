@@ -56,13 +56,79 @@ def test_manifest(spark, tmp_path):
     assert dict(tables.verify_manifest(found, listed).collect()) == {"a.txt": "sha256 differs", "b.txt": "extra", "c.txt": "absent"}
 
 
-def test_replace_refuses_other_months(spark, tmp_path):
-    old = spark.createDataFrame([(1, 5.0), (2, 6.0)], "month int, v double")
-    new = spark.createDataFrame([(2, 7.0)], "month int, v double")
-    out = observations.replace_periods(old, new, [2], str(tmp_path / "x"))
-    assert sorted(map(tuple, out.collect())) == [(1, 5.0), (2, 7.0)]
+def test_two_writers_of_one_key_leave_one_dataset(spark, tmp_path, monkeypatch):
+    root, inputs, real = str(tmp_path / "s"), {"code": "1"}, tables.create_once
+    ones, twos = spark.range(5), spark.range(7)
+
+    def overtaken(session, path, text):  # another writer commits while this one writes
+        if path.endswith(".json"):
+            monkeypatch.setattr(tables, "create_once", real)
+            tables.put_dataset(twos, root, inputs)
+        return real(session, path, text)
+
+    monkeypatch.setattr(tables, "create_once", overtaken)
+    with pytest.raises(Refusal):
+        tables.put_dataset(ones, root, inputs)
+    rows = tables.read_manifest(spark, root).collect()
+    assert len(rows) == 1 and spark.read.parquet(rows[0]["path"]).count() == 7
+    assert tables.read_manifest(spark, str(tmp_path / "none")).count() == 0
+
+
+RULES = {"window": ["2001-01-01", "2001-12-31"], "all_variant": "a"}
+
+
+def months_table(spark, tmp_path):
+    root = str(tmp_path / "x")
+    observations.write_periods(spark.createDataFrame([("a", 1, 5.0, 1), ("a", 2, 6.0, 1), ("b", 2, 1.0, 1)], ACC), root)
+    days = [("g1", "2001-01-05"), ("g2", "2001-02-05"), ("g3", "2001-02-06"), ("old", "1999-02-01")]
+    listed = spark.createDataFrame([(g, 1, g, d) for g, d in days], MANIFEST).withColumn("day", F.to_date("day"))
+    return root, listed
+
+
+ACC, MANIFEST = "variant string, month int, sum double, cnt bigint", "granule string, bytes bigint, sha256 string, day string"
+
+
+def test_replace_months(spark, tmp_path):
+    root, listed = months_table(spark, tmp_path)
+    source = listed.filter("granule IN ('g2', 'g3')")
+    new = spark.createDataFrame([("a", 2, 7.0, 2)], ACC)
+    stated = RULES | {"months": [2]}
+    empty = listed.limit(0)
+    rest = {"rules": RULES, "source_rules": stated, "granules": listed, "source_granules": source, "ceiling_keys": ["variant"]}
+    other = source.withColumn("sha256", F.lit("?"))
+    wrong = [{"source_rules": RULES}, {"source_rules": stated | {"all_variant": "b"}}, {"source_granules": empty},
+             {"source_granules": listed}, {"source_granules": other}, {"source_granules": source.filter("granule = 'g2'")}]
+    for change in wrong:
+        with pytest.raises(Refusal):
+            observations.replace_periods(root, new, **(rest | change))
+    for bad in ([("a", 3, 7.0, 1)], [("a", 2, 7.0, 3)], [("a", None, 7.0, 1)]):  # another month, above the ceiling, no month
+        with pytest.raises(Refusal):
+            observations.replace_periods(root, spark.createDataFrame(bad, ACC), **rest)
+    assert observations.read_periods(spark, root).count() == 3
+    out = observations.replace_periods(root, new, **rest)
+    assert sorted(map(tuple, out.collect())) == [("a", 1, 5.0, 1), ("a", 2, 7.0, 2)]
+    assert observations.read_periods(spark, root, 0).count() == 3
+    with pytest.raises(Refusal):
+        observations.replace_periods(root, new, **rest)
+
+
+def test_a_replacement_that_fails_or_loses_keeps_every_month(spark, tmp_path, monkeypatch):
+    root, listed = months_table(spark, tmp_path)
+    source = listed.filter("granule IN ('g2', 'g3')")
+    before = sorted(map(tuple, observations.read_periods(spark, root).collect()))
+    args = (RULES, RULES | {"months": [2]}, listed, source, ["variant"])
+    broken = spark.createDataFrame([("a", 2, 7.0, 1)], ACC).withColumn("sum", F.raise_error(F.lit("lost")).cast("double"))
+    with pytest.raises(Exception, match="lost"):
+        observations.replace_periods(root, broken, *args)
+    assert sorted(map(tuple, observations.read_periods(spark, root).collect())) == before
+    good = spark.createDataFrame([], ACC)
+    real = observations.create_once
+    monkeypatch.setattr(observations, "create_once", lambda s, path, text: real(s, path, text) and real(s, path, text))
     with pytest.raises(Refusal):
-        observations.replace_periods(old, new, [3], str(tmp_path / "y"))
+        observations.replace_periods(root, good, *args)
+    monkeypatch.setattr(observations, "create_once", real)
+    # the first of the two creations won: month 2 is now without rows, month 1 as it was
+    assert [tuple(r) for r in observations.read_periods(spark, root).collect()] == [("a", 1, 5.0, 1)]
 
 
 @pytest.fixture()
