@@ -263,6 +263,46 @@ def two_way_links(rows: DataFrame, manifests: DataFrame) -> DataFrame:
     return a.join(b, ["row", "manifest"], "full").select("row", "manifest", status.alias("status"))
 
 
+ANCHOR_ID = r"\b([a-z][a-z0-9]*\.[a-z][a-z0-9_]*)"
+
+
+def link_problems(rows: DataFrame, manifests: DataFrame) -> DataFrame:
+    """(site, problem, other) for every broken link between registry rows and the manifests of their data.
+
+    `rows` is (id, tier, datasets), `manifests` is (path, id, oracle_data, oracles, anchors), the lists null where the
+    field is absent. An id of two manifests is a problem at each of their paths; links count for any
+    manifest of that id. A row of tier 2 or 3 has datasets, a manifest of oracle data names a row, each link
+    holds both ways, and no anchor carries an id whose first word begins a row's id.
+    """
+    say = lambda df, site, text, other=None: df.select(
+        F.col(site).alias("site"), F.lit(text).alias("problem"), (F.lit(None).cast("string") if other is None else F.col(other)).alias("other"))
+    ids = rows.select("id").dropna().distinct()
+    named = rows.select("id", F.explode("datasets").alias("manifest")).distinct()
+    names = manifests.select("path", F.col("id").alias("manifest"), F.explode("oracles").alias("oracle")).distinct()
+    held = manifests.select(F.col("id").alias("manifest")).distinct()
+    twice = manifests.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("id")
+    back = names.select(F.col("oracle").alias("id"), "manifest").distinct()
+    forth = named.select(F.col("id").alias("oracle"), "manifest")
+    known = ids.select(F.col("id").alias("oracle"))
+    words = ids.select(F.substring_index("id", ".", 1).alias("_word")).distinct()
+    hits = manifests.select("path", F.explode("anchors").alias("_a")).select(
+        "path", F.explode(F.regexp_extract_all("_a", F.lit(ANCHOR_ID), F.lit(1))).alias("hit")).distinct()
+    linked = named.join(held, "manifest", "left_semi")
+    placed = names.join(known, "oracle", "left_semi")
+    empty = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
+    found = [
+        say(manifests.join(twice, "id", "left_semi"), "path", "its id is used again", "id"),
+        say(rows.filter("tier IN (2, 3) AND datasets IS NULL"), "id", "has no datasets field"),
+        say(named.join(held, "manifest", "left_anti"), "id", "names a manifest that does not exist", "manifest"),
+        say(linked.join(back, ["id", "manifest"], "left_anti"), "id", "is not named back by the manifest", "manifest"),
+        say(manifests.filter(F.col("oracle_data") & empty("oracles")), "path", "oracle data that names no row"),
+        say(names.join(known, "oracle", "left_anti"), "path", "names an id that is no row", "oracle"),
+        say(placed.join(forth, ["oracle", "manifest"], "left_anti"), "path", "is not named back by the row", "oracle"),
+        say(hits.withColumn("_word", F.substring_index("hit", ".", 1)).join(words, "_word", "left_semi"), "path", "an anchor carries the id of a row", "hit"),
+    ]
+    return fold(lambda a, b: a.unionByName(b), found)
+
+
 def unit_sum(fractions: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Whether each group's shares sum to one within the rounding bound of that sum."""
     out = fractions.groupBy(*keys).agg(F.sum(value).alias("total"), F.count(value).alias("n"), F.sum(F.abs(value)).alias("_m"))

@@ -5,8 +5,9 @@ Every operation returns its field and, as a second lazy DataFrame, the balance i
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce as fold
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -22,6 +23,7 @@ from gridspark.contracts import (
 from gridspark.functions import cells, numeric
 from gridspark.operators import reduce
 from gridspark.operators.ordered import PARTS, match
+from gridspark.session import settled
 
 LEDGER = ("quantity", "class", "residual", "tolerance", "losses", "closed")
 
@@ -286,15 +288,54 @@ def reconcile(sent: DataFrame, received: DataFrame, value: str, keys: Sequence[s
     return both.withColumn("status", status)
 
 
+def _crossing_ledger(before: DataFrame, after: DataFrame, value: str, quantity: str, carries: Sequence[str], kind: str) -> DataFrame:
+    named = F.array(*[F.lit(c) for c in carries]) if carries else F.array().cast("array<string>")
+    return total_ledger(before, after, value).withColumns({"kind": F.lit(kind), "crossing": F.lit(quantity), "carries": named})
+
+
 def exchange_ledgers(sent: DataFrame, delivered: DataFrame, received: DataFrame, value: str, quantity: str,
                      carries: Sequence[str]) -> DataFrame:
     """Operator and receipt ledgers of one crossing: fine amount -> handed over -> held by the reader."""
-    op = total_ledger(sent, delivered, value).withColumn("kind", F.lit("operator"))
-    receipt = total_ledger(delivered, received, value).withColumn("kind", F.lit("receipt"))
-    both = op.unionByName(receipt)
-    return both.withColumn("crossing", F.lit(quantity)).withColumn(
-        "carries", F.array(*[F.lit(c) for c in carries]) if carries else F.array().cast("array<string>")
-    )
+    return _crossing_ledger(sent, delivered, value, quantity, carries, "operator").unionByName(
+        _crossing_ledger(delivered, received, value, quantity, carries, "receipt"))
+
+
+@dataclass
+class Crossing:
+    """One quantity of an exchange: what the writer holds, what the operator hands over, what it carries."""
+
+    quantity: str
+    value: str
+    sent: DataFrame
+    delivered: DataFrame
+    carries: Sequence[str] = ()
+
+
+def exchange(crossings: Sequence[Crossing], name: str, deliver: Callable[[str, DataFrame], DataFrame], journal: str,
+             sequence: int, instant: float, tier: str, component: str = "Coupling") -> tuple[dict[str, DataFrame], DataFrame]:
+    """Hand every crossing over: (what the reader holds of each quantity, the ledgers of both kinds).
+
+    `deliver(quantity, frame)` gives a quantity to the reader and returns what the reader then holds. The operator
+    ledgers of all crossings are settled first: where one is open, nothing is delivered. The receipt ledgers
+    follow. Every open ledger of a kind is appended to the table at `journal` as a `ledger_open` event, and
+    the exchange is refused. Ledgers are one small row a crossing.
+    """
+    require(bool(crossings), name, "exchange", "no quantity crosses")
+    names = [c.quantity for c in crossings]
+    require(len(set(names)) == len(names), name, "exchange", "a quantity crosses twice")
+
+    def settle(rows: list[DataFrame]) -> DataFrame:
+        ledgers = settled(fold(lambda a, b: a.unionByName(b), rows))
+        if not open_ledgers(ledgers).isEmpty():
+            events = ledger_open_events(ledgers, name, instant, tier, component).withColumn("sequence", F.lit(sequence).cast("bigint"))
+            events.write.mode("append").parquet(journal)
+            raise_if_any(open_ledgers(ledgers).select("crossing", "kind", "residual", "tolerance"), name, "exchange")
+        return ledgers
+
+    operator = settle([_crossing_ledger(c.sent, c.delivered, c.value, c.quantity, c.carries, "operator") for c in crossings])
+    held = {c.quantity: deliver(c.quantity, c.delivered) for c in crossings}
+    receipt = settle([_crossing_ledger(c.delivered, held[c.quantity], c.value, c.quantity, c.carries, "receipt") for c in crossings])
+    return held, operator.unionByName(receipt)
 
 
 def ledger_open_events(rows: DataFrame, exchange: str, instant: float, tier: str, component: str) -> DataFrame:

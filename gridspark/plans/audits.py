@@ -207,6 +207,42 @@ def aud10(spark, sf):
     return audit.two_way_links(rows, manifests)
 
 
+@query("aud10_link_problems", """
+    WITH r AS MATERIALIZED (SELECT 'ord.a' || l_orderkey AS id, 1 + l_orderkey % 3 AS tier,
+            list(DISTINCT 'm' || l_suppkey) FILTER (l_returnflag <> 'R') AS datasets FROM lineitem GROUP BY l_orderkey),
+    m AS MATERIALIZED (SELECT 'data/' || l_suppkey || '-' || l_linestatus AS path, 'm' || l_suppkey AS id, l_linestatus = 'O' AS oracle_data,
+            list(DISTINCT CASE WHEN l_quantity > 49 THEN 'gone.' ELSE 'ord.a' END || l_orderkey) FILTER (l_returnflag <> 'A' AND l_tax < 0.06) AS oracles,
+            bool_or(l_quantity = 50 AND l_discount > 0.09) AS hit FROM lineitem GROUP BY l_suppkey, l_linestatus),
+    named AS MATERIALIZED (SELECT DISTINCT id, unnest(datasets) AS manifest FROM r),
+    names AS MATERIALIZED (SELECT DISTINCT path, id AS manifest, unnest(oracles) AS oracle FROM m)
+    SELECT path AS site, 'its id is used again' AS problem, id AS other FROM m WHERE id IN (SELECT id FROM m GROUP BY 1 HAVING count(*) > 1)
+    UNION ALL SELECT id, 'has no datasets field', NULL FROM r WHERE tier IN (2, 3) AND datasets IS NULL
+    UNION ALL SELECT id, 'names a manifest that does not exist', manifest FROM named WHERE manifest NOT IN (SELECT id FROM m)
+    UNION ALL SELECT id, 'is not named back by the manifest', manifest FROM named n WHERE manifest IN (SELECT id FROM m)
+        AND NOT EXISTS (SELECT 1 FROM names b WHERE b.oracle = n.id AND b.manifest = n.manifest)
+    UNION ALL SELECT path, 'oracle data that names no row', NULL FROM m WHERE oracle_data AND oracles IS NULL
+    UNION ALL SELECT path, 'names an id that is no row', oracle FROM names WHERE oracle NOT IN (SELECT id FROM r)
+    UNION ALL SELECT path, 'is not named back by the row', oracle FROM names n WHERE oracle IN (SELECT id FROM r)
+        AND NOT EXISTS (SELECT 1 FROM named b WHERE b.id = n.oracle AND b.manifest = n.manifest)
+    UNION ALL SELECT path, 'an anchor carries the id of a row', 'ord.x_1' FROM m WHERE hit""")
+def aud10_links(spark, sf):
+    li = table(spark, sf, "lineitem")
+    some = lambda value, when: F.collect_set(F.when(when, value))
+    listed = lambda c: F.when(F.size(c) > 0, F.col(c)).alias(c)
+    order = F.col("l_orderkey").cast("string")
+    rows = li.groupBy("l_orderkey").agg(some(F.concat(F.lit("m"), "l_suppkey"), F.col("l_returnflag") != "R").alias("datasets"))
+    rows = rows.select(F.concat(F.lit("ord.a"), "l_orderkey").alias("id"), (1 + F.col("l_orderkey") % 3).alias("tier"), listed("datasets"))
+    oracle = F.concat(F.when(F.col("l_quantity") > 49, "gone.").otherwise("ord.a"), order)
+    manifests = li.groupBy("l_suppkey", "l_linestatus").agg(
+        some(oracle, (F.col("l_returnflag") != "A") & (F.col("l_tax") < 0.06)).alias("oracles"),
+        F.bool_or((F.col("l_quantity") == 50) & (F.col("l_discount") > 0.09)).alias("hit"))
+    manifests = manifests.select(
+        F.concat_ws("-", F.concat(F.lit("data/"), "l_suppkey"), "l_linestatus").alias("path"), F.concat(F.lit("m"), "l_suppkey").alias("id"),
+        (F.col("l_linestatus") == "O").alias("oracle_data"), listed("oracles"),
+        F.array(F.when(F.col("hit"), "see ord.x_1 and Sea.x").otherwise("see other.x_1")).alias("anchors"))
+    return audit.link_problems(rows, manifests)
+
+
 @query("aud11_unit_sum", f"SELECT {CELL_SQL} AS cell, CAST(3 AS BIGINT) AS n, true AS ok FROM lineitem GROUP BY 1")
 def aud11(spark, sf):
     return audit.unit_sum(cell_fractions(spark, sf), ["cell"], "share").select("cell", "n", "ok")
@@ -332,7 +368,9 @@ def snk3(spark, sf):
 
 @query("snk5_export_with_geometry")
 def snk5(spark, sf):
-    out = tables.export_with_geometry(cell_table(spark, sf), 5, {"value": "currency"})
+    path = scratch(spark, "export")
+    tables.write_with_geometry(cell_table(spark, sf).select("cell", "value"), 5, path, {"value": "currency"}, "level5")
+    out = spark.read.parquet(path)
     return out.select("cell", r6(F.col("value"), 2).alias("value"), *[r6(F.col(c), 9).alias(c) for c in ("area", "lat", "lon", "ax", "by", "cz")])
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from gridspark.contracts import declare
+from gridspark.contracts import Refusal, declare
 from gridspark.functions import cells, numeric
 from gridspark.operators import fields
 from gridspark.plans.fixtures import (
@@ -19,6 +21,7 @@ from gridspark.plans.fixtures import (
     interval_series,
 )
 from gridspark.plans.registry import NUDGE, query, r6, table
+from gridspark.session import settled, shared_dir
 
 DEPTH = 2
 ANC = anc_sql(DEPTH)
@@ -286,6 +289,26 @@ def led5(spark, sf):
         "crossing", "kind", F.when(F.col("closed"), F.lit(0.0)).otherwise(r6(F.col("residual"), 1)).alias("residual"), "closed")
 
 
+@query("led5_open_events", """
+    SELECT 'open_price receipt total' AS ledger, round(-sum(l_extendedprice), 1) AS imbalance, 'fine -> coarse' AS exchange,
+           'surface' AS tier, 7 AS sequence FROM lineitem WHERE l_linestatus = 'F'""")
+def led5_events(spark, sf):
+    """Two quantities cross, and the reader loses line status F of one: the journal holds that ledger alone."""
+    fine = declared(spark, sf, "Extensive")
+    sent = settled(fields.coarsen(fine, "l_extendedprice", DEPTH).field)
+    short = settled(fields.coarsen(fine.filter("l_linestatus = 'O'"), "l_extendedprice", DEPTH).field)
+    journal = f"{shared_dir(spark)}/gridspark/{uuid.uuid4().hex}"
+    crossings = [fields.Crossing(q, "l_extendedprice", fine, sent, ["water"]) for q in ("price", "open_price")]
+    try:
+        fields.exchange(crossings, "fine -> coarse", lambda q, df: short if q == "open_price" else df, journal, 7, 60.0, "surface")
+    except Refusal:
+        pass
+    event = spark.read.parquet(journal)
+    of = lambda k: F.get_json_object("payload", f"$.{k}")
+    return event.select(of("ledger").alias("ledger"), r6(of("imbalance").cast("double"), 1).alias("imbalance"), of("exchange").alias("exchange"),
+                        "tier", F.col("sequence").cast("int").alias("sequence"))
+
+
 @query("led6_conserved_ledgers", """
     SELECT * FROM (VALUES ('price', 'operator'), ('price', 'receipt')) v(crossing, kind)""")
 def led6(spark, sf):

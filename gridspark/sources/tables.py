@@ -155,6 +155,31 @@ def export_with_geometry(df: DataFrame, level: int, units: dict[str, str] | None
     return out
 
 
+def write_with_geometry(df: DataFrame, level: int, path: str, units: dict[str, str], support_id: str, radius: float = 1.0) -> None:
+    """Write a field of (cell, values...) with its cells' geometry, ordered by cell.
+
+    Every column carries its attributes in the schema: units and place of the fields, units of the geometry, and on
+    `cell` the support, level and radius. Refused where a field has a geometry column's name, a cell is not of
+    the level, a cell comes twice, or something is at the path already.
+    """
+    site = "write_with_geometry"
+    fields = [c for c in df.columns if c != "cell"]
+    require("cell" in df.columns and bool(fields), "cell", site, "the table is not (cell, values...)")
+    for name in fields:
+        require(name not in EXPORTED, name, site, "is a geometry variable of the file")
+    require(set(units) <= set(fields), "units", site, "name a column that is not there")
+    last = 20 * 4**level
+    raise_if_any(df.filter(~F.coalesce(F.col("cell").between(1, last), F.lit(False))).select("cell"), "support", site)
+    raise_if_any(df.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "support", site)
+    out = export_with_geometry(df, level, {c: units.get(c, "1") for c in fields})
+    fixed = {"area": "m2", "lat": "radians", "lon": "radians"}
+    for name in EXPORTED:
+        out = out.withMetadata(name, {"units": fixed.get(name, "1")})
+    out = out.withColumns({"area": F.col("area") * radius**2}).withMetadata("area", {"units": "m2"}) if radius != 1.0 else out
+    out = out.withMetadata("cell", {"support_id": support_id, "level": level, "radius": radius})
+    out.repartitionByRange("cell").sortWithinPartitions("cell").write.mode("errorifexists").parquet(path)
+
+
 def written_files(spark: SparkSession, path: str, column: str) -> DataFrame:
     """Range of a column in each file of a table: what a reader can skip by."""
     df = spark.read.parquet(path)

@@ -63,6 +63,28 @@ def test_open_ledger(fine):
     assert events.count() == 1
 
 
+def test_exchange_refuses_open_ledgers(spark, fine, tmp_path):
+    df = declare(fine, "value", semantics="Extensive")
+    good = fields.coarsen(df, "value", 1).field
+    given, journal = [], str(tmp_path / "journal")
+    cross = lambda q, after: fields.Crossing(q, "value", df, after, ["water"])
+    keep = lambda q, frame: given.append(q) or frame
+    held, ledgers = fields.exchange([cross("a", good), cross("b", good)], "x -> y", keep, journal, 3, 60.0, "surface")
+    assert given == ["a", "b"] and set(held) == {"a", "b"} and ledgers.count() == 4 and fields.open_ledgers(ledgers).isEmpty()
+    # an operator that loses some: nothing is delivered, of any quantity
+    given.clear()
+    with pytest.raises(Refusal):
+        fields.exchange([cross("a", good), cross("b", good.filter("coarse > 1"))], "x -> y", keep, journal, 4, 120.0, "surface")
+    assert not given
+    # readers that lose some: both ledgers are told
+    with pytest.raises(Refusal):
+        fields.exchange([cross("a", good), cross("b", good)], "x -> y", lambda q, d: d.filter("coarse > 2"), journal, 5, 180.0, "surface")
+    rows = [(r["sequence"], r["kind"], '"b operator' in r["payload"]) for r in spark.read.parquet(journal).collect()]
+    assert sorted(rows) == [(4, "ledger_open", True), (5, "ledger_open", False), (5, "ledger_open", False)]
+    with pytest.raises(Refusal):
+        fields.exchange([cross("a", good), cross("a", good)], "x -> y", keep, journal, 6, 1.0, "surface")
+
+
 def test_reservoir_needs_f64(fine):
     t = fine.agg(F.sum("value").alias("before"), F.sum("value").alias("after"), F.lit(0.0).alias("flux"), F.count("value").alias("n"),
                  F.sum("value").alias("magnitude"))

@@ -131,6 +131,19 @@ def test_a_replacement_that_fails_or_loses_keeps_every_month(spark, tmp_path, mo
     assert [tuple(r) for r in observations.read_periods(spark, root).collect()] == [("a", 1, 5.0, 1)]
 
 
+def test_write_with_geometry(spark, tmp_path):
+    df, path = spark.range(1, 81).select(F.col("id").alias("cell"), F.lit(2.0).alias("flux")), str(tmp_path / "g")
+    tables.write_with_geometry(df, 1, path, {"flux": "W m-2"}, "s", 2.0)
+    back = spark.read.parquet(path)
+    assert back.schema["flux"].metadata == {"units": "W m-2", "location": "face"} and back.schema["cell"].metadata["radius"] == 2.0
+    assert back.count() == 80 and abs(back.agg(F.sum("area")).first()[0] - 16 * 3.141592653589793) < 1e-9
+    bad = [(df, path), (df.withColumnRenamed("flux", "area"), path + "1"), (df.union(df), path + "2"),
+           (df.select((F.col("cell") + 1).alias("cell"), "flux"), path + "3")]
+    for rows, to in bad:
+        with pytest.raises(Exception, match="already exists|refused|geometry|example"):
+            tables.write_with_geometry(rows, 1, to, {}, "s")
+
+
 @pytest.fixture()
 def pieces(spark, sf, tmp_path):
     """The events table as nine files, out of time order, so a stream takes nine batches."""
