@@ -313,12 +313,13 @@ def src1(spark, sf):
         ('region', 'ok'), ('supplier', 'ok'), ('zebra', 'absent')) v(name, status)""")
 def src2(spark, sf):
     found = tables.file_manifest(spark, sf, "*.parquet")
-    kept = found.filter("path <> 'orders.parquet'").select(
-        "path", (F.col("bytes") + (F.col("path") == "part.parquet").cast("int")).alias("bytes"),
-        F.when(F.col("path") == "lineitem.parquet", F.sha2("sha256", 256)).otherwise(F.col("sha256")).alias("sha256"))
+    owner = tables.table_of()  # a table is one file, or a folder of them
+    kept = found.filter(owner != "orders.parquet").select(
+        "path", (F.col("bytes") + (owner == "part.parquet").cast("int")).alias("bytes"),
+        F.when(owner == "lineitem.parquet", F.sha2("sha256", 256)).otherwise(F.col("sha256")).alias("sha256"))
     gone = spark.createDataFrame([("zebra.parquet", 1, "0")], "path string, bytes bigint, sha256 string")
-    out = tables.verify_manifest(found, kept.unionByName(gone))
-    return out.select(F.regexp_replace("path", ".parquet", "").alias("name"), "status")
+    out = tables.table_statuses(tables.verify_manifest(found, kept.unionByName(gone)))
+    return out.select(F.regexp_replace("path", r"\.parquet$", "").alias("name"), "status")
 
 
 @query("src3_feature_pages", """

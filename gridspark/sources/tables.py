@@ -41,6 +41,19 @@ def verify_manifest(found: DataFrame, manifest: DataFrame) -> DataFrame:
     return both.select("path", status.alias("status"))
 
 
+def table_of(path: str = "path") -> Column:
+    """The table a file belongs to: the first part of its path, which is a file or a folder of them."""
+    return F.substring_index(F.col(path), "/", 1)
+
+
+def table_statuses(statuses: DataFrame) -> DataFrame:
+    """(path, status) of whole tables from those of their files: ok where every file is, else the first that any file has of
+    absent, extra, bytes differ and sha256 differs."""
+    worst = F.array(*[F.lit(x) for x in ("absent", "extra", "bytes differ", "sha256 differs", "ok")])
+    at = statuses.groupBy(table_of().alias("path")).agg(F.min(F.array_position(worst, F.col("status"))).alias("_at"))
+    return at.select("path", F.element_at(worst, F.col("_at").cast("int")).alias("status"))
+
+
 FEATURE_SCHEMA = (
     "features array<struct<geometry: struct<type: string, coordinates: array<double>>, properties: struct<id: string, "
     "monitoring_location_id: string, value: string, unit_of_measure: string, time: string, qualifier: array<string>, "
