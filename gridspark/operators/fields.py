@@ -63,10 +63,11 @@ def ledger(totals: DataFrame, quantity: str, keys: Sequence[str] = (), losses: d
 
 
 def _totals(before: DataFrame, x: Column, after: DataFrame, y: Column, keys: Sequence[str]) -> DataFrame:
-    b = before.groupBy(*keys).agg(F.sum(x).alias("before"), F.count(x).alias("n"), F.sum(F.abs(x)).alias("magnitude"))
-    a = after.groupBy(*keys).agg(F.sum(y).alias("after"))
+    """Both totals summed exactly, so that a residual is of the operation and not of the order of a sum."""
+    b = reduce.exact_sum(before, keys, x, "before", n=F.count("_x"), magnitude=F.sum(F.abs("_x")))
+    a = reduce.exact_sum(after, keys, y, "after")
     both = match(b, a, keys, "left") if keys else b.withColumn("after", a.scalar())
-    return both.withColumn("flux", F.lit(0.0)).fillna(0.0, ["after", "before", "magnitude"])
+    return both.withColumn("flux", F.lit(0.0)).fillna(0.0, ["after", "before", "magnitude"]).fillna(0, ["n"])
 
 
 def total_ledger(before: DataFrame, after: DataFrame, value: str, after_value: str | None = None,

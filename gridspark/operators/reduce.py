@@ -134,6 +134,34 @@ def ordered_sum(df: DataFrame, x: str, order: Sequence[str], slice_by: Column |
     return pairwise_sum(numbered(df, order, slice_by, keys), x, "idx", keys, kind=kind, name=name, counts=counts)
 
 
+TIER = 8  # binary exponents that are summed together, as integers of 53 to 61 bits
+
+
+def exact_sum(df: DataFrame, keys: Sequence[str], x: Column, name: str = "total", **others: Column) -> DataFrame:
+    """The sum of `x` per key without rounding until the end, whatever the order or number of rows.
+
+    Numbers of like exponent are integers of one unit, which add up exactly as decimals; the few totals by
+    exponent are then added, largest last. Infinite and undefined values give what they give in a plain sum.
+    `others` are further counts or sums by name, of `_x` or any column of `df`.
+    """
+    keys = list(keys)
+    given = df.withColumn("_x", x.cast("double"))
+    size = F.abs("_x")
+    finite = (size > 0) & (size < float("inf"))
+    rows = given.withColumn("_tier", F.when(finite, F.floor(F.log2(size) / TIER)).cast("int"))
+    # two factors, since one alone may overflow
+    up = lambda c, e: c * F.pow(F.lit(2.0), F.floor(e / 2)) * F.pow(F.lit(2.0), e - F.floor(e / 2))
+    unit = F.lit(53) - F.col("_tier") * TIER
+    whole = up(F.col("_x"), unit).cast("bigint").cast("decimal(19,0)")
+    tiers = rows.groupBy(*keys, "_tier").agg(
+        F.sum(whole).alias("_w"), F.sum(F.when(~finite, F.col("_x"))).alias("_odd"), *[c.alias(k) for k, c in others.items()])
+    part = F.coalesce(up(F.col("_w").cast("double"), -unit), F.col("_odd"))
+    parts = F.array_sort(F.collect_list(F.struct(F.abs(part).alias("size"), part.alias("part"))))  # at most 263 tiers
+    total = F.aggregate(F.transform(F.filter(parts, lambda p: p["part"].isNotNull()), lambda p: p["part"]), F.lit(0.0), lambda a, p: a + p)
+    some = F.count(part) > 0
+    return tiers.groupBy(*keys).agg(F.when(some, total).alias(name), *[F.sum(k).alias(k) for k in others])
+
+
 # Segmented reductions: one result per group. The fast form is Spark's own partial + final sum.
 
 
