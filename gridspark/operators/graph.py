@@ -160,8 +160,10 @@ def ring_distance(edges: DataFrame, seeds: DataFrame, farthest: int | None = Non
     here, there = F.col("cell"), F.col("neighbour")
     links = edges.select("cell", "neighbour").filter("cell IS NOT NULL AND neighbour IS NOT NULL AND cell <> neighbour")
     # collected lists are bounded: distinct pairs of the ids of one block
+    # block rows pack far smaller in a file than in memory, so their joins are told not to broadcast them by file size
     inner = settled(
-        links.filter(_block(here) == _block(there)).select(_block(here).alias("block"), _local(here).alias("a"), _local(there).alias("b")).distinct()
+        links.filter(_block(here) == _block(there)).select(
+            _block(here).alias("block"), _local(here).cast("smallint").alias("a"), _local(there).cast("smallint").alias("b")).distinct()
         .groupBy("block").agg(F.collect_list(F.struct("a", "b")).alias("_l")).select("block", F.col("_l.a").alias("a"), F.col("_l.b").alias("b")))
     border = settled(links.filter(_block(here) != _block(there)))
     limit = FAR - 1 if farthest is None else farthest
@@ -170,18 +172,18 @@ def ring_distance(edges: DataFrame, seeds: DataFrame, farthest: int | None = Non
         # one row per cell first, so a block collects at most 1024 of them
         least = lowered.groupBy("cell").agg(F.min("distance").alias("distance"))
         given = least.groupBy(_block(here).alias("block")).agg(F.collect_list(F.struct(_local(here).alias("at"), F.col("distance").alias("given"))).alias("_g"))
-        given = given.select("block", F.col("_g.at").alias("at"), F.col("_g.given").alias("given")).join(inner, "block", "left")
+        given = given.select("block", F.col("_g.at").alias("at"), F.col("_g.given").alias("given")).join(inner.hint("merge"), "block", "left")
         none = F.lit(None).cast("array<int>")
-        work = given.withColumn("held", none) if state is None else given.join(state, "block", "left")
+        work = given.withColumn("held", none) if state is None else given.join(state.hint("merge"), "block", "left")
         solved = settled(work.select("block", "a", "b", "at", "given", "held").mapInPandas(
             _relax_blocks(limit), "block bigint, held array<int>, moved array<int>").filter(F.size("moved") > 0))
         if solved.isEmpty():
             break
         fresh = solved.select("block", "held")
-        state = fresh if state is None else settled(state.join(solved, "block", "left_anti").unionByName(fresh))
+        state = fresh if state is None else settled(state.join(solved.select("block").hint("merge"), "block", "left_anti").unionByName(fresh))
         out = solved.select("block", "held", F.explode("moved").alias("_i")).select(
             (F.shiftleft("block", 2 * BLOCK) + F.col("_i") + 1).alias("cell"), F.get("held", F.col("_i")).alias("_d"))
-        lowered = out.filter(F.col("_d") < limit).join(border, "cell").select(there.alias("cell"), (F.col("_d") + 1).alias("distance"))
+        lowered = out.filter(F.col("_d") < limit).join(border.hint("merge"), "cell").select(there.alias("cell"), (F.col("_d") + 1).alias("distance"))
     every = state.select("block", F.posexplode("held").alias("_i", "distance")).filter(F.col("distance") < FAR)
     return every.select((F.shiftleft("block", 2 * BLOCK) + F.col("_i") + 1).alias("cell"), "distance")
 

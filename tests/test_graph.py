@@ -284,3 +284,19 @@ def test_a_flat_drains_through_its_only_outlet(spark):
     none = spark.createDataFrame([], "cell bigint")
     got = dict(graph.drainage_terminals(terrain, both_ways(spark, pairs), none).collect())
     assert got == dict.fromkeys(range(1, n + 1), 1)
+
+
+def test_distance_rounds_broadcast_no_blocks(spark, monkeypatch):
+    """A block's row is small in a file and large in memory: no round may send such tables through the driver."""
+    plans = []
+    written = graph.settled
+
+    def spied(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df)
+
+    monkeypatch.setattr(graph, "settled", spied)
+    edges = both_ways(spark, [(i, i + 1) for i in range(1, 3000)])
+    got = dict(graph.ring_distance(edges, spark.createDataFrame([(1,)], "cell bigint")).collect())
+    assert got == {i: i - 1 for i in range(1, 3001)}
+    assert len(plans) > 6 and not [p for p in plans if "Broadcast" in p]
