@@ -19,6 +19,8 @@ from gridspark.operators.ordered import match
 from gridspark.session import settled
 
 MAX_ROUNDS = 64
+BLOCK = 5  # levels of a block, the unit solved in one array pass: 1024 ids, so at most 1024^2 links inside it
+SIDE = 4**BLOCK
 
 
 def class_by_sign(z: Column, datum: float) -> Column:
@@ -81,6 +83,71 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return placed.join(lowest, "_root").select("cell", "label")
 
 
+_NODE, _BORDER = 1024, 1025  # marks of a cell among the links of a block: it is a node, it has a link out of the block
+
+
+def _solve_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Components inside blocks, 256 blocks at once: the lowest cell of each node's, and whether the node has links outside."""
+    for rows in (batch[i : i + 256] for batch in batches for i in range(0, len(batch), 256)):
+        sizes = rows["links"].map(len).to_numpy()
+        codes = np.concatenate(rows["links"].to_list()).astype("int64")
+        offset = np.repeat(np.arange(len(rows)), sizes) * SIDE
+        a, b = offset + codes // 2048, codes % 2048
+        node, border = (np.zeros(len(rows) * SIDE, bool) for _ in range(2))
+        node[a[b == _NODE]] = True
+        border[a[b == _BORDER]] = True
+        inner = b < _NODE
+        a, b = a[inner], (offset + b)[inner]
+        kept = node[a] & node[b]
+        a, b, low = a[kept], b[kept], np.arange(len(node))
+        while len(a):
+            p, q = low[a], low[b]
+            open_ = p != q
+            a, b, p, q = a[open_], b[open_], p[open_], q[open_]
+            np.minimum.at(low, np.maximum(p, q), np.minimum(p, q))
+            while (low[low] != low).any():
+                low = low[low]
+        at = np.flatnonzero(node)
+        first = rows["block"].to_numpy() * SIDE + 1
+        cell = lambda i: first[i // SIDE] + i % SIDE
+        yield pd.DataFrame({"cell": cell(at), "parent": cell(low[at]), "border": border[at]})
+
+
+def components_within(nodes: DataFrame, edges: DataFrame, inside: bool = False) -> DataFrame:
+    """(cell, label): `components` of the nodes, over the edges that have both ends among them.
+
+    Ids are cut into blocks of 1024, which on the grid are coarse cells, and solved there in one array pass: one shuffle of
+    two short numbers a link. Only links between blocks, between the parts they join, go through rounds of joins. `inside` says
+    that no edge leaves its block. Ids without locality are right as well, and then take the rounds of `components`. A null id is no node.
+    """
+    here, there = F.col("cell"), F.col("neighbour")
+    links = edges.select("cell", "neighbour").filter("cell IS NOT NULL AND neighbour IS NOT NULL AND cell <> neighbour")
+    same, left = _block(here) == _block(there), None
+    code = lambda c, mark: (_local(c) * 2048 + mark).cast("int").alias("code")
+    rows = nodes.filter("cell IS NOT NULL").select(_block(here).alias("block"), code(here, F.lit(_NODE))).unionByName(
+        links.filter(same).select(_block(here).alias("block"), code(here, _local(there))))
+    if not inside:
+        left = settled(links.filter(~same))
+        for end in (here, there):
+            rows = rows.unionByName(left.select(_block(end).alias("block"), code(end, F.lit(_BORDER))))
+    # a set is bounded: the distinct pairs of the ids of one block
+    packed = rows.groupBy("block").agg(F.collect_set("code").alias("links"))
+    solved = packed.mapInPandas(_solve_blocks, "cell bigint, parent bigint, border boolean")
+    if inside:
+        return solved.select("cell", F.col("parent").alias("label"))
+    solved = settled(solved)
+    ends = solved.filter("border").select("cell", "parent")
+    far = ends.select(F.col("cell").alias("neighbour"), F.col("parent").alias("_q"))
+    joins = left.join(ends, "cell").join(far, "neighbour").filter("parent <> _q").select(
+        F.col("parent").alias("cell"), F.col("_q").alias("neighbour")).distinct()
+    joins = settled(joins)
+    if joins.isEmpty():
+        return solved.select("cell", F.col("parent").alias("label"))
+    parts = joins.select("cell").union(joins.select("neighbour")).distinct()
+    merged = settled(components(parts, joins)).select(F.col("cell").alias("parent"), "label")
+    return solved.join(merged, "parent", "left").select("cell", F.coalesce("label", "parent").alias("label"))
+
+
 def flood_reach(terrain: DataFrame, edges: DataFrame, seeds: DataFrame, datum: float, z: str = "z",
                 check: bool = False) -> DataFrame:
     """Cells below the datum joined to a seed through cells below it: the components that hold a seed."""
@@ -88,7 +155,7 @@ def flood_reach(terrain: DataFrame, edges: DataFrame, seeds: DataFrame, datum: f
     if check:
         stray = seeds.join(below, "cell", "left_anti")
         require(stray.isEmpty(), "ocean seed", "flood_reach", "a seed does not lie below the datum")
-    label = components(below, within(edges, below))
+    label = settled(components_within(below, edges))
     reached = label.join(seeds.select("cell"), "cell", "left_semi").select("label").distinct()
     return label.join(reached, "label", "left_semi").select("cell")
 
@@ -96,11 +163,9 @@ def flood_reach(terrain: DataFrame, edges: DataFrame, seeds: DataFrame, datum: f
 def bodies(mask: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """Components of the mask that may not cross a coarse cell, labelled by lowest id."""
     same = cells.ancestor(F.col("cell"), depth) == cells.ancestor(F.col("neighbour"), depth)
-    return components(mask, within(edges.filter(same), mask))
+    return components_within(mask, edges.filter(same), inside=depth <= BLOCK)
 
 
-BLOCK = 5  # levels of a block, the unit solved in one array pass: 1024 ids, so at most 1024^2 links inside it
-SIDE = 4**BLOCK
 FAR = 2**31 - 1  # the distance of a cell not reached
 
 
@@ -203,8 +268,7 @@ def minimum_plateaus(terrain: DataFrame, edges: DataFrame, ocean: DataFrame, z:
 
 def _plateaus(land: DataFrame, both: DataFrame) -> DataFrame:
     lower = both.filter("z_there < z_here").select("cell").distinct()
-    flat = within(both.filter("z_there = z_here"), land)
-    label = components(land, flat)
+    label = settled(components_within(land, both.filter("z_there = z_here")))
     drained = label.join(lower, "cell", "left_semi").select("label").distinct()
     return label.join(drained, "label", "left_anti").select("cell", F.col("label").alias("plateau"))
 
@@ -496,7 +560,7 @@ def surface_graph(terrain: DataFrame, edges: DataFrame, seeds: DataFrame, datum:
     ocean_body, land_body = settled(bodies(ocean, edges, depth)), settled(bodies(land, edges, depth))
     out = {
         "terrain": terrain, "ocean": ocean,
-        "land_component": settled(components(land, within(edges, land))),
+        "land_component": settled(components_within(land, edges)),
         "ocean_body": ocean_body, "land_body": land_body,
         "ocean_gates": settled(ocean_gates(terrain, ocean_body, edges, depth)),
         "land_gates": settled(land_gates(land_body, edges, depth)),

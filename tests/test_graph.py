@@ -300,3 +300,29 @@ def test_distance_rounds_broadcast_no_blocks(spark, monkeypatch):
     got = dict(graph.ring_distance(edges, spark.createDataFrame([(1,)], "cell bigint")).collect())
     assert got == {i: i - 1 for i in range(1, 3001)}
     assert len(plans) > 6 and not [p for p in plans if "Broadcast" in p]
+
+
+def test_components_within_match_the_twin(spark):
+    rng = random.Random(11)
+    ids = rng.sample(range(-3000, 6000), 900)
+    pairs = [(a, a + rng.choice((1, 2, 5))) for a in ids] + [tuple(rng.sample(ids, 2)) for _ in range(250)]
+    nodes = set(rng.sample(ids, 700))
+    want = lowest(nodes, [p for p in pairs if p[0] in nodes and p[1] in nodes])
+    table = spark.createDataFrame([(n,) for n in [*nodes, None]], "cell bigint")
+    edges = both_ways(spark, pairs).union(spark.createDataFrame([(None, 1), (1, None), (7, 7)], "cell bigint, neighbour bigint"))
+    assert dict(graph.components_within(table, edges).collect()) == want
+    alone = [p for p in pairs if (p[0] - 1) // 1024 == (p[1] - 1) // 1024]
+    want = lowest(nodes, [p for p in alone if p[0] in nodes and p[1] in nodes])
+    assert dict(graph.components_within(table, both_ways(spark, alone), inside=True).collect()) == want
+
+
+def test_bodies_take_no_rounds(spark, monkeypatch):
+    """Bodies lie in a coarse cell, so one grouping finds them; each round used to write tables."""
+    written = []
+    keep = graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df: written.append(1) or keep(df))
+    mask = spark.range(1, N + 1).select(F.col("id").alias("cell")).filter("cell % 7 <> 0")
+    assert graph.bodies(mask, grid.grid_edges(spark, LEVEL), DEPTH).count() == mask.count()
+    assert not written
+    components = graph.components_within(mask, grid.grid_edges(spark, LEVEL))
+    assert components.count() == mask.count() and len(written) < 12
