@@ -206,6 +206,9 @@ def trend_test(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[s
     return out.select(*keys, "n", "score", F.col("_t.p_trend").alias("p_trend"), F.when(F.col("n") >= need, F.col("_t.trend")).alias("trend"))
 
 
+LONG = 4096  # values of a series that are held as one row
+
+
 def _exhaustive_udf():
     @F.pandas_udf("bigint")
     def hits(ranks: pd.Series) -> pd.Series:
@@ -226,8 +229,9 @@ def successive_difference_test(df: DataFrame, keys: Sequence[str], value: str, o
 
     With n! <= permutations every ordering of the (at most a dozen) values is tried; otherwise
     `permutations - 1` random orders, each a sort of the series by a random word that is a pure
-    function of (seed, series, permutation, position). The random orders are ordinary rows: they
-    are sorted in slices of the word, so neither a long series nor a hot one meets in one task.
+    function of (seed, series, permutation, position). A series of at most LONG values is one row and its
+    orders are sorts of its array. The random orders of longer ones are ordinary rows: they are sorted in
+    slices of the word, so neither a long series nor a hot one meets in one task.
     """
     keys = list(keys)
     few = max(n for n in range(1, 14) if math.factorial(n) <= permutations)
@@ -241,20 +245,37 @@ def successive_difference_test(df: DataFrame, keys: Sequence[str], value: str, o
     shortest = exchangeable_minimum_length(false_alarm)
     exact = tiny.select(*keys, "n", F.when(F.col("n") >= shortest, _exhaustive_udf()("_r") <= F.lit(false_alarm) * total).alias("dependent"))
 
-    many = rows.filter(F.col("n") > few)
+    enough = permutations >= random_permutation_minimum(false_alarm)
+    verdict = F.when(F.lit(enough), F.col("_d") <= F.lit(false_alarm * permutations)).alias("dependent")
+    word = lambda perm, p: F.when(perm == 0, p).otherwise(F.xxhash64(F.lit(seed), *keys, perm, p))
+
+    # a series of at most LONG values is one row, and its random orders are sorts of its array
+    short = rows.filter((F.col("n") > few) & (F.col("n") <= LONG)).groupBy(*keys, "n").agg(F.collect_list(F.struct("_p", "rank2")).alias("_r"))
+
+    def statistic(perm: Column) -> Column:
+        put = F.sort_array(F.transform("_r", lambda x: F.struct(word(perm, x["_p"]).alias("w"), x["_p"].alias("p"), x["rank2"].alias("r"))))
+        start = F.struct(F.lit(None).cast("bigint").alias("r"), F.lit(0).cast("bigint").alias("s"))
+
+        def step(a, x):
+            d = F.coalesce(x["r"].cast("bigint") - a["r"], F.lit(0).cast("bigint"))
+            return F.struct(x["r"].cast("bigint").alias("r"), (a["s"] - d * d).alias("s"))
+
+        return F.aggregate(put, start, step, lambda a: a["s"])
+
+    tried = short.select(*keys, "n", F.transform(F.sequence(F.lit(0), F.lit(permutations - 1)), statistic).alias("_s"))
+    short_out = tried.withColumn("_d", F.size(F.filter("_s", lambda s: s >= F.get("_s", F.lit(0))))).select(*keys, "n", verdict)
+
+    many = rows.filter(F.col("n") > LONG)
     drawn = many.withColumn("_perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    word = F.when(F.col("_perm") == 0, F.col("_p")).otherwise(F.xxhash64(F.lit(seed), *keys, "_perm", "_p"))
-    drawn = drawn.withColumn("_w", word)
+    drawn = drawn.withColumn("_w", word(F.col("_perm"), F.col("_p")))
     # the series' own order keeps its positions; random words are spread over 64 slices
     cut = F.when(F.col("_perm") == 0, F.floor(F.col("_p") / 65536)).otherwise(F.shiftright("_w", 58)).cast("bigint")
     stats = successive_difference(drawn.select(*keys, "_perm", "_w", "_p", "rank2"), [*keys, "_perm"], "rank2", ["_w", "_p"], cut)
     seen = stats.filter("_perm = 0").select(*keys, F.col("statistic").alias("_seen"))
     against = match(stats, seen, keys)
     random = against.groupBy(*keys).agg(F.sum((F.col("statistic") >= F.col("_seen")).cast("bigint")).alias("_d"))
-    enough = permutations >= random_permutation_minimum(false_alarm)
-    verdict = F.when(F.lit(enough), F.col("_d") <= F.lit(false_alarm * permutations))
-    drawn_out = match(random, sizes, keys).select(*keys, "n", verdict.alias("dependent"))
-    return exact.unionByName(drawn_out)
+    drawn_out = match(random, sizes, keys).select(*keys, "n", verdict)
+    return exact.unionByName(short_out).unionByName(drawn_out)
 
 
 def offset_counts(df: DataFrame, keys: Sequence[str], residual: str, tolerance: str) -> DataFrame:

@@ -191,3 +191,19 @@ def test_short_loops_are_returned(spark):
     df = spark.createDataFrame(rows, "loop bigint, t bigint, v double")
     got = {r.loop: r for r in series.surrogate_drift(df, "loop", "t", "v", ["t"], None, 16, 9).collect()}
     assert got[2].verdict == "NotEvaluable" and got[2].drift is None and got[1].verdict == "Evaluated"
+
+
+def test_short_and_long_series_have_the_same_random_orders(spark, monkeypatch):
+    """Series held as one row give the verdicts of those whose orders are rows, and no row per value and order."""
+    rng = random.Random(8)
+    rows = [(k, i, float(rng.randrange(9) if k % 2 else i)) for k in range(12) for i in range(9 + 3 * k)]
+    df = spark.createDataFrame(rows, "k bigint, t bigint, v double")
+    args = (["k"], "v", ["t"], series.FromData(), series.FromData(), 0.1, 40, 5)
+    as_rows = []
+    monkeypatch.setattr(series, "successive_difference", lambda d, *a, keep=series.successive_difference: as_rows.append(d) or keep(d, *a))
+    short = series.successive_difference_test(df, *args)
+    assert as_rows[0].isEmpty()
+    short = sorted(map(tuple, short.collect()))
+    monkeypatch.setattr(series, "LONG", 0)
+    assert short == sorted(map(tuple, series.successive_difference_test(df, *args).collect()))
+    assert len(short) == 12 and {r[2] for r in short} == {True, False}
