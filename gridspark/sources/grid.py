@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridspark.contracts import require
@@ -63,23 +64,32 @@ def _adjacency() -> tuple[np.ndarray, np.ndarray]:
 ACROSS, PLACES = _adjacency()
 
 
-def _walk(ids: np.ndarray, level: int, corners: np.ndarray, mid) -> np.ndarray:
-    """Corners of each cell: start from `corners` (n, 3, d) of its base face and follow its digits."""
-    tri = corners
-    for k in range(level - 1, -1, -1):
-        digit = ((ids - 1) >> (2 * k)) & 3
-        a, b, c = tri[:, 0], tri[:, 1], tri[:, 2]
-        ab, bc, ca = mid(a, b), mid(b, c), mid(c, a)
-        pick = [np.stack(t, axis=1) for t in ((a, ab, ca), (b, bc, ab), (c, ca, bc), (ab, bc, ca))]
-        tri = np.choose(digit[:, None, None], pick)
-    return tri
+def _up(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct parents of cells, which of them each cell has, and each cell's own digit.
+
+    A batch is a run of ids, so it has a quarter as many parents: what is worked out on them, and on theirs,
+    costs a third of a batch more whatever the level.
+    """
+    parents, at = np.unique((ids - 1) >> 2, return_inverse=True)
+    return parents + 1, at, (ids - 1) & 3
+
+
+def _walk(ids: np.ndarray, level: int, corners, mid) -> np.ndarray:
+    """Corners (n, 3, d) of each cell: those of its parent, halved; `corners` gives those of base faces."""
+    if level == 0:
+        return corners(ids - 1)
+    parents, at, digit = _up(ids)
+    tri = _walk(parents, level - 1, corners, mid)
+    a, b, c = tri[:, 0], tri[:, 1], tri[:, 2]
+    ab, bc, ca = mid(a, b), mid(b, c), mid(c, a)
+    return np.stack([a, ab, ca, b, bc, ab, c, ca, bc, ab, bc, ca], axis=1).reshape(len(tri), 4, 3, -1)[at, digit]
 
 
 def lattice_corners(ids: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     """Base face and integer barycentric corners (n, 3, 3), each summing to 2^level."""
     face = (ids - 1) >> (2 * level)
-    start = np.broadcast_to(np.eye(3, dtype=np.int64) << level, (len(ids), 3, 3))
-    return face, _walk(ids, level, start, lambda p, q: (p + q) >> 1)
+    start = np.eye(3, dtype=np.int64) << level
+    return face, _walk(ids, level, lambda f: np.broadcast_to(start, (len(f), 3, 3)), lambda p, q: (p + q) >> 1)
 
 
 def sphere_corners(ids: np.ndarray, level: int, project: bool = True) -> np.ndarray:
@@ -89,19 +99,7 @@ def sphere_corners(ids: np.ndarray, level: int, project: bool = True) -> np.ndar
         m = (p + q) / 2
         return m / np.sqrt((m * m).sum(axis=-1))[..., None] if project else m
 
-    return _walk(ids, level, VERTICES[FACE_VERTICES[(ids - 1) >> (2 * level)]], mid)
-
-
-def cell_at(face: np.ndarray, centre: np.ndarray, level: int) -> np.ndarray:
-    """The cell whose corners' barycentric coordinates sum to `centre` (n, 3)."""
-    t, total, ids = centre, 3 << level, face.astype(np.int64)
-    for _ in range(level):
-        a, b, c = t[:, 0], t[:, 1], t[:, 2]
-        digit = np.select([2 * a > total, 2 * b > total, 2 * c > total], [0, 1, 2], 3)
-        pick = [np.stack(s, axis=1) for s in (
-            (a - b - c, 2 * b, 2 * c), (b - c - a, 2 * c, 2 * a), (c - a - b, 2 * a, 2 * b), (a + b - c, b + c - a, c + a - b))]
-        t, ids = np.choose(digit[:, None], pick), ids * 4 + digit
-    return ids + 1
+    return _walk(ids, level, lambda f: VERTICES[FACE_VERTICES[f]], mid)
 
 
 def vertex_keys(face: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -116,37 +114,75 @@ def vertex_keys(face: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.select([zeros == 0, zeros == 1], [inside, on_edge], (np.int64(2) << 60) | lo)
 
 
+# A corner child's edges 2 and 3 are halves of its parent's; edge 1 is shared with the middle child (digit 3).
+HALF_OF = np.array([[0, 2, 3], [0, 3, 1], [0, 1, 2]])  # [digit, k - 1]: the parent's edge
+AS_HALF = np.array([[0, 2, 3], [3, 0, 2], [2, 3, 0]])  # [digit, parent's edge - 1]: the child's edge
+MIDDLE = np.array([2, 3, 1])  # [digit]: the middle child's edge shared with that corner child
+CORNER = np.array([2, 0, 1])  # [k - 1]: the corner child across the middle child's edge k
+
+
 def neighbours(ids: np.ndarray, level: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """The cell across each local edge k (opposite corner k), and that edge's number in the other cell."""
-    face, tri = lattice_corners(ids, level)
+    """The cell across each local edge k (opposite corner k), and that edge's number in the other cell.
+
+    Corners run counterclockwise in every cell, so an edge runs one way in one of its cells and the other
+    way in the other: halves of it meet crosswise.
+    """
+    if level == 0:
+        f = ids - 1
+        return [ACROSS[f, j] + 1 for j in range(3)], [PLACES[f, j, 2] + 1 for j in range(3)]
+    parents, at, digit = _up(ids)
+    far, far_k = (np.stack(x, axis=1)[at] for x in neighbours(parents, level - 1))
+    first, middle, r = (ids - 1) & ~np.int64(3), digit == 3, np.arange(len(ids))
+    d = np.where(middle, 0, digit)
     other, other_k = [], []
     for k in range(3):
-        v, p, q = tri[:, k], tri[:, (k + 1) % 3], tri[:, (k + 2) % 3]
-        far = p + q - v
-        out = (far < 0).any(axis=1)
-        j = np.where(out, np.argmin(far, axis=1), 0)
-        g = np.where(out, ACROSS[face, j], face)
-
-        def moved(x, f=face, j=j):
-            """Coordinates in the face across: the shared edge keeps its weights, the far one moves over."""
-            y = np.zeros_like(x)
-            r = np.arange(len(x))
-            for s in range(3):
-                y[r, PLACES[f, j, s]] = x[r, (j + 1 + s) % 3]
-            return y
-
-        centre = np.where(out[:, None], moved(p) + moved(q) + moved(v), p + q + far)
-        apex = np.where(out[:, None], moved(v), far)
-        n = cell_at(g, centre, level)
-        _, corners = lattice_corners(n, level)
-        other.append(n)
-        other_k.append(np.argmax((corners == apex[:, None, :]).all(axis=2), axis=1) + 1)
+        if k == 0:
+            inner, inner_k = np.where(middle, first + CORNER[k] + 1, first + 4), np.where(middle, 1, MIDDLE[d])
+            other.append(inner)
+            other_k.append(inner_k)
+            continue
+        e = HALF_OF[d, k] - 1
+        j = far_k[r, e] - 1
+        there = np.where(d == (e + 1) % 3, j + 2, j + 1) % 3
+        other.append(np.where(middle, first + CORNER[k] + 1, (far[r, e] - 1) * 4 + there + 1))
+        other_k.append(np.where(middle, 1, AS_HALF[there, j]))
     return other, other_k
 
 
-def _generate(spark: SparkSession, level: int, schema: str, build) -> DataFrame:
+def stars(ids: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every other cell at the corners of each cell: (n, 12) ascending, and which of them are not repeats.
+
+    Around a corner lie five or six cells. Three steps one way and two the other reach all of them, over edges
+    of cells at most two edges away.
+    """
+    held = ids
+    for _ in range(2):
+        held = np.unique(np.concatenate([held, *neighbours(held, level)[0]]))
+    other, other_k = (np.stack(x, axis=1) for x in neighbours(held, level))
+
+    def step(cell, corner, way):
+        i, k = np.searchsorted(held, cell), (corner + way) % 3
+        return other[i, k], (other_k[i, k] - 1 + way) % 3
+
+    found = []
+    for j in range(3):
+        start = np.full(len(ids), j)
+        one, at = step(ids, start, 1)
+        two, at = step(one, at, 1)
+        back = step(*step(ids, start, 2), 2)[0]
+        # the first step back is the first step on from another corner
+        found += [one, two, step(two, at, 1)[0], back]
+    out = np.sort(np.stack(found, axis=1), axis=1)
+    return out, np.concatenate([np.ones((len(out), 1), bool), out[:, 1:] != out[:, :-1]], axis=1)
+
+
+def _in_range(level: int) -> None:
     require(0 <= level <= MAX_LEVEL, "level", "grid", f"{level} is outside 0..{MAX_LEVEL}")
 
+
+def _generate(spark: SparkSession, level: int, schema: str, build) -> DataFrame:
+    _in_range(level)
+
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             yield build(pdf["id"].to_numpy())
@@ -204,11 +240,18 @@ def grid_edges(spark: SparkSession, level: int, lengths: bool = False) -> DataFr
 
 
 def vertex_neighbours(spark: SparkSession, level: int) -> DataFrame:
-    """Every cell sharing a vertex, ascending: at most 12, so both arrays here are short by construction."""
-    touched = grid_corners(spark, level).select("cell", F.explode(F.array("v1", "v2", "v3")).alias("v"))
-    stars = touched.groupBy("v").agg(F.collect_list("cell").alias("star"))
-    pairs = touched.join(stars, "v").select("cell", F.explode("star").alias("n")).filter("n <> cell").distinct()
-    return pairs.groupBy("cell").agg(F.sort_array(F.collect_list("n")).alias("neighbours"))
+    """Every cell sharing a vertex, ascending: at most 12, found from the id alone, so nothing is shuffled."""
+    _in_range(level)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            ids = batch.column(0).to_numpy()
+            found, kept = stars(ids, level)
+            ends = np.concatenate([[0], np.cumsum(kept.sum(axis=1))]).astype("int32")
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(found[kept]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), lists], ["cell", "neighbours"])
+
+    return spark.range(1, cells.ncells(level) + 1).mapInArrow(batches, "cell bigint, neighbours array<bigint>")
 
 
 def dual_areas(spark: SparkSession, level: int) -> DataFrame:

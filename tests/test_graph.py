@@ -71,6 +71,26 @@ def test_mesh(spark, mesh):
     assert dict(star.collect()) == {12: N - 60, 11: 60}
 
 
+def test_vertex_neighbours_come_from_ids_alone(spark):
+    """The twin groups cells by vertex keys; nothing is shuffled, at a high level either."""
+    out = grid.vertex_neighbours(spark, LEVEL)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    for level in range(4):
+        ids = np.arange(1, cells.ncells(level) + 1)
+        face, tri = grid.lattice_corners(ids, level)
+        keys = np.stack([grid.vertex_keys(face, tri[:, k]) for k in range(3)], axis=1).tolist()
+        at = {}
+        for c, ks in zip(ids.tolist(), keys):
+            for k in ks:
+                at.setdefault(k, set()).add(c)
+        want = [sorted(set().union(*(at[k] for k in ks)) - {c}) for c, ks in zip(ids.tolist(), keys)]
+        found, kept = grid.stars(ids, level)
+        assert [f[k].tolist() for f, k in zip(found, kept)] == want
+    assert [r.neighbours for r in out.orderBy("cell").collect()] == want
+    some = np.array([1, 4**11, 7 * 4**11 + 12345])
+    assert all(c in grid.stars(np.array([n]), 11)[0] for c, near in zip(some, grid.stars(some, 11)[0]) for n in near)
+
+
 def test_geometry(spark):
     got = grid.grid_cells(spark, LEVEL).agg(F.sum("area"), F.min("area"), F.max("area")).first()
     assert math.isclose(got[0], 4 * math.pi, rel_tol=1e-12) and got[1] > 0
