@@ -190,31 +190,50 @@ def _generate(spark: SparkSession, level: int, schema: str, build) -> DataFrame:
     return spark.range(1, cells.ncells(level) + 1).mapInPandas(batches, schema)
 
 
-def grid_corners(spark: SparkSession, level: int, project: bool = True) -> DataFrame:
-    """cell, its three vertex keys v1..v3 and their unit vectors ax..cz, counterclockwise from outside."""
-    names = [f"{p}{k}" for p in "abc" for k in "xyz"]
+CORNER_COLUMNS = [f"{p}{k}" for p in "abc" for k in "xyz"]
+SHAPE_COLUMNS = ["mx", "my", "mz", "area", "lat", "lon"]
+
+
+def _shapes(xyz: np.ndarray) -> list[np.ndarray]:
+    """Circumcentre, area, latitude and longitude of triangles (n, 3, 3): `numeric`'s formulas on arrays.
 
+    As columns they would hold each other several times over, and a filter on the last ones all of that again.
+    """
+    a, b, c = (tuple(xyz[:, i, j] for j in range(3)) for i in range(3))
+    dot, plus, minus = numeric.dot, numeric.plus, numeric.minus
+    n = numeric.cross(minus(b, a), minus(c, a))
+    scale = np.where(dot(n, plus(plus(a, b), c)) < 0, -1.0, 1.0)
+    n = tuple(x * scale for x in n)
+    length = np.sqrt(dot(n, n))
+    m = [x / length for x in n]
+    area = 2.0 * np.arctan2(np.abs(dot(a, numeric.cross(b, c))), 1.0 + dot(a, b) + dot(b, c) + dot(c, a))
+    return [*m, area, np.arctan2(m[2], np.hypot(m[0], m[1])), np.arctan2(m[1] + 0.0, m[0])]
+
+
+def _cell_table(spark: SparkSession, level: int, project: bool, shapes: bool) -> DataFrame:
     def build(ids):
         face, tri = lattice_corners(ids, level)
-        xyz = sphere_corners(ids, level, project).reshape(len(ids), 9)
-        return pd.DataFrame({"cell": ids, **{f"v{k + 1}": vertex_keys(face, tri[:, k]) for k in range(3)},
-                             **{n: xyz[:, i] for i, n in enumerate(names)}})
+        xyz = sphere_corners(ids, level, project)
+        columns = zip(CORNER_COLUMNS, xyz.reshape(len(ids), 9).T)
+        return pd.DataFrame({"cell": ids, **{f"v{k + 1}": vertex_keys(face, tri[:, k]) for k in range(3)}, **dict(columns),
+                             **(dict(zip(SHAPE_COLUMNS, _shapes(xyz))) if shapes else {})})
 
-    schema = "cell bigint, v1 bigint, v2 bigint, v3 bigint, " + ", ".join(f"{n} double" for n in names)
-    return _generate(spark, level, schema, build)
+    names = CORNER_COLUMNS + (SHAPE_COLUMNS if shapes else [])
+    return _generate(spark, level, "cell bigint, v1 bigint, v2 bigint, v3 bigint, " + ", ".join(f"{n} double" for n in names), build)
 
 
-def _triple(p: str):
-    return tuple(F.col(p + k) for k in "xyz")
+def grid_corners(spark: SparkSession, level: int, project: bool = True) -> DataFrame:
+    """cell, its three vertex keys v1..v3 and their unit vectors ax..cz, counterclockwise from outside."""
+    return _cell_table(spark, level, project, False)
 
 
 def grid_cells(spark: SparkSession, level: int, project: bool = True) -> DataFrame:
     """The cell table: vertex keys and vectors, circumcentre, area, latitude and longitude."""
-    a, b, c = _triple("a"), _triple("b"), _triple("c")
-    df = grid_corners(spark, level, project)
-    df = df.withColumns({f"m{k}": v for k, v in zip("xyz", numeric.circumcentre(a, b, c))})
-    return df.withColumns({"area": numeric.triangle_area(a, b, c), "lat": numeric.latitude(_triple("m")),
-                           "lon": numeric.longitude(_triple("m"))})
+    return _cell_table(spark, level, project, True)
+
+
+def _triple(p: str):
+    return tuple(F.col(p + k) for k in "xyz")
 
 
 def grid_edges(spark: SparkSession, level: int, lengths: bool = False) -> DataFrame:
