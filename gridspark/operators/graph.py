@@ -224,12 +224,13 @@ def ring_distance(edges: DataFrame, seeds: DataFrame, farthest: int | None = Non
     require(not seeds.isEmpty(), "seeds", "ring_distance", "no seed cell was given")
     here, there = F.col("cell"), F.col("neighbour")
     links = edges.select("cell", "neighbour").filter("cell IS NOT NULL AND neighbour IS NOT NULL AND cell <> neighbour")
-    # collected lists are bounded: distinct pairs of the ids of one block
+    # a set is bounded: the distinct pairs of the ids of one block
     # block rows pack far smaller in a file than in memory, so their joins are told not to broadcast them by file size
+    code = (_local(here) * SIDE + _local(there)).cast("int").alias("code")
     inner = settled(
-        links.filter(_block(here) == _block(there)).select(
-            _block(here).alias("block"), _local(here).cast("smallint").alias("a"), _local(there).cast("smallint").alias("b")).distinct()
-        .groupBy("block").agg(F.collect_list(F.struct("a", "b")).alias("_l")).select("block", F.col("_l.a").alias("a"), F.col("_l.b").alias("b")))
+        links.filter(_block(here) == _block(there)).select(_block(here).alias("block"), code).groupBy("block").agg(F.collect_set("code").alias("_l"))
+        .select("block", F.transform("_l", lambda x: F.shiftright(x, 2 * BLOCK).cast("smallint")).alias("a"),
+                F.transform("_l", lambda x: (x % SIDE).cast("smallint")).alias("b")))
     border = settled(links.filter(_block(here) != _block(there)))
     limit = FAR - 1 if farthest is None else farthest
     lowered, state = seeds.withColumn("distance", F.lit(0)), None

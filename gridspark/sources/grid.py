@@ -176,18 +176,21 @@ def stars(ids: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     return out, np.concatenate([np.ones((len(out), 1), bool), out[:, 1:] != out[:, :-1]], axis=1)
 
 
-def _in_range(level: int) -> None:
+RUN = 1 << 20  # cells of a task, at most, where there are more than cores
+
+
+def _ids(spark: SparkSession, level: int) -> DataFrame:
     require(0 <= level <= MAX_LEVEL, "level", "grid", f"{level} is outside 0..{MAX_LEVEL}")
+    n = cells.ncells(level)
+    return spark.range(1, n + 1, numPartitions=max(spark.sparkContext.defaultParallelism, -(-n // RUN)))
 
 
 def _generate(spark: SparkSession, level: int, schema: str, build) -> DataFrame:
-    _in_range(level)
-
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             yield build(pdf["id"].to_numpy())
 
-    return spark.range(1, cells.ncells(level) + 1).mapInPandas(batches, schema)
+    return _ids(spark, level).mapInPandas(batches, schema)
 
 
 CORNER_COLUMNS = [f"{p}{k}" for p in "abc" for k in "xyz"]
@@ -260,8 +263,6 @@ def grid_edges(spark: SparkSession, level: int, lengths: bool = False) -> DataFr
 
 def vertex_neighbours(spark: SparkSession, level: int) -> DataFrame:
     """Every cell sharing a vertex, ascending: at most 12, found from the id alone, so nothing is shuffled."""
-    _in_range(level)
-
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             ids = batch.column(0).to_numpy()
@@ -270,7 +271,7 @@ def vertex_neighbours(spark: SparkSession, level: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(found[kept]))
             yield pa.RecordBatch.from_arrays([pa.array(ids), lists], ["cell", "neighbours"])
 
-    return spark.range(1, cells.ncells(level) + 1).mapInArrow(batches, "cell bigint, neighbours array<bigint>")
+    return _ids(spark, level).mapInArrow(batches, "cell bigint, neighbours array<bigint>")
 
 
 def dual_areas(spark: SparkSession, level: int) -> DataFrame:
@@ -342,18 +343,57 @@ def hanging_edges(targets: DataFrame, edges_by_target: dict[int, DataFrame]) ->
     """Leaf edges whose neighbour is refined further: level, cell, k and the leaf-level cell across.
 
     `edges_by_target[t]` is the edge table of the level t below the base; only leaves of that target read it.
+    Where those are the levels of the grid, `level_hanging_edges` needs no edge table.
     """
     across = targets.select(F.col("cell").alias("_b"), F.col("target").alias("_t"))
     parts = None
     for t, edges in edges_by_target.items():
-        placed = edges.withColumns({"_a": cells.ancestor(F.col("cell"), t), "_b": cells.ancestor(F.col("neighbour"), t)})
+        placed = edges.select("cell", "k", "neighbour", "neighbour_k", cells.ancestor(F.col("cell"), t).alias("_a"),
+                              cells.ancestor(F.col("neighbour"), t).alias("_b")).filter("_a <> _b")  # a cell has one target
         own = targets.filter(F.col("target") == t).select(F.col("cell").alias("_a"))
-        part = placed.join(own, "_a").join(across, "_b").filter(F.col("_t") > t).select(
+        part = placed.join(own, "_a").join(across.filter(F.col("_t") > t), "_b").select(
             F.lit(t).alias("target"), "cell", "k", "neighbour", "neighbour_k")
         parts = part if parts is None else parts.unionByName(part)
     return parts
 
 
+# The children along an edge k and the edge of theirs that is half of it: [k - 1] gives two (digit, k).
+HALVES = [[(d, j + 1) for d in range(3) for j in range(3) if HALF_OF[d, j] == k] for k in (1, 2, 3)]
+
+
+def edge_parts(ids: np.ndarray, k: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The 2^depth cells `depth` levels down along an edge of each cell, and the edge of theirs on it."""
+    for _ in range(depth):
+        digit, part = (np.array([[h[i] for h in HALVES[e]] for e in range(3)])[k - 1] for i in (0, 1))
+        ids, k = ((ids[:, None] - 1) * 4 + digit + 1).ravel(), part.ravel()
+    return ids, k
+
+
+def level_hanging_edges(targets: DataFrame, level: int) -> DataFrame:
+    """`hanging_edges` of targets on the grid's own levels from `level` down, from the ids.
+
+    Each refined cell names the three edges it is across; those whose cell has a lower target are split to that
+    cell's leaves. One join on base cells, and no edge table of the finer levels.
+    """
+    def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ids, target = pdf["cell"].to_numpy(), pdf["target"].to_numpy()
+            other, other_k = neighbours(ids, level)
+            yield pd.DataFrame({"cell": np.concatenate(other), "k": np.concatenate(other_k), "_t": np.tile(target, 3)})
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for t in np.unique(pdf["target"].to_numpy()):
+                some = pdf[pdf["target"] == t]
+                ids, k = edge_parts(some["cell"].to_numpy(), some["k"].to_numpy(), t)
+                other, other_k = (np.stack(x, axis=1)[np.arange(len(ids)), k - 1] for x in neighbours(ids, level + t))
+                yield pd.DataFrame({"target": np.full(len(ids), t), "cell": ids, "k": k, "neighbour": other, "neighbour_k": other_k})
+
+    rows = targets.select("cell", F.col("target").cast("int").alias("target"))
+    met = rows.filter("target > 0").mapInPandas(across, "cell bigint, k int, _t int").join(rows, "cell").filter("_t > target")
+    return met.select("cell", "k", "target").mapInPandas(split, "target int, cell bigint, k int, neighbour bigint, neighbour_k int")
+
+
 def unbalanced(targets: DataFrame, edges: DataFrame) -> DataFrame:
     """Base edges across which the target steps by more than one level; none in a balanced mesh."""
     a = targets.select("cell", F.col("target").alias("_t"))

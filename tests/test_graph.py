@@ -241,6 +241,11 @@ def test_rings_and_targets(spark, mesh):
     hanging = grid.hanging_edges(targets, {0: edges, 1: grid.grid_edges(spark, LEVEL + 1), 2: grid.grid_edges(spark, LEVEL + 2)})
     t = dict(targets.collect())
     assert hanging.filter("target = 0").count() == sum(1 for c in t for n in near[c].values() if t[c] == 0 and t[n] > 0)
+    # by ids alone: the same edges, and no table of edges is read
+    by_ids = grid.level_hanging_edges(targets, LEVEL)
+    assert sorted(map(tuple, by_ids.collect())) == sorted(map(tuple, hanging.collect())) and by_ids.filter("target = 2").count() > 0
+    plan = by_ids._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range" not in plan
     owner = grid.leaf_owner(targets, 3)
     assert owner.count() == N * 4**3 and grid.leaves(targets, LEVEL).count() == sum(4**v for v in t.values())
 
