@@ -141,11 +141,10 @@ def put_dataset(df: DataFrame, root: str, inputs: dict, ledger: DataFrame | None
 
 
 def put_geometry(spark: SparkSession, root: str, level: int, support_id: str) -> str:
-    """Cell and edge geometry of a level, stored once per support."""
+    """Cell and edge geometry of a level, stored once per support. Its rows are made in runs of ids, so they are not dealt out again."""
     for name, df in (("cells", grid_cells(spark, level)), ("edges", grid_edges(spark, level, lengths=True))):
         tagged = df.withColumn("support_id", F.lit(support_id))
-        (tagged.repartitionByRange("cell").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("support_id").parquet(f"{root}/{name}"))
+        tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("support_id").parquet(f"{root}/{name}")
     return root
 
 

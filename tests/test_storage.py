@@ -265,3 +265,20 @@ def test_status_of_a_table_is_that_of_its_worst_file(spark):
     rows = [("a/1", "ok"), ("a/2", "ok"), ("b/1", "ok"), ("b/2", "sha256 differs"), ("c/1", "extra"), ("c/2", "bytes differ"), ("d", "absent")]
     out = tables.table_statuses(spark.createDataFrame(rows, "path string, status string"))
     assert dict(out.collect()) == {"a": "ok", "b": "sha256 differs", "c": "extra", "d": "absent"}
+
+
+def test_geometry_is_written_as_it_is_made(spark, tmp_path, monkeypatch):
+    """The cells come in runs of ids, so they are neither made twice for a sample nor dealt out again."""
+    from gridspark.sources import grid, tables
+
+    def never(*args):
+        raise AssertionError("dealt out again")
+
+    monkeypatch.setattr(type(spark.range(1)), "repartitionByRange", never)
+    monkeypatch.setattr(grid, "RUN", 100)  # tasks follow the cells, not the cores
+    for _ in range(2):
+        root = tables.put_geometry(spark, str(tmp_path), 3, "fine")
+    for name, each in (("cells", 1), ("edges", 3)):
+        got = spark.read.parquet(f"{root}/{name}")
+        spans = sorted(tuple(r) for r in got.groupBy(F.input_file_name()).agg(F.min("cell").alias("lo"), F.max("cell").alias("hi")).select("lo", "hi").collect())
+        assert got.count() == each * 1280 and len(spans) == 13 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
