@@ -211,7 +211,7 @@ def table_pages(spark, sf):
     row = F.concat(F.lit("<tr>"), td(F.col("l_orderkey"), F.col("l_linenumber"), price),
                    F.when(F.col("l_linenumber") <= 4, td(F.col("l_quantity"))).otherwise(td(F.col("l_quantity"), F.col("l_quantity"))),
                    F.lit("</tr>"))
-    rows = F.array_sort(F.collect_list(F.struct(F.col("l_extendedprice").alias("p"), row.alias("r"))))
+    rows = F.sort_array(F.collect_list(F.struct(F.col("l_extendedprice").alias("p"), row.alias("r"))))
     grouped = li.groupBy(F.floor(F.col("l_orderkey") / 8).alias("page")).agg(rows.alias("_r"), F.min("l_suppkey").alias("_s"))
     caption = F.when(F.col("_s") % 7 == 0, "Values estimated from the graph").otherwise("Line items")
     return grouped.select("page", F.concat(F.lit("<p>text</p><table><caption>"), caption, F.lit("</caption>"),
