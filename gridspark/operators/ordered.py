@@ -264,7 +264,7 @@ def cut_by_value(rows: DataFrame, keys: Sequence[str], value: str, name: str, pa
 
     The cut points of a key are quantiles of its rows, from a mergeable sketch, so the slices hold about
     as many rows each whatever the distribution; rows of one value stay together. A key of at most
-    `bound` rows is one slice. Keys must not be null; with no key there is one set of cuts.
+    `bound` rows is one slice, and rows are not dealt out by key to find that. Keys must not be null; with no key there is one set of cuts.
     """
     number, step = F.col(value).cast("double"), max(1, math.isqrt(parts))
     quantiles = F.percentile_approx(number, [i / parts for i in range(1, parts)], _ACCURACY)
@@ -272,9 +272,12 @@ def cut_by_value(rows: DataFrame, keys: Sequence[str], value: str, name: str, pa
         found = rows.agg(F.count(F.lit(1)).alias("d"), quantiles.alias("cuts")).select(F.struct("d", "cuts")).scalar()
         placed = rows.withColumn("_p", found).withColumns({"_d": F.col("_p.d"), "_cuts": F.when(F.col("_p.d") > bound, F.col("_p.cuts"))}).drop("_p")
     else:
-        sized = match(rows, rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")), keys)
-        points = sized.filter(F.col("_d") > bound).groupBy(*keys).agg(quantiles.alias("_cuts"))
-        placed = match(sized, points, keys, "left")
+        # keys over the bound are few: their sizes and cuts are written, and rows meet only those
+        hot = settled(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).filter(F.col("_d") > bound).select(*keys))
+        if hot.isEmpty():
+            return rows.withColumn(name, F.lit(0).cast("bigint"))
+        points = settled(match(rows, hot, keys).groupBy(*keys).agg(quantiles.alias("_cuts")))
+        placed = match(rows, points, keys, "left")
     # Every `step`-th cut first, then the cuts between two of those.
     far = step * F.size(F.filter(F.transform(F.sequence(F.lit(step), F.lit(parts - 1), F.lit(step)), lambda i: F.get("_cuts", i - 1)), lambda c: c < number))
     near = F.size(F.filter(F.slice("_cuts", F.col("_far") + 1, step), lambda c: c < number))

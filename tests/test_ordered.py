@@ -142,3 +142,31 @@ def test_no_slice_is_large(spark, n):
     per = ordered.cut_by_value(values, ["k"], "v", "s", 64, 50).groupBy("s").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("s").collect()
     assert max(r["n"] for r in per) <= 2 * d / 64 + 2 and len(per) > 32
     assert all(a["hi"] < b["lo"] for a, b in zip(per, per[1:]))
+
+
+def test_cuts_deal_no_rows_out_by_key(spark):
+    """A few keys with many rows each are not one task each; keys that need no cut meet nothing at all."""
+    from gridspark.operators.ordered import cut_by_value
+
+    df = spark.range(3000).select((F.col("id") % 3).alias("k"), ((F.col("id") * 7919) % 3001).alias("v"))
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    cut = cut_by_value(df, ["k"], "v", "s", parts=16, bound=100)
+    assert "hashpartitioning" not in plan(cut)
+    spans = cut.groupBy("k", "s").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")).orderBy("k", "s").collect()
+    assert len(spans) == 48 and max(r.n for r in spans) < 80 and sum(r.n for r in spans) == 3000
+    assert all(a.hi < b.lo for a, b in zip(spans, spans[1:]) if a.k == b.k)
+    whole = cut_by_value(df, ["k"], "v", "s", parts=16, bound=1000)
+    assert "Exchange" not in plan(whole) and whole.filter("s <> 0").isEmpty()
+
+
+def test_history_is_ordered_once(spark):
+    from gridspark.operators import audit
+
+    v = spark.createDataFrame([(1, 1, 0.1, "report"), (1, 2, 0.2, "fail_bar"), (1, 3, 0.3, "fail_bar"), (2, 1, None, "report"), (2, 2, 0.1, "report")],
+                              "id int, merge int, threshold double, verdict_kind string")
+    touched = spark.createDataFrame([(2, "src/a"), (3, "src/b"), (3, "docs/b")], "merge int, path string")
+    held = spark.createDataFrame([(1, 3), (2, 2)], "id int, merge int")
+    out = audit.history_problems(v, touched, held, ["merge"], ordered.FromData())
+    assert sorted(map(tuple, out.collect())) == [
+        (1, 2, "a bar set after a report"), (1, 2, "threshold changes together with code"), (2, 2, "a stale exception")]
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
