@@ -86,14 +86,15 @@ def history_problems(versions: DataFrame, touched: DataFrame, exceptions: DataFr
     """
     steps = lagged(versions, {"_threshold": "threshold", "_kind": "verdict_kind", "_merge": "merge"}, order, slice_by, ["id"]).filter(
         F.col("_merge").isNotNull())
+    moves, bars = F.col("threshold") != F.col("_threshold"), (F.col("_kind") == "report") & (F.col("verdict_kind") == "fail_bar")
+    # written once, since two of the reasons read the order
+    steps = settled(steps.select("id", "merge", moves.alias("moves"), bars.alias("bars")).filter("moves OR bars"))
     code = touched.filter(F.startswith("path", F.lit("src/"))).select("merge").distinct()
-    moved = steps.filter(F.col("threshold") != F.col("_threshold")).select("id", "merge").distinct().join(code, "merge", "left_semi").select("id", "merge")
-    moved = settled(moved)
+    moved = settled(steps.filter("moves").select("id", "merge").distinct().join(code, "merge", "left_semi").select("id", "merge"))
     held = exceptions.select("id", "merge").distinct()
     return (
         moved.join(held, ["id", "merge"], "left_anti").withColumn("reason", F.lit("threshold changes together with code"))
-        .unionByName(steps.filter("_kind = 'report' AND verdict_kind = 'fail_bar'").select("id", "merge").distinct()
-                     .withColumn("reason", F.lit("a bar set after a report")))
+        .unionByName(steps.filter("bars").select("id", "merge").distinct().withColumn("reason", F.lit("a bar set after a report")))
         .unionByName(held.join(moved, ["id", "merge"], "left_anti").withColumn("reason", F.lit("a stale exception"))))
 
 
