@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
-from functools import reduce as fold
+from functools import partial, reduce as fold
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridspark.functions import numeric
-from gridspark.operators.graph import lineage_levels, lineage_runs, strong_parts
+from gridspark.operators.graph import degrees, levels_by_degree, lineage_levels, lineage_runs, strong_parts
 from gridspark.operators.ordered import FromData, lagged, last_known, match
 from gridspark.session import settled, shared_dir
 
@@ -168,13 +168,47 @@ def dependency_subset(reads: DataFrame, declared: DataFrame) -> DataFrame:
         unread.select("name", F.col("decl").alias("path"), F.lit("unread").alias("problem")))
 
 
-def _input_digest(inputs: DataFrame, key: str, digest: str) -> DataFrame:
-    """One digest per key over its input digests in sorted order, folded by prefix so a hot key never meets in one row."""
-    level = inputs.select(key, F.col(digest).alias("p"), F.col(digest).alias("d")).distinct()
-    for width in (9, 6, 3, 0):
+FEW = 256         # inputs of a name that are folded in one row
+WIDTHS = (9, 6, 3)  # prefixes of digests that are folded one after the other, before the whole
+
+
+def _text(digest: Column) -> Column:
+    """A digest as it is hashed and returned; it is moved and written as bytes."""
+    return F.lower(F.hex(digest))
+
+
+def _folded(digests: Column) -> Column:
+    """The digest of a short array of different digests: by prefixes, as `_input_digest` folds them."""
+    bound = lambda a, f: F.get(F.transform(F.array(a), f), F.lit(0))  # noqa: E731  (what is named twice is worked out once)
+    joined = lambda a: F.sha2(F.array_join(F.transform(a, lambda x: x["d"]), ""), 256)
+    level = F.transform(F.array_sort(F.transform(digests, _text)), lambda t: F.struct(t.alias("p"), t.alias("d")))
+
+    def by_prefix(width: int, a: Column) -> Column:
+        cut = lambda x: F.substring(x["p"], 1, width)
+        return bound(F.array_distinct(F.transform(a, cut)), lambda qs: F.when(
+            F.size(qs) == F.size(a), F.transform(a, lambda x: F.struct(cut(x).alias("p"), F.sha2(x["d"], 256).alias("d")))).otherwise(
+            F.transform(qs, lambda q: F.struct(q.alias("p"), joined(F.filter(a, lambda x: cut(x) == q)).alias("d")))))
+
+    for width in WIDTHS:
+        level = bound(level, partial(by_prefix, width))
+    return joined(level)
+
+
+def _input_digest(inputs: DataFrame, wide: DataFrame | None) -> DataFrame:
+    """(name, _inputs): one digest per name over its input digests in sorted order.
+
+    A name of at most FEW inputs is folded in one row. Those of `wide` are folded by prefix, so a hot name never meets in one row.
+    """
+    short = inputs if wide is None else inputs.join(wide, "name", "left_anti")
+    out = short.groupBy("name").agg(F.collect_set("key").alias("_k")).select("name", _folded(F.col("_k")).alias("_inputs"))
+    if wide is None:
+        return out
+    key = _text(F.col("key"))
+    level = inputs.join(wide, "name", "left_semi").select("name", key.alias("p"), key.alias("d")).distinct()
+    for width in (*WIDTHS, 0):
         joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda s: s["d"]), "")
-        level = level.groupBy(key, F.substring("p", 1, width).alias("_q")).agg(F.sha2(joined, 256).alias("d")).select(key, F.col("_q").alias("p"), "d")
-    return level.select(key, F.col("d").alias("_inputs"))
+        level = level.groupBy("name", F.substring("p", 1, width).alias("_q")).agg(F.sha2(joined, 256).alias("d")).select("name", F.col("_q").alias("p"), "d")
+    return out.unionByName(level.select("name", F.col("d").alias("_inputs")))
 
 
 def _alone(key: Column) -> Column:
@@ -187,27 +221,45 @@ def _alone(key: Column) -> Column:
 class Layout(NamedTuple):
     """What the edges of a lineage graph say about the order of its keys, written once for any number of runs."""
 
-    levels: DataFrame  # (name, level)
-    placed: DataFrame  # (name, first, level): the stretch each name lies in
-    at: DataFrame  # (first, at): the round of each stretch that has inputs or feeds another
-    feed: DataFrame  # (source, gives, target, takes): edges between stretches, with the rounds of both
+    placed: DataFrame  # (name, first, level, at, to, takes): the stretch and round of each name, -1 for names on or behind a cycle;
+    #                    `first` is null where a name is a stretch of its own; the name it feeds, where that is one, and the round of that
+    chained: bool  # whether any stretch holds several names
+    feed: DataFrame | None  # (source, gives, target, takes): edges between stretches of names that feed several, with the rounds of both
+    wide: DataFrame | None  # (name): names of more than FEW inputs
 
 
 def lineage_layout(edges: DataFrame) -> Layout:
-    edges = settled(edges.select("source", "target").distinct())
-    levels = settled(lineage_levels(edges))
-    placed = settled(lineage_runs(edges, levels))
-    fed_by = settled(edges.join(placed.filter("name = first").select(F.col("name").alias("target")), "target", "left_semi").join(
-        placed.select(F.col("name").alias("source"), F.col("first").alias("_from")), "source").select("source", "_from", "target"))
-    if placed.filter("name <> first").isEmpty():
-        at = levels.filter("level IS NOT NULL").select(F.col("name").alias("first"), F.col("level").alias("at"))
+    once = settled(edges.select("source", "target").dropna().distinct())
+    degree = settled(degrees(once))
+    levels = settled(levels_by_degree(once, degree))
+    runs = lineage_runs(degree, levels)
+    chained = not runs.isEmpty()
+    if chained:
+        begins = runs.select("first").distinct().withColumn("_run", F.lit(True))
+        rows = levels.join(runs, "name", "left")
+        own = F.coalesce("first", "name")
+        lead = runs.select(F.col("name").alias("source"), F.col("first").alias("_from"))
+        fed_by = once.join(runs.select(F.col("name").alias("target")), "target", "left_anti").join(lead, "source", "left")
+        depth = settled(lineage_levels(fed_by.select(F.coalesce("_from", "source").alias("source"), "target")))
+        heads = settled(levels.filter("level IS NOT NULL").join(runs, "name", "left_anti").join(
+            depth.select("name", F.col("level").alias("at")), "name", "left").select(F.col("name").alias("_head"), F.coalesce("at", F.lit(0)).alias("at")))
+        rows = rows.select("name", "level", own.alias("_head")).join(heads, "_head", "left").join(begins.withColumnRenamed("first", "_head"), "_head", "left")
+        rows = rows.select("name", F.when(F.col("_run"), F.col("_head")).alias("first"), "level", F.coalesce("at", F.lit(-1)).alias("at"))
     else:
-        depth = settled(lineage_levels(fed_by.select(F.col("_from").alias("source"), "target")))
-        at = depth.select(F.col("name").alias("first"), F.col("level").alias("at"))
-    feed = settled(fed_by.join(at.withColumnRenamed("first", "_from").withColumnRenamed("at", "gives"), "_from")
-                   .join(at.withColumnRenamed("first", "target").withColumnRenamed("at", "takes"), "target")
-                   .select("source", "gives", "target", "takes").repartitionByRange("gives"))
-    return Layout(levels, placed, at, feed)
+        heads = levels.filter("level IS NOT NULL").select(F.col("name").alias("_head"), F.col("level").alias("at"))
+        rows = levels.select("name", F.lit(None).cast(levels.schema["name"].dataType).alias("first"), "level", F.coalesce("level", F.lit(-1)).alias("at"))
+    only = degree.select("name", F.when(F.col("outputs") == 1, F.col("target")).alias("to"))
+    placed = settled(rows.join(only, "name").join(heads.select(F.col("_head").alias("to"), F.col("at").alias("takes")), "to", "left")
+                     .select("name", "first", "level", "at", "to", "takes"))
+    several = settled(degree.filter("outputs > 1").select(F.col("name").alias("source")))
+    wide = settled(degree.filter(F.col("inputs") > FEW).select("name"))
+    feed = None
+    if not several.isEmpty():
+        feed = settled(once.join(several, "source", "left_semi")
+                       .join(placed.filter("at >= 0").select(F.col("name").alias("source"), F.col("at").alias("gives")), "source")
+                       .join(heads.select(F.col("_head").alias("target"), F.col("at").alias("takes")), "target")
+                       .select("source", "gives", "target", "takes").repartitionByRange("gives"))
+    return Layout(placed, chained, feed, None if wide.isEmpty() else wide)
 
 
 def dataset_keys(runs: DataFrame, edges: DataFrame, attributes: Sequence[str], layout: Layout | None = None) -> DataFrame:
@@ -215,44 +267,63 @@ def dataset_keys(runs: DataFrame, edges: DataFrame, attributes: Sequence[str], l
 
     `runs` is (name, attributes...), `edges` is (source, target). Names on a cycle have no key, nor has a
     name without a row or one all of whose inputs lack a key. A stretch of names with one input each is one
-    row whose keys follow from one another, so rounds are levels of stretches. Each round hands its keys
-    to the names they feed, filed by the round that reads them: a key is written once.
+    row whose keys follow from one another, so rounds are levels of stretches. A key is written once, as bytes, filed by
+    the round that reads it; names that feed several others hand theirs on through a join.
     """
+    return _dataset_keys(runs, attributes, layout or lineage_layout(edges)).select("name", _text(F.col("key")).alias("key"))
+
+
+def _dataset_keys(runs: DataFrame, attributes: Sequence[str], layout: Layout) -> DataFrame:
+    """`dataset_keys` with keys as bytes."""
     spark = runs.sparkSession
-    levels, placed, at, feed = layout or lineage_layout(edges)
-    own = settled(runs.select("name", F.sha2(F.to_json(F.struct(*sorted(attributes)), {"ignoreNullFields": "false"}), 256).alias("_own")))
-    single = own.join(levels, "name", "left_anti").select("name", F.sha2("_own", 256).alias("key"))
-    members = placed.join(own, "name", "left").groupBy("first").agg(F.sort_array(F.collect_list(F.struct("level", "name", "_own"))).alias("run"))
-    stretches = settled(members.join(at, "first", "left").fillna(0, ["at"]).repartitionByRange("at"))
-    filed = f"{shared_dir(spark)}/gridspark/{uuid.uuid4().hex}"
-    kind = feed.schema["target"].dataType.simpleString()
+    json = F.to_json(F.struct(*sorted(attributes)), {"ignoreNullFields": "false"})
+    # attributes shorter than their digest are moved as they are; a digest begins with no brace
+    own = runs.select("name", F.when(F.length(json) > 64, F.sha2(json, 256)).otherwise(json).alias("_own"))
+    digest = lambda m: F.when(m["_own"].startswith("{"), F.sha2(m["_own"], 256)).otherwise(m["_own"])
+    # names without edges are stretches of the first round
+    rows = layout.placed.join(own, "name", "full").withColumn("at", F.coalesce("at", F.lit(0))).filter("at >= 0")
+    member = F.struct("level", "name", "_own", "to", "takes")
+    stretches = rows.filter("first IS NULL").select(F.col("name").alias("first"), "at", F.array(member).alias("run"))
+    if layout.chained:
+        stretches = stretches.unionByName(rows.filter("first IS NOT NULL").groupBy("first", "at").agg(F.sort_array(F.collect_list(member)).alias("run")))
+    stretches = settled(stretches.repartitionByRange("at"))
     last = stretches.agg(F.max("at").alias("m")).first()["m"]
-    out = [single]
-    follow = lambda keys, m: F.concat(keys, F.array(F.struct(
-        m["name"].alias("name"), F.sha2(F.concat(m["_own"], _alone(F.element_at(keys, -1)["key"])), 256).alias("key"))))
+    kind = rows.schema["name"].dataType.simpleString()
+    filed, more = (f"{shared_dir(spark)}/gridspark/{uuid.uuid4().hex}" for _ in range(2))
+    put = lambda df, path, *by: df.write.mode("append").partitionBy(*by).parquet(path)
+    keys = spark.read.schema(f"name {kind}, key binary, to {kind}, takes int, at int").parquet
+    handed = spark.read.schema(f"name {kind}, key binary, takes int").parquet
+    link = lambda m, key: F.struct(m["name"].alias("name"), F.sha2(key, 256).alias("key"), m["to"].alias("to"), m["takes"].alias("takes"))
+    follow = lambda done, m: F.concat(done, F.array(link(m, F.concat(digest(m), _alone(F.element_at(done, -1)["key"])))))
     for n in range(-1 if last is None else last + 1):
         here = stretches.filter(F.col("at") == n)
         lead = F.get("run", F.lit(0))
+        start = digest(lead)
         if n:
-            taken = spark.read.schema(f"name {kind}, key string, takes int").parquet(filed).filter(F.col("takes") == n)
-            here = here.join(_input_digest(taken, "name", "key").withColumnRenamed("name", "first"), "first")
-            start = F.sha2(F.concat(lead["_own"], F.col("_inputs")), 256)
-        else:
-            start = F.sha2(lead["_own"], 256)
-        begun = F.array(F.struct(lead["name"].alias("name"), start.alias("key")))
+            taken = keys(filed).filter(F.col("takes") == n).select(F.col("to").alias("name"), "key")
+            if layout.feed is not None:
+                taken = taken.unionByName(handed(more).filter(F.col("takes") == n).select("name", "key"))
+            here = here.join(_input_digest(taken, layout.wide).withColumnRenamed("name", "first"), "first")
+            start = F.concat(start, F.col("_inputs"))
+        begun = F.array(link(lead, start))
         rest = F.slice("run", F.lit(2), F.size("run"))
-        keys = settled(here.select(F.explode(F.aggregate(rest, begun, follow)).alias("k")).select("k.*").filter("key IS NOT NULL"))
-        out.append(keys)
-        if n < last:
-            given = feed.filter(F.col("gives") == n).join(keys.withColumnRenamed("name", "source"), "source")
-            given.select(F.col("target").alias("name"), "key", "takes").write.mode("append").partitionBy("takes").parquet(filed)
-    return fold(lambda a, b: a.unionByName(b), out)
+        made = here.select(F.explode(F.aggregate(rest, begun, follow)).alias("k")).select("k.*").filter("key IS NOT NULL")
+        put(made.select("name", F.unhex("key").alias("key"), "to", "takes", F.lit(n).alias("at")), filed, "at", "takes")
+        if layout.feed is not None and n < last:
+            now = keys(filed).filter(F.col("at") == n).select(F.col("name").alias("source"), "key")
+            given = layout.feed.filter(F.col("gives") == n).join(now, "source")
+            put(given.select(F.col("target").alias("name"), "key", "takes"), more, "takes")
+    if last is None:
+        return rows.select("name", F.lit(None).cast("binary").alias("key")).limit(0)
+    return keys(filed).select("name", "key")
 
 
 def stale_datasets(runs: DataFrame, edges: DataFrame, attributes: Sequence[str], stored: DataFrame, layout: Layout | None = None) -> DataFrame:
     """Names whose key differs from the stored one: a changed dataset and everything made from it."""
-    now = dataset_keys(runs, edges, attributes, layout)
-    both = now.join(stored.select("name", F.col("key").alias("_stored")), "name", "full")
+    now = _dataset_keys(runs, attributes, layout or lineage_layout(edges))
+    # a stored key that is no digest in hexadecimal equals none
+    known = stored.select("name", F.when(F.col("key").rlike("^[0-9a-f]{64}$"), F.unhex("key")).alias("_stored"))
+    both = now.join(known, "name", "full")
     return both.filter(F.coalesce(F.col("key") != F.col("_stored"), F.lit(True))).select("name")
 
 

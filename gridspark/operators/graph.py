@@ -576,6 +576,15 @@ def surface_graph(terrain: DataFrame, edges: DataFrame, seeds: DataFrame, datum:
 STEEPEST = 2**40  # more levels than any graph has; weights around a cycle stop here
 
 
+def degrees(once: DataFrame) -> DataFrame:
+    """(name, inputs, outputs, source, target): how many edges end and begin at each name, and the least name at their other ends."""
+    none = F.lit(None).cast(once.schema["source"].dataType)
+    ends = once.select(F.col("source").alias("name"), none.alias("i"), F.col("target").alias("o")).unionByName(
+        once.select(F.col("target").alias("name"), F.col("source").alias("i"), none.alias("o")))
+    return ends.groupBy("name").agg(
+        F.count("i").alias("inputs"), F.count("o").alias("outputs"), F.min("i").alias("source"), F.min("o").alias("target"))
+
+
 def lineage_levels(edges: DataFrame) -> DataFrame:
     """(name, level): the topological level of each dataset, null for those on or behind a cycle.
 
@@ -585,17 +594,19 @@ def lineage_levels(edges: DataFrame) -> DataFrame:
     without a source is what settled inputs give its target. Each level is written once.
     """
     once = settled(edges.select("source", "target").dropna().distinct())
-    names = settled(once.select(F.col("source").alias("name")).union(once.select(F.col("target").alias("name"))).distinct())
-    free = names.join(once.select(F.col("target").alias("name")), "name", "left_anti")
+    return levels_by_degree(once, settled(degrees(once)))
+
+
+def levels_by_degree(once: DataFrame, degree: DataFrame) -> DataFrame:
+    """`lineage_levels` of distinct edges whose `degrees` are known; these are the state of the first round."""
     nowhere = F.lit(None).cast(once.schema["source"].dataType)
-    left = once.withColumn("w", F.lit(1).cast("bigint")).unionByName(
-        free.select(nowhere.alias("source"), F.col("name").alias("target"), F.lit(0).cast("bigint").alias("w")))
+    one = F.lit(1).cast("bigint")
+    left = once.withColumn("w", one)
+    state = degree.select(F.col("name").alias("target"), "inputs", F.when(F.col("inputs") == 0, 0).cast("bigint").alias("base"),
+                          F.struct("source", one.alias("w")).alias("one"))
     parts = []
     while True:
         known = F.col("source").isNull()
-        state = settled(left.groupBy("target").agg(
-            F.count("source").alias("inputs"), F.max(F.when(known, F.col("w"))).alias("base"),
-            F.max(F.when(~known, F.struct("source", "w"))).alias("one")))
         done = state.filter("inputs = 0")
         if done.isEmpty():
             break
@@ -612,35 +623,33 @@ def lineage_levels(edges: DataFrame) -> DataFrame:
             F.when(F.col("_done").isNull(), F.col("source")).alias("source"), "target", add("w", "_level").alias("w"))
         kept = state.filter("inputs > 0 AND base IS NOT NULL").select(nowhere.alias("source"), "target", F.col("base").alias("w"))
         left = settled(given.unionByName(kept).groupBy("source", "target").agg(F.max("w").alias("w")))
-    out = names.withColumn("base", F.lit(None).cast("bigint"))
-    if parts:
-        found = parts[0]
-        for part in parts[1:]:
-            found = found.unionByName(part)
-        out = names.join(found, "name", "left")
+        state = settled(left.groupBy("target").agg(
+            F.count("source").alias("inputs"), F.max(F.when(known, F.col("w"))).alias("base"),
+            F.max(F.when(~known, F.struct("source", "w"))).alias("one")))
+    out = state.select(F.col("target").alias("name"), F.lit(None).cast("bigint").alias("base"))  # what no round settled
+    for part in parts:
+        out = out.unionByName(part)
     return out.select("name", F.col("base").cast("int").alias("level"))
 
 
 RUN = 1024  # levels of a chain that are read as one row
 
 
-def lineage_runs(edges: DataFrame, levels: DataFrame) -> DataFrame:
-    """(name, first, level): stretches of names with one input that has one output, cut where the level is a multiple of RUN.
+def lineage_runs(degree: DataFrame, levels: DataFrame) -> DataFrame:
+    """(name, first): stretches of names with one input that has one output, cut where the level is a multiple of RUN.
 
-    `first` is the name a stretch begins with, itself for all other names. Names without a level are left out.
+    `first` is the name a stretch begins with, and has no row; nor have names that are in no stretch. Only names of
+    stretches are jumped.
     """
-    once = edges.select("source", "target").distinct()
-    one_in = once.groupBy("target").agg(F.count(F.lit(1)).alias("_n"), F.min("source").alias("source")).filter("_n = 1")
-    one_out = once.groupBy("source").agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1").select("source")
-    linked = one_in.join(one_out, "source", "left_semi").select(F.col("target").alias("name"), F.col("source").alias("up"))
-    placed = levels.filter("level IS NOT NULL").join(linked, "name", "left")
-    up = F.when(F.col("level") % RUN != 0, F.col("up"))
-    runs = settled(placed.select(F.col("name").alias("cell"), F.coalesce(up, "name").alias("parent")))
+    one_out = degree.filter("outputs = 1").select(F.col("name").alias("source"))
+    linked = settled(degree.filter("inputs = 1").select("name", "source").join(one_out, "source"))
+    deep = levels.filter(F.col("level") % RUN != 0).select("name")
+    runs = settled(linked.join(deep, "name").select(F.col("name").alias("cell"), F.col("source").alias("parent")))
     span = 1
-    while span < RUN:  # four times as far each time
+    while span < RUN and not runs.isEmpty():  # four times as far each time
         runs = settled(_jump(_jump(runs)))
         span *= 4
-    return runs.select(F.col("cell").alias("name"), F.col("parent").alias("first")).join(levels, "name")
+    return runs.select(F.col("cell").alias("name"), F.col("parent").alias("first"))
 
 
 def _shrink(left: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -649,10 +658,7 @@ def _shrink(left: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     Returns the edges left, the loops this closed, and (name, source, target) of the names passed over.
     A name is passed over if it comes first, in a hashed order, among its neighbours of the same kind.
     """
-    ends = left.select(F.col("source").alias("name"), F.lit(None).cast(left.schema["source"].dataType).alias("i"), F.col("target").alias("o")).unionByName(
-        left.select(F.col("target").alias("name"), F.col("source").alias("i"), F.lit(None).cast(left.schema["source"].dataType).alias("o")))
-    degree = settled(ends.groupBy("name").agg(
-        F.count("i").alias("inputs"), F.count("o").alias("outputs"), F.min("i").alias("source"), F.min("o").alias("target")))
+    degree = settled(degrees(left))
     inner = degree.filter("inputs > 0 AND outputs > 0")
     left = left.join(inner.select(F.col("name").alias("source")), "source", "left_semi").join(
         inner.select(F.col("name").alias("target")), "target", "left_semi")

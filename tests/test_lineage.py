@@ -4,8 +4,10 @@ import hashlib
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from gridspark import session
 from gridspark.operators import audit, graph
 
 
@@ -87,6 +89,31 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     assert keys.count() == 4097 and keys.select("key").distinct().count() == 4097 and len(written) < 64
 
 
+@pytest.mark.parametrize("few", [2, 256])
+def test_keys_of_many_inputs_and_of_inputs_with_one_prefix(spark, monkeypatch, few):
+    """400 inputs share prefixes of three digits; folded in one row or by prefix, keys are the same."""
+    edges = {(a, 1000) for a in range(400)} | {(a, 1001) for a in range(3)} | {(1000, 1002), (1001, 1002), (1002, 1003)}
+    runs = [(n, f"v{n % 7}") for n in sorted({x for e in edges for x in e})]
+    monkeypatch.setattr(audit, "FEW", few)
+    df = spark.createDataFrame(runs, "name bigint, code string")
+    got = audit.dataset_keys(df, frame(spark, edges), ["name", "code"]).collect()
+    assert len(got) == len(dict(got)) and dict(got) == twin_keys(runs, edges)
+    changed = df.withColumn("code", F.when(F.col("name") == 399, "w").otherwise(F.col("code")))
+    stored = spark.createDataFrame(got, "name bigint, key string").union(spark.createDataFrame([(5000, "odd")], "name bigint, key string"))
+    stale = audit.stale_datasets(changed, frame(spark, edges), ["name", "code"], stored)
+    assert sorted(r[0] for r in stale.collect()) == [399, 1000, 1002, 1003, 5000]
+
+
+def test_little_is_written_for_a_forest(spark, tmp_path, monkeypatch):
+    """Bytes written for each edge: a key is written once, as bytes, and attributes shorter than a digest as they are."""
+    for module in (session, audit):
+        monkeypatch.setattr(module, "shared_dir", lambda _: str(tmp_path))
+    edges = spark.range(8, 40_000).select(F.col("id").alias("source"), F.floor(F.col("id") / 8).alias("target"))
+    runs = spark.range(1, 40_000).select(F.col("id").alias("name"), F.lit("a").alias("code"))
+    assert audit.dataset_keys(runs, edges, ["name", "code"]).count() == 39_999
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 140 * 40_000
+
+
 def twin_parts(edges):
     """Names by the set of names they reach and are reached from."""
     out = {}
