@@ -10,7 +10,7 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridspark.contracts import require
 from gridspark.functions import nulls
@@ -107,6 +107,9 @@ def final_report(records: DataFrame, loop: str, instant: str, order: Sequence[st
 
 # Ranks and trend
 
+LONG = 4096     # values of a series that are held as one row, a power of two
+CHUNK = 1 << 20  # values that are scored in one array pass
+
 
 def doubled_midranks(df: DataFrame, keys: Sequence[str], value: str, slice_by: Column, name: str = "rank2") -> DataFrame:
     """2 * (values below) + (values equal) + 1 within each series; ties are counted once per distinct value."""
@@ -124,20 +127,99 @@ def successive_difference(df: DataFrame, keys: Sequence[str], rank: str, order:
     return steps.groupBy(*keys).agg((-F.sum(step * step)).alias(name))
 
 
+def _long_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """The keys of series of more than LONG values, which are few; None without any."""
+    found = settled(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > LONG).select(*keys))
+    return None if found.isEmpty() else found
+
+
+def _in_order(order: Sequence[str], rank: str) -> Column:
+    """The ranks of a short series along its order, as an array."""
+    return F.transform(F.sort_array(F.collect_list(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(rank).alias("r")))), lambda x: x["r"])
+
+
+def _scored(series: Sequence[np.ndarray]) -> tuple[np.ndarray, list[nulls.Ties]]:
+    """The Kendall score and the sizes of ties of each of many series, all in one pass over their ranks.
+
+    Positions are split by binary digits as in `kendall_score`: rows stay sorted by (block, rank) as blocks are halved.
+    """
+    sizes = np.fromiter((len(x) for x in series), dtype=np.int64, count=len(series))
+    begin = np.cumsum(sizes) - sizes
+    which, n = np.repeat(np.arange(len(sizes)), sizes), int(sizes.sum())
+    p, rank = np.arange(n) - begin[which], np.concatenate(series)
+    by = np.lexsort((rank, which))
+    p, rank = p[by], rank[by]
+    fresh = lambda new: np.concatenate(([True], new))
+    tied = np.flatnonzero(fresh((which[1:] != which[:-1]) | (rank[1:] != rank[:-1])))
+    pairs, times = np.unique(np.stack([which[tied], np.diff(tied, append=n)]), axis=1, return_counts=True)
+    ties: list[list] = [[] for _ in sizes]
+    for k, size, t in zip(pairs[0].tolist(), pairs[1].tolist(), times.tolist()):
+        ties[k].append((size, t))
+    scores = np.zeros(len(sizes), dtype=np.int64)
+    for digit in range(int(sizes.max() - 1).bit_length() - 1, -1, -1):
+        block = p >> (digit + 1)
+        new = fresh((which[1:] != which[:-1]) | (block[1:] != block[:-1]))
+        tie = new | fresh(rank[1:] != rank[:-1])
+        b, t = np.flatnonzero(new), np.flatnonzero(tie)
+        in_b, in_t = np.cumsum(new) - 1, np.cumsum(tie) - 1
+        left = ((p >> digit) & 1) == 0
+        upto = np.concatenate(([0], np.cumsum(left)))  # rows of the left halves before each row
+        first, every = upto[b][in_b], np.diff(upto[np.append(b, n)])[in_b]
+        below, reached = upto[t][in_t] - first, upto[np.append(t[1:], n)][in_t] - first
+        scores += np.add.reduceat(np.where(left, 0, below + reached - every), begin)
+        lefts = upto[:-1] - first
+        to = b[in_b] + np.where(left, lefts, every + np.arange(n) - b[in_b] - lefts)
+        p[to], rank[to] = p.copy(), rank.copy()
+    return scores, [tuple(x) for x in ties]
+
+
+def _scored_in_chunks(series: Sequence[np.ndarray]) -> tuple[np.ndarray, list[nulls.Ties]]:
+    scores, ties, lo = [np.zeros(0, dtype=np.int64)], [], 0
+    while lo < len(series):
+        hi, n = lo + 1, len(series[lo])
+        while hi < len(series) and n + len(series[hi]) <= CHUNK:
+            n, hi = n + len(series[hi]), hi + 1
+        part = _scored(series[lo:hi])
+        scores.append(part[0])
+        ties += part[1]
+        lo = hi
+    return np.concatenate(scores), ties
+
+
+def _score_udf():
+    @F.pandas_udf("bigint")
+    def score(ranks: pd.Series) -> pd.Series:
+        return pd.Series(_scored_in_chunks(list(ranks))[0])
+
+    return score
+
+
 def kendall_score(df: DataFrame, keys: Sequence[str], rank: str, order: Sequence[str], slice_by: Column | FromData | None,
                   rank_width: int = 1 << 16, name: str = "score") -> DataFrame:
     """Increasing pairs less decreasing pairs of each series, without forming pairs.
 
     Positions are split by their binary digits: two positions first differ at exactly one digit, so
     summing over digits the comparisons between the halves of every block counts each pair once.
-    That is one row per (position, digit) and one running count along the ranks of each block.
+    A series of at most LONG values is one row, and its digits are passes over an array; so are the low digits
+    of longer ones. Each higher digit is one row per position and one running count along the ranks of each block.
     """
     keys = list(keys)
-    # Written between its steps, each of which reads its input several times.
+    # Written, as it is read several times.
     rows = settled(df.select(*keys, rank, *[c for c in order if c not in (*keys, rank)]))
+    hot = _long_keys(rows, keys)
+    short = rows if hot is None else match(rows, hot, keys, "left_anti")
+    packed = short.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), _in_order(order, rank).alias("_r"))
+    out = packed.select(*keys, "n", _score_udf()("_r").alias(name))
+    return out if hot is None else out.unionByName(_long_scores(match(rows, hot, keys, "left_semi"), keys, rank, order, slice_by, rank_width, name))
+
+
+def _long_scores(rows: DataFrame, keys: list[str], rank: str, order: Sequence[str], slice_by: Column | FromData | None, rank_width: int, name: str) -> DataFrame:
+    """`kendall_score` of series of more than LONG values."""
+    low = LONG.bit_length() - 1
     placed = settled(numbered(rows, order, slice_by, keys, "_p", 0).select(*keys, rank, "_p"))
     n = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    levels = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n").cast("double"))).cast("int") - 1))
+    inside = placed.groupBy(*keys, F.call_function("shiftright", F.col("_p"), F.lit(low)).alias("_block")).agg(_in_order(["_p"], rank).alias("_r"))
+    levels = F.sequence(F.lit(low), F.greatest(F.lit(low), F.ceil(F.log2(F.col("n").cast("double"))).cast("int") - 1))
     split = (
         match(placed, n, keys)
         .select(*keys, rank, "_p", F.explode(levels).alias("_lv"))
@@ -150,8 +232,9 @@ def kendall_score(df: DataFrame, keys: Sequence[str], rank: str, order: Sequence
     lefts = counted.groupBy(*group).agg(F.sum("_left").alias("_all"))
     ran = running_sum(counted, "_left", [rank], F.floor(F.col(rank) / rank_width).cast("bigint"), group, "_upto")
     term = F.col("_right") * (2 * F.col("_upto") - F.col("_left") - F.col("_all"))
-    scores = match(ran, lefts, group).groupBy(*keys).agg(F.sum(term).cast("bigint").alias(name))
-    return match(n, scores, keys, "left").fillna(0, [name])
+    between = match(ran, lefts, group).select(*keys, term.cast("bigint").alias("_s"))
+    scores = between.unionByName(inside.select(*keys, _score_udf()("_r").alias("_s"))).groupBy(*keys).agg(F.sum("_s").alias(name))
+    return match(n, scores, keys)
 
 
 def exchangeable_minimum_length(false_alarm: float) -> int:
@@ -183,6 +266,17 @@ def _trend_udf(false_alarm: float):
     return judged
 
 
+def _short_trend_udf(false_alarm: float):
+    @F.pandas_udf("score bigint, p_trend double, trend boolean")
+    def judged(ranks: pd.Series) -> pd.DataFrame:
+        scores, ties = _scored_in_chunks(list(ranks))
+        return pd.DataFrame({
+            "score": scores, "p_trend": [nulls.trend_p(abs(int(s)), k)[0] for s, k in zip(scores, ties)],
+            "trend": [nulls.trend_rejects(int(s), k, false_alarm) for s, k in zip(scores, ties)]})
+
+    return judged
+
+
 def tie_sizes(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """How often each multiplicity occurs among a series' values: one entry per (size, how many values have it).
 
@@ -196,17 +290,23 @@ def trend_test(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[s
                value_slice: Column | FromData | None, false_alarm: float) -> DataFrame:
     """Kendall score of each series, its two-sided tail, and whether that is at or under `false_alarm`.
 
-    `trend` is null where the series is too short for any ordering to be that unlikely.
+    `trend` is null where the series is too short for any ordering to be that unlikely. A series of at most LONG
+    values is dealt out once, ranked by a window and judged as one row.
     """
-    ranked = doubled_midranks(df, keys, value, value_slice)
-    scores = kendall_score(ranked, keys, "rank2", order, slice_by)
-    both = match(scores, tie_sizes(df, keys, value), keys)
+    keys = list(keys)
+    rows = df.select(*dict.fromkeys([*keys, value, *order]))
+    hot = _long_keys(rows, keys)
+    short = rows if hot is None else match(rows, hot, keys, "left_anti")
+    ranks = short.withColumn("_r", F.dense_rank().over(Window.partitionBy(*keys).orderBy(value)))
+    packed = ranks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), _in_order(order, "_r").alias("_r"))
+    out = packed.withColumn("_t", _short_trend_udf(false_alarm)("_r")).select(*keys, "n", "_t.*")
+    if hot is not None:
+        long = settled(match(rows, hot, keys, "left_semi"))
+        scores = kendall_score(doubled_midranks(long, keys, value, value_slice), keys, "rank2", order, slice_by)
+        both = match(scores, tie_sizes(long, keys, value), keys).withColumn("_t", _trend_udf(false_alarm)("score", "ties"))
+        out = out.unionByName(both.select(*keys, "n", "score", "_t.*"))
     need = exchangeable_minimum_length(false_alarm)
-    out = both.withColumn("_t", _trend_udf(false_alarm)("score", "ties"))
-    return out.select(*keys, "n", "score", F.col("_t.p_trend").alias("p_trend"), F.when(F.col("n") >= need, F.col("_t.trend")).alias("trend"))
-
-
-LONG = 4096  # values of a series that are held as one row
+    return out.select(*keys, "n", "score", "p_trend", F.when(F.col("n") >= need, F.col("trend")).alias("trend"))
 
 
 def _exhaustive_udf():

@@ -6,13 +6,14 @@ import random
 from collections import Counter
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridspark.contracts import Refusal
 from gridspark.functions import nulls
 from gridspark.operators import series
-from gridspark.operators.ordered import value_slice
+from gridspark.operators.ordered import FromData, value_slice
 
 
 def score(x):
@@ -131,6 +132,40 @@ def test_kendall_and_ranks(spark, cut):
     assert dict(stat.collect()) == {g: -sum((b - a) ** 2 for a, b in zip(r, r[1:])) for g, r in ranks.items()}
 
 
+@pytest.mark.parametrize("long", [8, 64])
+def test_scores_of_short_and_long_series_are_the_same(spark, monkeypatch, long):
+    """Series on either side of LONG, values that are null, not numbers and of both zeros, an order that is null first."""
+    monkeypatch.setattr(series, "LONG", long)
+    rng = random.Random(12)
+    groups = {f"n{n}": [rng.randrange(9) for _ in range(n)] for n in (1, 2, 7, 8, 9, 15, 16, 17, 63, 64, 65, 200)}
+    odd = [None, 1.0, float("nan"), 0.0, -0.0, None, float("-inf"), float("nan"), 2.0]
+    rows = [(g, float(i) if i else None, float(x)) for g, xs in groups.items() for i, x in enumerate(xs)]
+    rows += [("odd", float(i), x) for i, x in enumerate(odd)] + [(None, float(i), float(-i)) for i in range(12)]
+    df = spark.createDataFrame(rows, "g string, w double, r double").repartition(5)
+    groups |= {"odd": [0, 3, 5, 2, 2, 0, 1, 5, 4], None: [-i for i in range(12)]}
+    for row in series.trend_test(df, ["g"], "r", ["w"], value_slice("w", 10.0), FromData(), 0.05).collect():
+        xs = groups.pop(row["g"])
+        p, _ = nulls.trend_p(abs(score(xs)), spread(Counter(xs).values()))
+        assert (row["n"], row["score"], row["p_trend"]) == (len(xs), score(xs), p)
+        assert row["trend"] == (p <= 0.05 if len(xs) >= 5 else None)
+    assert not groups
+
+
+def test_scores_of_many_series_at_once(monkeypatch):
+    rng = random.Random(3)
+    many = [[rng.randrange(rng.choice((2, 30, 1000))) for _ in range(rng.randrange(1, 90))] for _ in range(300)]
+    monkeypatch.setattr(series, "CHUNK", 500)
+    scores, ties = series._scored_in_chunks([np.array(x) for x in many])
+    assert list(scores) == [score(x) for x in many] and ties == [spread(Counter(x).values()) for x in many]
+
+
+def test_a_short_series_is_dealt_out_once(spark):
+    """No row a value and digit, and one shuffle of the values."""
+    df = spark.range(4000).select((F.col("id") % 60).alias("g"), F.col("id").alias("w"), (F.col("id") * 37 % 101).alias("r"))
+    plan = series.trend_test(df, ["g"], "r", ["w"], FromData(), FromData(), 0.05)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan and "Join" not in plan
+
+
 def test_signatures(spark):
     rng = random.Random(8)
     groups = {
