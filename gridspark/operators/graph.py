@@ -329,6 +329,11 @@ def crossings(body: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     return placed.filter("coarse_a < coarse_b").join(here, "cell").join(there, "neighbour")
 
 
+def touching(body: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """The pairs of bodies that meet across a coarse edge: the keys of their gates, without width or sill."""
+    return crossings(body, edges, depth).select("coarse_a", "coarse_b", "inner", "outer").distinct()
+
+
 def land_gates(body: DataFrame, edges: DataFrame, depth: int, radius: float = 1.0) -> DataFrame:
     """Width and number of the fine edges joining each pair of bodies across a coarse edge."""
     found = crossings(body, edges, depth)
@@ -430,7 +435,7 @@ def ocean_gates(terrain: DataFrame, body: DataFrame, edges: DataFrame, depth: in
     edges whatever the size of the ocean: that bound is what makes one group per pair safe.
     """
     require(depth <= 6, "depth", "ocean_gates", "a pair would hold more than 8192 cells")
-    pairs = crossings(body, edges, depth).select("coarse_a", "coarse_b", "inner", "outer").distinct()
+    pairs = touching(body, edges, depth)
     source = source_cells(terrain, body, z)
     ends = pairs.join(source.select(F.col("label").alias("inner"), "source"), "inner").join(
         source.select(F.col("label").alias("outer"), F.col("source").alias("sink")), "outer")
@@ -521,10 +526,10 @@ def topology_edits(old: dict[str, DataFrame], new: dict[str, DataFrame], edges:
     flags = settled(flags)
     changed = flags.filter("was <> now")
     other = flags.select(F.col("cell").alias("neighbour"), F.col("was").alias("_w"), F.col("now").alias("_n"))
-    touching = settled(edges.select("cell", "neighbour").join(changed.select("cell", "was", "now"), "cell").join(other, "neighbour"))
-    cluster = settled(components(changed, touching.filter("was = _w AND now = _n")))
+    met = settled(edges.select("cell", "neighbour").join(changed.select("cell", "was", "now"), "cell").join(other, "neighbour"))
+    cluster = settled(components(changed, met.filter("was = _w AND now = _n")))
     # land components beside a cluster, of the snapshot in which it is wet
-    beside = touching.filter("NOT _w AND NOT _n").select("cell", "neighbour", "was")
+    beside = met.filter("NOT _w AND NOT _n").select("cell", "neighbour", "was")
     wet_old = old["land_component"].select(F.col("cell").alias("neighbour"), F.col("label").alias("_lo"))
     wet_new = new["land_component"].select(F.col("cell").alias("neighbour"), F.col("label").alias("_ln"))
     named = beside.join(wet_old, "neighbour", "left").join(wet_new, "neighbour", "left").select(
@@ -552,10 +557,13 @@ def topology_edits(old: dict[str, DataFrame], new: dict[str, DataFrame], edges:
 
 
 def surface_graph(terrain: DataFrame, edges: DataFrame, seeds: DataFrame, datum: float, depth: int,
-                  terminals: bool = True) -> dict[str, DataFrame]:
+                  terminals: bool = True, measured: bool = True) -> dict[str, DataFrame]:
     """Everything derived from one elevation snapshot, each part written once: ocean, land components,
-    bodies, gates and drainage terminals. `edges` carries `edge` and `length`."""
-    edges, terrain = settled(edges), settled(terrain)
+    bodies, gates and drainage terminals.
+
+    `terrain` and `edges` are read once a part, so hand them over written. `edges` carries `edge` and `length`, but not where
+    `measured` is off: gates are then the pairs of bodies that meet, which is all that `topology_edits` asks.
+    """
     ocean = settled(flood_reach(terrain, edges, seeds, datum, check=True))
     land = settled(terrain.select("cell").join(ocean, "cell", "left_anti"))
     ocean_body, land_body = settled(bodies(ocean, edges, depth)), settled(bodies(land, edges, depth))
@@ -563,8 +571,8 @@ def surface_graph(terrain: DataFrame, edges: DataFrame, seeds: DataFrame, datum:
         "terrain": terrain, "ocean": ocean,
         "land_component": settled(components_within(land, edges)),
         "ocean_body": ocean_body, "land_body": land_body,
-        "ocean_gates": settled(ocean_gates(terrain, ocean_body, edges, depth)),
-        "land_gates": settled(land_gates(land_body, edges, depth)),
+        "ocean_gates": settled(ocean_gates(terrain, ocean_body, edges, depth) if measured else touching(ocean_body, edges, depth)),
+        "land_gates": settled((land_gates if measured else touching)(land_body, edges, depth)),
     }
     if terminals:
         out["terminal"] = settled(drainage_terminals(terrain, edges, ocean))

@@ -368,3 +368,29 @@ def test_bodies_take_no_rounds(spark, monkeypatch):
     assert not written
     components = graph.components_within(mask, grid.grid_edges(spark, LEVEL))
     assert components.count() == mask.count() and len(written) < 12
+
+
+def test_edits_need_no_sills(spark, sf, monkeypatch):
+    """Edits ask which bodies touch: the same with and without measured gates, and no pair of bodies is cut in Python."""
+    from gridspark.plans import catalogue
+
+    edges = grid.grid_edges(spark, LEVEL, lengths=True)
+    terrains = [terrain(spark, 41)[0], terrain(spark, 43)[0]]
+    terrains[1] = {c: terrains[c % 3 == 0][c] for c in terrains[0]}
+    found = []
+    for measured in (True, False):
+        parts = []
+        for z in terrains:
+            df = spark.createDataFrame(list(z.items()), "cell bigint, z double")
+            given = edges if measured else edges.drop("length")
+            parts.append(graph.surface_graph(df, given, df.filter("z < -440").select("cell"), 0.0, DEPTH, terminals=False, measured=measured))
+        found.append((sorted(map(tuple, graph.topology_edits(parts[0], parts[1], edges, 0.0, DEPTH).collect())),
+                      [sorted(map(tuple, p[n].select("coarse_a", "coarse_b", "inner", "outer").collect())) for p in parts for n in ("ocean_gates", "land_gates")]))
+    assert found[0] == found[1] and len(found[0][0]) > 50
+
+    def refuse(*_):
+        raise AssertionError("sills are worked out")
+
+    monkeypatch.setattr(graph, "ocean_gates", refuse)
+    for name in ("gra11_topology_changes", "str8_emitted_events"):
+        assert catalogue.queries()[name](spark, sf).count() > 0
