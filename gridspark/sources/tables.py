@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridspark.contracts import raise_if_any, refuse, require, require_matching
@@ -23,12 +27,80 @@ def read_contracted(spark: SparkSession, path: str, column: str, expected: dict)
     return df
 
 
+WHOLE = 32 << 20  # a file up to this long is one value; a longer one is hashed as it is read
+# Names that tell a text reader to unpack a file: these are hashed as one value whatever their length.
+PACKED = r"\.(gz|bz2|deflate|lz4|lzo|snappy|zst|zstd)$"
+MARK = b"\xef\xbb\xbf"  # a text reader leaves this out where a file begins with it
+
+
+def _hash_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, bytes, sha256) of files that come one after another as (path, bytes, line and its end) in order.
+
+    The last line of a file may have no end, and a mark in front of the first is not among the lines: the length tells both.
+    """
+    path = size = plain = marked = None
+    read = 0
+
+    def closed() -> pa.RecordBatch:
+        for digest, lacking in ((plain, 0), (marked, len(MARK))):
+            if read + lacking in (size, size + 1):
+                if read + lacking == size:
+                    digest.update(b"\n")
+                return pa.RecordBatch.from_pydict({"path": [path], "bytes": pa.array([size], pa.int64()), "sha256": [digest.hexdigest()]})
+        raise ValueError(f"{path}: {read} bytes read of {size}")
+
+    for batch in batches:
+        # of a run of rows of one file, the lines lie side by side in memory
+        runs = pc.run_end_encode(batch.column(0), run_end_type=pa.int32())
+        _, at, raw = (memoryview(b) if b else b"" for b in batch.column(2).buffers())
+        at = np.frombuffer(at, "int64" if pa.types.is_large_binary(batch.column(2).type) else "int32")[batch.column(2).offset :]
+        first = 0
+        for name, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+            if name != path:
+                if path is not None:
+                    yield closed()
+                path, size, read = name, batch.column(1)[first].as_py(), 0
+                plain, marked = hashlib.sha256(), hashlib.sha256(MARK)
+            else:
+                plain.update(b"\n")
+                marked.update(b"\n")
+            # all but the end of the last line, which may not be in the file
+            held = raw[at[first] : at[end] - 1]
+            plain.update(held)
+            marked.update(held)
+            read += len(held) + 1
+            first = end
+    if path is not None:
+        yield closed()
+
+
 def file_manifest(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(path, bytes, sha256) of the files under a folder, one file per row of a distributed scan; paths count from the folder."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    """(path, bytes, sha256) of the files under a folder; paths count from the folder.
+
+    Files are hashed beside each other, one in one task, which the digest's definition asks for. Long ones are read
+    as lines, never split, so no file is held whole.
+    """
+
+    def files(source: str, session: SparkSession) -> DataFrame:
+        return session.read.format(source).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+
+    here = files("binaryFile", spark).load(folder)
+    # of the names and lengths in the listing, so a file that is left out is not opened
+    long = (F.col("_metadata.file_size") > WHOLE) & ~F.col("_metadata.file_name").rlike(PACKED)
     root = "/" + re.sub(r"^[A-Za-z][\w+.-]*:(//[^/]*)?", "", folder).strip("/") + "/"
     name = F.expr(f"substring(path, locate('{root}', path) + {len(root)})")
-    return files.select(name.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    found = here.filter(~long).select(name.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    longest = here.filter(long).agg(F.max("length")).first()[0]
+    if longest is None:
+        return found
+    unsplit = spark.newSession()  # of its settings only these differ, and only for this scan
+    unsplit.conf.set("spark.sql.files.maxPartitionBytes", str(longest))
+    unsplit.conf.set("spark.sql.files.minPartitionNum", "1")
+    lines = files("text", unsplit).option("lineSep", "\n").load(folder).filter(long).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"), F.concat(F.col("value").cast("binary"), F.lit(b"\n")).alias("line"))
+    hashed = lines.mapInArrow(_hash_files, "path string, bytes bigint, sha256 string")
+    plain = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))  # this reader names files as URLs
+    return found.unionByName(hashed.withColumn("path", plain).select(name.alias("path"), "bytes", "sha256"))
 
 
 def verify_manifest(found: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -80,8 +152,6 @@ def read_feature_pages(spark: SparkSession, path: str, indented: bool = False) -
 
 def content_key(inputs: dict) -> str:
     """The key of a dataset: digest of everything it is made from, names in order."""
-    import hashlib
-
     return hashlib.sha256(json.dumps(inputs, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
