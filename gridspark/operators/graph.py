@@ -86,6 +86,19 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 _NODE, _BORDER = 1024, 1025  # marks of a cell among the links of a block: it is a node, it has a link out of the block
 
 
+def lowest_linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The lowest place each of `n` places is linked with, by links from `a` to `b`."""
+    low = np.arange(n)
+    while len(a):
+        p, q = low[a], low[b]
+        open_ = p != q
+        a, b, p, q = a[open_], b[open_], p[open_], q[open_]
+        np.minimum.at(low, np.maximum(p, q), np.minimum(p, q))
+        while (low[low] != low).any():
+            low = low[low]
+    return low
+
+
 def _solve_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Components inside blocks, 256 blocks at once: the lowest cell of each node's, and whether the node has links outside."""
     for rows in (batch[i : i + 256] for batch in batches for i in range(0, len(batch), 256)):
@@ -99,14 +112,7 @@ def _solve_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         inner = b < _NODE
         a, b = a[inner], (offset + b)[inner]
         kept = node[a] & node[b]
-        a, b, low = a[kept], b[kept], np.arange(len(node))
-        while len(a):
-            p, q = low[a], low[b]
-            open_ = p != q
-            a, b, p, q = a[open_], b[open_], p[open_], q[open_]
-            np.minimum.at(low, np.maximum(p, q), np.minimum(p, q))
-            while (low[low] != low).any():
-                low = low[low]
+        low = lowest_linked(len(node), a[kept], b[kept])
         at = np.flatnonzero(node)
         first = rows["block"].to_numpy() * SIDE + 1
         cell = lambda i: first[i // SIDE] + i % SIDE
@@ -542,12 +548,19 @@ def topology_edits(old: dict[str, DataFrame], new: dict[str, DataFrame], edges:
     moves = settled(closing.unionByName(flooding).distinct())
     members = settled(cluster.join(changed, "cell").withColumn("coarse", cells.ancestor(F.col("cell"), depth)))
     moved = members.join(moves, (members.coarse == moves.coarse) & (members.was == moves.closing), "left_semi").select("label").distinct()
-    wet_z = F.when(F.col("was"), F.col("z_old")).otherwise(F.col("z_new"))
-    dry_z = F.when(F.col("was"), F.col("z_new")).otherwise(F.col("z_old"))
-    water = F.lit(datum) - wet_z
+    was = F.col("was")
+    heights = members.select("label", "was", F.when(was, F.col("z_old")).otherwise(F.col("z_new")).alias("wet_z"),
+                             F.when(was, F.col("z_new")).otherwise(F.col("z_old")).alias("dry_z"))
+    return name_edits(heights, lands, moved, datum)
+
+
+def name_edits(members: DataFrame, lands: DataFrame, moved: DataFrame, datum: float) -> DataFrame:
+    """Edits of clusters: `members` are their cells (label, was, wet_z, dry_z), `lands` the number of land components beside each,
+    `moved` the labels of those that move a body."""
+    water = F.lit(datum) - F.col("wet_z")
+    risen = F.lit(datum) - F.col("dry_z")
     summary = members.groupBy("label", "was").agg(
-        F.max((F.lit(datum) - dry_z > 0).cast("int")).alias("enclosed"),
-        F.max(F.when(F.lit(datum) - dry_z <= 0, water)).alias("quantity"), F.count(F.lit(1)).alias("cells"))
+        F.max((risen > 0).cast("int")).alias("enclosed"), F.max(F.when(risen <= 0, water)).alias("quantity"), F.count(F.lit(1)).alias("cells"))
     out = summary.join(lands, "label", "left").join(moved.withColumn("moved", F.lit(1)), "label", "left").fillna(0, ["lands", "moved"])
     edit = (
         F.when(F.col("was"), F.when(F.col("lands") == 0, "island_emerged").otherwise("seaway_closed"))

@@ -132,11 +132,9 @@ def str7(spark, sf):
 @query("str8_emitted_events")
 def str8(spark, sf):
     """Topology edits of two terrain snapshots, emitted as journal rows and validated on the way in."""
-    from gridspark.operators import graph
-    from gridspark.plans.grids import DEPTH, level_of, snapshots
+    from gridspark.plans.grids import DEPTH, edits, level_of
 
-    old, new, edges = snapshots(spark, sf)
-    rows = journal.topology_events(graph.topology_edits(old, new, edges, 0.0, DEPTH), 0.0, level_of(spark, sf) - DEPTH)
+    rows = journal.topology_events(edits(spark, sf), 0.0, level_of(spark, sf) - DEPTH)
     return journal.validate(rows).groupBy("kind", "problem").agg(F.count(F.lit(1)).alias("n"))
 
 

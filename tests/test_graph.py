@@ -394,3 +394,36 @@ def test_edits_need_no_sills(spark, sf, monkeypatch):
     monkeypatch.setattr(graph, "ocean_gates", refuse)
     for name in ("gra11_topology_changes", "str8_emitted_events"):
         assert catalogue.queries()[name](spark, sf).count() > 0
+
+
+@pytest.mark.parametrize("level, depth, seed", [(LEVEL, 2, 51), (4, 2, 53), (6, 3, 57)])
+def test_edits_by_blocks(spark, level, depth, seed):
+    """The same edits as from tables of cells and edges."""
+    from gridspark.operators import edits
+
+    rng, n = np.random.default_rng(seed), cells.ncells(level)
+    z = rng.integers(-500, 500, n) + np.arange(n) * 1e-5 - 60.0
+    z_new = np.where(rng.random(n) < 0.12, z + rng.integers(-600, 600, n), z)
+    blocks = -(-n // graph.SIDE)
+    padded = np.full((2, blocks * graph.SIDE), -1000.0)  # what lies behind the last cell is not looked at
+    padded[:, :n] = z, z_new
+    rows = [(i, *(p[i * graph.SIDE : (i + 1) * graph.SIDE].astype(edits.ELEVATION).tobytes() for p in padded)) for i in range(blocks)]
+    packed = spark.createDataFrame(rows, "block bigint, z_old binary, z_new binary")
+    got = sorted(map(tuple, edits.block_edits(packed, level, -540.0, 0.0, depth).collect()))
+    edges = grid.grid_edges(spark, level)
+    parts = []
+    for name, values in (("old", z), ("new", z_new)):
+        df = spark.createDataFrame([(c + 1, v) for c, v in enumerate(values.tolist())], "cell bigint, z double")
+        parts.append(graph.surface_graph(df, edges, df.filter("z < -540").select("cell"), 0.0, depth, terminals=False, measured=False))
+    want = sorted(map(tuple, graph.topology_edits(*parts, edges, 0.0, depth).collect()))
+    assert got == want and len({r[1] for r in want}) >= 3
+
+
+def test_edits_write_no_table_of_edges(spark, sf, monkeypatch):
+    from gridspark.plans import catalogue, grids
+
+    def refuse(*_, **__):
+        raise AssertionError("a table of edges is made")
+
+    monkeypatch.setattr(grids.grid, "grid_edges", refuse)
+    assert catalogue.queries()["gra11_topology_changes"](spark, sf).count() > 0
